@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, minhash, packing
+from terrane.llm import decontaminate, hmm, minhash, packing, quality, topk, toxicity
 from terrane.llm.common import table
 
 
+def op3_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(table(spark, sf_dir, "documents"), folds=10)
+
+
+def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -18,12 +26,32 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, cut=0.7)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, fold=2, cut=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_benchmark_decontamination, op6_minhash_near_dedup, op9_packing)
+    f.__name__: f
+    for f in (
+        op3_hmm_language_model,
+        op4_exact_topk_search,
+        op5_benchmark_decontamination,
+        op6_minhash_near_dedup,
+        op8_toxicity,
+        op9_packing,
+        op10_quality_classifier,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_benchmark_decontamination": decontaminate.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk_search": topk.SEARCH_SQL,
+    "op5_benchmark_decontamination": decontaminate.REPORT_SQL,
+}
