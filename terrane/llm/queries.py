@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, hmm, minhash, packing, quality, topk, toxicity
+from terrane.llm import decontaminate, hmm, minhash, packing, quality, substrings, topk, toxicity, urls
 from terrane.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"), kind="line")
+
+
 def op3_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model(table(spark, sf_dir, "documents"), folds=10)
 
@@ -41,6 +49,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_url_filters,
+        op2_substring_dedup,
         op3_hmm_language_model,
         op4_exact_topk_search,
         op5_benchmark_decontamination,
@@ -52,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": urls.JUDGE_SQL,
+    "op2_substring_dedup": substrings.REPEATS_SQL,
     "op4_exact_topk_search": topk.SEARCH_SQL,
     "op5_benchmark_decontamination": decontaminate.REPORT_SQL,
 }
