@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, hmm, minhash, packing, quality, substrings, topk, toxicity, urls
+from terrane.llm import decontaminate, fuzzy_lines, hmm, minhash, packing, quality, substrings, topk, toxicity, urls
 from terrane.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.fuzzy_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, fold=1, cut=0.7)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_exact_topk_search,
         op5_benchmark_decontamination,
         op6_minhash_near_dedup,
+        op7_fuzzy_line_dedup,
         op8_toxicity,
         op9_packing,
         op10_quality_classifier,
