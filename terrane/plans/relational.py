@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions import scalars
 from terrane.operators import lookup, weighted
 from terrane.plans.registry import Tables, money, query, rounded
+from terrane.streaming.log import windowed_counts
 
 N = "c_nationkey"
 
@@ -316,3 +317,8 @@ def z8(t: Tables) -> DataFrame:
 @query("Z9_trait_coverage", "SELECT event_type, count(DISTINCT user_id) AS users FROM events WHERE event_type NOT IN ('error') AND user_id IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def z9(t: Tables) -> DataFrame:
     return t.events.where(~F.col("event_type").isin("error")).join(t.customer.select(F.col("c_custkey").alias("user_id")), "user_id", "left_semi").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+
+
+@query("S15_log_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def s15(t: Tables) -> DataFrame:
+    return rounded(windowed_counts(t.events, "ts", "event_type", "value"))
