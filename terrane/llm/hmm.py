@@ -37,7 +37,7 @@ SYMBOLS = 4096
 CLASSES = 64
 #: Words whose counts are sent to every task, at most.
 LEXICON = 250_000
-ROUNDS = 5
+ROUNDS = 4
 #: Added to every count of a word.
 SMOOTH = 0.1
 CHUNK = 64
@@ -267,24 +267,58 @@ class Sweep:
         return starts, steps, emits, float(total.sum())
 
 
-def _sequences(batch: pa.RecordBatch, codes: Codes) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for raw in raw_texts(batch.column("text")):
-        w = words_of(raw)
-        yield w, np.fromiter((*map(codes.__getitem__, w), 0), np.int32, len(w) + 1)
+#: Tokens whose messages a task holds at once, unless one text has more.
+TOKENS_AT_ONCE = 300_000
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the rows of (text)."""
-    spark = docs.sparkSession
-    model, shipped_lex = first_model(lex), spark.sparkContext.broadcast(lex)
+def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """Each row of (doc_id, text, held_out) as the codes of its tokens, 32 bits each, and its other words with their counts;
+    stored, so that texts are cut into words once and rounds of training read numbers only."""
+    shipped = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, row = Codes(shipped.value.words), TaskContext.get().partitionId() << 40
+        for batch in it:
+            coded, rare = [], []
+            for raw in raw_texts(batch.column("text")):
+                w = words_of(raw)
+                c = np.fromiter((*map(codes.__getitem__, w), 0), np.int32, len(w) + 1)
+                coded.append(c.tobytes())
+                rare.append([{"word": x.decode("utf-8", "replace"), "n": n} for x, n in Counter(w[i] for i in np.flatnonzero(c >= codes.size).tolist()).items()])
+            items = pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+            yield pa.record_batch([pa.array(np.arange(row, row + len(coded))), batch.column("doc_id"), batch.column("held_out"), pa.array(coded, pa.binary()), items], names=["row", "doc_id", "held_out", "codes", "rare"])
+            row += len(coded)
+
+    return materialize(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, codes binary, rare array<struct<word:string,n:long>>"), "hmm-codes")
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    """The code sequences of a batch, at most about TOKENS_AT_ONCE together."""
+    group: list[np.ndarray] = []
+    held = 0
+    for raw in batch.column("codes").to_pylist():
+        c = np.frombuffer(raw, np.int32)
+        if group and held + len(c) > TOKENS_AT_ONCE:
+            yield group
+            group, held = [], 0
+        group.append(c)
+        held += len(c)
+    if group:
+        yield group
+
+
+def train(coded: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over the encoded rows that aren't held out."""
+    spark = coded.sparkSession
+    model, symbols = first_model(lex), spark.sparkContext.broadcast(lex.tables()[0].astype(np.int32))
     for _ in range(rounds if lex.total else 0):
         shipped = spark.sparkContext.broadcast(model)
 
         def run(it: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            codes, symbol, sums = Codes(shipped_lex.value.words), shipped_lex.value.tables()[0], None
+            symbol, sums = symbols.value, None
             for batch in it:
-                if batch.num_rows:
-                    *got, total = Sweep(shipped.value, [symbol[c] for _, c in _sequences(batch, codes)]).expected()
+                for group in _groups(batch):
+                    *got, total = Sweep(shipped.value, [symbol[c] for c in group]).expected()
                     got.append(np.array([total]))
                     sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
             if sums is not None:
@@ -295,7 +329,7 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
         k, m = len(model.start), len(model.emit)
         flat = np.zeros(k + k * k + k * m + 1)
         # as many rows as the model has cells
-        for r in docs.select("text").mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+        for r in coded.where("NOT held_out").select("codes").mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
             flat[r.cell] = r.x
         starts, steps, emits = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, m).T
         model = Model((starts + 1) / (starts + 1).sum(), (steps + 1) / (steps + 1).sum(1)[:, None], (emits + SMOOTH) / (emits + SMOOTH).sum(0))
@@ -303,44 +337,23 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
     return model
 
 
-def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, held_out: Column) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((lex, model))
+def score(coded: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> DataFrame:
+    """Per encoded row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    tables = coded.sparkSession.sparkContext.broadcast((*lex.tables(), np.concatenate((lex.counts > 0, np.zeros(CLASSES, bool))), model))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, model = shipped.value
-        codes, (symbol, inside, base), task = Codes(lex.words), lex.tables(), TaskContext.get().partitionId()
-        row = task << 40
-        known = np.concatenate((lex.counts > 0, np.zeros(CLASSES, bool)))
+        symbol, inside, base, known, model = tables.value
         for batch in it:
-            if not batch.num_rows:
-                continue
-            texts = list(_sequences(batch, codes))
-            total = Sweep(model, [symbol[c] for _, c in texts]).entering()[1] / np.log(10)
-            rare = []
-            for w, c in texts:
-                rare.append(list(Counter(w[i] for i in np.flatnonzero(c >= codes.size).tolist()).items()))
-            items = pa.array([[{"word": w.decode("utf-8", "replace"), "n": n} for w, n in r] for r in rare], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
-            yield pa.record_batch(
-                [
-                    pa.array(np.arange(row, row + len(texts))),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array([len(c) for _, c in texts], pa.int64()),
-                    pa.array([int(known[c].sum()) for _, c in texts], pa.int64()),
-                    pa.array([float(base[c].sum()) for _, c in texts]),
-                    pa.array([t + float(inside[c].sum()) for t, (_, c) in zip(total.tolist(), texts, strict=True)]),
-                    items,
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own", "rare"],
-            )
-            row += len(texts)
-
-    src = docs.select("doc_id", "text", held_out.alias("held_out"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<word:string,n:long>>"
-    local = materialize(src.mapInArrow(run, schema), "hmm-scores")
-    rare = local.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word", "left")
+            rows: list[tuple[int, int, float, float]] = []
+            for group in _groups(batch):
+                total = Sweep(model, [symbol[c] for c in group]).entering()[1] / np.log(10)
+                rows += [(len(c), int(known[c].sum()), float(base[c].sum()), float(t + inside[c].sum())) for t, c in zip(total, group, strict=True)]
+            n, k, b, own = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.float64()), pa.array(own, pa.float64())], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own"])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double"
+    local = coded.select("row", "doc_id", "held_out", "codes").mapInArrow(run, schema)
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
     at = (_class(F.col("word")) + 1).cast("int")
     room = F.element_at(F.array(*(F.lit(float(x)) for x in lex.class_total + SMOOTH * (lex.class_distinct + 1))), at)
@@ -349,7 +362,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model, held_o
         F.sum(F.col("n") * F.log10((c + SMOOTH) / F.lit(lex.total + SMOOTH * (lex.distinct + 1)))).alias("more_base"),
         F.sum(F.col("n") * F.log10((c + SMOOTH) / room)).alias("more_own"),
     )
-    out = local.drop("rare").join(rest, "row", "left")
+    out = local.join(rest, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -366,7 +379,7 @@ def language_model(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(True))
-    seen = src.where(~held)
-    counts = materialize(count_words(seen), "hmm-counts")
+    counts = materialize(count_words(src.where(~held)), "hmm-counts")
     lex = lexicon(counts)
-    return score(src, counts, lex, train(seen, lex, rounds), held)
+    coded = encode(src.withColumn("held_out", held), lex)
+    return score(coded, counts, lex, train(coded, lex, rounds))
