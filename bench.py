@@ -35,7 +35,7 @@ def main() -> None:
     spark = build(f"local[{cpus}]", "bench", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     tables = plans.Tables(spark, folder)
-    tables.customer.join(tables.nation, tables.customer["c_nationkey"] == tables.nation["n_nationkey"]).count()  # start the session
+    tables.customer.groupBy("c_nationkey").count().collect()  # start the session
     took = {}
     for name in HEADLINE:
         began = time.perf_counter()
