@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Rows of text in one Arrow batch. Texts may be very long, so batches are kept small.
 TEXT_ROWS_PER_BATCH = 256
 
+#: Rows of a narrow table in one file.
+ROWS_PER_FILE = 100_000
+
 _own_root: str | None = None
 
 
@@ -44,14 +47,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of the table, not a recomputation, and rows that were
     made by a non-deterministic split of the input stay as they are. The table goes when the program ends.
+
+    ``rows`` is a bound of the rows of a narrow table, if one is known: such a table is written in files of ROWS_PER_FILE
+    rows and up to twice as many files as there are cores, instead of one small file for each shuffle partition. A file
+    costs far more than its few rows.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/terrane-llm/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, min(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))) if rows <= 2 * spark.sparkContext.defaultParallelism * ROWS_PER_FILE else df
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

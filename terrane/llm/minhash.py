@@ -8,8 +8,9 @@ steps end once every slot is below the next step's least value; for long documen
    signature in 8-bit form. Documents with equal sets are one class, of which only the first takes part in the search.
 2. Documents that share a band bucket are candidates. Each bucket has a pivot, its member with the most co-members. Each
    document is verified against the pivot that its signature likens most; links give components.
-3. Buckets that still hold several components are searched in full: blocks of bounded size are paired, members of
-   different components whose signatures differ by no more than chance allows are verified, and components are final.
+3. Buckets that still hold several components are searched in full: blocks of bounded size are paired, and members of
+   different components whose signatures differ by no more than chance allows are compared by their least hashes, which
+   are whole sets up to SAMPLE shingles; pairs that these can't rule out are verified, and components are final.
    Only documents that are already connected are never compared again, so no link is lost.
 
 Verification compares full sets of 64-bit shingle hashes.
@@ -33,6 +34,8 @@ BANDS = SLOTS // ROWS
 #: Signatures of documents with similarity s agree in a share s of the slots with a deviation of at most
 #: sqrt(s (1 - s) / SLOTS); candidates fewer than DEVIATIONS below the threshold are verified.
 DEVIATIONS = 5.0
+#: Least hashes of a set that tell sure misses from likely links before sets are compared in full.
+SAMPLE = 512
 #: Members of one bucket that a task compares with each other, or with as many others, at once.
 TILE = 150
 
@@ -124,9 +127,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hashes binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of document ids whose full sets have 100 * intersection >= percent * union."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str, rows: int) -> DataFrame:
+    """The at most ``rows`` pairs (a, b) of document ids whose full sets have 100 * intersection >= percent * union."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids", 2 * rows)
     sets = materialize(_sets(docs.join(ids, "doc_id", "left_semi"), size), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
@@ -159,6 +162,32 @@ def _least_agreement(percent: int) -> int:
     return int(np.floor(SLOTS * (s - DEVIATIONS * np.sqrt(s * (1 - s) / SLOTS))))
 
 
+def _samples(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, least) with the SAMPLE least shingle hashes, their upper 32 bits, of each row of (doc_id, text)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in it:
+            sets = shingle_sets(raw_texts(batch.column("text")), size, hashes)
+            yield pa.record_batch([batch.column("doc_id"), pa.array([(s[:SAMPLE] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], names=["doc", "least"])
+
+    return docs.mapInArrow(run, "doc long, least binary")
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """False if the least hashes of two sets rule out their link, but for chance beyond DEVIATIONS."""
+    both = np.sort(np.concatenate((x, y)))
+    twice = both[1:] == both[:-1]
+    common, union = int(twice.sum()), len(both) - int(twice.sum())
+    if len(x) < SAMPLE and len(y) < SAMPLE:  # whole sets, but for rare hashes that agree in 32 bits
+        return 100 * (common + 1) >= percent * (union - 1)
+    known = min(union, SAMPLE)
+    distinct = both[np.concatenate(([True], ~twice))]
+    common = int((both[1:][twice] <= distinct[known - 1]).sum())
+    s = percent / 100
+    return common / known >= s - DEVIATIONS * np.sqrt(s * (1 - s) / known)
+
+
 def _compare_tiles(least: int, percent: int):
     """For applyInPandas over (key, i, j): pairs across components worth verifying. Each pair is taken in the first band
     that it shares; a tile has at most 2 * TILE members, give or take the chance of the hash that deals them."""
@@ -168,6 +197,7 @@ def _compare_tiles(least: int, percent: int):
         sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(len(tile), SLOTS)
         bands = np.stack(tile["bands"].to_numpy())
         doc, comp, n, part, band = (tile[c].to_numpy() for c in ("doc", "comp", "n_shingles", "part", "band"))
+        least_of = [np.frombuffer(x, "<u4") for x in tile["least"]]
         xs, ys = (np.flatnonzero(part == i), np.flatnonzero(part == j))
         found = []
         for start in range(0, len(xs), 128):
@@ -180,7 +210,9 @@ def _compare_tiles(least: int, percent: int):
             a, b = np.nonzero(near)
             a, b = x[a], ys[b]
             first = (bands[a] == bands[b]).argmax(1) == band[0]
-            found.append(pd.DataFrame({"a": np.minimum(doc[a], doc[b])[first], "b": np.maximum(doc[a], doc[b])[first]}))
+            a, b = a[first], b[first]
+            maybe = np.array([_may_link(least_of[i], least_of[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+            found.append(pd.DataFrame({"a": np.minimum(doc[a], doc[b])[maybe], "b": np.maximum(doc[a], doc[b])[maybe]}))
         return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
     return run
@@ -201,43 +233,47 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialize(sketch(src, size), "minhash-sketch")
+    n = sketches.count()
     some = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = materialize(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes", n)
 
     # the search among the classes' first documents
     reps = some.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    reps = materialize(reps.dropDuplicates(["d1", "d2"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "sig"), "minhash-reps")
+    reps = materialize(reps.dropDuplicates(["d1", "d2"]).select(F.col("doc_id").alias("doc"), "n_shingles", "bands", "sig"), "minhash-reps", 4 * n)
     cells = reps.select("doc", F.posexplode("bands").alias("band", "key"))
-    shared = materialize(cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "minhash-buckets")
-    members = materialize(cells.join(shared, "key"), "minhash-members")
-    central = materialize(members.groupBy("doc").agg(F.sum("members").alias("central")), "minhash-central")
+    shared = materialize(cells.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "minhash-buckets", BANDS // 2 * n)
+    members = materialize(cells.join(shared, "key"), "minhash-members", BANDS * n)
+    central = materialize(members.groupBy("doc").agg(F.sum("members").alias("central")), "minhash-central", n)
     pivots = members.join(central, "doc").groupBy("key").agg(F.max(F.struct("central", (-F.col("doc")).alias("doc"))).alias("top"))
-    pivots = materialize(pivots.select("key", (-F.col("top.doc")).alias("pivot")), "minhash-pivots")
+    pivots = materialize(pivots.select("key", (-F.col("top.doc")).alias("pivot")), "minhash-pivots", BANDS // 2 * n)
     least = _least_agreement(percent)
-    pairs = materialize(members.join(pivots, "key").where("doc <> pivot").select("doc", "pivot").distinct(), "minhash-pairs")
+    pairs = materialize(members.join(pivots, "key").where("doc <> pivot").select("doc", "pivot").distinct(), "minhash-pairs", BANDS * n)
     sigs = reps.select("doc", "n_shingles", "sig")
     with_sigs = pairs.join(sigs, "doc").join(sigs.select(F.col("doc").alias("pivot"), F.col("n_shingles").alias("m"), F.col("sig").alias("other")), "pivot")
     likely = with_sigs.where(f"100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)").mapInArrow(_likely(least), "a long, b long, agree int")
     best = likely.groupBy("a").agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("top"))
-    tried = materialize(best.select(F.col("a"), (-F.col("top.b")).alias("b")), "minhash-tried")
+    tried = materialize(best.select(F.col("a"), (-F.col("top.b")).alias("b")), "minhash-tried", n)
     texts = src.where("doc_id IS NOT NULL")
-    links = _verified(tried, texts, size, percent, "minhash-pivot")
-    found = connected_components(_with_repeats(links, some, classes), name="minhash-first")
+    links = _verified(tried, texts, size, percent, "minhash-pivot", n)
+    found = connected_components(_with_repeats(links, some, classes), name="minhash-first", rows=2 * n)
 
     # what buckets of several components still hide
     placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"), "members")
-    placed = materialize(placed, "minhash-placed")
-    mixed = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
-    open_ = placed.join(mixed, "key", "left_semi").join(reps, "doc")
+    placed = materialize(placed, "minhash-placed", BANDS * n)
+    mixed = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "minhash-mixed", BANDS // 2 * n)
+    open_ = materialize(placed.join(mixed, "key", "left_semi"), "minhash-open", BANDS * n)
+    ids = materialize(open_.select(F.col("doc").alias("doc_id")).distinct(), "minhash-open-ids", n)
+    samples = materialize(_samples(texts.join(ids, "doc_id", "left_semi"), size), "minhash-samples")
+    open_ = open_.join(reps, "doc").join(samples, "doc")
     parts = F.ceil(F.col("members") / TILE).cast("int")
     open_ = open_.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("key", "band", "doc", "comp", "n_shingles", "bands", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    open_ = open_.select("key", "band", "doc", "comp", "n_shingles", "bands", "sig", "least", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     more = materialize(open_.groupBy("key", "i", "j").applyInPandas(_compare_tiles(least, percent), "a long, b long"), "minhash-more")
-    late = _verified(more, texts, size, percent, "minhash-late")
-    final = connected_components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), name="minhash-final")
+    late = _verified(more, texts, size, percent, "minhash-late", more.count())
+    final = connected_components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), name="minhash-final", rows=2 * n)
 
     labels = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    labels = materialize(labels, "minhash-labels")
+    labels = materialize(labels, "minhash-labels", n)
     linked: Column = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))

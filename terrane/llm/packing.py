@@ -29,6 +29,8 @@ from tokenizers import Tokenizer
 from terrane.llm.common import materialize, raw_texts, small_batches
 
 SEQUENCE = 1024
+#: Input partitions up to which their offsets, one row each, are broadcast.
+BROADCAST_PARTS = 1_000_000
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -136,6 +138,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, wit
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each input partition: a running sum over a table that small may stand in one task
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    base = F.broadcast(base) if totals.count() <= BROADCAST_PARTS else base  # else the ids would be dealt by partition number
     placed = tokens.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("place"), "n_tokens", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 

@@ -59,10 +59,11 @@ def occurrences(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS,
 def repeats(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS, rank: str | None = None) -> DataFrame:
     """Units to remove: doc_id, start, end (characters of the original text), kept_doc_id, kept_start, copies."""
     small_batches(docs.sparkSession)
-    found = materialize(occurrences(docs, kind, min_words, rank), "substrings-units")
+    # cut and hashed twice rather than stored: texts are read faster than units are written
+    found = occurrences(docs, kind, min_words, rank)
     place = F.struct(F.coalesce("rank", F.lit(2**63 - 1)).alias("rank"), "doc_id", "start")
     groups = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    groups = materialize(groups.select("d1", "d2", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies"), "substrings-groups")
+    groups = materialize(groups.select("d1", "d2", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), "copies"), "substrings-groups", rows=1_000_000)
     out = found.join(groups, ["d1", "d2"]).where("doc_id <> kept_doc_id OR start <> kept_start")
     return out.select("doc_id", "start", "end", "kept_doc_id", "kept_start", "copies")
 

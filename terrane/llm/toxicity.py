@@ -65,9 +65,11 @@ class Model:
         return 1 - left
 
 
-def _vocabulary(bags: list[list[set[bytes]]], y: np.ndarray) -> list[bytes]:
+def _vocabulary(raws: list[bytes], y: np.ndarray) -> list[bytes]:
     """Words whose document frequency among toxic documents is above its expectation by over three deviations."""
-    of = [Counter(w for bag, label in zip(bags, y, strict=True) if label == k for w in set().union(*bag)) for k in (0, 1)]
+    of: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+    for raw, label in zip(raws, y, strict=True):
+        of[int(label)].update(set(raw.translate(_TABLE).split()))
     share, found = y.mean(), []
     for w, n in of[1].items():
         total = n + of[0][w]
@@ -82,17 +84,16 @@ def fit(raws: list[bytes], labels: list[int]) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model()
-    bags = [[set(s.split()) for s in raw.translate(_TABLE).split(b"\n")] for raw in raws]
-    words = _vocabulary(bags, y)
+    words = _vocabulary(raws, y)
     if not words:
         return Model()
     number = {w: i for i, w in enumerate(words)}
     word, sentence, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [number[w] for w in s if w in number]
+    for d, raw in enumerate(raws):
+        for s in raw.translate(_TABLE).split(b"\n"):
+            known = {number[w] for w in s.split() if w in number}
             if known:
-                word += known
+                word += sorted(known)
                 sentence += [len(doc)] * len(known)
                 doc.append(d)
     word, sentence, doc = (np.array(x, np.int64) for x in (word, sentence, doc))
