@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, fuzzy_lines, hmm, minhash, packing, quality, substrings, topk, toxicity, urls
+from terrane.llm import decontaminate, fuzzy_lines, hmm, minhash, packing, passages, quality, substrings, topk, toxicity, urls
 from terrane.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"), kind="line")
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model(table(spark, sf_dir, "documents"), folds=10)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_url_filters,
         op2_substring_dedup,
+        op2_passage_dedup,
         op3_hmm_language_model,
         op4_exact_topk_search,
         op5_benchmark_decontamination,
