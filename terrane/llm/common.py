@@ -47,29 +47,58 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Folders of the tables that ``materialize`` has made and nobody has dropped, in order.
+_made: dict[str, SparkSession] = {}
+
+
+def _drop_rest() -> None:
+    for path, spark in list(_made.items()):
+        _remove(spark, path)
+
+
+atexit.register(_drop_rest)
+
+
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread of the table, not a recomputation, and rows that were
-    made by a non-deterministic split of the input stay as they are. The table goes when the program ends.
+    made by a non-deterministic split of the input stay as they are. The table goes when it is dropped, or when the program
+    ends.
 
     ``rows`` is a bound of the rows of a narrow table, if one is known: such a table is written in files of ROWS_PER_FILE
     rows and up to twice as many files as there are cores, instead of one small file for each shuffle partition. A file
-    costs far more than its few rows.
+    costs far more than its few rows. Only a stage whose inputs are as small as its output may name a bound.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/terrane-llm/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, min(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))) if rows <= 2 * spark.sparkContext.defaultParallelism * ROWS_PER_FILE else df
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table made by ``materialize`` that no later step reads."""
-    for f in df.inputFiles()[:1]:
-        _remove(df.sparkSession, f.rsplit("/", 1)[0])
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables made by ``materialize`` that no later step reads."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            path = f.rsplit("/", 1)[0]
+            _remove(df.sparkSession, path)
+            for known in [k for k in _made if path.endswith(k.rsplit("/", 1)[1])]:
+                del _made[known]
+
+
+def tables_made() -> list[str]:
+    """Folders of the tables that stand now."""
+    return list(_made)
+
+
+def drop_made(paths: list[str]) -> None:
+    """Remove the tables in these folders, as given by ``tables_made``."""
+    for path in paths:
+        if path in _made:
+            _remove(_made.pop(path), path)
 
 
 def small_batches(spark: SparkSession) -> None:
