@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, fuzzy_lines, hmm, minhash, packing, passages, quality, substrings, topk, toxicity, urls
 from terrane.llm.common import table
@@ -15,7 +16,9 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"), kind="line")
+    out = substrings.clean(table(spark, sf_dir, "documents"), kind="line")
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
 def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": urls.JUDGE_SQL,
-    "op2_substring_dedup": substrings.REPEATS_SQL,
+    "op2_substring_dedup": substrings.CLEAN_SQL,
     "op4_exact_topk_search": topk.SEARCH_SQL,
     "op5_benchmark_decontamination": decontaminate.REPORT_SQL,
 }

@@ -142,9 +142,8 @@ def levenshtein(a, b):
     return p[-1]
 
 
-def line_words(line):
-    w = re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower().strip("".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())))
-    return w if w[0] else []
+def normal_line(line):
+    return "".join(c for c in line.lower() if c not in fuzzy_lines.SIGNS).strip(" ")
 
 
 def plain_simhash(words):
@@ -156,13 +155,12 @@ def brute_lines(rows, similarity=fuzzy_lines.SIMILARITY):
     occ, first = [], {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n") if i is not None else []):
-            w = line_words(line)
-            if len(w) >= fuzzy_lines.MIN_WORDS:
-                key = " ".join(w)
+            key = normal_line(line)
+            if len([w for w in key.split(" ") if w]) >= fuzzy_lines.MIN_WORDS:
                 occ.append((i, n, key))
                 first[key] = min(first.get(key, (i, n)), (i, n))
     keys = sorted(first)
-    sims = [plain_simhash(k.split(" ")) for k in keys]
+    sims = [plain_simhash([w for w in k.split(" ") if w]) for k in keys]
     links = []
     for a in range(len(keys)):
         for b in range(a):
@@ -201,21 +199,42 @@ def test_fuzzy_lines_brute_force(spark):
     assert fuzzy_lines.fuzzy_repeats(documents(spark, [])).count() == 0
 
 
-def test_simhash_of_very_long_lines(spark, monkeypatch):
-    rows = [(1, " ".join(random.Random(k).choices(WORDS, k=n))) for k, n in ((1, 5), (2, 700), (3, 8192), (4, 20000))]
-    lines = fuzzy_lines.lines_of(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
-    got = {r.doc_id: r.sim & (2**64 - 1) for r in fuzzy_lines.simhashes(lines, ["doc_id", "line_no"]).collect()}
-    assert got == {i: plain_simhash(t.split(" ")) for i, (_, t) in enumerate(rows)}
+def test_simhash_of_very_long_lines(spark):
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=n))) for i, n in ((1, 5), (2, 127), (3, 128), (4, 700), (5, 8192), (6, 20000))]
+    got = {r.doc_id: r.sim & (2**64 - 1) for r in fuzzy_lines.lines_of(documents(spark, rows))[0].collect()}
+    assert got == {i: plain_simhash(t.split(" ")) for i, t in rows}
 
 
 @pytest.mark.parametrize("lines", [10, 10**7, 10**10])
-def test_pigeonhole_finds_all_pairs_once(spark, lines):
+def test_pigeonhole_finds_all_pairs(spark, lines):
     rng = random.Random(lines)
     base = [rng.getrandbits(64) for _ in range(20)]
     sims = [b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(6)]
-    df = spark.createDataFrame([(i, s - (1 << 64) if s >> 63 else s) for i, s in enumerate(sims)], "id long, sim long")
+    df = spark.createDataFrame([(i, s - (1 << 64) if s >> 63 else s, 10, i) for i, s in enumerate(sims)], "id long, sim long, len int, comp long")
+    cells = fuzzy_lines._cells(df, lines, 3)
+    tops = cells.groupBy("pick", "block").agg(F.min("id").alias("top"))
     want = sorted((i, j) for j in range(len(sims)) for i in range(j) if (sims[i] ^ sims[j]).bit_count() <= 3)
-    assert sorted((r.a, r.b) for r in fuzzy_lines.near_pairs(df, lines).collect()) == want
+    assert sorted((r.a, r.b) for r in fuzzy_lines.pairs_across(cells, tops, 3, 0.8).collect()) == want
+    one = df.withColumn("comp", F.lit(7).cast("long"))  # a family is not paired with itself
+    cells = fuzzy_lines._cells(one, lines, 3)
+    assert fuzzy_lines.pairs_across(cells, cells.select("pick", "block", F.col("comp").alias("top")).distinct(), 3, 0.8).count() == 0
+
+
+def test_edit_similarity_of_pairs(spark):
+    rng = random.Random(2)
+    texts, pairs = [], []
+    for k in range(40):
+        a = rng.choices(WORDS, k=rng.randrange(1, 30))
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choices(WORDS, k=rng.randrange(3))
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((2 * k, 2 * k + 1))
+    t = dict(texts)
+    want = [p for p in pairs if levenshtein(t[p[0]], t[p[1]]) <= math.floor(max(len(t[p[0]]), len(t[p[1]])) * 0.2 + 1e-9)]
+    got = fuzzy_lines._verified(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "id long, norm string"), 0.8)
+    assert 5 < len(want) < 35 and sorted(map(tuple, got.collect())) == want
 
 
 def test_packing_round_trip(spark):
@@ -253,6 +272,18 @@ def test_decontamination_blocks_and_cleaning(spark, monkeypatch):
     left = {x.doc_id: x for x in decontaminate.clean(documents(spark, rows), bench).collect()}
     assert "tiny" not in left[11].text and left[11].text.endswith("here and more words to keep") and left[12].text == "clean text"
     assert decontaminate.report(documents(spark, []), bench).count() == 0
+    assert decontaminate.clean(documents(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+@pytest.mark.parametrize("block", [8, 30, 1 << 20])
+def test_cleaning_does_not_depend_on_blocks(spark, monkeypatch, block):
+    """Overlapping items of several blocks, and shares that only add up over them."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    bench = spark.createDataFrame([(1, "a b c d e f"), (2, "d e f g h i"), (None, "z z z"), (3, "m n o")], "item_id long, text string")
+    rows = [(1, "k a b c d e f g h i l " + "z y " * 20), (2, "a b c d e f m n o p q r s t"), (3, "g h i m n p")]
+    got = {r.doc_id: r for r in decontaminate.clean(documents(spark, rows), bench, width=3).collect()}
+    assert got[1].text.split() == ["k", "l", *["z", "y"] * 20] and set(got) == {1, 3} and got[3].text.split() == ["m", "n", "p"]
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(documents(spark, rows), bench, width=3).collect()} == {1: (9, 2), 2: (9, 3), 3: (3, 1)}
 
 
 def plain_forward(model, symbols):
@@ -369,10 +400,19 @@ def test_substrings_keep_earliest_rank(spark):
     df = documents(spark, rows).withColumn("n_chars", F.col("doc_id") * -1)
     got = sorted((r.doc_id, r.start, r.kept_doc_id, r.kept_start) for r in substrings.repeats(df, rank="n_chars").collect())
     assert got == [(1, 6, 3, 0), (2, 0, 3, 0), (2, len(unit) + 3, 3, 0)]
-    left = {r.doc_id: r.text for r in substrings.remove(df, rank="n_chars").collect()}
-    assert left == {3: rows[0][1], 1: "short\n", 2: "", 4: None}
+    left = {r.doc_id: r for r in substrings.clean(df, rank="n_chars").collect()}
+    assert {i: r.text for i, r in left.items()} == {3: rows[0][1], 1: "short\n", 2: "", 4: None}
+    assert [tuple(x) for x in left[1].removed] == [(6, 6 + len(unit), 3, 0)] and left[3].removed == [] and left[1].sig == "x"
+    assert substrings.remove(df).columns == df.columns
     assert substrings.repeats(documents(spark, ODD)).count() == 1  # of 9; the rows of 7 stand in one place
-    assert substrings.repeats(documents(spark, [])).count() == 0
+    assert substrings.repeats(documents(spark, [])).count() == 0 and substrings.clean(documents(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_lose_only_their_own_text(spark):
+    u, v = "one line that stands in two places here", "words of another text at all, really nowhere else"
+    rows = [(1, u), (2, u), (2, v)]
+    assert sorted(r.text for r in substrings.remove(documents(spark, rows)).collect()) == sorted([u, "", v])
+    assert sorted(r.text for r in fuzzy_lines.remove(documents(spark, rows)).collect()) == sorted([u, "", v])
 
 
 @pytest.mark.parametrize(("operator", "label"), [(toxicity, "toxic"), (quality, "quality")])
