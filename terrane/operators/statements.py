@@ -1,7 +1,7 @@
 """Statements derived from signature rows: each rule tells whether it applies, and why not if it doesn't.
 
-A rule is an id, an ordered list of reasons for not applying, a text and a statistic; all rules of a family are columns of
-one pass over the rows, unpivoted.
+A rule is an id, an ordered list of reasons for not applying, a statistic and a text; all rules of a family are columns of
+one pass over the rows, unpivoted. Reasons are a word, or a word and the value that it is about.
 """
 
 from __future__ import annotations
@@ -14,108 +14,248 @@ from pyspark.sql import functions as F
 from terrane.functions.scalars import ordinal
 
 
+#: Zero share that makes a variable zero-aware, least share that is stated, units that a spread label takes,
+#: classes that are listed, distance from either end that counts as a tail, eligible variables that a band and a query take.
+ZERO_AWARE, FLOOR, COHERENT, LISTED, TAIL, BAND_LEAST, ALL_LEAST = 0.20, 0.01, 5, 3, 10, 3, 5
+#: Methods whose rows carry a percentile of the area, and those that also do so for one unit.
+CONTINUOUS = ("area_weighted", "distribution_only")
+SINGLE = (*CONTINUOUS, "dominant_unit")
+
+#: Columns of a signature row that rules read; a frame that lacks one is read as if it were null.
+FIELDS = {
+    "method": "string", "status": "string", "scope": "string", "area_units": "long", "n_units": "long", "representative_score": "double",
+    "representative_raw": "double", "suppressed": "boolean", "weight_at_zero": "double", "coverage": "double", "zero_fraction": "double",
+    "shortfall": "double", "lt_half": "double", "lt_fifth": "double", "core_share": "double", "window_lo": "int", "p10": "double", "p90": "double",
+    "coherence": "string", "least": "double", "most": "double", "low_center": "double", "high_center": "double", "top_share": "double",
+    "rest_share": "double", "n_classes": "long",
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
-    unless: tuple[tuple[str, Column], ...]
+    unless: tuple[tuple[Column | str, Column], ...]
     """(reason, condition): the first condition that holds is why the rule doesn't apply."""
-    text: Column
-    stat: Column
+    stat: Column | None
+    text: Column | str
+    always: bool = False
+    """The statistic is given even if the rule doesn't apply."""
 
 
 def evaluate(rows: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     """keys, rule, applies, reason, text, stat: one row for each rule and row."""
+    known = rows.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in FIELDS.items() if c not in rows.columns))
 
     def one(r: Rule) -> Column:
         reason = F.lit(None).cast("string")
-        for name, condition in reversed(r.unless):
-            reason = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(reason)
+        for why, condition in reversed(r.unless):
+            reason = F.when(F.coalesce(condition, F.lit(False)), F.lit(why) if isinstance(why, str) else why).otherwise(reason)
         ok = reason.isNull()
-        return F.struct(F.lit(r.id).alias("rule"), ok.alias("applies"), reason.alias("reason"), F.when(ok, r.text).alias("text"), F.when(ok, r.stat.cast("double")).alias("stat"))
+        stat = F.lit(None).cast("double") if r.stat is None else r.stat.cast("double")
+        text = F.lit(r.text) if isinstance(r.text, str) else r.text
+        return F.struct(F.lit(r.id).alias("rule"), ok.alias("applies"), reason.alias("reason"), F.when(ok, text).alias("text"), (stat if r.always else F.when(ok, stat)).alias("stat"))
+
+    return known.select(*keys, F.inline(F.array(*map(one, rules))))
+
+
+def _because(label: str, c: str) -> Column:
+    return F.concat(F.lit(f"{label}:"), F.coalesce(F.col(c), F.lit("None")))
+
+
+def _bad_status() -> tuple[Column, Column]:
+    return _because("status", "status"), ~F.col("status").eqNullSafe("ok")
+
 
-    return rows.select(*keys, F.inline(F.array(*map(one, rules))))
+def _not_in(methods: tuple[str, ...]) -> tuple[Column, Column]:
+    return _because("method", "method"), ~F.coalesce(F.col("method").isin(*methods), F.lit(False))
+
+
+def _nth(c: str) -> Column:
+    return ordinal(F.round(c).cast("int"))
+
+
+def _percent(c: Column) -> Column:
+    return F.concat(F.round(100 * c).cast("int").cast("string"), F.lit("%"))
 
 
 def position_rules() -> list[Rule]:
-    """Where a score stands: top or bottom tail, above or below the middle, zero, two regimes, no score."""
-    s = F.col("representative_score")
-    no = (("no score", s.isNull()),)
-    nth = ordinal(F.round(s).cast("int"))
+    """Where a value stands: percentile of one unit or mean percentile of several, raw value, zero, share at the bottom."""
+    s, raw, n = F.col("representative_score"), F.col("representative_raw"), F.col("area_units")
+    one, zero = n.eqNullSafe(1), (raw == 0) & (s == 0)
+    aware = F.coalesce(F.col("method").isin(*CONTINUOUS) & (F.col("zero_fraction") >= ZERO_AWARE), F.lit(False))
+    single = (_not_in(SINGLE), _bad_status(), ("multi_unit", ~one))
+    empty = ("no_value", raw.isNull() | s.isNull())
+    area = (_not_in(CONTINUOUS), ("one_unit", one), _bad_status())
+    bottom = F.col("weight_at_zero") / F.col("coverage")
+    name, at = F.col("variable"), F.concat(_nth("representative_score"), F.lit(" percentile"))
     return [
-        Rule("POS-01", (*no, ("not in the top tail", s < 90)), F.concat(F.col("variable"), F.lit(" stands high: "), nth, F.lit(" percentile")), s),
-        Rule("POS-02", (*no, ("not in the bottom tail", s > 10)), F.concat(F.col("variable"), F.lit(" stands low: "), nth, F.lit(" percentile")), s),
-        Rule("POS-03", (*no, ("not above the middle", s <= 60), ("in the top tail", s >= 90)), F.concat(F.col("variable"), F.lit(" is above the middle")), s),
-        Rule("POS-04", (*no, ("not below the middle", s >= 40), ("in the bottom tail", s <= 10)), F.concat(F.col("variable"), F.lit(" is below the middle")), s),
-        Rule("POS-05", (*no, ("away from the middle", ~s.between(40, 60))), F.concat(F.col("variable"), F.lit(" is near the middle")), s),
-        Rule("POS-06", (("little weight at zero", F.col("weight_at_zero") < 0.5),), F.concat(F.col("variable"), F.lit(" is absent from most of the area")), F.col("weight_at_zero")),
-        Rule("POS-07", (("has a score", s.isNotNull()),), F.concat(F.col("variable"), F.lit(" has no single score")), F.col("coverage")),
+        Rule("POS-01", (*single, empty, ("zero_value", zero), ("zero_aware_variable", aware)), s, F.concat(name, F.lit(": "), at)),
+        Rule("POS-02", (*area, ("suppressed", F.col("suppressed")), ("no_value", s.isNull()), ("all_at_bottom", s == 0)), s, F.concat(name, F.lit(": mean of the units at the "), at)),
+        Rule("POS-03", (*single, ("no_value", raw.isNull())), raw, F.concat(name, F.lit(": value "), raw.cast("string"))),
+        Rule("POS-04", (*single, ("not_zero", ~F.coalesce(zero, F.lit(False)))), F.lit(0), F.concat(name, F.lit(": none in this unit"))),
+        Rule("POS-05", (*single, ("not_zero_aware", ~aware), empty, ("zero_value", zero)), s, F.concat(name, F.lit(": among units that have any, "), at)),
+        Rule("POS-06", (*area, ("no_weight", F.col("weight_at_zero").isNull() | ~F.coalesce(F.col("coverage") > 0, F.lit(False))), ("below_floor", bottom < FLOOR)), bottom, F.concat(name, F.lit(": at the bottom over "), _percent(bottom))),
+        Rule("POS-07", (_not_in(("dominant_unit",)), ("one_unit", one), _bad_status(), empty), s, F.concat(name, F.lit(": in the leading unit, "), at)),
     ]
 
 
-def coverage_rules() -> list[Rule]:
-    """How much of the area has data."""
-    c = F.col("coverage")
-    pct = F.concat(F.round(100 * c).cast("int").cast("string"), F.lit(" %"))
+def empty_rules() -> list[Rule]:
+    """Why a row has no percentile."""
+    status, one = F.col("status"), F.col("area_units").eqNullSafe(1)
+    other = lambda kind: (_because("status", "status"), ~status.eqNullSafe(kind))
+    gap = F.col("high_center") - F.col("low_center")
+    name = F.col("variable")
     return [
-        Rule("COV-01", (("part of the area has no data", c < 0.995),), F.lit("the whole area has data"), c),
-        Rule("COV-02", (("whole", c >= 0.995), ("low", c < 0.5)), F.concat(pct, F.lit(" of the area has data")), c),
-        Rule("COV-03", (("half or more has data", c >= 0.5), ("none", c < 1e-9)), F.concat(F.lit("only "), pct, F.lit(" of the area has data")), c),
-        Rule("COV-04", (("some data", c >= 1e-9),), F.lit("no data"), c),
+        Rule("EMP-01", (other("outside_active_domain"), ("multi_unit", ~one)), F.col("zero_fraction"), F.concat(name, F.lit(": zero here, without a percentile"))),
+        Rule("EMP-02", (other("outside_active_domain"), ("one_unit", one), ("no_weight", F.col("weight_at_zero").isNull())), F.col("weight_at_zero"), F.concat(name, F.lit(": zero over "), _percent(F.col("weight_at_zero")))),
+        Rule("EMP-03", (other("no_data"),), None, F.concat(name, F.lit(": the source has no value here"))),
+        Rule("EMP-04", (other("not_areal"),), None, F.concat(name, F.lit(": of a river network, not of an area"))),
+        Rule("EMP-05", (other("low_coverage"),), F.col("coverage"), F.concat(name, F.lit(": known for "), _percent(F.col("coverage")))),
+        Rule("EMP-06", (_bad_status(), ("not_suppressed", ~F.coalesce("suppressed", F.lit(False))), ("no_regimes", gap.isNull())), gap, F.concat(name, F.lit(": two groups, no single percentile"))),
     ]
 
 
-def distribution_rules() -> list[Rule]:
-    """How scores are spread in the area."""
-    h, n = F.col("coherence"), F.col("n_units")
-    few = (("few units", n < 5),)
+def coverage_rules() -> list[Rule]:
+    """How much of a query the figures describe; rows are queries."""
+    one = ("single_unit", F.col("scope") == "single_unit")
+    n, short = F.col("area_units"), F.coalesce("shortfall", F.lit(0.0))
     return [
-        Rule("DIS-01", (*few, ("not concentrated", ~(h == "concentrated"))), F.concat(F.lit("most of the area lies between "), F.col("window_lo").cast("string"), F.lit(" and "), F.col("window_hi").cast("string")), F.col("core_share")),
-        Rule("DIS-02", (*few, ("not spread", ~(h == "spread"))), F.lit("values are spread over the area"), F.col("spread")),
-        Rule("DIS-03", (*few, ("not split", ~(h == "split"))), F.lit("one value holds half of the area and the rest is elsewhere"), F.col("core_share")),
-        Rule("DIS-04", (("five units or more", n >= 5),), F.lit("too few units to describe a spread"), n),
-        Rule("DIS-05", (*few, ("wide", F.col("iqr") >= 10)), F.lit("the middle half is narrow"), F.col("iqr")),
-        Rule("DIS-06", (*few, ("narrow", F.col("spread") < 50)), F.lit("low and high parts are far apart"), F.col("spread")),
+        Rule("COV-01", (one, ("below_floor", short < FLOOR)), F.when(F.col("scope") != "single_unit", short), F.concat(_percent(short), F.lit(" lies outside any unit")), always=True),
+        Rule("COV-02", (one,), n, F.concat(F.lit("units described: "), n.cast("string"))),
+        Rule("COV-04", ((_because("scope", "scope"), F.col("scope") != "polity"), ("no_field", F.col("lt_half").isNull())), F.col("lt_half"), F.concat(F.lit("units less than half inside carry "), _percent(F.col("lt_half")))),
     ]
 
 
-def empty_rules() -> list[Rule]:
-    """Why a row has no score."""
-    t = F.col("status")
+def row_coverage_rules() -> list[Rule]:
+    """How many of the query's units a variable's figure rests on."""
+    k, n, cov, short = F.col("n_units"), F.col("area_units"), F.col("coverage"), F.coalesce("shortfall", F.lit(0.0))
+    no = (("single_unit", F.col("scope") == "single_unit"), (_because("method", "method"), F.col("method") == "dominant_unit"), _bad_status())
+    share = F.try_divide(cov, 1 - short)
+    missing = k.isNull() | cov.isNull() | n.isNull() | (short >= 1)
+    return [Rule("COV-03", (*no, ("no_value", missing), ("all_units", k >= n)), share, F.concat(F.col("variable"), F.lit(": rests on "), k.cast("string"), F.lit(" units, "), _percent(share)))]
+
+
+def distribution_rules() -> list[Rule]:
+    """How percentiles are spread over the area."""
+    n, s, tag = F.col("area_units"), F.col("representative_score"), F.col("coherence")
+    base = (_not_in(CONTINUOUS), ("one_unit", n.eqNullSafe(1)), _bad_status(), ("suppressed", F.col("suppressed")), ("no_value", s.isNull()))
+    big = F.coalesce(n >= COHERENT, F.lit(False))
+    many = (*base, ("fewer_than_5", ~big))
+    core, name = F.col("core_share"), F.col("variable")
+    other = lambda *tags: (_because("coherence", "coherence"), ~F.coalesce(tag.isin(*tags), F.lit(False)))
     return [
-        Rule("EMP-01", (("has data", t != "no_data"),), F.lit("no unit of the area has data"), F.col("coverage")),
-        Rule("EMP-02", (("inside its domain", t != "outside_active_domain"),), F.lit("the area lies outside the variable's domain"), F.col("weight_at_zero")),
-        Rule("EMP-03", (("scored", F.col("representative_score").isNotNull()), ("no data", t == "no_data")), F.lit("the score is withheld"), F.col("coverage")),
-        Rule("EMP-04", (("not zero", ~(F.col("representative_score") == 0)),), F.lit("the area's score is zero"), F.col("weight_at_zero")),
-        Rule("EMP-05", (("little at zero", F.col("weight_at_zero") < 0.2), ("all at zero", F.col("weight_at_zero") > 0.999)), F.lit("part of the area is at zero"), F.col("weight_at_zero")),
-        Rule("EMP-06", (("many units", F.col("n_units") > 1),), F.lit("the area is one unit"), F.col("n_units")),
+        Rule("DIS-01", (*many, ("no_window", core.isNull() | F.col("window_lo").isNull())), core, F.concat(name, F.lit(": "), _percent(core), F.lit(" within one window"))),
+        Rule("DIS-02", (*many, ("no_quantiles", F.col("p10").isNull() | F.col("p90").isNull())), F.col("p90") - F.col("p10"), F.concat(name, F.lit(": middle 80% from "), _nth("p10"), F.lit(" to "), _nth("p90"))),
+        Rule("DIS-03", (*base, ("no_distribution_block", F.col("method") != "area_weighted"), ("no_min_max", F.col("least").isNull() | F.col("most").isNull())), F.col("most") - F.col("least"), F.concat(name, F.lit(": from "), _nth("least"), F.lit(" to "), _nth("most"))),
+        Rule("DIS-04", (*many, other("split")), 1 - core, F.concat(name, F.lit(": half is tied at one value, "), _percent(1 - core), F.lit(" lies elsewhere"))),
+        Rule("DIS-05", (*base, ("five_or_more", big)), n, F.concat(name, F.lit(": too few units for a spread label"))),
+        Rule("DIS-06", (*many, other("concentrated", "spread")), core, F.concat(name, F.lit(": units are "), tag)),
     ]
 
 
 def categorical_rules() -> list[Rule]:
-    s = F.col("modal_share")
-    pct = F.concat(F.round(100 * s).cast("int").cast("string"), F.lit(" %"))
+    """Classes of a mixture. ``top_share`` and ``rest_share`` are the commonest class's share and that of those not listed."""
+    status, one, classes = F.col("status"), F.col("area_units").eqNullSafe(1), F.col("n_classes")
+    base = (_not_in(("class_mixture",)), (_because("status", "status"), ~F.coalesce(status.isin("ok", "low_coverage"), F.lit(False))), ("no_mixture", ~F.coalesce(classes > 0, F.lit(False))))
+    several = (*base, ("one_unit", one), ("one_class", classes == 1))
+    top, label = F.col("top_share"), F.col("modal_class")
     return [
-        Rule("CAT-01", (("no class", s.isNull()), ("mixed", s < 0.85)), F.concat(F.lit("nearly all "), F.col("modal_class")), s),
-        Rule("CAT-02", (("no class", s.isNull()), ("one class", s >= 0.85), ("no majority", s <= 0.5)), F.concat(F.lit("mostly "), F.col("modal_class"), F.lit(", "), pct), s),
-        Rule("CAT-03", (("no class", s.isNull()), ("majority", s > 0.5)), F.concat(F.lit("a mixture led by "), F.col("modal_class"), F.lit(", "), pct), s),
-        Rule("CAT-04", (("some class", s.isNotNull()),), F.lit("no class is known"), F.col("coverage")),
+        Rule("CAT-01", (*base, ("multi_unit", ~one)), top, label),
+        Rule("CAT-02", (*base, ("one_unit", one)), top, F.concat(label, F.lit(" is commonest: "), _percent(top))),
+        Rule("CAT-03", several, F.col("rest_share"), F.concat(F.lit("classes: "), classes.cast("string"))),
+        Rule("CAT-04", (*several, (_because("coherence", "coherence"), ~F.coalesce(F.col("coherence").isin("concentrated", "mixed"), F.lit(False)))), top, F.concat(F.lit("the classes are "), F.col("coherence"))),
     ]
 
 
-def gap_rules(tail: float = 15.0) -> list[Rule]:
-    """Local against upstream scores of one variable."""
-    a, b = F.col("local_score"), F.col("upstream_score")
-    no = (("no local score", a.isNull()), ("no upstream score", b.isNull()))
-    d = a - b
+def pair_rules() -> list[Rule]:
+    """A variable against its upstream version: columns of the local row, and those of the other with ``up_`` before them;
+    ``paired`` tells whether there is one."""
+    one, none = F.col("area_units").eqNullSafe(1), ("no_partner", ~F.col("paired"))
+
+    def usable(p: str) -> Column:
+        s = F.col(f"{p}representative_score")
+        return F.coalesce(F.col(f"{p}status").eqNullSafe("ok") & ~F.coalesce(f"{p}suppressed", F.lit(False)) & (s != 0), F.lit(False))
+
+    both = usable("") & usable("up_")
+    gap = F.col("up_representative_score") - F.col("representative_score")
+    shown = F.round("up_representative_score") - F.round("representative_score")
+    side = F.when(shown > 0, "higher").when(shown < 0, "lower").otherwise("level")
+    name = F.col("variable")
     return [
-        Rule("LU-01", (*no, ("similar or lower", d < tail)), F.concat(F.col("variable"), F.lit(" is higher here than upstream")), d),
-        Rule("LU-02", (*no, ("similar or higher", d > -tail)), F.concat(F.col("variable"), F.lit(" is lower here than upstream")), d),
-        Rule("LU-03", (*no, ("different", F.abs(d) >= tail)), F.concat(F.col("variable"), F.lit(" is much the same upstream")), d),
-        Rule("LU-04", (("both known", a.isNotNull() & b.isNotNull()),), F.concat(F.col("variable"), F.lit(" can't be compared with upstream")), d),
-        Rule("LU-05", (*no, ("same half", (a - 50) * (b - 50) >= 0)), F.concat(F.col("variable"), F.lit(" lies on the other side of the middle upstream")), d),
+        Rule("LU-01", (none, ("side_not_usable", ~both), ("multi_unit", ~one)), F.abs(gap), F.concat(name, F.lit(": upstream is "), side)),
+        Rule("LU-02", (none, ("side_not_usable", ~both), ("one_unit", one)), F.abs(gap), F.concat(name, F.lit(": upstream is on average "), side)),
+        Rule("LU-03", (none, ("multi_unit", ~one), ("no_raw", F.col("representative_raw").isNull() | F.col("up_representative_raw").isNull())), None, F.concat(name, F.lit(": value here and upstream"))),
+        Rule("LU-04", (none, ("both_usable", both)), None, F.concat(name, F.lit(": a side has no percentile"))),
+        Rule("LU-05", (("has_partner", F.col("paired")),), None, F.concat(name, F.lit(": no separate upstream value"))),
     ]
 
 
+def within_band(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, list[str], str]]) -> DataFrame:
+    """Statements that join a few variables of one query: keys, rule, item, applies, reason, stat.
+
+    ``groups``: item -> (rule, variables, kind). ``sum`` and ``span`` (last less first) and ``ratio`` (last by first) are of the
+    variables' raw values; ``filled`` is a sum in which a variable outside its domain counts as zero; ``ranks`` is the span of
+    usable percentiles. All but ``ranks`` and ``ratio`` need a query of one unit.
+    """
+    status_ok = F.col("status") == "ok"
+    raw = F.when(status_ok, F.col("representative_raw"))
+    filled = F.coalesce(raw, F.when(F.col("status") == "outside_active_domain", 0.0))
+    rank = F.when(status_ok & ~F.coalesce("suppressed", F.lit(False)), F.col("representative_score"))
+    names = sorted({v for _, vs, _ in groups.values() for v in vs})
+    at = lambda v, x: F.max(F.when(F.col("variable") == v, x))
+    wide = rows.groupBy(*keys).agg(F.max("area_units").alias("_n"), F.max("scope").alias("_scope"), *(at(v, x).alias(f"{p}{v}") for v in names for p, x in (("r_", raw), ("f_", filled), ("s_", rank))))
+
+    def one(item: str) -> Column:
+        rule, vs, kind = groups[item]
+        cols = [F.col(f"{ {'filled': 'f_', 'ranks': 's_'}.get(kind, 'r_') }{v}") for v in vs]
+        missing = F.lit(False)
+        for c in cols:
+            missing = missing | c.isNull()
+        total = cols[0]
+        for c in cols[1:]:
+            total = total + c
+        stat = {"sum": total, "filled": total, "span": cols[-1] - cols[0], "ratio": F.try_divide(cols[-1], F.when(cols[0] > 0, cols[0])), "ranks": (F.greatest(*cols) - F.least(*cols)) if len(cols) > 1 else F.lit(0.0)}[kind]
+        why = {"sum": "side_not_usable", "ranks": "side_not_usable", "filled": "extent_empty", "span": "row_empty", "ratio": "row_empty"}[kind]
+        reason = F.when(missing, why)
+        if kind == "ratio":
+            reason = F.when(F.col("_scope") == "polity", "not_areal").otherwise(reason)
+        elif kind != "ranks":
+            reason = F.when(~F.col("_n").eqNullSafe(1), "multi_unit").otherwise(reason)
+        return F.struct(F.lit(rule).alias("rule"), F.lit(item).alias("item"), reason.isNull().alias("applies"), reason.alias("reason"), F.when(reason.isNull(), stat.cast("double")).alias("stat"))
+
+    return wide.select(*keys, F.inline(F.array(*map(one, groups))))
+
+
+def cross_band(rows: DataFrame, keys: list[str], bands: str = "ABCDE") -> DataFrame:
+    """What stands out within a band and over all bands: keys, rule, item, applies, reason, stat, named.
+
+    Eligible rows have a usable percentile and, but for the dominant unit's, a known zero share below ZERO_AWARE. Of a
+    variable and its upstream version (equal ``pair``) the one farther from 50 is named.
+    """
+    s = F.col("representative_score")
+    global_ = (F.col("method") == "dominant_unit") | (F.col("zero_fraction") < ZERO_AWARE)
+    fit = rows.where(F.col("method").isin(*SINGLE) & (F.col("status") == "ok") & ~F.coalesce("suppressed", F.lit(False)) & s.isNotNull() & F.coalesce(global_, F.lit(False)))
+    far = fit.select(*keys, "band", "pair", F.struct((-F.abs(s - 50)).alias("k"), "variable").alias("f"), s.alias("s"))
+    named = lambda x, n: F.transform(F.slice(F.array_sort(x), 1, n), lambda v: v["variable"])
+
+    def told(by: list[str], n: int) -> DataFrame:
+        best = far.groupBy(*by, "pair").agg(F.min("f").alias("f")).groupBy(*by).agg(F.collect_list("f").alias("_top"))
+        counts = far.groupBy(*by).agg(
+            F.count("*").alias("_m"), F.count_if((F.col("s") <= TAIL) | (F.col("s") >= 100 - TAIL)).alias("_k"), F.median(F.abs(F.col("s") - 50)).alias("_d"))
+        return best.join(counts, by).withColumn("_named", named(F.col("_top"), n)).withColumn("_first", -F.array_min("_top")["k"])
+
+    each = rows.select(*keys).distinct().withColumn("band", F.explode(F.array(*map(F.lit, bands)))).join(told([*keys, "band"], 2), [*keys, "band"], "left")
+    enough = F.coalesce(F.col("_m") >= BAND_LEAST, F.lit(False))
+    fields = lambda ok, why, stat, names_: (ok.alias("applies"), F.when(~ok, why).alias("reason"), F.when(ok, stat).cast("double").alias("stat"), F.when(ok, names_).alias("named"))
+    first = each.select(*keys, F.lit("XB-01").alias("rule"), F.concat(F.lit("band "), "band").alias("item"), *fields(enough, "fewer_than_3", F.col("_first"), F.col("_named")))
+    whole = rows.select(*keys).distinct().join(told(keys, 3), keys, "left")
+    enough = F.coalesce(F.col("_m") >= ALL_LEAST, F.lit(False))
+    none = F.lit(None).cast("array<string>")
+    parts = (("XB-02", F.col("_first"), F.col("_named")), ("XB-03", F.col("_k") / F.col("_m"), none), ("XB-04", F.col("_d"), none))
+    rest = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit("(all bands)").alias("item"), *fields(enough, "fewer_than_5", stat, names_)) for r, stat, names_ in parts))
+    return first.unionByName(whole.select(*keys, F.inline(rest)))
+
+
 def leaders(rows: DataFrame, keys: list[str], score: str = "representative_score", n: int = 3, floor: float = 25.0) -> DataFrame:
     """What makes a query distinct: its n variables farthest from 50, at least ``floor`` points: keys, variable, far, rank."""
     far = F.abs(F.col(score) - 50)
@@ -123,14 +263,20 @@ def leaders(rows: DataFrame, keys: list[str], score: str = "representative_score
     return rows.where(far >= floor).select(*keys, "variable", far.alias("far")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def water_provenance(endo: Column, coast: Column, dist: Column, small: Column, rain_ratio: Column, dry_ratio: Column, upstream_area: Column) -> Column:
-    """Where a unit's water comes from; the first rule that holds."""
+def water_provenance(endo: Column, coast: Column, dist: Column, rain_ratio: Column, dry_ratio: Column, warm_ratio: Column, upstream_area: Column) -> Column:
+    """Where a unit's water comes from; the first rule that holds. Ratios are upstream over local values; an unknown one counts
+    as near 1."""
+    small = F.coalesce(upstream_area < 500, F.lit(False))
+    more = F.coalesce(rain_ratio > 1.5, F.lit(False)) | F.coalesce(dry_ratio > 1.5, F.lit(False))
+    near = F.lit(True)
+    for ratio in (rain_ratio, dry_ratio, warm_ratio):
+        near = near & F.coalesce(ratio.between(0.9, 1.1), F.lit(True))
     return (
         F.when(endo >= 1, "endorheic")
         .when((coast == 1) & (dist < 10), "coastal")
-        .when(~small & ((rain_ratio > 1.5) | (dry_ratio > 1.5)), "exogenous")
-        .when(upstream_area < 500, "undetermined")
-        .when(rain_ratio.between(0.9, 1.1) & dry_ratio.between(0.9, 1.1), "uniform")
+        .when(~small & more, "exogenous")
+        .when(small, "undetermined")
+        .when(near, "uniform")
         .otherwise("local")
     )
 
