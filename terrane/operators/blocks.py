@@ -89,10 +89,10 @@ def dominant_unit(rows: DataFrame, by: str, values: list[str], query: str = "que
 def class_mixture(rows: DataFrame, label: str = "label", query: str = "query_id", keys: list[str] | None = None) -> DataFrame:
     """Shares of classes: modal class and share, number, concentration, coverage, status, coherence and the listed mixture.
 
-    Units without a label drop out and shares are of the rest; classes below LEAST_SHARE aren't listed.
+    Units without a label drop out, of the count too, and shares are of the rest; classes below LEAST_SHARE aren't listed.
     """
     on = [query, *(keys or [])]
-    whole = rows.groupBy(*on).agg(F.sum(F.when(F.col(label).isNotNull(), F.col("weight")).otherwise(0.0)).alias("coverage"), F.count("*").alias("n_units"))
+    whole = rows.groupBy(*on).agg(F.sum(F.when(F.col(label).isNotNull(), F.col("weight")).otherwise(0.0)).alias("coverage"), F.count(label).alias("n_units"))
     parts = weighted.shares(rows, on, label, "weight", least=LEAST_SHARE)
     listed = parts.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("k"), F.col(label).alias("class_label")))).alias("m"))
     listed = listed.select(*on, F.transform("m", lambda x: F.struct(x["class_label"].alias("class_label"), (-x["k"]).alias("weight"))).alias("mixture"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.weighted import quantiles
@@ -19,12 +19,10 @@ def core_share(cum: DataFrame, keys: list[str], score: str, delta: int = DELTA)
     Windows are closed; of equal windows the lowest counts. ``cum`` is from weighted.cumulated. The sums are rounded to 12
     places before they are compared, so that equal windows are equal whatever the order of summation.
     """
-    lows = F.explode(F.sequence(F.lit(0), F.lit(100 - 2 * delta)))
-    inside = cum.select(*keys, score, "w", lows.alias("lo")).where(F.col(score).between(F.col("lo"), F.col("lo") + 2 * delta))
-    windows = inside.groupBy(*keys, "lo").agg(F.round(F.sum("w"), 12).alias("_s"))
-    return windows.groupBy(*keys).agg(
-        F.max("_s").alias("core_share"), F.min_by("lo", F.struct(-F.col("_s"), F.col("lo"))).alias("window_lo")
-    ).withColumn("window_hi", F.col("window_lo") + 2 * delta)
+    tops = range(0, 101 - 2 * delta)
+    sums = [F.round(F.sum(F.when(F.col(score).between(lo, lo + 2 * delta), F.col("w")).otherwise(0.0)), 12) for lo in tops]
+    best = F.array_min(F.array(*(F.struct((-s).alias("k"), F.lit(lo).alias("lo")) for lo, s in zip(tops, sums, strict=True))))
+    return cum.groupBy(*keys).agg(best.alias("_b")).select(*keys, (-F.col("_b.k")).alias("core_share"), F.col("_b.lo").alias("window_lo"), (F.col("_b.lo") + 2 * delta).alias("window_hi"))
 
 
 def largest_tie(cum: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -42,19 +40,20 @@ def dispersion(cum: DataFrame, keys: list[str], score: str, fewest: int = FEWEST
 def modality(cum: DataFrame, keys: list[str], score: str, gap: float = GAP, side: float = SIDE) -> DataFrame:
     """keys, modality, gap, low_weight, low_center, high_center.
 
-    Two regimes if the largest gap between neighbouring scores exceeds ``gap`` of the 10-90 spread and both sides hold at
-    least ``side`` of the weight; of equal gaps the lowest counts. Centres are weighted means of the sides.
+    Of the gaps between neighbouring scores that exceed ``gap`` of the 10-90 spread and leave at least ``side`` of the weight on
+    either hand, the widest makes two regimes; of equal gaps the lowest counts. Without one, or without a spread, there is one
+    regime and the rest is null. Centres are weighted means of the sides.
     """
-    spread = quantiles(cum, keys, score, {"_p10": 0.1, "_p90": 0.9}).withColumn("_spread", F.col("_p90") - F.col("_p10"))
-    steps = cum.withColumn("_gap", F.col("next_value") - F.col(score))
-    widest = steps.where(F.col("_gap").isNotNull()).groupBy(*keys).agg(F.max("_gap").alias("gap"), F.min_by(score, F.struct(-F.col("_gap"), F.col(score))).alias("_at"))
-    sides = cum.join(widest, keys, "left").withColumn("_low", F.col(score) <= F.col("_at"))
-    halves = sides.groupBy(*keys).agg(
-        F.first("gap").alias("gap"),
-        F.sum(F.when(F.col("_low"), F.col("w")).otherwise(0.0)).alias("low_weight"),
-        F.try_divide(F.sum(F.when(F.col("_low"), F.col("w") * F.col(score))), F.sum(F.when(F.col("_low"), F.col("w")))).alias("low_center"),
-        F.try_divide(F.sum(F.when(~F.col("_low"), F.col("w") * F.col(score))), F.sum(F.when(~F.col("_low"), F.col("w")))).alias("high_center"),
-    )
-    out = halves.join(spread, keys)
-    two = (F.col("gap") > gap * F.col("_spread")) & (F.col("low_weight") >= side) & (1 - F.col("low_weight") >= side)
-    return out.select(*keys, F.when(two, "two_regime").otherwise("unimodal").alias("modality"), "gap", "low_weight", "low_center", "high_center")
+    spread = quantiles(cum, keys, score, {"_p10": 0.1, "_p90": 0.9}).select(*keys, (F.col("_p90") - F.col("_p10")).alias("_spread"))
+    running = Window.partitionBy(*keys).orderBy(score, "cum").rowsBetween(Window.unboundedPreceding, 0)
+    steps = cum.withColumn("_below", F.sum(F.col("w") * F.col(score)).over(running)).join(spread, keys)
+    width = F.col("next_value") - F.col(score)
+    # shares are compared to 12 places, so that sums don't depend on their order
+    fits = (F.col("_spread") > 0) & (width > gap * F.col("_spread")) & (F.round("cum", 12) >= side) & (F.round(1 - F.col("cum"), 12) >= side)
+    cut = F.min_by(F.struct(width.alias("gap"), F.col("cum").alias("low"), F.col("_below").alias("below")), F.when(fits, F.struct(-width, F.col(score))))
+    out = steps.groupBy(*keys).agg(cut.alias("c"), F.sum(F.col("w") * F.col(score)).alias("_all"))
+    two = F.col("c").isNotNull()
+    return out.select(
+        *keys, F.when(two, "two_regime").otherwise("unimodal").alias("modality"), F.col("c.gap").alias("gap"), F.col("c.low").alias("low_weight"),
+        F.try_divide(F.col("c.below"), F.col("c.low")).alias("low_center"), F.try_divide(F.col("_all") - F.col("c.below"), 1 - F.col("c.low")).alias("high_center"),
+    )

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import stored
 
-def ancestors(links: DataFrame, node: str, parent: str, levels: int = 64) -> DataFrame:
-    """(node, ancestor, depth) for every node below a root, by doubling: after k rounds paths of up to 2**k steps are known,
-    so a chain of ``levels`` steps takes log2(levels) joins. Each node has one parent; parents that are null or 0 end a path.
+
+def ancestors(links: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth) for every node below a root, by doubling: after k rounds all paths of up to 2**k steps are known,
+    so a chain of d steps takes log2(d) joins. A round joins only the paths of full length, whose table is written, and makes
+    only new pairs; rounds end when there are none. Each node has one parent; parents that are null or 0 end a path. A cycle is
+    an error.
     """
-    known = links.where(F.col(parent).isNotNull() & (F.col(parent) != 0)).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
-    reach = 1
-    while reach < levels:
-        far = known.where(F.col("depth") == reach).select(F.col("node").alias("_n"), F.col("ancestor").alias("_via"))
-        more = far.join(known.withColumnRenamed("node", "_via"), "_via").select(F.col("_n").alias("node"), "ancestor", (F.col("depth") + reach).alias("depth"))
+    first = links.where(F.col(parent).isNotNull() & (F.col(parent) != 0)).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
+    known, longest, reach = stored(first), None, 1
+    while True:
+        longest = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_via"))
+        more = longest.join(known.withColumnRenamed("node", "_via"), "_via").select("node", "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = stored(more)
+        rows, loops = more.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor"))).first()
+        if loops or first.where("node = ancestor").limit(1).count():
+            raise ValueError("the links have a cycle")
+        if not rows:
+            return known
         known = known.unionByName(more)
         reach *= 2
-    return known
 
 
 def subtree_totals(closure: DataFrame, units: DataFrame, unit: str, value: str) -> DataFrame:
@@ -39,22 +48,36 @@ def flow_class(pairs: DataFrame, closure: DataFrame, centre: str, neighbour: str
     return both.select(*pairs.columns, flow.alias("flow"))
 
 
+#: Fewest neighbours with a value for a comparison, and for "all but one"; a step that counts as sharp.
+RING_LEAST, RING_ALL_BUT_ONE, SHARP = 3, 5, 10.0
+
+
 def ring_comparison(pairs: DataFrame, centre: str, own: str, theirs: str) -> DataFrame:
-    """centre, n, n_less, n_more, standing: top, bottom, all_but_one_below, all_but_one_above or middle. Neighbours without a
-    value don't count."""
-    some = pairs.where(F.col(own).isNotNull() & F.col(theirs).isNotNull())
-    counts = some.groupBy(centre).agg(F.count("*").alias("n"), F.count_if(F.col(theirs) < F.col(own)).alias("n_less"), F.count_if(F.col(theirs) > F.col(own)).alias("n_more"))
+    """centre, n, n_less, n_more, side, k, top, bottom, all_but_one: how the centre stands among its neighbours.
+
+    ``side`` is more (than the ``n_less`` of them) or less, ``k`` the neighbours on that side. Values are compared to six places.
+    Centres without a value, with fewer than RING_LEAST neighbours that have one, or equal to all of them, have no row.
+    """
+    c, x = F.round(own, 6), F.round(theirs, 6)
+    counts = pairs.where(c.isNotNull() & x.isNotNull()).groupBy(centre).agg(F.count("*").alias("n"), F.count_if(x < c).alias("n_less"), F.count_if(x > c).alias("n_more"))
+    counts = counts.where((F.col("n") >= RING_LEAST) & ((F.col("n_less") > 0) | (F.col("n_more") > 0)))
     n, less, more = F.col("n"), F.col("n_less"), F.col("n_more")
-    standing = F.when(less == n, "top").when(more == n, "bottom").when((n > 2) & (less == n - 1), "all_but_one_below").when((n > 2) & (more == n - 1), "all_but_one_above").otherwise("middle")
-    return counts.withColumn("standing", standing)
+    k = F.greatest(less, more)
+    return counts.select(
+        centre, "n", "n_less", "n_more", F.when(less >= more, "more").otherwise("less").alias("side"), k.alias("k"), (less == n).alias("top"), (more == n).alias("bottom"),
+        ((n >= RING_ALL_BUT_ONE) & (k == n - 1)).alias("all_but_one"),
+    )
 
 
-def transitions(pairs: DataFrame, centre: str, variable: str, own: str, theirs: str, sharp: float) -> DataFrame:
-    """centre, n_sharp, pattern: how many variables step by at least ``sharp`` to the neighbours' mean, and the signs of the
-    steps in order of variable."""
-    steps = pairs.groupBy(centre, variable).agg((F.first(own) - F.avg(theirs)).alias("_d"))
-    sign = F.when(F.col("_d") >= sharp, "+").when(F.col("_d") <= -sharp, "-").otherwise("0")
-    return steps.withColumn("_s", sign).groupBy(centre).agg(F.count_if(F.col("_s") != "0").alias("n_sharp"), F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(variable, "_s"))), lambda x: x["_s"])).alias("pattern"))
+def transitions(pairs: DataFrame, centre: str, variable: str, own: str, theirs: str, sharp: float = SHARP) -> DataFrame:
+    """centre, variable, max_abs, mean_abs, n_sharp, sign_pattern over the steps (own less neighbour's score, to one place):
+    largest and mean size, how many are sharp, and whether all are above 0 (all+), below (all-) or mixed."""
+    steps = pairs.where(F.col(own).isNotNull() & F.col(theirs).isNotNull()).select(centre, variable, F.round(F.col(own) - F.col(theirs), 1).alias("_d"))
+    d = F.col("_d")
+    return steps.groupBy(centre, variable).agg(
+        F.round(F.max(F.abs(d)), 1).alias("max_abs"), F.round(F.avg(F.abs(d)), 1).alias("mean_abs"), F.count_if(F.abs(d) >= sharp).alias("n_sharp"),
+        F.when(F.min(d) > 0, "all+").when(F.max(d) < 0, "all-").otherwise("mixed").alias("sign_pattern"),
+    )
 
 
 def grid_neighbours(cells: DataFrame, row: str, col: str, width: int) -> DataFrame:

@@ -82,13 +82,22 @@ def epoch_steps(low: Column, high: Column, years: list[int]) -> Column:
     return F.when(F.size(inside) > 0, inside).otherwise(F.array(nearest))
 
 
-def event_summary(queries: DataFrame, events: DataFrame, query: str, low: str, high: str, year: str, size: str, least: float = 5.0, major: float = 10.0) -> DataFrame:
-    """query, n_events, total of events of at least ``least`` in the span, and years from the last major event at or before
-    its end to that end."""
-    hit = queries.join(events, F.col(year) <= F.col(high))
-    inside = (F.col(year) >= F.col(low)) & (F.col(size) >= least)
-    out = hit.groupBy(query).agg(F.count_if(inside).alias("n_events"), F.sum(F.when(inside, F.col(size))).alias("total"), F.min(F.when(F.col(size) >= major, F.col(high) - F.col(year))).alias("years_since_major"))
-    return queries.select(query).join(out, query, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
+def events_in(queries: DataFrame, events: DataFrame, low: str, high: str, year: str, size: str, least: float = 5.0, years: tuple[int, int] = EVENT_YEARS) -> DataFrame:
+    """Each query with the events of at least ``least`` in the part of its span that the catalogue covers.
+
+    Queries are dealt to the years of their spans, so the join is by equality and a long span is many rows, not a nested loop.
+    """
+    a, b = clamped(F.col(low), F.col(high), years)
+    dealt = queries.where(a <= b).withColumn("_year", F.explode(F.sequence(a, b)))
+    return dealt.join(events.where(F.col(size) >= least).withColumn("_year", F.col(year)), "_year").drop("_year")
+
+
+def event_summary(queries: DataFrame, events: DataFrame, query: str, low: str, high: str, year: str, size: str, least: float = 5.0, major: float = 10.0, years: tuple[int, int] = EVENT_YEARS) -> DataFrame:
+    """query, n_events, total of the events of at least ``least`` in the span (0 if none), and years from the last major one of
+    them to the span's end."""
+    hit = events_in(queries, events, low, high, year, size, least, years)
+    out = hit.groupBy(query).agg(F.count("*").alias("n_events"), F.sum(size).alias("total"), F.min(F.when(F.col(size) >= major, F.col(high) - F.col(year))).alias("years_since_major"))
+    return queries.select(query).join(out, query, "left").select(query, F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("total", F.lit(0.0)).alias("total"), "years_since_major")
 
 
 def grid_cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:

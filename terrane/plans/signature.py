@@ -148,10 +148,9 @@ def d2(t: Tables) -> DataFrame:
 
 MODES = """,
 sp AS (SELECT query_id, variable, """ + _q(0.1, "a") + ", " + _q(0.9, "z") + """ FROM c GROUP BY 1, 2),
-gp AS (SELECT query_id, variable, max(ns - score) AS gap, arg_min(score, [-(ns - score), score]) AS cut FROM c WHERE ns IS NOT NULL GROUP BY 1, 2),
-sd AS (SELECT query_id, variable, max(gap) AS gap, sum(CASE WHEN score <= cut THEN sh ELSE 0 END) AS lw, sum(CASE WHEN score <= cut THEN sh * score END) / sum(CASE WHEN score <= cut THEN sh END) AS lc,
-       sum(CASE WHEN score > cut THEN sh * score END) / sum(CASE WHEN score > cut THEN sh END) AS hc FROM c LEFT JOIN gp USING (query_id, variable) GROUP BY 1, 2),
-mo AS (SELECT *, CASE WHEN gap > 0.5 * (z - a) AND lw >= 0.2 AND 1 - lw >= 0.2 THEN 'two_regime' ELSE 'unimodal' END AS modality FROM sd JOIN sp USING (query_id, variable))"""
+gp AS (SELECT query_id, variable, score, unit_id, ns - score AS gap, cum, sum(sh * score) OVER (PARTITION BY query_id, variable ORDER BY score, unit_id ROWS UNBOUNDED PRECEDING) AS below, sum(sh * score) OVER (PARTITION BY query_id, variable) AS total FROM c),
+ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, variable ORDER BY gap DESC, score) AS o FROM gp JOIN sp USING (query_id, variable) WHERE z - a > 0 AND gap > 0.5 * (z - a) AND round(cum, 12) >= 0.2 AND round(1 - cum, 12) >= 0.2),
+mo AS (SELECT query_id, variable, CASE WHEN ft.o IS NULL THEN 'unimodal' ELSE 'two_regime' END AS modality, gap, cum AS lw, below / cum AS lc, (total - below) / (1 - cum) AS hc FROM sp LEFT JOIN (SELECT * EXCLUDE (a, z) FROM ft WHERE o = 1) ft USING (query_id, variable))"""
 
 
 @query("B6_modality", "WITH " + W + CUM + MODES + """
@@ -166,7 +165,7 @@ def _labelled(t: Tables) -> DataFrame:
 
 
 L = W + ", lb AS (SELECT query_id, ws.unit_id, weight, CASE WHEN ws.unit_id % 13 <> 0 THEN segment END AS label FROM ws JOIN va ON va.unit_id = ws.unit_id)"
-P = """, cv AS (SELECT query_id, sum(CASE WHEN label IS NOT NULL THEN weight ELSE 0 END) AS coverage, count(*) AS n_units FROM lb GROUP BY 1),
+P = """, cv AS (SELECT query_id, sum(CASE WHEN label IS NOT NULL THEN weight ELSE 0 END) AS coverage, count(label) AS n_units FROM lb GROUP BY 1),
 p0 AS (SELECT query_id, label, sum(weight) AS s FROM lb WHERE label IS NOT NULL GROUP BY 1, 2), p AS (SELECT query_id, label, s / sum(s) OVER (PARTITION BY query_id) AS share FROM p0)"""
 
 

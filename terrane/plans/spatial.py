@@ -10,17 +10,17 @@ from terrane.operators import geometry, graph, spatialstats
 from terrane.plans.curves import PLACED, placed
 from terrane.plans.registry import Tables, money, query, rounded
 
-TREE = "k AS (SELECT p_partkey AS node, p_partkey // 2 AS parent, p_partkey // 512 AS root, p_size::DOUBLE AS v FROM part WHERE p_partkey < 2000), c AS (WITH RECURSIVE a(node, ancestor, depth) AS (SELECT node, parent, 1 FROM k WHERE parent > 0 UNION ALL SELECT a.node, k.parent, a.depth + 1 FROM a JOIN k ON k.node = a.ancestor WHERE k.parent > 0) SELECT * FROM a)"
+TREE = "k AS (SELECT p_partkey AS node, p_partkey // 2 AS parent, p_partkey // 512 AS root, p_size::DOUBLE AS v FROM part), c AS (WITH RECURSIVE a(node, ancestor, depth) AS (SELECT node, parent, 1 FROM k WHERE parent > 0 UNION ALL SELECT a.node, k.parent, a.depth + 1 FROM a JOIN k ON k.node = a.ancestor WHERE k.parent > 0) SELECT * FROM a)"
 
 
 def tree(t: Tables) -> DataFrame:
     half = lambda n: F.floor(F.col("p_partkey") / n).cast("long")
-    return t.part.where("p_partkey < 2000").select(F.col("p_partkey").alias("node"), half(2).alias("parent"), half(512).alias("root"), F.col("p_size").cast("double").alias("v"))
+    return t.part.select(F.col("p_partkey").alias("node"), half(2).alias("parent"), half(512).alias("root"), F.col("p_size").cast("double").alias("v"))
 
 
 @query("G2_upstream_closure", f"WITH {TREE} SELECT node, ancestor, depth FROM c")
 def g2(t: Tables) -> DataFrame:
-    return graph.ancestors(tree(t), "node", "parent", 16)
+    return graph.ancestors(tree(t), "node", "parent")
 
 
 @query("G2_recursive_cte", f"WITH {TREE} SELECT ancestor, count(*) AS n, max(depth) AS depth FROM c GROUP BY 1")
@@ -41,7 +41,7 @@ def g4(t: Tables) -> DataFrame:
 @query("G5_upstream_totals", f"WITH {TREE} SELECT k.node, count(c.node) AS n_upstream, any_value(k.v) + coalesce(sum(u.v), 0) AS total FROM k LEFT JOIN c ON c.ancestor = k.node LEFT JOIN k u ON u.node = c.node GROUP BY 1")
 def g5(t: Tables) -> DataFrame:
     k = tree(t)
-    return graph.subtree_totals(graph.ancestors(k, "node", "parent", 16), k, "node", "v")
+    return graph.subtree_totals(graph.ancestors(k, "node", "parent"), k, "node", "v")
 
 
 PAIRS = f"{TREE}, n AS (SELECT a.node AS a, b.node AS b, a.root AS ra, b.root AS rb, a.v AS va, CASE WHEN b.node % 11 <> 0 THEN b.v END AS vb FROM k a JOIN k b ON b.node IN (a.node - 1, a.node + 1, 2 * a.node, a.node // 2, 4 * a.node) AND a.node <> b.node)"
@@ -57,21 +57,21 @@ def _pairs(t: Tables) -> DataFrame:
 @query("G3_flow_class", f"""WITH {PAIRS} SELECT n.a, n.b, CASE WHEN u.depth = 1 THEN 'up1' WHEN u.depth > 1 THEN 'upN' WHEN d.depth = 1 THEN 'dn1' WHEN d.depth > 1 THEN 'dnN' WHEN ra = rb THEN 'same' ELSE 'other' END AS flow
 FROM n LEFT JOIN c u ON u.node = n.b AND u.ancestor = n.a LEFT JOIN c d ON d.node = n.a AND d.ancestor = n.b""")
 def g3(t: Tables) -> DataFrame:
-    return graph.flow_class(_pairs(t), graph.ancestors(tree(t), "node", "parent", 16), "a", "b", "ra", "rb").select("a", "b", "flow")
+    return graph.flow_class(_pairs(t), graph.ancestors(tree(t), "node", "parent"), "a", "b", "ra", "rb").select("a", "b", "flow")
 
 
 @query("G6_ring_comparison", f"""WITH {PAIRS}, g AS (SELECT a, count(*) AS n, count(*) FILTER (WHERE vb < va) AS n_less, count(*) FILTER (WHERE vb > va) AS n_more FROM n WHERE vb IS NOT NULL GROUP BY 1)
-SELECT *, CASE WHEN n_less = n THEN 'top' WHEN n_more = n THEN 'bottom' WHEN n > 2 AND n_less = n - 1 THEN 'all_but_one_below' WHEN n > 2 AND n_more = n - 1 THEN 'all_but_one_above' ELSE 'middle' END AS standing FROM g""")
+SELECT *, CASE WHEN n_less >= n_more THEN 'more' ELSE 'less' END AS side, greatest(n_less, n_more) AS k, n_less = n AS top, n_more = n AS bottom, n >= 5 AND greatest(n_less, n_more) = n - 1 AS all_but_one FROM g WHERE n >= 3 AND n_less + n_more > 0""")
 def g6(t: Tables) -> DataFrame:
     return graph.ring_comparison(_pairs(t), "a", "va", "vb")
 
 
-@query("G8_transitions", f"""WITH {PAIRS}, l AS (SELECT a, 'size' AS variable, va, vb FROM n UNION ALL SELECT a, 'key', (a % 50)::DOUBLE, (b % 50)::DOUBLE FROM n), s AS (SELECT a, variable, any_value(va) - avg(vb) AS d FROM l GROUP BY 1, 2)
-SELECT a, count(*) FILTER (WHERE abs(d) >= 10) AS n_sharp, string_agg(CASE WHEN d >= 10 THEN '+' WHEN d <= -10 THEN '-' ELSE '0' END, '' ORDER BY variable) AS pattern FROM s GROUP BY 1""")
+@query("G8_transitions", f"""WITH {PAIRS}, l AS (SELECT a, 'size' AS variable, va - vb AS d FROM n WHERE vb IS NOT NULL UNION ALL SELECT a, 'key', (a % 50 - b % 50)::DOUBLE FROM n)
+SELECT a, variable, round(max(abs(d)), 1) AS max_abs, round(avg(abs(d)), 1) AS mean_abs, count(*) FILTER (WHERE abs(d) >= 10) AS n_sharp, CASE WHEN min(d) > 0 THEN 'all+' WHEN max(d) < 0 THEN 'all-' ELSE 'mixed' END AS sign_pattern FROM l GROUP BY 1, 2""")
 def g8(t: Tables) -> DataFrame:
     p = _pairs(t)
     both = F.inline(F.array(F.struct(F.lit("size").alias("variable"), F.col("va").alias("x"), F.col("vb").alias("y")), F.struct(F.lit("key").alias("variable"), (F.col("a") % 50).cast("double").alias("x"), (F.col("b") % 50).cast("double").alias("y"))))
-    return graph.transitions(p.select("a", both), "a", "variable", "x", "y", 10.0)
+    return graph.transitions(p.select("a", both), "a", "variable", "x", "y")
 
 
 EDGES = "v AS (SELECT s_suppkey AS unit, s_acctbal AS x, s_nationkey AS g FROM supplier), m AS (SELECT avg(x) AS mu FROM v WHERE unit % 9 <> 0), z AS (SELECT unit, CASE WHEN unit % 9 <> 0 THEN x ELSE mu END - mu AS z, g FROM v, m), e AS (SELECT a.unit AS i, b.unit AS j FROM v a JOIN v b ON a.unit <> b.unit AND (a.g = b.g OR abs(a.unit - b.unit) = 1)), w AS (SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w FROM e)"

@@ -42,12 +42,12 @@ def t3(t: Tables) -> DataFrame:
 
 @query("T4_event_summary", """WITH e AS (SELECT event_id, (epoch(ts)::BIGINT // 86400 - 19723)::INTEGER AS d, value FROM events WHERE event_type = 'error'),
 q AS (SELECT n_nationkey AS k, n_nationkey % 10 AS lo, n_nationkey % 10 + n_nationkey AS hi FROM nation)
-SELECT k, count(*) FILTER (WHERE d BETWEEN lo AND hi AND value >= 50) AS n_events, round(sum(value) FILTER (WHERE d BETWEEN lo AND hi AND value >= 50), 4) AS total, min(CASE WHEN value >= 90 AND d <= hi THEN hi - d END) AS years_since_major FROM q LEFT JOIN e ON d <= hi GROUP BY 1""")
+SELECT k, count(d) AS n_events, round(coalesce(sum(value), 0), 4) AS total, min(CASE WHEN value >= 90 THEN hi - d END) AS years_since_major FROM q LEFT JOIN e ON d BETWEEN lo AND hi AND d BETWEEN 2 AND 25 AND value >= 50 GROUP BY 1""")
 def t4(t: Tables) -> DataFrame:
     e = t.events.where("event_type = 'error'").select((F.floor(F.unix_timestamp("ts") / 86400) - 19723).cast("int").alias("d"), "value")
     n = F.col("n_nationkey")
     q = t.nation.select(n.alias("k"), (n % 10).alias("lo"), (n % 10 + n).alias("hi"))
-    return rounded(series.event_summary(q, e, "k", "lo", "hi", "d", "value", 50.0, 90.0), 4)
+    return rounded(series.event_summary(q, e, "k", "lo", "hi", "d", "value", 50.0, 90.0, (2, 25)), 4)
 
 
 @query("T7_rebaselined_span", f"WITH {ANNUAL} SELECT cell, round(avg(v) FILTER (WHERE y BETWEEN 1998 AND 2000) - avg(v) FILTER (WHERE y BETWEEN 1995 AND 1997), 6) AS anomaly FROM g GROUP BY 1")

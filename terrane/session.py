@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str | None = None, name: str = "terrane", **conf: str) -> SparkSession:
@@ -19,3 +21,18 @@ def build(master: str | None = None, name: str = "terrane", **conf: str) -> Spar
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that spark.checkpoint.dir names and read back: its lineage ends there, and a lost executor
+    costs a reread. Only a local session may leave the setting unset; it gets a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="terrane-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
