@@ -41,15 +41,17 @@ def area_weighted(rows: DataFrame, query: str = "query_id", unit: str = "unit_id
     score 0 reaches OUTSIDE is outside its domain and loses score and tag.
     """
     keys = [query, "variable"]
-    cum = weighted.cumulated(rows, keys, unit, "score", "weight")
-    base = rows.groupBy(*keys).agg(
+    # windows, sums, quantiles and dispersion come from one shuffle and sort by query and variable
+    q = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90}
+    one = weighted.quantiles(weighted.pooled(rows, keys, unit, "score", "weight"), keys, "score", q, [
         weighted.coverage("score", "weight").alias("coverage"),
         weighted.wmean("score", "weight").alias("mean"),
         F.sum(F.when(F.col("score") == 0, F.col("weight")).otherwise(0.0)).alias("weight_at_zero"),
         (F.max(zero_fraction) if zero_fraction else F.lit(None).cast("double")).alias("zero_fraction"),
-    )
-    q = weighted.quantiles(cum, keys, "score", {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90})
-    out = base.join(q, keys, "left").join(dispersion.dispersion(cum, keys, "score"), keys, "left")
+        F.count("w").alias("n_units"), F.max("tie").alias("tie"), dispersion.windows("score").alias("_best"),
+        F.min(F.when(F.col("w").isNotNull(), F.col("score"))).alias("least"), F.max(F.when(F.col("w").isNotNull(), F.col("score"))).alias("most"),
+    ])
+    out = dispersion.tagged(one)
     outside = F.coalesce((F.col("zero_fraction") >= ZERO_AWARE) & (F.col("weight_at_zero") >= OUTSIDE), F.lit(False))
     status = F.when(F.coalesce(F.col("coverage"), F.lit(0.0)) < 1e-9, "no_data").when(outside, "outside_active_domain").otherwise("ok")
     ok = status == "ok"

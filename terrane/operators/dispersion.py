@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.weighted import quantiles
@@ -13,28 +13,33 @@ DELTA, CONCENTRATED, TIE, RESIDUAL, FEWEST = 15, 0.65, 0.50, 0.10, 5
 GAP, SIDE = 0.50, 0.20
 
 
-def core_share(cum: DataFrame, keys: list[str], score: str, delta: int = DELTA) -> DataFrame:
-    """The window of width 2 * delta, at whole lower ends, that holds most weight: keys, core_share, window_lo, window_hi.
+def windows(score: str, delta: int = DELTA) -> Column:
+    """Aggregate over ``weighted.cumulated`` or ``pooled`` rows: (core_share, window_lo) of the window of width 2 * delta, at
+    whole lower ends, that holds most weight.
 
-    Windows are closed; of equal windows the lowest counts. ``cum`` is from weighted.cumulated. The sums are rounded to 12
-    places before they are compared, so that equal windows are equal whatever the order of summation.
+    Windows are closed; of equal windows the lowest counts. The sums are rounded to 12 places before they are compared, so that
+    equal windows are equal whatever the order of summation.
     """
-    tops = range(0, 101 - 2 * delta)
-    sums = [F.round(F.sum(F.when(F.col(score).between(lo, lo + 2 * delta), F.col("w")).otherwise(0.0)), 12) for lo in tops]
-    best = F.array_min(F.array(*(F.struct((-s).alias("k"), F.lit(lo).alias("lo")) for lo, s in zip(tops, sums, strict=True))))
-    return cum.groupBy(*keys).agg(best.alias("_b")).select(*keys, (-F.col("_b.k")).alias("core_share"), F.col("_b.lo").alias("window_lo"), (F.col("_b.lo") + 2 * delta).alias("window_hi"))
+    lows = range(0, 101 - 2 * delta)
+    sums = [F.round(F.sum(F.when(F.col(score).between(lo, lo + 2 * delta), F.col("w")).otherwise(0.0)), 12) for lo in lows]
+    best = F.array_min(F.array(*(F.struct((-s).alias("k"), F.lit(lo).alias("lo")) for lo, s in zip(lows, sums, strict=True))))
+    return best
 
 
-def largest_tie(cum: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """keys, tie: largest weight of one score; and the number of units."""
-    return cum.groupBy(*keys, score).agg(F.sum("w").alias("_w"), F.count("*").alias("_n")).groupBy(*keys).agg(F.max("_w").alias("tie"), F.sum("_n").alias("n_units"))
+def tagged(rows: DataFrame, fewest: int = FEWEST) -> DataFrame:
+    """Turns the columns _best (from ``windows``), tie and n_units of one row per group into core_share, window_lo, window_hi and
+    coherence: split, concentrated or spread; none for few units."""
+    share = -F.col("_best.k")
+    tag = F.when((F.col("tie") >= TIE) & (1 - share >= RESIDUAL), "split").when(share >= CONCENTRATED, "concentrated").otherwise("spread")
+    some = F.col("n_units") > 0
+    lo = F.when(some, F.col("_best.lo"))
+    return rows.select("*", F.when(some, share).alias("core_share"), lo.alias("window_lo"), (lo + 2 * DELTA).alias("window_hi"), F.when(F.col("n_units") >= fewest, tag).alias("coherence")).drop("_best")
 
 
-def dispersion(cum: DataFrame, keys: list[str], score: str, fewest: int = FEWEST) -> DataFrame:
-    """keys, n_units, core_share, window_lo, window_hi, tie, coherence: split, concentrated or spread; none for few units."""
-    both = core_share(cum, keys, score).join(largest_tie(cum, keys, score), keys)
-    tag = F.when((F.col("tie") >= TIE) & (1 - F.col("core_share") >= RESIDUAL), "split").when(F.col("core_share") >= CONCENTRATED, "concentrated").otherwise("spread")
-    return both.withColumn("coherence", F.when(F.col("n_units") >= fewest, tag))
+def dispersion(rows: DataFrame, keys: list[str], score: str, fewest: int = FEWEST) -> DataFrame:
+    """keys, n_units, core_share, window_lo, window_hi, tie, coherence, of rows from ``weighted.pooled``."""
+    one = rows.groupBy(*keys).agg(F.count("w").alias("n_units"), F.max("tie").alias("tie"), windows(score).alias("_best"))
+    return tagged(one, fewest).where("n_units > 0").select(*keys, "n_units", "core_share", "window_lo", "window_hi", "tie", "coherence")
 
 
 def modality(cum: DataFrame, keys: list[str], score: str, gap: float = GAP, side: float = SIDE) -> DataFrame:

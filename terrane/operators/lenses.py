@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import curves, scalars
+from terrane.operators.position import placed
 
 #: Total below which a curve has no shape, coefficient of variation below which it is flat, correlation that
 #: makes phases alike or opposite, temperature amplitude below which there is no thermal season; fit errors.
@@ -153,7 +154,7 @@ def terrain_rank(df: DataFrame, query: DataFrame, unit: str, tolerances: dict[st
         both = both.where(F.abs(F.col(f) - F.col(f"_{f}")) <= d)
     w = {f: elevation_weight if f == "elevation" else 1.0 for f in tol}
     far = F.sqrt(sum((w[f] * F.pow((F.col(f) - F.col(f"_{f}")) / d, F.lit(2)) for f, d in tol.items()), F.lit(0.0)))
-    return both.select(unit, far.alias("distance")).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", unit)))
+    return placed(both.select(unit, far.alias("distance")), [F.col("distance"), F.col(unit)])
 
 
 def vector_distance(a: Column, b: Column) -> Column:

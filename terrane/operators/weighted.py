@@ -58,6 +58,20 @@ def _interpolate(value: str, at: str, next_at: str, q: float) -> Column:
     return F.coalesce(low, between, F.max(value))
 
 
+def pooled(df: DataFrame, keys: list[str], unit: str, value: str, weight: str) -> DataFrame:
+    """All rows, with the columns of ``cumulated`` where there is a value and weight (null elsewhere) and ``tie``, the weight of
+    the rows of equal value. One shuffle by the keys and one sort serve these windows and whatever is grouped by the keys
+    afterwards."""
+    some = F.col(value).isNotNull() & (F.col(weight) > 0)
+    rows = df.withColumn("_v", F.when(some, F.col(value)))
+    whole, equal = Window.partitionBy(*keys), Window.partitionBy(*keys, "_v")
+    order = whole.orderBy(F.asc_nulls_last("_v"), unit)
+    rows = rows.withColumn("w", F.when(some, F.col(weight)) / F.sum(F.when(some, F.col(weight))).over(whole))
+    rows = rows.withColumn("cum", F.when(some, F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("next_value", F.lead("_v").over(order)).withColumn("next_cum", F.lead("cum").over(order))
+    return rows.withColumn("tie", F.sum("w").over(equal)).drop("_v")
+
+
 def quantiles(cum: DataFrame, keys: list[str], value: str, qs: dict[str, float], extra: list[Column] | None = None) -> DataFrame:
     """Weighted quantiles by cumulative weight, from ``cumulated`` rows: one column for each name in ``qs``."""
     return cum.groupBy(*keys).agg(*(_interpolate(value, "cum", "next_cum", q).alias(n) for n, q in qs.items()), *(extra or []))

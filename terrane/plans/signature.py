@@ -143,7 +143,7 @@ def a16(t: Tables) -> DataFrame:
 SELECT query_id, variable, n_units, round(core_share, 6) AS core_share, window_lo::INTEGER AS window_lo, (window_lo + 30)::INTEGER AS window_hi, round(tie, 6) AS tie, coherence FROM d""")
 def d2(t: Tables) -> DataFrame:
     keys = ["query_id", "variable"]
-    return rounded(dispersion.dispersion(weighted.cumulated(rows(t), keys, "unit_id", "score", "weight"), keys, "score"))
+    return rounded(dispersion.dispersion(weighted.pooled(rows(t), keys, "unit_id", "score", "weight"), keys, "score"))
 
 
 MODES = """,
