@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import haversine_km, pole, qualifier
+from terrane.operators.position import value_ranks
 
 
 def backdrop(df: DataFrame, features: list[str]) -> DataFrame:
@@ -70,9 +71,12 @@ def isolates(df: DataFrame, unit: str, family: str, lat: str, lon: str, holder:
     # holders of one trait value are a small set, compared with each other in blocks that join by broadcast or shuffle
     near = held.join(other, F.col(unit) != F.col("_u")).groupBy(unit).agg(F.min(F.when(apart, km)).alias("km"), F.min(env).alias("environment"))
     out = held.select(unit, family).join(rate, family, "left").join(near, unit, "left")
-    rank = lambda c: F.rank().over(Window.partitionBy(F.lit(0)).orderBy(c))
-    ranked = out.select(unit, "rarity", "km", "environment", rank(F.asc_nulls_last("rarity")).alias("rank_family"), rank(F.desc_nulls_last("km")).alias("rank_km"), rank(F.desc_nulls_last("environment")).alias("rank_environment"))
-    return ranked.withColumn("worst_rank", F.greatest("rank_family", "rank_km", "rank_environment"))
+    # ranks by value, so that no task sorts all rows; rows without a value come last
+    for name, value, sign in (("rank_family", "rarity", 1.0), ("rank_km", "km", -1.0), ("rank_environment", "environment", -1.0)):
+        keyed = out.withColumn("_k", F.coalesce(sign * F.col(value), F.lit(float("inf"))))
+        ranks = value_ranks(keyed, "_k").select("_k", (F.col("n_below") + 1).alias(name))
+        out = keyed.join(ranks, "_k").drop("_k")
+    return out.withColumn("worst_rank", F.greatest("rank_family", "rank_km", "rank_environment")).select(unit, "rarity", "km", "environment", "rank_family", "rank_km", "rank_environment", "worst_rank")
 
 
 def name_agreement(a: Column, b: Column) -> Column:
@@ -92,12 +96,14 @@ def token_sort(name: Column) -> Column:
 def fuzzy_matches(names: DataFrame, titles: DataFrame, name: str, title: str, name_id: str, title_id: str, least: float = 85.0) -> DataFrame:
     """name_id, title_id, score, how: exact, without spaces, or the best of plain and token-sorted edit ratio of at least
     ``least`` among titles that share a token with the name; ties to the smaller title id. Names and titles are folded."""
-    a, b = names.select(name_id, F.col(name).alias("_a")), titles.select(title_id, F.col(title).alias("_b"))
-    exact = a.join(b, F.col("_a") == F.col("_b")).select(name_id, title_id, F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
-    tight = a.join(b, F.replace("_a", F.lit(" "), F.lit("")) == F.replace("_b", F.lit(" "), F.lit(""))).select(name_id, title_id, F.lit(99.0).alias("score"), F.lit("no space").alias("how"))
-    tokens = a.withColumn("_t", F.explode(F.array_distinct(F.split("_a", " ")))).join(b.withColumn("_t", F.explode(F.array_distinct(F.split("_b", " ")))), "_t").select(name_id, "_a", title_id, "_b").distinct()
+    # equal names are matched once, and of equal titles only the smallest id can win
+    a, own = names.select(F.col(name).alias("_a")).distinct(), names.select(name_id, F.col(name).alias("_a"))
+    b = titles.groupBy(F.col(title).alias("_b")).agg(F.min(title_id).alias(title_id))
+    exact = a.join(b, F.col("_a") == F.col("_b")).select("_a", title_id, F.lit(100.0).alias("score"), F.lit("exact").alias("how"))
+    tight = a.join(b, F.replace("_a", F.lit(" "), F.lit("")) == F.replace("_b", F.lit(" "), F.lit(""))).select("_a", title_id, F.lit(99.0).alias("score"), F.lit("no space").alias("how"))
+    tokens = a.withColumn("_t", F.explode(F.array_distinct(F.split("_a", " ")))).join(b.withColumn("_t", F.explode(F.array_distinct(F.split("_b", " ")))), "_t").select("_a", title_id, "_b").distinct()
     ratio = F.greatest(edit_ratio(F.col("_a"), F.col("_b")), edit_ratio(token_sort(F.col("_a")), token_sort(F.col("_b"))))
-    loose = tokens.withColumn("score", F.least(F.lit(98.0), ratio)).where(F.col("score") >= least).select(name_id, title_id, "score", F.lit("fuzzy").alias("how"))
+    loose = tokens.withColumn("score", F.least(F.lit(98.0), ratio)).where(F.col("score") >= least).select("_a", title_id, "score", F.lit("fuzzy").alias("how"))
     found = exact.unionByName(tight).unionByName(loose)
-    best = found.groupBy(name_id).agg(F.max(F.struct("score", (-F.col(title_id)).alias("t"), "how")).alias("m"))
-    return best.select(name_id, (-F.col("m.t")).alias(title_id), "m.score", "m.how")
+    best = found.groupBy("_a").agg(F.max(F.struct("score", (-F.col(title_id)).alias("t"), "how")).alias("m"))
+    return own.join(best, "_a").select(name_id, (-F.col("m.t")).alias(title_id), "m.score", "m.how")

@@ -6,11 +6,15 @@ shuffles, so a run can be repeated; p-values are estimates and not comparable di
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.position import placed
+
 
 def row_standardised(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
     """(i, j, w): one over the number of i's neighbours."""
@@ -43,14 +47,19 @@ def local_moran(values: DataFrame, weights: DataFrame) -> DataFrame:
     return values.join(lag, "unit").join(m2).select("unit", "z", "lag", F.try_divide(z * l, F.col("_m2")).alias("local_i"), quadrant.alias("quadrant"))
 
 
+def _dealt(rows: DataFrame, per_round: Column, order: Column, what: list[str]) -> DataFrame:
+    """(round, _p, what): each round's rows by their place in ``order``. All rounds are placed in one distributed sort by round
+    and order, so a round needs no task of its own."""
+    rank = placed(rows.withColumn("_o", order), [F.col("round"), F.col("_o"), F.col("unit")], "_rank")
+    return rank.select("round", F.pmod(F.col("_rank") - 1, per_round).alias("_p"), *what)
+
+
 def permuted(values: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
-    """(round, unit, z): each round deals all z to the units in another order. One window per round, so rounds run side by
-    side."""
-    many = values.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    a = Window.partitionBy("round").orderBy("unit")
-    b = Window.partitionBy("round").orderBy(F.xxhash64("unit", "round", F.lit(seed)), "unit")
-    places = many.select("round", "unit", F.row_number().over(a).alias("_p"))
-    dealt = many.select("round", "z", F.row_number().over(b).alias("_p"))
+    """(round, unit, z): each round deals all z to the units in another order."""
+    n = F.lit(values.count())
+    many = values.select("unit", "z").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    places = _dealt(many, n, F.lit(0).cast("long"), ["unit"])
+    dealt = _dealt(many, n, F.xxhash64("unit", "round", F.lit(seed)), ["z"])
     return places.join(dealt, ["round", "_p"]).select("round", "unit", "z")
 
 
@@ -118,11 +127,11 @@ def pseudo_f(points: DataFrame, group: str, features: list[str]) -> DataFrame:
 
 def permanova_p(points: DataFrame, group: str, features: list[str], unit: str, rounds: int = 99, seed: int = 0) -> DataFrame:
     """One row: f, p = (draws at least as large + 1) / (rounds + 1). Group labels are dealt anew in each round."""
-    many = points.select(unit, group, *features).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    order = F.when(F.col("round") == 0, F.col(unit)).otherwise(F.xxhash64(F.col(unit), "round", F.lit(seed)))
-    a, b = Window.partitionBy("round").orderBy(unit), Window.partitionBy("round").orderBy(order, unit)
-    labels = many.select("round", group, F.row_number().over(b).alias("_p"))
-    dealt = many.drop(group).withColumn("_p", F.row_number().over(a)).join(labels, ["round", "_p"])
+    n = F.lit(points.count())
+    many = points.select(F.col(unit).alias("unit"), group, *features).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    # round 0 keeps the labels as they are
+    order = F.when(F.col("round") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("unit", "round", F.lit(seed)))
+    dealt = _dealt(many, n, F.lit(0).cast("long"), features).join(_dealt(many, n, order, [group]), ["round", "_p"])
     squares = sum((F.pow(F.col(f"_s_{f}"), F.lit(2)) / F.col("_n") for f in features), F.lit(0.0))
     between = dealt.groupBy("round", group).agg(F.count("*").alias("_n"), *(F.sum(f).alias(f"_s_{f}") for f in features)).groupBy("round").agg(F.sum(squares).alias("_b"), F.count("*").alias("_k"))
     whole = F.broadcast(points.agg(F.count("*").alias("_N"), sum((F.count("*") * F.pow(F.avg(f), F.lit(2)) for f in features), F.lit(0.0)).alias("_c"), sum((F.count("*") * F.var_pop(f) for f in features), F.lit(0.0)).alias("_t")))
@@ -134,22 +143,32 @@ def permanova_p(points: DataFrame, group: str, features: list[str], unit: str, r
 
 
 def principal_coordinates(points: DataFrame, key: str, unit: str, features: list[str], axes: int = 2) -> DataFrame:
-    """Classical scaling of each key's units by Euclidean distance: key, unit, axis, coordinate. A key's units are one small
-    matrix (some thousand rows at most); keys run side by side."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(unit)
-        x = rows[features].to_numpy(float)
-        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-        j = np.eye(len(x)) - 1 / len(x)
-        value, vector = np.linalg.eigh(-0.5 * j @ d2 @ j)
-        top = np.argsort(-value)[:axes]
-        y = vector[:, top] * np.sqrt(np.maximum(value[top], 0))
-        y *= np.where(y[np.abs(y).argmax(0), range(y.shape[1])] < 0, -1, 1)
-        return pd.DataFrame({key: np.repeat(rows[key].to_numpy(), y.shape[1]), unit: np.repeat(rows[unit].to_numpy(), y.shape[1]), "axis": np.tile(np.arange(1, y.shape[1] + 1), len(x)), "coordinate": y.ravel()})
-
-    kind = dict(points.dtypes)
-    return points.select(key, unit, *features).na.drop().groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {unit} {kind[unit]}, axis long, coordinate double")
+    """Classical scaling of each key's units by Euclidean distance: key, unit, axis, coordinate.
+
+    The coordinates of that scaling are those of the principal axes of the centred features, so no distance is formed: a key
+    is one row of means and covariances, whose small matrix is decomposed, and units are projected by a join. An axis points
+    to where its largest component is positive.
+    """
+    some = points.select(key, unit, *features).na.drop()
+    cov = [F.covar_pop(a, b) for a in features for b in features]
+    one = some.groupBy(key).agg(F.array(*(F.avg(f) for f in features)).alias("mean"), F.array(*cov).alias("cov"))
+    d = len(features)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in it:
+            out = []
+            for _, r in rows.iterrows():
+                value, vector = np.linalg.eigh(np.array(r["cov"], float).reshape(d, d))
+                for axis, at in enumerate(np.argsort(-value, kind="stable")[:axes], 1):
+                    v = vector[:, at]
+                    v = v * (-1 if v[np.abs(v).argmax()] < 0 else 1)
+                    out.append((r[key], axis, list(map(float, r["mean"])), v.tolist()))
+            yield pd.DataFrame(out, columns=[key, "axis", "mean", "vector"])
+
+    kind = dict(points.dtypes)[key]
+    axes_of = one.mapInPandas(run, f"{key} {kind}, axis long, mean array<double>, vector array<double>")
+    dot = F.aggregate(F.zip_with(F.zip_with(F.array(*(F.col(f).cast("double") for f in features)), "mean", lambda x, m: x - m), "vector", lambda x, v: x * v), F.lit(0.0), lambda s, x: s + x)
+    return some.join(axes_of, key).select(key, unit, "axis", dot.alias("coordinate"))
 
 
 def dispersion_test(points: DataFrame, group: str, features: list[str]) -> DataFrame:

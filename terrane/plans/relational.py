@@ -24,9 +24,9 @@ def s2(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_name", "c_acctbal").join(keys, "c_custkey", "left_semi")
 
 
-@query("S12_keep_last_merge", """SELECT DISTINCT ON (l_partkey) l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey % 7 = 0 ORDER BY l_partkey, l_orderkey DESC, l_linenumber DESC""")
+@query("S12_keep_last_merge", """SELECT DISTINCT ON (l_partkey) l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_partkey, l_orderkey DESC, l_linenumber DESC""")
 def s12(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_partkey % 7 = 0").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("batch"))
+    rows = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("batch"))
     return lookup.keep_last(rows, ["l_partkey"], "batch").drop("batch")
 
 
@@ -79,10 +79,10 @@ def f9(t: Tables) -> DataFrame:
     return t.part.where(F.col("p_name").ilike("%e1%") | F.lower("p_type").like("%steel") | F.col("p_brand").like("Brand#1%")).select("p_partkey", "p_name")
 
 
-@query("F10_nullif_greatest_least", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(floor(l_quantity / 10), 0), 4) AS per_ten, greatest(l_discount, l_tax) AS hi, least(l_discount, l_tax) AS lo FROM lineitem WHERE l_orderkey % 5 = 0")
+@query("F10_nullif_greatest_least", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(floor(l_quantity / 10), 0), 4) AS per_ten, greatest(l_discount, l_tax) AS hi, least(l_discount, l_tax) AS lo FROM lineitem")
 def f10(t: Tables) -> DataFrame:
     per = F.col("l_extendedprice") / F.nullif(F.floor(F.col("l_quantity") / 10).cast("double"), F.lit(0.0))
-    return t.lineitem.where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", F.round(per, 4).alias("per_ten"), F.greatest("l_discount", "l_tax").alias("hi"), F.least("l_discount", "l_tax").alias("lo"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(per, 4).alias("per_ten"), F.greatest("l_discount", "l_tax").alias("hi"), F.least("l_discount", "l_tax").alias("lo"))
 
 
 @query("J1_inner_join", "SELECT r_name, n_name, count(*) AS customers, sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS balance FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2")

@@ -45,21 +45,21 @@ def m16(t: Tables) -> DataFrame:
 
 @query("Z1_isolates", f"""WITH {PLACED}, a AS (SELECT unit, lat, lon, c_nationkey AS family, unit % 13 = 0 AS h, (unit % 100)::DOUBLE AS p1, (unit % 37)::DOUBLE AS p2 FROM p JOIN customer ON c_custkey = unit), r AS (SELECT family, avg(h::INT) AS rarity FROM a GROUP BY 1), h AS (SELECT * FROM a WHERE h),
 n AS (SELECT h.unit, min(CASE WHEN h.family <> o.family THEN {HAV.format(a='h', b='o')} END) AS km, min(sqrt((h.p1 - o.p1) ** 2 + (h.p2 - o.p2) ** 2)) AS env FROM h JOIN h o ON h.unit <> o.unit GROUP BY 1),
-k AS (SELECT h.unit, rarity, km, env, rank() OVER (ORDER BY rarity) AS a, rank() OVER (ORDER BY round(km, 6) DESC NULLS LAST) AS b, rank() OVER (ORDER BY env DESC NULLS LAST) AS c FROM h LEFT JOIN r USING (family) LEFT JOIN n ON n.unit = h.unit)
-SELECT unit, round(rarity, 6) AS rarity, round(km, 4) AS km, round(env, 6) AS environment, a::INTEGER AS rank_family, c::INTEGER AS rank_environment FROM k""")
+k AS (SELECT h.unit, rarity, km, env, rank() OVER (ORDER BY rarity) AS a, rank() OVER (ORDER BY round(km, 4) DESC NULLS LAST) AS b, rank() OVER (ORDER BY env DESC NULLS LAST) AS c FROM h LEFT JOIN r USING (family) LEFT JOIN n ON n.unit = h.unit)
+SELECT unit, round(rarity, 4) AS rarity, round(km, 4) AS km, round(env, 4) AS environment, a AS rank_family, b AS rank_km, c AS rank_environment, greatest(a, b, c) AS worst_rank FROM k""")
 def z1(t: Tables) -> DataFrame:
     df = placed(t).join(t.customer.select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("family")), "unit").withColumn("p1", (F.col("unit") % 100).cast("double")).withColumn("p2", (F.col("unit") % 37).cast("double"))
-    out = scan.isolates(df, "unit", "family", "lat", "lon", F.col("unit") % 13 == 0, ["p1", "p2"])
-    return out.select("unit", F.round("rarity", 6).alias("rarity"), F.round("km", 4).alias("km"), F.round("environment", 6).alias("environment"), "rank_family", "rank_environment")
+    return rounded(scan.isolates(df, "unit", "family", "lat", "lon", F.col("unit") % 13 == 0, ["p1", "p2"]), 4)
 
 
-@query("L24_fuzzy_titles", """WITH a AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part WHERE p_partkey <= 60), b AS (SELECT p_partkey AS tid, CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) WHEN p_partkey % 3 = 1 THEN lower(p_name) || 'x' ELSE replace(lower(p_name), ' ', '') END AS t FROM part WHERE p_partkey <= 60),
+@query("L24_fuzzy_titles", """WITH a AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part), b AS (SELECT p_partkey AS tid, CASE WHEN p_partkey % 3 = 0 THEN lower(p_name) WHEN p_partkey % 3 = 1 THEN lower(p_name) || 'x' ELSE replace(lower(p_name), ' ', '') END AS t FROM part),
 af AS (SELECT id, trim(regexp_replace(n, '[^a-z0-9]+', ' ', 'g')) AS n FROM a), bf AS (SELECT tid, trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) AS t FROM b),
-m AS (SELECT id, tid, 100.0::DOUBLE AS score, 'exact' AS how FROM af JOIN bf ON n = t UNION ALL SELECT id, tid, 99.0, 'no space' FROM af JOIN bf ON replace(n, ' ', '') = replace(t, ' ', '')
-UNION ALL SELECT id, tid, s, 'fuzzy' FROM (SELECT id, tid, least(98.0, greatest(100 * (1 - levenshtein(n, t) / greatest(length(n), length(t))::DOUBLE), 100 * (1 - levenshtein(array_to_string(list_sort(string_split(n, ' ')), ' '), array_to_string(list_sort(string_split(t, ' ')), ' ')) / greatest(length(n), length(t))::DOUBLE))) AS s FROM af JOIN bf ON list_has_any(string_split(n, ' '), string_split(t, ' '))) WHERE s >= 85)
-SELECT DISTINCT ON (id) id, tid, round(score, 6) AS score, how FROM m ORDER BY id, score DESC, tid""")
+da AS (SELECT DISTINCT n FROM af), db AS (SELECT min(tid) AS tid, t FROM bf GROUP BY t),
+m AS (SELECT n, tid, 100.0::DOUBLE AS score, 'exact' AS how FROM da JOIN db ON n = t UNION ALL SELECT n, tid, 99.0, 'no space' FROM da JOIN db ON replace(n, ' ', '') = replace(t, ' ', '')
+UNION ALL SELECT n, tid, s, 'fuzzy' FROM (SELECT n, tid, least(98.0, greatest(100 * (1 - levenshtein(n, t) / greatest(length(n), length(t))::DOUBLE), 100 * (1 - levenshtein(array_to_string(list_sort(string_split(n, ' ')), ' '), array_to_string(list_sort(string_split(t, ' ')), ' ')) / greatest(length(n), length(t))::DOUBLE))) AS s FROM da JOIN db ON list_has_any(string_split(n, ' '), string_split(t, ' '))) WHERE s >= 85)
+SELECT DISTINCT ON (id) id, tid, round(score, 6) AS score, how FROM af JOIN m USING (n) ORDER BY id, score DESC, tid""")
 def l24(t: Tables) -> DataFrame:
-    some, k = t.part.where("p_partkey <= 60"), F.col("p_partkey")
+    some, k = t.part, F.col("p_partkey")
     lower = F.lower("p_name")
     title = F.when(k % 3 == 0, lower).when(k % 3 == 1, F.concat(lower, F.lit("x"))).otherwise(F.replace(lower, F.lit(" "), F.lit("")))
     return rounded(scan.fuzzy_matches(some.select(k.alias("id"), scalars.folded(lower).alias("n")), some.select(k.alias("tid"), scalars.folded(title).alias("t")), "n", "t", "id", "tid"))
