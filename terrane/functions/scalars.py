@@ -104,3 +104,14 @@ def ordinal(n: Column) -> Column:
 def year_label(year: Column) -> Column:
     """Years before 1 in BCE of the astronomical count."""
     return F.when(year < 1, F.concat((1 - year).cast("string"), F.lit(" BCE"))).otherwise(F.concat(year.cast("string"), F.lit(" CE")))
+
+
+class NotAllowed(ValueError):
+    """A parameter that isn't one of its allowed values."""
+
+
+def one_of(value: str, allowed: list[str] | tuple[str, ...], name: str) -> str:
+    """``value``, if it is allowed; else NotAllowed names the parameter and what it may be."""
+    if value not in allowed:
+        raise NotAllowed(f"{name} is {value!r}, not one of {', '.join(allowed)}")
+    return value

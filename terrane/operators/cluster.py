@@ -33,14 +33,29 @@ def kmeans(df: DataFrame, unit: str, vector: str, k: int, seed: int) -> DataFram
 
 
 def k_selection(df: DataFrame, unit: str, vector: str, ks: list[int], seed: int) -> DataFrame:
-    """k, inertia, silhouette for each k: one fit each."""
+    """k, inertia, silhouette, calinski (between over within variance, each by its degrees of freedom) for each k: one fit each."""
     v = _vectors(df, unit, vector).cache()
     rows = []
+    n = v.count()
+    total = float(KMeans(k=1, seed=seed, initMode="random").fit(v).summary.trainingCost)
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(v)
-        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(v)))))
+        inertia = float(model.summary.trainingCost)
+        rows.append((k, inertia, float(ClusteringEvaluator().evaluate(model.transform(v))), (total - inertia) / (k - 1) / (inertia / (n - k)) if n > k > 1 and inertia > 0 else None))
     v.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, calinski double")
+
+
+def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: mutual information of two labellings over the mean of their entropies (nmi), from their contingency table; 1 if
+    neither has more than one label."""
+    cells = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    x, y = (cells.groupBy(c).agg(F.sum("n").alias(f"_{k}")) for c, k in ((a, "x"), (b, "y")))
+    n = cells.agg(F.sum("n").alias("_t"))
+    entropy = lambda d, c, out: d.join(n).agg((-F.sum(F.col(c) / F.col("_t") * F.log(F.col(c) / F.col("_t")))).alias(out))
+    shared = cells.join(x, a).join(y, b).join(n).agg(F.sum(F.col("n") / F.col("_t") * F.log(F.col("n") * F.col("_t") / (F.col("_x") * F.col("_y")))).alias("_i"))
+    both = shared.join(entropy(x, "_x", "_hx")).join(entropy(y, "_y", "_hy"))
+    return both.select(F.coalesce(F.try_divide(F.col("_i"), (F.col("_hx") + F.col("_hy")) / 2), F.lit(1.0)).alias("nmi"))
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.functions.scalars import EARTH_KM
+from terrane.functions.scalars import EARTH_KM, haversine_km
+from terrane.session import stored
+
+KM_PER_DEGREE, HALF_GIRTH_KM = EARTH_KM * np.pi / 180, EARTH_KM * np.pi + 1
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
@@ -132,3 +135,52 @@ def shared_edges(polygons: DataFrame, polygon: str, places: int = 6) -> DataFram
     edges = r.select(polygon, F.explode(F.zip_with("r", nxt, lambda a, b: F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")))).alias("e"))
     a, b = (edges.select(F.col(polygon).alias(c), "e") for c in "ij")
     return a.join(b, "e").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n_edges"))
+
+
+def within_km(queries: DataFrame, points: DataFrame, query: str, point: str, km: float) -> DataFrame:
+    """(query, point, km): all pairs of rows with columns lat and lon that are at most ``km`` apart.
+
+    Points lie in cells about ``km`` high; a query is dealt to the cells that its reach touches, wider in longitude towards the
+    poles and around the date line, and meets their points by an equi-join.
+    """
+    step = max(0.01, km / KM_PER_DEGREE)
+    across = max(1, int(360 / step))
+    width = 360.0 / across
+    cell_y = lambda lat: F.floor((lat + 90) / step).cast("int")
+    turn = lambda lon: F.pmod(lon + 180, F.lit(360.0))
+    reach = km / KM_PER_DEGREE * 1.0001
+    top = F.abs(F.col("lat")) + reach
+    # beyond the pole, or where a turn of longitude is within reach, all cells of the row
+    sine = F.sin(F.lit(float(np.radians(min(reach, 90.0))))) / F.cos(F.radians("lat"))
+    half = F.when((top >= 90) | (sine >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))) * 1.0001)
+    rows = F.sequence(F.greatest(F.lit(0), cell_y(F.col("lat") - reach)), cell_y(F.least(F.lit(90.0), F.col("lat") + reach)))
+    columns = F.when(half * 2 + width >= 360, F.sequence(F.lit(0), F.lit(across - 1))).otherwise(F.transform(F.sequence(F.floor((turn(F.col("lon")) - half) / width), F.floor((turn(F.col("lon")) + half) / width)), lambda c: F.pmod(c, F.lit(across)).cast("int")))
+    q = queries.select(F.col(query).alias("_q"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.explode(rows).alias("_cy"), columns.alias("_c"))
+    q = q.select("_q", "_la", "_lo", "_cy", F.explode(F.array_distinct("_c")).alias("_cx"))
+    p = points.select(F.col(point).alias("_p"), "lat", "lon", cell_y(F.col("lat")).alias("_cy"), F.least(F.lit(across - 1), F.floor(turn(F.col("lon")) / width)).cast("int").alias("_cx"))
+    far = haversine_km(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon"))
+    return q.join(p, ["_cx", "_cy"]).select(F.col("_q").alias(query), F.col("_p").alias(point), far.alias("km")).where(F.col("km") <= km)
+
+
+def nearest_points(queries: DataFrame, points: DataFrame, query: str, point: str, k: int = 1, start_km: float = 200.0, most_km: float | None = None) -> DataFrame:
+    """(query, point, km, place): each query's ``k`` nearest points, ties to the smaller id; with ``most_km``, none farther.
+
+    Rings are widened: a query that has ``k`` points within a reach is done, since all nearer ones are among them; the others
+    try twice the reach, up to half the earth's girth.
+    """
+    limit = min(most_km or HALF_GIRTH_KM, HALF_GIRTH_KM)
+    left, reach, done = stored(queries.select(query, "lat", "lon")), min(start_km, limit), None
+    order = Window.partitionBy(query).orderBy(F.round("km", 9), point)
+    while True:
+        found = within_km(left, points, query, point, reach).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        last = reach >= limit
+        found = stored(found)
+        full = found.where(F.col("place") == k).select(query)
+        part = found if last else found.join(full, query, "left_semi")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        left = stored(left.join(full, query, "left_anti"))
+        if not left.limit(1).count():
+            return done
+        reach = min(2 * reach, limit)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import curves, scalars
+from terrane.operators.lookup import small
 from terrane.operators.position import placed
 
 #: Total below which a curve has no shape, coefficient of variation below which it is flat, correlation that
@@ -164,3 +165,28 @@ def vector_distance(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     x, y = (F.transform(c, lambda v: v.cast("double")) for c in (a, b))
     return F.try_divide(curves.dot(x, y), F.sqrt(curves.dot(x, x) * curves.dot(y, y)))
+
+
+def cell_key(*axes: Column) -> Column:
+    """The cell of a row on several class axes, "a | b"; null if any axis is."""
+    return F.concat(axes[0], *(x for a in axes[1:] for x in (F.lit(" | "), a)))
+
+
+def class_lens(df: DataFrame, queries: DataFrame, unit: str, cell: str) -> DataFrame:
+    """(query_id, unit): the units in the same cell as each query's unit, without itself."""
+    own = queries.select("query_id", F.col("query_id").alias(unit)).join(df.select(unit, cell), unit).select("query_id", cell)
+    return own.join(df.select(unit, cell), cell).where(F.col(unit) != F.col("query_id")).select("query_id", unit)
+
+
+def relief(points: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:
+    """key, n, low, high, relief, mean, sd over the points with a value (land); keys with fewer than ``least`` have no row."""
+    out = points.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return out.where(F.col("n") >= least).select(key, "n", "low", "high", (F.col("high") - F.col("low")).alias("relief"), "mean", "sd")
+
+
+def distance_pairs(df: DataFrame, unit: str, features: list[str]) -> DataFrame:
+    """(a, b, distance, similarity) with a < b for all pairs of a small table, such as one row for each class or place:
+    Euclidean distance and 1 / (1 + distance)."""
+    a, b = (df.select(F.col(unit).alias(c), *(F.col(f).alias(f"{c}_{f}") for f in features)) for c in "ab")
+    d = F.sqrt(sum((F.pow(F.col(f"a_{f}") - F.col(f"b_{f}"), F.lit(2)) for f in features), F.lit(0.0)))
+    return a.join(small(b), F.col("a") < F.col("b")).select("a", "b", d.alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))

@@ -109,3 +109,30 @@ def keep_last(batches: DataFrame, keys: list[str], batch: str) -> DataFrame:
 def first_box(df: DataFrame, lat: str, lon: str, boxes: list[tuple[str, float, float, float, float]]) -> Column:
     """Name of the first box (name, west, south, east, north) in the list's order that holds the point."""
     return F.coalesce(*(F.when(F.col(lon).between(w, e) & F.col(lat).between(s, n), name) for name, w, s, e, n in boxes))
+
+
+def nearest_value(queries: DataFrame, points: DataFrame, key: str, at: str, value: str, point: str, names: list[str]) -> DataFrame:
+    """Each query row (columns ``names``, key, at) with the point of its key whose value is nearest: point, away; ties to the
+    smaller point. Both sides are merged into one ordered stream per key, in which the nearest points are the last one before
+    and the first one after, so nothing is joined pair by pair."""
+    p = points.groupBy(key, F.col(value).alias("_t")).agg(F.min(point).alias("_p")).withColumn("_q", F.lit(0))
+    q = queries.select(*names, key, F.col(at).alias("_t"), F.lit(1).alias("_q"))
+    both = q.unionByName(p, allowMissingColumns=True).withColumn("_s", F.when(F.col("_q") == 0, F.struct("_t", "_p")))
+    order = Window.partitionBy(key).orderBy("_t", "_q")
+    both = both.withColumn("_b", F.last("_s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("_a", F.first("_s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    ends = F.filter(F.array("_b", "_a"), lambda x: x.isNotNull())
+    best = F.array_min(F.transform(ends, lambda x: F.struct(F.abs(F.col("_t") - x["_t"]).alias("away"), x["_p"].alias("p"))))
+    return both.where("_q = 1").withColumn("_m", best).where("_m IS NOT NULL").select(*names, key, F.col("_m.p").alias(point), F.col("_m.away").alias("away"))
+
+
+def two_stage(df: DataFrame, keys: list[str], first: str, second: str, unit: str, candidates: int = 500, k: int = 10) -> DataFrame:
+    """The ``k`` best by ``second`` among the ``candidates`` best by ``first``, both falling, ties to the smaller unit: rank."""
+    some = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(first), unit))).where(F.col("_r") <= candidates).drop("_r")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(second), unit))).where(F.col("rank") <= k)
+
+
+def best_row(df: DataFrame, keys: list[str], by: str, unit: str, values: list[str]) -> DataFrame:
+    """Each group's row with the largest ``by``, ties to the smaller unit: keys, unit, values."""
+    top = df.groupBy(*keys).agg(F.max_by(F.struct(unit, *values), F.struct(by, -F.col(unit))).alias("_b"))
+    return top.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in (unit, *values)))

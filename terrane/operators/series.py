@@ -108,3 +108,13 @@ def grid_cell(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
 def nearest_grid_point(lat: Column, lon: Column, step: float) -> tuple[Column, Column]:
     """Latitude and east longitude (0 up to 360) of the nearest node of a regular grid: arithmetic, not a search."""
     return F.round(lat / step) * step, F.pmod(F.round(F.pmod(lon, F.lit(360.0)) / step) * step, F.lit(360.0))
+
+
+def month_value(months: Column, month: Column) -> Column:
+    """The value of a month, 1 to 12, of an array of twelve; null for other numbers."""
+    return F.get(months, F.when(month.between(1, 12), (month - 1).cast("int")).otherwise(F.lit(-1)))
+
+
+def share_of_units(cells: DataFrame, members: DataFrame, unit: str, cell: str, value: str, area: str) -> DataFrame:
+    """unit, share: hundredths of a unit's area that the values of the cells whose centre it holds take up; null without area."""
+    return members.join(cells, cell).groupBy(unit).agg((100.0 * F.try_divide(F.sum(value), F.nullif(F.sum(area), F.lit(0.0)))).alias("share"))

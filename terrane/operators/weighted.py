@@ -140,3 +140,13 @@ def mixture(parts: DataFrame, keys: list[str], label: str) -> DataFrame:
         bits.alias("entropy"),
         F.coalesce(F.try_divide(bits, F.log2(F.count("*"))), F.lit(0.0)).alias("evenness"),
     )
+
+
+def stratified_rates(population: DataFrame, sample: DataFrame, stratum: str, value: str, cutoffs: list[float]) -> DataFrame:
+    """cutoff, rate: the share of the population whose value reaches each cutoff, from a sample whose rows weigh their stratum's
+    size over the stratum's sampled rows."""
+    size = population.groupBy(stratum).agg(F.count("*").alias("_size"))
+    some = sample.groupBy(stratum).agg(F.count("*").alias("_n"), *(F.count_if(F.col(value) >= c).alias(f"_c{i}") for i, c in enumerate(cutoffs)))
+    w = F.col("_size") / F.col("_n")
+    one = some.join(size, stratum).agg(F.sum("_size").alias("_all"), *(F.sum(w * F.col(f"_c{i}")).alias(f"_s{i}") for i in range(len(cutoffs))))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(float(c)).alias("cutoff"), (F.col(f"_s{i}") / F.col("_all")).alias("rate")) for i, c in enumerate(cutoffs)))))

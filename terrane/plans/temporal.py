@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators import series
+from terrane.operators import lookup, series
 from terrane.plans.registry import Tables, money, query, rounded
 
 YEARS = list(range(1995, 2002))
@@ -137,9 +137,10 @@ def t18(t: Tables) -> DataFrame:
 
 @query("R12_nearest_large", """SELECT DISTINCT ON (c_custkey) c_custkey, s_suppkey, round(abs(c_acctbal - s_acctbal), 4) AS away FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal > 1000 ORDER BY c_custkey, abs(c_acctbal - s_acctbal), s_suppkey""")
 def r12(t: Tables) -> DataFrame:
-    near = t.customer.join(t.supplier.where("s_acctbal > 1000"), F.col("c_nationkey") == F.col("s_nationkey")).withColumn("away", F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
-    best = near.groupBy("c_custkey").agg(F.min(F.struct("away", "s_suppkey")).alias("b"))
-    return best.select("c_custkey", "b.s_suppkey", F.round("b.away", 4).alias("away"))
+    points = t.supplier.where("s_acctbal > 1000").select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_acctbal")
+    asked = t.customer.select("c_custkey", F.col("c_nationkey").alias("k"), "c_acctbal")
+    out = lookup.nearest_value(asked, points, "k", "c_acctbal", "s_acctbal", "s_suppkey", ["c_custkey"])
+    return out.select("c_custkey", "s_suppkey", F.round("away", 4).alias("away"))
 
 
 @query("Z3_renormalised_mean", """WITH w AS (SELECT c_nationkey AS k, c_acctbal AS v, 1 + c_custkey % 7 AS o FROM customer WHERE c_custkey % 17 <> 0) SELECT k, count(*) AS n, round(sum(o * v) / sum(o), 6) AS mean FROM w GROUP BY 1""")
