@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch. Texts may be very long, so batches are kept small.
-TEXT_ROWS_PER_BATCH = 256
+TEXT_ROWS_PER_BATCH = 128
 
 #: Rows of a narrow table in one file.
 ROWS_PER_FILE = 100_000
@@ -104,7 +104,7 @@ def drop_made(paths: list[str]) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of text small, so that very long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +129,7 @@ def words_of(raw: bytes) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash by word. Forgets all words when it holds too many, so that it stays bounded."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -11,7 +11,8 @@ steps end once every slot is below the next step's least value; for long documen
 3. Buckets that still hold several components are searched in full: blocks of bounded size are paired, and members of
    different components whose signatures differ by no more than chance allows are compared by their least hashes, which
    are whole sets up to SAMPLE shingles; pairs that these can't rule out are verified, and components are final.
-   Only documents that are already connected are never compared again, so no link is lost.
+   Only documents that are already connected are never compared again, so no link is lost. Members of the pivot's component,
+   most of a large bucket, are dealt once for each block of the other members and never against each other.
 
 Verification compares full sets of 64-bit shingle hashes.
 """
@@ -189,23 +190,25 @@ def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _compare_tiles(least: int, percent: int):
-    """For applyInPandas over (key, i, j): pairs across components worth verifying. Each pair is taken in the first band
-    that it shares; a tile has at most 2 * TILE members, give or take the chance of the hash that deals them."""
+    """For applyInPandas over (key, inner, i, j): pairs across components worth verifying. An ``inner`` tile pairs the blocks i
+    and j of a bucket's outsiders with each other, another tile the outsiders' block i with block j of the pivot's component.
+    Each pair is taken in the first band that it shares; a tile has at most 2 * TILE members, give or take the chance of the
+    hash that deals them."""
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
+        inner, i, j = bool(tile["inner"].iloc[0]), int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
         sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(len(tile), SLOTS)
         bands = np.stack(tile["bands"].to_numpy())
-        doc, comp, n, part, band = (tile[c].to_numpy() for c in ("doc", "comp", "n_shingles", "part", "band"))
+        doc, comp, n, part, out, band = (tile[c].to_numpy() for c in ("doc", "comp", "n_shingles", "part", "out", "band"))
         least_of = [np.frombuffer(x, "<u4") for x in tile["least"]]
-        xs, ys = (np.flatnonzero(part == i), np.flatnonzero(part == j))
+        xs, ys = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if inner else (np.flatnonzero(out), np.flatnonzero(~out))
         found = []
         for start in range(0, len(xs), 128):
             x = xs[start : start + 128]
             near = _agreement(sig[x], sig[ys]) >= least
             near &= comp[x][:, None] != comp[ys][None, :]
             near &= 100 * np.minimum(n[x][:, None], n[ys][None, :]) >= percent * np.maximum(n[x][:, None], n[ys][None, :])
-            if i == j:
+            if inner and i == j:
                 near &= doc[x][:, None] < doc[ys][None, :]
             a, b = np.nonzero(near)
             a, b = x[a], ys[b]
@@ -218,6 +221,20 @@ def _compare_tiles(least: int, percent: int):
     return run
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """The rows of (key, doc, out, n_in, n_out) for each tile that they belong to: inner, part, i, j. A bucket of M members of
+    the pivot's component and m outsiders makes about (2 M + m) * m / TILE rows."""
+    ins, outs = F.ceil(F.col("n_in") / TILE).cast("int"), F.ceil(F.col("n_out") / TILE).cast("int")
+    part = F.pmod(F.xxhash64("doc"), F.when(F.col("out"), outs).otherwise(ins)).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda inner, i, j: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"))
+    mine = F.when(
+        F.col("out"),
+        F.concat(F.transform(upto(ins), lambda p: tile(False, F.col("part"), p)), F.transform(upto(outs), lambda p: tile(True, F.least("part", p), F.greatest("part", p)))),
+    ).otherwise(F.transform(upto(outs), lambda p: tile(False, p, F.col("part"))))
+    return members.withColumn("part", part).withColumn("_t", F.explode(mine)).select(*members.columns, "part", "_t.inner", "_t.i", "_t.j")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included), kept.
 
@@ -258,17 +275,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     found = connected_components(_with_repeats(links, some, classes), name="minhash-first", rows=2 * n)
 
     # what buckets of several components still hide
-    placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"), "members")
-    placed = materialize(placed, "minhash-placed", BANDS * n)
-    mixed = materialize(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "minhash-mixed", BANDS // 2 * n)
-    open_ = materialize(placed.join(mixed, "key", "left_semi"), "minhash-open", BANDS * n)
-    ids = materialize(open_.select(F.col("doc").alias("doc_id")).distinct(), "minhash-open-ids", n)
-    samples = materialize(_samples(texts.join(ids, "doc_id", "left_semi"), size), "minhash-samples")
-    open_ = open_.join(reps, "doc").join(samples, "doc")
-    parts = F.ceil(F.col("members") / TILE).cast("int")
-    open_ = open_.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    open_ = open_.select("key", "band", "doc", "comp", "n_shingles", "bands", "sig", "least", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    more = materialize(open_.groupBy("key", "i", "j").applyInPandas(_compare_tiles(least, percent), "a long, b long"), "minhash-more")
+    placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "band", "doc", F.coalesce("component", "doc").alias("comp"))
+    tops = pivots.join(found.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("top"))
+    placed = materialize(placed.join(tops, "key").select("key", "band", "doc", "comp", (F.col("comp") != F.col("top")).alias("out")), "minhash-placed")
+    mixed = placed.groupBy("key").agg(F.count_if("out").alias("n_out"), F.count_if(~F.col("out")).alias("n_in")).where("n_out > 0")
+    open_ = materialize(placed.join(materialize(mixed, "minhash-mixed"), "key"), "minhash-open")
+    ids = open_.select(F.col("doc").alias("doc_id")).distinct()
+    samples = materialize(_samples(texts.join(materialize(ids, "minhash-open-ids"), "doc_id", "left_semi"), size), "minhash-samples")
+    dealt = _tiles(open_).join(reps, "doc").join(samples, "doc")
+    dealt = dealt.select("key", "band", "doc", "comp", "n_shingles", "bands", "sig", "least", "part", "out", "inner", "i", "j")
+    more = materialize(dealt.groupBy("key", "inner", "i", "j").applyInPandas(_compare_tiles(least, percent), "a long, b long"), "minhash-more")
     late = _verified(more, texts, size, percent, "minhash-late", more.count())
     final = connected_components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), name="minhash-final", rows=2 * n)
 

@@ -40,7 +40,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 class _Chunks(dict):
     """Ids, as little-endian unsigned 32-bit, of a space and then the chunk that is the key."""
 
-    LIMIT = 800_000
+    LIMIT = 250_000
 
     def __init__(self, parts: tiktoken.Encoding):
         self.encode = parts.encode_ordinary

@@ -52,17 +52,21 @@ class Model:
         """(start, end, score) in bytes of each sentence that has a known word."""
         out, at = [], 0
         for s in raw.translate(_TABLE).split(b"\n"):
-            known = [self.weights[w] for w in s.split() if w in self.weights]
+            known = {w for w in s.split() if w in self.weights}  # a word counts once in a sentence, as in the fit
             if known:
-                out.append((at, at + len(s), 1 / (1 + np.exp(-self.bias - sum(known)))))
+                out.append((at, at + len(s), float(1 / (1 + np.exp(-self.bias - sum(self.weights[w] for w in sorted(known)))))))
             at += len(s) + 1
         return out
 
-    def score(self, raw: bytes) -> float:
-        left = 1 - self.leak
-        for _, _, p in self.sentences(raw):
+    def judge(self, raw: bytes) -> tuple[float, tuple[int, int, float] | None]:
+        """The document's score, and its worst sentence (the first of several), if any has a known word."""
+        left, found = 1 - self.leak, self.sentences(raw)
+        for _, _, p in found:
             left *= 1 - p
-        return 1 - left
+        return 1 - left, max(found, key=lambda x: (x[2], -x[0]), default=None)
+
+    def score(self, raw: bytes) -> float:
+        return self.judge(raw)[0]
 
 
 def _vocabulary(raws: list[bytes], y: np.ndarray) -> list[bytes]:
@@ -79,6 +83,20 @@ def _vocabulary(raws: list[bytes], y: np.ndarray) -> list[bytes]:
     return [w for _, w in sorted(found)[:VOCABULARY]]
 
 
+def loss_and_gradient(theta: np.ndarray, word: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean weighted negative log-likelihood with the weights' penalty, and its gradient. ``theta``: weights, bias, logit of the
+    leak; ``word`` and ``sentence``: a row for each known word of a sentence; ``doc``: each sentence's document."""
+    w, b, leak = theta[:-2], theta[-2], 1 / (1 + np.exp(-theta[-1]))
+    z = b + np.bincount(sentence, w[word], len(doc))
+    log_left = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), len(y))
+    left = np.exp(log_left)
+    loss = (-(1 - y) * log_left - TOXIC_WEIGHT * y * np.log(np.maximum(1 - left, 1e-9))).sum() + 0.025 * (w**2).sum()
+    pull = (1 - y) - TOXIC_WEIGHT * y * left / np.maximum(1 - left, 1e-9)  # of each document on all its sentences
+    dz = pull[doc] / (1 + np.exp(-z))
+    grad = np.concatenate((np.bincount(word, dz[sentence], len(w)) + 0.05 * w, [dz.sum(), leak * pull.sum()]))
+    return loss / len(y), grad / len(y)
+
+
 def fit(raws: list[bytes], labels: list[int]) -> Model:
     """Noisy-or logistic weights from texts and their labels."""
     y = np.array(labels, float)
@@ -96,19 +114,11 @@ def fit(raws: list[bytes], labels: list[int]) -> Model:
                 word += sorted(known)
                 sentence += [len(doc)] * len(known)
                 doc.append(d)
-    word, sentence, doc = (np.array(x, np.int64) for x in (word, sentence, doc))
-    # parameters: weights, bias, the logit of the leak
+    rows = [np.array(x, np.int64) for x in (word, sentence, doc)]
     theta = np.concatenate((np.full(len(words), 2.0), [-3.0, -3.0]))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        w, b, leak = theta[:-2], theta[-2], 1 / (1 + np.exp(-theta[-1]))
-        z = b + np.bincount(sentence, w[word], len(doc))
-        p = 1 / (1 + np.exp(-z))
-        log_left = np.log1p(-leak) - np.bincount(doc, np.logaddexp(0, z), len(y))
-        left = np.exp(log_left)
-        pull = (1 - y) - TOXIC_WEIGHT * y * left / np.maximum(1 - left, 1e-9)  # of each document on all its sentences
-        dz = p * pull[doc]
-        grad = np.concatenate((np.bincount(word, dz[sentence], len(words)) + 0.05 * w, [dz.sum(), leak * pull.sum()])) / len(y)
+        grad = loss_and_gradient(theta, *rows, y)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({w: float(x) for w, x in zip(words, theta, strict=False)}, float(theta[-2]), float(1 / (1 + np.exp(-theta[-1]))))
@@ -129,14 +139,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row."""
+    """(doc_id, score, worst_start, worst_end, worst_score) of each row: the document's score, and its worst sentence in UTF-8
+    bytes with its own score; nulls without a known word."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield pa.record_batch([batch.column("doc_id"), pa.array([shipped.value.score(raw) for raw in raw_texts(batch.column("text"))], pa.float64())], names=["doc_id", "score"])
+            judged = [shipped.value.judge(raw) for raw in raw_texts(batch.column("text"))]
+            worst = [w or (None, None, None) for _, w in judged]
+            yield pa.record_batch([
+                batch.column("doc_id"), pa.array([s for s, _ in judged], pa.float64()), *(pa.array([w[i] for w in worst], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))),
+            ], names=["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, worst_start long, worst_end long, worst_score double")
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -157,11 +172,11 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, cut: float = 0.7) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Labels of the held-out fold are not learned from."""
+    """Per document: doc_id, held_out, score, predicted, and the worst sentence. Labels of the held-out fold are not learned from."""
     small_batches(docs.sparkSession)
     model = train(docs, labels, remainder(F.col("doc_id"), folds) != fold)
     held = F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(True))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:

@@ -386,6 +386,38 @@ def test_url_aliases_and_allow_precedence(spark):
     assert got == [(1, "block", None, "alias"), (1, "block", None, "alias"), (2, "block", "org/es/", "rule"), (3, "allow", "net/de/", "rule"), (4, "allow", None, "default"), (5, "allow", None, "default"), (6, "block", None, "alias")]
 
 
+LINKS = [
+    ("https://A.example/x", '<link rel="canonical" href="https://bad.example/p">', "https://bad.example/p"),
+    ("https://a.example/x", "<LINK HREF='//bad.example/p?q=1&amp;r=2' REL='canonical'>", "https://bad.example/p?q=1&r=2"),
+    ("https://a.example/d/x", '<link href=/root rel=canonical>', "https://a.example/root"),
+    ("https://a.example/d/x", '<link rel="canonical" href="next">', "https://a.example/d/next"),
+    ("https://a.example", '<link rel="canonical" href="next">', "https://a.example/next"),
+    ("http://a.example/x", '<meta http-equiv="refresh" content="0; url=https://bad.example/p">', "https://bad.example/p"),
+    ("http://a.example/x", "<meta content='5;URL=/moved' http-equiv='Refresh'>", "http://a.example/moved"),
+    ("http://a.example/x", '<link rel="stylesheet" href="a.css"><p>canonical refresh</p>', None),
+    ("http://a.example/x", None, None),
+    (None, '<link rel="canonical" href="https://bad.example/p">', None),
+]
+
+
+def test_links_in_html(spark):
+    for k, (url, html, want) in enumerate(LINKS):
+        got = [r.b for r in urls.edges_in(spark.createDataFrame([(k, url, html)], "page_id long, url string, html string")).collect()]
+        assert got == ([want] if want else []), (url, html)
+
+
+def test_aliases_from_html(spark):
+    """A chain and a cycle of links reach a blocked url; an allow inside the blocked component stays; long html is read whole."""
+    canonical = lambda to: f"<p>{'x ' * 20000}</p><link rel=canonical href='{to}'>"
+    rows = [(1, "https://one.site/a", canonical("https://two.site/b"), "x"), (2, "https://two.site/b", canonical("https://three.site/c"), "x"), (3, "https://three.site/c", canonical("https://one.site/a"), "x"), (4, "https://four.site/d", canonical("https://three.site/c"), "x"),
+            (5, "https://bad.site/e", canonical("https://four.site/d"), "x"), (6, "https://good.bad.site/ok/1", canonical("https://bad.site/e"), "x"), (7, "https://far.site/", None, "x"), (7, "https://far.site/", None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
+    rules = urls.rule_table(spark, [("block", "bad.site", "/"), ("allow", "good.bad.site", "/ok"), ("block", "good.bad.site", "/ok")])
+    got = {r.page_id: (r.verdict, r.decided_by) for r in urls.judge(pages, rules).collect()}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("block", "alias"), 5: ("block", "rule"), 6: ("allow", "rule"), 7: ("allow", "default")}
+    assert urls.judge(pages.limit(0), rules).count() == 0
+
+
 def test_url_rules_beyond_broadcast(spark, monkeypatch):
     pages = table(spark, FOLDER, "pages")
     rules = urls.rule_table(spark, urls.RULES)
@@ -441,6 +473,26 @@ def test_noisy_or():
     m = toxicity.Model({b"bad": 1.0}, 0.0, 0.1)
     p = 1 / (1 + math.exp(-1))
     assert m.score(b"bad. fine. so Bad!") == pytest.approx(1 - 0.9 * (1 - p) ** 2) and m.score(b"") == pytest.approx(0.1)
+    assert m.score(b"bad bad") == m.score(b"bad") and m.judge(b"fine. it is bad. bad")[1][:2] == (5, 15) and m.judge(b"fine")[1] is None
+
+
+def test_noisy_or_gradient():
+    rng = np.random.default_rng(4)
+    word, sentence = rng.integers(0, 5, 30), np.sort(rng.integers(0, 12, 30))
+    doc, y = np.sort(rng.integers(0, 6, 12)), np.array([0, 1, 0, 1, 1, 0.0])
+    theta = rng.normal(0, 0.5, 7)
+    grad = toxicity.loss_and_gradient(theta, word, sentence, doc, y)[1]
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        slope = (toxicity.loss_and_gradient(theta + step, word, sentence, doc, y)[0] - toxicity.loss_and_gradient(theta - step, word, sentence, doc, y)[0]) / 2e-6
+        assert slope == pytest.approx(grad[k], abs=1e-6)
+
+
+def test_worst_sentence_is_reported(spark):
+    rows = [(i, f"All is well here. {'You vile grobnak.' if i % 2 else 'You kind soul.'} See you") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    for r in toxicity.report(documents(spark, rows), labels).collect():
+        assert r.predicted == r.doc_id % 2 and (not r.doc_id % 2 or rows[r.doc_id][1][r.worst_start : r.worst_end].strip() == "You vile grobnak")
 
 
 def test_pipeline_stages(spark):
