@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ def k_selection(df: DataFrame, unit: str, vector: str, ks: list[int], seed: int)
     v = _vectors(df, unit, vector).cache()
     rows = []
     n = v.count()
-    total = float(KMeans(k=1, seed=seed, initMode="random").fit(v).summary.trainingCost)
+    # squares about the mean: sample variances of the components, times n - 1
+    total = float(v.select(Summarizer.variance(F.col("features")).alias("s")).first()["s"].toArray().sum()) * (n - 1) if n > 1 else 0.0
     for k in ks:
         model = KMeans(k=k, seed=seed).fit(v)
         inertia = float(model.summary.trainingCost)
