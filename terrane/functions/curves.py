@@ -98,3 +98,25 @@ def reconstruction(a: Column, n: int = 12) -> Column:
         terms.append((dot(a, c) * 2 / n, dot(a, s) * 2 / n))
     value = lambda t: m + sum((ca * F.cos(2 * pi * k * t / n) + sa * F.sin(2 * pi * k * t / n) for k, (ca, sa) in enumerate(terms, 1)), F.lit(0.0))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.greatest(F.lit(0.0), value(t)))
+
+
+def circular_peaks(a: Column, least: float, n: int = 12) -> Column:
+    """Local maxima of a circular curve as (month from 0, value, prominence), those of at least ``least`` prominence.
+
+    A place is a maximum if neither neighbour is higher and one is lower. Its prominence is its height above the higher of the
+    two lowest values met on the way left and right until the curve exceeds the peak, or once around.
+    """
+    twice = F.concat(a, a)
+
+    def floor(way: Column, top: Column) -> Column:
+        start = F.struct(F.lit(float("inf")).alias("low"), F.lit(True).alias("on"))
+        step = lambda s, x: F.struct(F.when(s["on"] & (x <= top), F.least(s["low"], x)).otherwise(s["low"]).alias("low"), (s["on"] & (x <= top)).alias("on"))
+        return F.aggregate(way, start, step, lambda s: s["low"])
+
+    def peak(i: Column) -> Column:
+        top, left, right = F.get(a, i), F.get(a, F.pmod(i - 1, F.lit(n))), F.get(a, F.pmod(i + 1, F.lit(n)))
+        here = (top >= left) & (top >= right) & ((top > left) | (top > right))
+        prominence = top - F.greatest(floor(F.reverse(F.slice(twice, i + 1, F.lit(n))), top), floor(F.slice(twice, i + 2, F.lit(n)), top))
+        return F.struct(i.alias("month"), top.alias("value"), F.when(here, prominence).alias("prominence"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), peak), lambda p: p["prominence"] >= least)

@@ -64,7 +64,7 @@ UNEP_EDGES, UNEP_LABELS = [0.05, 0.2, 0.5, 0.65], ["hyper-arid", "arid", "semi-a
 
 def relief_position(elevation: Column, low: Column, high: Column) -> Column:
     """Share of the relief below the point, within 0 and 1; null without relief."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(elevation - low, high - low)))
+    return F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(elevation - low, high - low))))
 
 
 def qualifier(percentile: Column) -> Column:

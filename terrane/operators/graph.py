@@ -52,15 +52,15 @@ def flow_class(pairs: DataFrame, closure: DataFrame, centre: str, neighbour: str
 RING_LEAST, RING_ALL_BUT_ONE, SHARP = 3, 5, 10.0
 
 
-def ring_comparison(pairs: DataFrame, centre: str, own: str, theirs: str) -> DataFrame:
+def ring_comparison(pairs: DataFrame, centre: str, own: str, theirs: str, least: int = RING_LEAST) -> DataFrame:
     """centre, n, n_less, n_more, side, k, top, bottom, all_but_one: how the centre stands among its neighbours.
 
     ``side`` is more (than the ``n_less`` of them) or less, ``k`` the neighbours on that side. Values are compared to six places.
-    Centres without a value, with fewer than RING_LEAST neighbours that have one, or equal to all of them, have no row.
+    Centres without a value, with fewer than ``least`` neighbours that have one, or equal to all of them, have no row.
     """
     c, x = F.round(own, 6), F.round(theirs, 6)
     counts = pairs.where(c.isNotNull() & x.isNotNull()).groupBy(centre).agg(F.count("*").alias("n"), F.count_if(x < c).alias("n_less"), F.count_if(x > c).alias("n_more"))
-    counts = counts.where((F.col("n") >= RING_LEAST) & ((F.col("n_less") > 0) | (F.col("n_more") > 0)))
+    counts = counts.where((F.col("n") >= least) & ((F.col("n_less") > 0) | (F.col("n_more") > 0)))
     n, less, more = F.col("n"), F.col("n_less"), F.col("n_more")
     k = F.greatest(less, more)
     return counts.select(

@@ -136,3 +136,19 @@ def best_row(df: DataFrame, keys: list[str], by: str, unit: str, values: list[st
     """Each group's row with the largest ``by``, ties to the smaller unit: keys, unit, values."""
     top = df.groupBy(*keys).agg(F.max_by(F.struct(unit, *values), F.struct(by, -F.col(unit))).alias("_b"))
     return top.select(*keys, *(F.col(f"_b.{c}").alias(c) for c in (unit, *values)))
+
+
+def per_stratum(df: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
+    """The same number of rows of every stratum, the first ones by ``order``; weight is the stratum's size over the rows taken."""
+    size = df.groupBy(stratum).agg(F.count("*").alias("_size"))
+    taken = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    return taken.join(size, stratum).withColumn("weight", F.col("_size") / F.least("_size", F.lit(n))).drop("_size")
+
+
+def merged_sources(first: DataFrame, second: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row for each key of either source: the first source's values where it has them, else the second's; source tells which
+    ones hold the key."""
+    a = first.select(key, *(F.col(v).alias(f"_a_{v}") for v in values), F.lit(True).alias("_in_a"))
+    b = second.select(key, *(F.col(v).alias(f"_b_{v}") for v in values), F.lit(True).alias("_in_b"))
+    source = F.when(F.col("_in_a") & F.col("_in_b"), "both").when(F.col("_in_a"), "first").otherwise("second")
+    return a.join(b, key, "full").select(key, *(F.coalesce(f"_a_{v}", f"_b_{v}").alias(v) for v in values), source.alias("source"))

@@ -256,6 +256,43 @@ def cross_band(rows: DataFrame, keys: list[str], bands: str = "ABCDE") -> DataFr
     return first.unionByName(whole.select(*keys, F.inline(rest)))
 
 
+#: First and last year of the yearly record and of the event catalogue.
+YEARLY, EVENTS = (0, 1998), (-491, 1890)
+
+
+def over_time(spans: DataFrame, yearly: DataFrame, epochs: DataFrame, events: DataFrame, fields: list[str], uses: list[str]) -> DataFrame:
+    """Statements about a span (query_id, low, high): query_id, rule, item, applies, reason, stat.
+
+    ``yearly`` and ``epochs`` are (query_id, variable, year, value) of the variables ``fields`` and ``uses``; ``events`` is
+    (query_id, year, size). Mean of the yearly values, the part of the span that they cover, change from the first to the last
+    epoch, and the largest event.
+    """
+    none = F.lit(None).cast("double")
+    row = lambda rule, item, reason, stat: F.struct(F.lit(rule).alias("rule"), item.alias("item"), reason.isNull().alias("applies"), reason.alias("reason"), F.when(reason.isNull(), stat).cast("double").alias("stat"))
+    asked = lambda names: spans.select("query_id", F.explode(F.array(*map(F.lit, names))).alias("variable"))
+    whole = F.lit("(query)")
+
+    means = asked(fields).join(yearly.groupBy("query_id", "variable").agg(F.avg("value").alias("m")), ["query_id", "variable"], "left")
+    first = means.select("query_id", F.inline(F.array(row("BT-01", F.col("variable"), F.when(F.col("m").isNull(), "no_yearly_rows"), F.col("m")))))
+
+    covered = spans.join(yearly.groupBy("query_id").agg(F.count_distinct("year").alias("n"), F.min("year").alias("a"), F.max("year").alias("b")), "query_id", "left")
+    outside = (F.col("high") < YEARLY[0]) | (F.col("low") > YEARLY[1])
+    partly = (F.col("a") > F.col("low")) | (F.col("b") < F.col("high"))
+    why = F.when(F.col("n").isNull(), F.when(~outside, "no_rows_inside_record")).otherwise(F.when(~partly, "fully_covered"))
+    second = covered.select("query_id", F.inline(F.array(row("BT-04", whole, why, F.coalesce(F.col("n") / (F.col("high") - F.col("low") + 1), F.lit(0.0))))))
+
+    ends = epochs.groupBy("query_id", "variable").agg(F.count("*").alias("n"), F.min_by("value", "year").alias("a"), F.max_by("value", "year").alias("b"))
+    any_ = epochs.select("query_id").distinct().withColumn("some", F.lit(True))
+    change = asked(uses).join(ends, ["query_id", "variable"], "left").join(any_, "query_id", "left")
+    why = F.when(F.col("some").isNull(), "no_epoch_rows").when(F.coalesce("n", F.lit(0)) < 2, "single_epoch")
+    third = change.select("query_id", F.inline(F.array(row("BT-06", F.col("variable"), why, F.when(F.col("a") > 0, (F.col("b") - F.col("a")) / F.col("a")).otherwise(none)))))
+
+    largest = spans.select("query_id").join(events.groupBy("query_id").agg(F.max("size").alias("top")), "query_id", "left")
+    top = F.col("top")
+    fourth = largest.select("query_id", F.inline(F.array(row("BT-09", whole, F.when(top.isNull(), "no_events"), top), row("BT-10", whole, F.when(top.isNotNull(), "events_present"), F.lit(0.0)))))
+    return first.unionByName(second).unionByName(third).unionByName(fourth)
+
+
 def leaders(rows: DataFrame, keys: list[str], score: str = "representative_score", n: int = 3, floor: float = 25.0) -> DataFrame:
     """What makes a query distinct: its n variables farthest from 50, at least ``floor`` points: keys, variable, far, rank."""
     far = F.abs(F.col(score) - 50)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions import scalars
-from terrane.operators import cluster, geometry, lenses, lookup, position, series, spatialstats, weighted
-from terrane.plans.curves import PLACED, placed
+from terrane.functions import curves, scalars
+from terrane.operators import cluster, geometry, graph, lenses, lookup, position, series, spatialstats, statements, weighted
+from terrane.plans.curves import HAV, MONTHS, PLACED, WHOLE, monthly, placed
 from terrane.plans.registry import Tables, query, rounded
-from terrane.plans.spatial import BOX, EDGES, _boxes, _edges, _values
+from terrane.plans.spatial import BOX, EDGES, PAIRS, _boxes, _edges, _pairs, _values, tree
 
 
 @query("F4_month_value", "SELECT c_custkey, CASE WHEN c_custkey % 14 BETWEEN 1 AND 12 THEN ((c_custkey % 14) * (c_nationkey + 1))::DOUBLE END AS v FROM customer")
@@ -131,3 +131,98 @@ def z4(t: Tables) -> DataFrame:
     units = series.share_of_units(cells, t.customer.select(k.alias("unit"), F.col("c_custkey").alias("cell")), "unit", "cell", "v", "area")
     members = t.nation.select(F.col("n_regionkey").alias("polity"), F.col("n_nationkey").alias("unit"), (1.0 + F.col("n_nationkey")).alias("w"))
     return rounded(units.join(members, "unit").groupBy("polity").agg(weighted.wmean("share", "w").alias("share")))
+
+
+@query("H7_circular_peaks", f"""WITH {MONTHS}, o AS (SELECT cell FROM k GROUP BY 1 {WHOLE}), c AS (SELECT cell, t, q::DOUBLE AS v FROM k JOIN o USING (cell)),
+s AS (SELECT a.cell, a.t, a.v, d, n, b.v AS w FROM c a, (SELECT unnest([-1, 1]) AS d) x, (SELECT unnest(range(1, 13)) AS n) y JOIN c b ON b.cell = a.cell AND b.t = (a.t + d * n + 144) % 12),
+f AS (SELECT cell, t, d, min(n) FILTER (WHERE w > v) AS stop FROM s GROUP BY 1, 2, 3), g AS (SELECT s.cell, s.t, s.v, d, min(w) FILTER (WHERE n < coalesce(stop, 99)) AS floor, max(w) FILTER (WHERE n = 1) AS next FROM s JOIN f USING (cell, t, d) GROUP BY 1, 2, 3, 4)
+SELECT cell, t AS month, v AS value, v - max(floor) AS prominence FROM g GROUP BY cell, t, v HAVING max(next) <= v AND min(next) < v AND v - max(floor) >= 30""")
+def h7(t: Tables) -> DataFrame:
+    q = F.transform("q", lambda x: x.cast("double"))
+    return monthly(t).select("cell", F.inline(curves.circular_peaks(q, 30.0)))
+
+
+@query("F13_tiered_match", """WITH q AS (SELECT s_suppkey AS k, s_suppkey % 90 AS a, s_suppkey % 13 AS b FROM supplier), n AS (SELECT c_custkey AS id, c_custkey % 301 AS a, c_custkey % 29 AS b FROM customer),
+m AS (SELECT k, 0 AS o, 'exact' AS tier, id FROM q JOIN n ON q.a = n.a AND q.b = n.b UNION ALL SELECT k, 1, 'first', id FROM q JOIN n ON q.a = n.a UNION ALL SELECT k, 2, 'second', id FROM q JOIN n ON q.b = n.b)
+SELECT DISTINCT ON (k) k, tier, id FROM m ORDER BY k, o, id""")
+def f13(t: Tables) -> DataFrame:
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    asked = t.supplier.select(k.alias("k"), (k % 90).alias("a"), (k % 13).alias("b"))
+    names = t.customer.select(c.alias("id"), (c % 301).alias("na"), (c % 29).alias("nb"))
+    a, b = F.col("a") == F.col("na"), F.col("b") == F.col("nb")
+    return lookup.tiered_match(asked, names, "k", [("exact", a & b), ("first", a), ("second", b)], "id")
+
+
+@query("N2_relief_position", """SELECT p_partkey, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (e - lo) / (hi - lo))) END, 6) AS position FROM (SELECT p_partkey, p_size::DOUBLE AS e, (p_partkey % 20)::DOUBLE AS lo, (p_partkey % 45)::DOUBLE AS hi FROM part) WHERE hi >= lo""")
+def n2(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    lo, hi = (k % 20).cast("double"), (k % 45).cast("double")
+    return rounded(t.part.where(hi >= lo).select("p_partkey", scalars.relief_position(F.col("p_size").cast("double"), lo, hi).alias("position")))
+
+
+@query("L5_diameter", f"WITH {PLACED} SELECT round(max({HAV.format(a='a', b='b')}), 4) AS diameter_km FROM p a JOIN p b ON a.unit < b.unit WHERE a.unit % 150 < 40 AND a.v > 8000 AND b.unit % 150 < 40 AND b.v > 8000")
+def l5(t: Tables) -> DataFrame:
+    return rounded(lenses.diameter_km(placed(t).where("unit % 150 < 40 AND v > 8000"), "lat", "lon"), 4)
+
+
+@query("B7c_event_rows", """WITH e AS (SELECT event_id, (epoch(ts)::BIGINT // 86400 - 19723)::INTEGER AS d, value FROM events WHERE event_type = 'error'), q AS (SELECT n_nationkey AS k, n_nationkey % 10 AS lo, n_nationkey % 10 + n_nationkey AS hi FROM nation)
+SELECT k, event_id, d, value FROM q JOIN e ON d BETWEEN lo AND hi AND d BETWEEN 2 AND 25 AND value >= 80""")
+def b7c(t: Tables) -> DataFrame:
+    e = t.events.where("event_type = 'error'").select("event_id", (F.floor(F.unix_timestamp("ts") / 86400) - 19723).cast("int").alias("d"), "value")
+    n = F.col("n_nationkey")
+    q = t.nation.select(n.alias("k"), (n % 10).alias("lo"), (n % 10 + n).alias("hi"))
+    return series.events_in(q, e, "lo", "hi", "d", "value", 80.0, (2, 25)).select("k", "event_id", "d", "value")
+
+
+@query("G7_across_divide", f"""WITH {PAIRS}, x AS (SELECT n.* FROM n LEFT JOIN c u ON u.node = n.b AND u.ancestor = n.a LEFT JOIN c d ON d.node = n.a AND d.ancestor = n.b WHERE u.node IS NULL AND d.node IS NULL AND ra = rb AND vb IS NOT NULL),
+g AS (SELECT a, count(*) AS n, count(*) FILTER (WHERE vb < va) AS n_less, count(*) FILTER (WHERE vb > va) AS n_more FROM x GROUP BY 1)
+SELECT *, CASE WHEN n_less >= n_more THEN 'more' ELSE 'less' END AS side, greatest(n_less, n_more) AS k, n_less = n AS top, n_more = n AS bottom, n >= 5 AND greatest(n_less, n_more) = n - 1 AS all_but_one FROM g WHERE n >= 2 AND n_less + n_more > 0""")
+def g7(t: Tables) -> DataFrame:
+    classed = graph.flow_class(_pairs(t), graph.ancestors(tree(t), "node", "parent"), "a", "b", "ra", "rb")
+    return graph.ring_comparison(classed.where("flow = 'same'"), "a", "va", "vb", least=2)
+
+
+@query("Z12_cluster_labels", """WITH m AS (SELECT c_nationkey % 6 AS cluster, avg(c_acctbal) AS x FROM customer GROUP BY 1), s AS (SELECT c_nationkey % 6 AS cluster, c_mktsegment AS g, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey % 6)::DOUBLE AS share FROM customer GROUP BY 1, 2)
+SELECT cluster, CASE WHEN x > 4700 THEN 'high' WHEN x > 4300 THEN 'middle' ELSE 'low' END AS label, min(g) IS NOT NULL AS named, round(max(share), 6) AS top_share FROM m JOIN s USING (cluster) GROUP BY cluster, x""")
+def z12(t: Tables) -> DataFrame:
+    rows = t.customer.select((F.col("c_nationkey") % 6).alias("cluster"), F.col("c_mktsegment").alias("g"), F.col("c_acctbal").alias("x"), F.lit(1.0).alias("w"))
+    centres = rows.groupBy("cluster").agg(F.avg("x").alias("x"))
+    top = weighted.mixture(weighted.shares(rows, ["cluster"], "g", "w"), ["cluster"], "g")
+    label = F.when(F.col("x") > 4700, "high").when(F.col("x") > 4300, "middle").otherwise("low")
+    return rounded(centres.join(top, "cluster").select("cluster", label.alias("label"), F.col("modal_class").isNotNull().alias("named"), F.col("modal_share").alias("top_share")))
+
+
+@query("Z13_merged_sources", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS v, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS g FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT s_suppkey * 2 AS k, s_acctbal AS v, 'SUPPLIER' AS g FROM supplier)
+SELECT k, coalesce(a.v, b.v) AS v, coalesce(a.g, b.g) AS g, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'first' ELSE 'second' END AS source FROM a FULL JOIN b USING (k)""")
+def z13(t: Tables) -> DataFrame:
+    c = F.col("c_custkey")
+    first = t.customer.where(c % 4 != 0).select(c.alias("k"), F.col("c_acctbal").alias("v"), F.when(c % 3 != 0, F.col("c_mktsegment")).alias("g"))
+    second = t.supplier.select((F.col("s_suppkey") * 2).alias("k"), F.col("s_acctbal").alias("v"), F.lit("SUPPLIER").alias("g"))
+    return lookup.merged_sources(first, second, "k", ["v", "g"])
+
+
+@query("Z14_stratified_sample", """SELECT c_mktsegment, c_custkey, round(n / least(n, 20)::DOUBLE, 6) AS weight FROM (SELECT c_mktsegment, c_custkey, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey * 7919 % 1009, c_custkey) AS r FROM customer) WHERE r <= 20""")
+def z14(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    return rounded(lookup.per_stratum(t.customer.select("c_mktsegment", "c_custkey"), "c_mktsegment", [k * 7919 % 1009, k], 20))
+
+
+SPANS = """sp AS (SELECT n_nationkey AS query_id, n_nationkey * 120 - 800 AS low, n_nationkey * 120 - 800 + n_nationkey % 5 * 150 AS high FROM nation), y0 AS (SELECT unnest(range(0, 1999, 50)) AS y), e0 AS (SELECT unnest(range(-700, 2000, 100)) AS y), v0 AS (SELECT unnest(range(-700, 2000, 70)) AS y),
+ya AS (SELECT query_id, 'pdsi' AS variable, y, (y % 37 - 10)::DOUBLE AS v FROM sp JOIN y0 ON y BETWEEN low AND high WHERE query_id % 7 <> 0), ep AS (SELECT query_id, 'crop' AS variable, y, (abs(y) % 53)::DOUBLE AS v FROM sp JOIN e0 ON y BETWEEN low AND high), ev AS (SELECT query_id, y, (abs(y) % 41)::DOUBLE AS s FROM sp JOIN v0 ON y BETWEEN low AND high WHERE y BETWEEN -491 AND 1890)"""
+
+
+@query("Y9_statements_over_time", f"""WITH {SPANS}, m AS (SELECT query_id, avg(v) AS m, count(DISTINCT y) AS n, min(y) AS a, max(y) AS b FROM ya GROUP BY 1), c AS (SELECT query_id, count(*) AS n, arg_min(v, y) AS a, arg_max(v, y) AS b FROM ep GROUP BY 1), t AS (SELECT query_id, max(s) AS top FROM ev GROUP BY 1),
+r AS (SELECT query_id, 'BT-01' AS rule, 'pdsi' AS item, CASE WHEN m IS NULL THEN 'no_yearly_rows' END AS reason, m AS stat FROM sp LEFT JOIN m USING (query_id)
+UNION ALL SELECT query_id, 'BT-04', '(query)', CASE WHEN n IS NULL THEN CASE WHEN NOT (high < 0 OR low > 1998) THEN 'no_rows_inside_record' END WHEN NOT (a > low OR b < high) THEN 'fully_covered' END, coalesce(n / (high - low + 1)::DOUBLE, 0) FROM sp LEFT JOIN m USING (query_id)
+UNION ALL SELECT query_id, 'BT-06', 'crop', CASE WHEN n IS NULL THEN 'no_epoch_rows' WHEN n < 2 THEN 'single_epoch' END, CASE WHEN a > 0 THEN (b - a) / a END FROM sp LEFT JOIN c USING (query_id)
+UNION ALL SELECT query_id, 'BT-09', '(query)', CASE WHEN top IS NULL THEN 'no_events' END, top FROM sp LEFT JOIN t USING (query_id) UNION ALL SELECT query_id, 'BT-10', '(query)', CASE WHEN top IS NOT NULL THEN 'events_present' END, 0 FROM sp LEFT JOIN t USING (query_id))
+SELECT query_id, rule, item, reason IS NULL AS applies, reason, CASE WHEN reason IS NULL THEN round(stat, 6) END AS stat FROM r""")
+def y9(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    spans = t.nation.select(k.alias("query_id"), (k * 120 - 800).alias("low"), (k * 120 - 800 + k % 5 * 150).alias("high"))
+    inside = lambda first, last, step: spans.withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)))).where(F.col("year").between(F.col("low"), F.col("high")))
+    y = F.col("year")
+    yearly = inside(0, 1998, 50).where("query_id % 7 <> 0").select("query_id", F.lit("pdsi").alias("variable"), "year", (y % 37 - 10).cast("double").alias("value"))
+    epochs = inside(-700, 1999, 100).select("query_id", F.lit("crop").alias("variable"), "year", (F.abs(y) % 53).cast("double").alias("value"))
+    events = inside(-700, 1999, 70).where(y.between(*statements.EVENTS)).select("query_id", "year", (F.abs(y) % 41).cast("double").alias("size"))
+    return rounded(statements.over_time(spans, yearly, epochs, events, ["pdsi"], ["crop"]))
