@@ -37,7 +37,7 @@ def euclidean(df: DataFrame, queries: DataFrame, features: list[str], unit: str)
     z = df.na.drop(subset=features).join(F.broadcast(zscore_stats(df, features)))
     scaled = z.select(unit, *(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")).alias(f"z_{f}") for f in features))
     q = scaled.join(small(queries.select("query_id", F.col("query_id").alias(unit))), unit).select("query_id", *(F.col(f"z_{f}").alias(f"q_{f}") for f in features))
-    both = scaled.join(small(q), F.col(unit) != F.col("query_id"))
+    both = scaled.join(F.broadcast(q), F.col(unit) != F.col("query_id"))  # no more rows than the checked queries
     d2 = sum((F.pow(F.col(f"z_{f}") - F.col(f"q_{f}"), F.lit(2)) for f in features), F.lit(0.0))
     return both.select("query_id", unit, F.sqrt(d2).alias("distance"))
 
@@ -57,7 +57,7 @@ def mahalanobis(df: DataFrame, queries: DataFrame, features: list[str], unit: st
     inverse = np.linalg.inv(covariance(df, features))
     whole = df.na.drop(subset=features).select(unit, *features)
     q = whole.join(small(queries.select("query_id", F.col("query_id").alias(unit))), unit).select("query_id", *(F.col(f).cast("double").alias(f"q_{f}") for f in features))
-    both = whole.join(small(q), F.col(unit) != F.col("query_id"))
+    both = whole.join(F.broadcast(q), F.col(unit) != F.col("query_id"))  # no more rows than the checked queries
     d = [F.col(f) - F.col(f"q_{f}") for f in features]
     form = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
     return both.select("query_id", unit, F.sqrt(F.greatest(F.lit(0.0), form)).alias("distance"))
