@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, fuzzy_lines, hmm, minhash, packing, passages, quality, substrings, topk, toxicity, urls
+from terrane.llm import decontaminate, fim, fuzzy_lines, hmm, minhash, packing, passages, quality, spelling, substrings, token_counts, topk, toxicity, urls
 from terrane.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, fold=2, cut=0.7)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_packing,
         op10_quality_classifier,
+        op11_fill_in_middle,
+        op12_token_counts,
+        op13_spelling_variants,
     )
 }
 
@@ -79,4 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substrings.CLEAN_SQL,
     "op4_exact_topk_search": topk.SEARCH_SQL,
     "op5_benchmark_decontamination": decontaminate.REPORT_SQL,
+    "op11_fill_in_middle": fim.DIGESTS_SQL,
+    "op13_spelling_variants": spelling.VARIANTS_SQL,
 }
