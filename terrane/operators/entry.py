@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import bearing
-from terrane.operators import blocks, dispersion, geometry, lookup, weighted
+from terrane.operators import blocks, dispersion, geometry, lookup, shapes, weighted
 
 #: Least weight of a stored crosswalk row, the level that has a crosswalk, sides of a unit's inside share that
 #: count as marginal, fewest units for a coherence tag.
@@ -21,12 +21,13 @@ NOT_AREAL, MODAL = ("polity",), ("buffer", "single_unit", "ring")
 
 
 def resolve_polity(queries: DataFrame, slices: DataFrame, units: DataFrame, unit: str, least: float = 0.0) -> DataFrame:
-    """query_id, slice, unit, weight, inside of queries (query_id, name, year) against slices (slice, name, low, high, ring): the
-    slice of that name whose closed span holds the year, the narrowest and then the smallest, cut with the units (unit, ring)."""
-    at = lookup.valid_at(queries, slices, "year", "low", "high", "name", "slice").select("query_id", "slice", "ring")
+    """query_id, slice, unit, weight, inside of queries (query_id, name, year) against slices (slice, name, low, high, ring or shape):
+    the slice of that name whose closed span holds the year, the narrowest and then the smallest, cut with the units (unit, ring
+    or shape)."""
+    at = lookup.valid_at(queries, slices.drop("ring", "shape"), "year", "low", "high", "name", "slice").select("query_id", "slice")
     # slices are cut once, however many queries ask for them
-    cut = geometry.overlap_weights(units, at.select("slice", "ring").dropDuplicates(["slice"]), unit, "slice", least=least)
-    return at.select("query_id", "slice").join(cut, "slice").select("query_id", "slice", unit, "weight", F.col("unit_fraction").alias("inside"))
+    cut = shapes.overlap_weights(units, slices.join(at.select("slice").distinct(), "slice", "left_semi"), unit, "slice", least=least)
+    return at.join(cut, "slice").select("query_id", "slice", unit, "weight", F.col("unit_fraction").alias("inside"))
 
 
 def resolve_crosswalk(queries: DataFrame, crosswalk: DataFrame, level: int = CROSSWALK_LEVEL, least: float = CROSSWALK_LEAST) -> DataFrame:
@@ -41,9 +42,10 @@ def resolve_ring(queries: DataFrame, units: DataFrame, edges: DataFrame, unit: s
     """Neighbours of the unit that covers each query's point: query_id, centre, neighbour, shared_km, border_bearing (from the
     centre's middle to the border's), centroid_bearing, place (by falling area).
 
-    ``units``: (unit, ring, area, lat, lon); ``edges``: (i, j, shared_km, mid_lat, mid_lon) for touching units, both ways.
+    ``units``: (unit, ring or shape, area, lat, lon); ``edges``: (i, j, shared_km, mid_lat, mid_lon) for touching units, both ways, as
+    ``outlines.touching`` gives them; a contact in points only has 0 shared km.
     """
-    at = geometry.smallest_cover(queries, units.select(unit, "ring"), "lon", "lat", "query_id", unit).select("query_id", F.col(unit).alias("centre"))
+    at = geometry.smallest_cover(queries, units, "lon", "lat", "query_id", unit).select("query_id", F.col(unit).alias("centre"))
     mid = units.select(F.col(unit).alias("centre"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
     other = units.select(F.col(unit).alias("neighbour"), "area", F.col("lat").alias("_lb"), F.col("lon").alias("_mo"))
     ring = at.join(edges.withColumnRenamed("i", "centre").withColumnRenamed("j", "neighbour"), "centre").join(mid, "centre").join(other, "neighbour")

@@ -1,119 +1,49 @@
-"""Points, polygons and their overlaps without a geometry library.
+"""Points and polygons without a geometry library; sizes and overlaps of polygons are in ``shapes``, outlines in ``outlines``.
 
-Polygons are rows (polygon, ring array of struct(x, y)) in degrees. A join with points or other polygons first meets on the
-cells of a grid that both sides' boxes touch, an equi-join; the exact test runs on the pairs that are left. Small boxes make
-few cells, and the cell size is a parameter.
+Polygons are rows (polygon, ring or shape) in degrees. A join with points first meets on the cells of a grid that a polygon's box
+touches, an equi-join; the exact test runs on the pairs that are left. Small boxes make few cells, and the cell size is a parameter.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrane.functions.scalars import EARTH_KM, haversine_km
+from terrane.operators import shapes
 from terrane.session import stored
 
 KM_PER_DEGREE, HALF_GIRTH_KM = EARTH_KM * np.pi / 180, EARTH_KM * np.pi + 1
 
 
-def inside(x: Column, y: Column, ring: Column) -> Column:
-    """Even-odd rule with the ring closed by its first point; points on the lower or left edge are inside."""
-    n = F.size(ring)
-    nxt = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, F.lit(1), F.lit(1)))
-    crosses = F.zip_with(ring, nxt, lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]))
-    return F.size(F.filter(crosses, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
-
-
-def box(ring: Column) -> dict[str, Column]:
-    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+def box(shape: Column) -> dict[str, Column]:
+    points = F.flatten(F.flatten(shape))
+    x, y = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return {"west": F.array_min(x), "east": F.array_max(x), "south": F.array_min(y), "north": F.array_max(y)}
 
 
-def planar_area(ring: Column) -> Column:
-    """Shoelace area in square degrees."""
-    n = F.size(ring)
-    nxt = F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.abs(F.aggregate(F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
-
-
 def _cells(df: DataFrame, cell: float, west: Column, south: Column, east: Column, north: Column) -> DataFrame:
     lo = lambda c: F.floor(c / cell).cast("int")
     return df.withColumn("_cx", F.explode(F.sequence(lo(west), lo(east)))).withColumn("_cy", F.explode(F.sequence(lo(south), lo(north))))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, polygon: str, ring: str = "ring", cell: float = 5.0) -> DataFrame:
-    """All pairs of a point row and a polygon that covers it: the points' columns and polygon."""
-    b = box(F.col(ring))
-    gridded = _cells(polygons.select(polygon, ring), cell, b["west"], b["south"], b["east"], b["north"])
+def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, polygon: str, cell: float = 5.0) -> DataFrame:
+    """All pairs of a point row and a polygon (ring or shape) that covers it: the points' columns and polygon."""
+    known = shapes.with_shape(polygons).select(polygon, F.col("shape").alias("_shape"))
+    b = box(F.col("_shape"))
+    gridded = _cells(known, cell, b["west"], b["south"], b["east"], b["north"])
     at = points.withColumn("_cx", F.floor(F.col(x) / cell).cast("int")).withColumn("_cy", F.floor(F.col(y) / cell).cast("int"))
-    return at.join(gridded, ["_cx", "_cy"]).where(inside(F.col(x), F.col(y), F.col(ring))).select(*points.columns, polygon)
+    return at.join(gridded, ["_cx", "_cy"]).where(shapes.inside(F.col(x), F.col(y), F.col("_shape"))).select(*points.columns, polygon)
 
 
 def smallest_cover(points: DataFrame, polygons: DataFrame, x: str, y: str, point: str, polygon: str, cell: float = 5.0) -> DataFrame:
-    """Each point's smallest covering polygon, ties to the smaller id: point, polygon."""
-    sized = polygons.withColumn("_area", planar_area(F.col("ring")))
-    hits = points_in_polygons(points, polygons, x, y, polygon, cell=cell).join(sized.select(polygon, "_area"), polygon)
+    """Each point's smallest covering polygon in square degrees, ties to the smaller id: point, polygon."""
+    sized = shapes.with_shape(polygons).select(polygon, shapes.square_degrees(F.col("shape")).alias("_area"))
+    hits = points_in_polygons(points, polygons, x, y, polygon, cell=cell).join(sized, polygon)
     return hits.groupBy(point).agg(F.min_by(polygon, F.struct("_area", polygon)).alias(polygon))
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """Part of a polygon inside a convex one (Sutherland and Hodgman); both counter-clockwise."""
-    out = subject
-    for a, b in zip(clip, np.roll(clip, -1, 0), strict=True):
-        if not len(out):
-            break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        kept = []
-        for i in range(len(out)):
-            p, q, sp, sq = out[i - 1], out[i], side[i - 1], side[i]
-            if (sp >= 0) != (sq >= 0):
-                kept.append(p + (q - p) * (sp / (sp - sq)))
-            if sq >= 0:
-                kept.append(q)
-        out = np.array(kept).reshape(-1, 2)
-    return out
-
-
-def _sphere_km2(ring: np.ndarray) -> float:
-    """Area on the sphere of a ring in degrees, by the line integral of the sine of latitude."""
-    if len(ring) < 3:
-        return 0.0
-    lon, lat = np.radians(ring[:, 0]), np.radians(ring[:, 1])
-    return float(abs(np.sum((np.roll(lon, -1) - lon) * (2 + np.sin(lat) + np.sin(np.roll(lat, -1))))) / 2 * EARTH_KM**2)
-
-
-def _oriented(points: list) -> np.ndarray:
-    r = np.array([(p["x"], p["y"]) for p in points], float)
-    twice = np.sum(r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1])
-    return r if twice >= 0 else r[::-1]
-
-
-@F.pandas_udf(T.StructType().add("overlap", T.DoubleType()).add("a", T.DoubleType()).add("b", T.DoubleType()))
-def overlap_km2(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Areas of the overlap of polygon ``a`` with convex polygon ``b``, and of both."""
-    rows = []
-    for p, q in zip(a, b, strict=True):
-        p, q = _oriented(p), _oriented(q)
-        rows.append((_sphere_km2(_clip(p, q)), _sphere_km2(p), _sphere_km2(q)))
-    return pd.DataFrame(rows, columns=["overlap", "a", "b"])
-
-
-def overlap_weights(units: DataFrame, areas: DataFrame, unit: str, area: str, cell: float = 5.0, least: float = 0.0) -> DataFrame:
-    """area, unit, weight (share of the area), unit_fraction, overlap_km2: units that overlap each convex area by at least
-    ``least`` of it. Pairs meet on grid cells of their boxes, once."""
-    bu, ba = box(F.col("ring")), box(F.col("ring"))
-    u = _cells(units.select(unit, "ring"), cell, bu["west"], bu["south"], bu["east"], bu["north"]).withColumnRenamed("ring", "_u")
-    a = _cells(areas.select(area, "ring"), cell, ba["west"], ba["south"], ba["east"], ba["north"]).withColumnRenamed("ring", "_a")
-    keys = u.select(unit, "_cx", "_cy").join(a.select(area, "_cx", "_cy"), ["_cx", "_cy"]).select(unit, area).distinct()
-    pairs = keys.join(units.select(unit, F.col("ring").alias("_u")), unit).join(areas.select(area, F.col("ring").alias("_a")), area)
-    sized = pairs.select(area, unit, overlap_km2("_u", "_a").alias("_o"))
-    out = sized.select(area, unit, F.try_divide("_o.overlap", F.col("_o.b")).alias("weight"), F.try_divide("_o.overlap", F.col("_o.a")).alias("unit_fraction"), F.col("_o.overlap").alias("overlap_km2"))
-    return out.where((F.col("weight") > 0) & (F.col("weight") >= least))
-
-
 def circle(lat: Column, lon: Column, radius_km: Column, corners: int = 64) -> Column:
     """Ring of points at a great-circle distance from a centre, counter-clockwise; convex away from poles and date line."""
     d, p, t = radius_km / EARTH_KM, F.radians(lat), F.radians(lon)
@@ -137,29 +67,36 @@ def shared_edges(polygons: DataFrame, polygon: str, places: int = 6) -> DataFram
     return a.join(b, "e").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n_edges"))
 
 
-def within_km(queries: DataFrame, points: DataFrame, query: str, point: str, km: float) -> DataFrame:
-    """(query, point, km): all pairs of rows with columns lat and lon that are at most ``km`` apart.
+def meet(queries: DataFrame, points: DataFrame, reach_km: float) -> DataFrame:
+    """Pairs of rows with columns lat and lon that can be at most ``reach_km`` apart, as structs ``q`` and ``p``; all pairs that are
+    so near are among them.
 
-    Points lie in cells about ``km`` high; a query is dealt to the cells that its reach touches, wider in longitude towards the
-    poles and around the date line, and meets their points by an equi-join.
+    Points lie in cells about ``reach_km`` high; a query is dealt to the cells that its reach touches, wider in longitude towards
+    the poles and around the date line, and meets their points by an equi-join.
     """
-    step = max(0.01, km / KM_PER_DEGREE)
+    step = max(0.01, reach_km / KM_PER_DEGREE)
     across = max(1, int(360 / step))
     width = 360.0 / across
     cell_y = lambda lat: F.floor((lat + 90) / step).cast("int")
     turn = lambda lon: F.pmod(lon + 180, F.lit(360.0))
-    reach = km / KM_PER_DEGREE * 1.0001
+    reach = reach_km / KM_PER_DEGREE * 1.0001
     top = F.abs(F.col("lat")) + reach
     # beyond the pole, or where a turn of longitude is within reach, all cells of the row
     sine = F.sin(F.lit(float(np.radians(min(reach, 90.0))))) / F.cos(F.radians("lat"))
     half = F.when((top >= 90) | (sine >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine))) * 1.0001)
     rows = F.sequence(F.greatest(F.lit(0), cell_y(F.col("lat") - reach)), cell_y(F.least(F.lit(90.0), F.col("lat") + reach)))
     columns = F.when(half * 2 + width >= 360, F.sequence(F.lit(0), F.lit(across - 1))).otherwise(F.transform(F.sequence(F.floor((turn(F.col("lon")) - half) / width), F.floor((turn(F.col("lon")) + half) / width)), lambda c: F.pmod(c, F.lit(across)).cast("int")))
-    q = queries.select(F.col(query).alias("_q"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"), F.explode(rows).alias("_cy"), columns.alias("_c"))
-    q = q.select("_q", "_la", "_lo", "_cy", F.explode(F.array_distinct("_c")).alias("_cx"))
-    p = points.select(F.col(point).alias("_p"), "lat", "lon", cell_y(F.col("lat")).alias("_cy"), F.least(F.lit(across - 1), F.floor(turn(F.col("lon")) / width)).cast("int").alias("_cx"))
-    far = haversine_km(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon"))
-    return q.join(p, ["_cx", "_cy"]).select(F.col("_q").alias(query), F.col("_p").alias(point), far.alias("km")).where(F.col("km") <= km)
+    q = queries.select(F.struct(*queries.columns).alias("q"), F.explode(rows).alias("_cy"), columns.alias("_c"))
+    q = q.select("q", "_cy", F.explode(F.array_distinct("_c")).alias("_cx"))
+    p = points.select(F.struct(*points.columns).alias("p"), cell_y(F.col("lat")).alias("_cy"), F.least(F.lit(across - 1), F.floor(turn(F.col("lon")) / width)).cast("int").alias("_cx"))
+    return q.join(p, ["_cx", "_cy"]).select("q", "p")
+
+
+def within_km(queries: DataFrame, points: DataFrame, query: str, point: str, km: float) -> DataFrame:
+    """(query, point, km): all pairs of rows with columns lat and lon that are at most ``km`` apart."""
+    far = haversine_km(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon"))
+    met = meet(queries.select(query, "lat", "lon"), points.select(point, "lat", "lon"), km)
+    return met.select(F.col(f"q.{query}").alias(query), F.col(f"p.{point}").alias(point), far.alias("km")).where(F.col("km") <= km)
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, query: str, point: str, k: int = 1, start_km: float = 200.0, most_km: float | None = None) -> DataFrame:

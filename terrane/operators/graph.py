@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from terrane.session import stored
 
 
-def ancestors(links: DataFrame, node: str, parent: str) -> DataFrame:
+def ancestors(links: DataFrame, node: str, parent: str, length: str | None = None, stop: str | None = None) -> DataFrame:
     """(node, ancestor, depth) for every node below a root, by doubling: after k rounds all paths of up to 2**k steps are known,
     so a chain of d steps takes log2(d) joins. A round joins only the paths of full length, whose table is written, and makes
     only new pairs; rounds end when there are none. Each node has one parent; parents that are null or 0 end a path. A cycle is
     an error.
+
+    With ``length``, a column for the step from a node to its parent, ``distance`` is added: the sum of the steps; a step without
+    a length has none, nor has any path over it. With ``stop``, a boolean column, a node for which it is true has no part in any
+    path: nothing drains through it, to it or from it.
     """
-    first = links.where(F.col(parent).isNotNull() & (F.col(parent) != 0)).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
+    some = links.where(~F.coalesce(F.col(stop), F.lit(False))) if stop else links
+    some = some.where(F.col(parent).isNotNull() & (F.col(parent) != 0))
+    first = some.select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"), *([F.col(length).cast("double").alias("distance")] if length else []))
+    if stop:
+        first = first.join(links.where(F.col(stop)).select(F.col(node).alias("ancestor")), "ancestor", "left_anti").select(*first.columns)
     known, longest, reach = stored(first), None, 1
+    further = [(F.col("distance") + F.col("_far")).alias("distance")] if length else []
     while True:
-        longest = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_via"))
-        more = longest.join(known.withColumnRenamed("node", "_via"), "_via").select("node", "ancestor", (F.col("depth") + reach).alias("depth"))
+        longest = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_via"), *([F.col("distance").alias("_far")] if length else []))
+        more = longest.join(known.withColumnRenamed("node", "_via"), "_via").select("node", "ancestor", (F.col("depth") + reach).alias("depth"), *further)
         more = stored(more)
         rows, loops = more.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor"))).first()
         if loops or first.where("node = ancestor").limit(1).count():
@@ -29,6 +38,15 @@ def ancestors(links: DataFrame, node: str, parent: str) -> DataFrame:
         reach *= 2
 
 
+def catchments(links: DataFrame, targets: DataFrame, node: str, parent: str, length: str, stop: str) -> DataFrame:
+    """target, node, depth, distance: each target and all nodes that drain to it without passing one where ``stop`` is true; a
+    target that is such a node itself has none. ``targets`` is (target). Distances and depths count from the target."""
+    at = targets.join(links.where(~F.coalesce(F.col(stop), F.lit(False))).select(F.col(node).alias("target")), "target", "left_semi")
+    up = ancestors(links, node, parent, length, stop).withColumnRenamed("ancestor", "target").join(at, "target", "left_semi")
+    own = at.select("target", F.col("target").alias("node"), F.lit(0).alias("depth"), F.lit(0.0).alias("distance"))
+    return own.unionByName(up.select("target", "node", "depth", "distance"))
+
+
 def subtree_totals(closure: DataFrame, units: DataFrame, unit: str, value: str) -> DataFrame:
     """unit, n_upstream, total: the unit's own value and those of all units that drain to it."""
     up = closure.join(units.select(F.col(unit).alias("node"), F.col(value).alias("_v")), "node").groupBy(F.col("ancestor").alias(unit)).agg(F.count("*").alias("n_upstream"), F.sum("_v").alias("_up"))

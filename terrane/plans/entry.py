@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import blocks, entry, geometry, position, weighted
+from terrane.operators import blocks, entry, geometry, outlines, position, weighted
 from terrane.plans import signature as sig
 from terrane.plans.curves import HAV, PLACED, placed
 from terrane.plans.registry import Tables, query, rounded
-from terrane.plans.spatial import BOX, _boxes
+from terrane.plans.spatial import AREA, _areas, _boxes, box_of
 
 CATALOG = [("acctbal", "A", "continuous", "continental-gradient"), ("surplus", "B", "continuous", None), ("n_orders", "B", "continuous", "network-topology"), ("segment", "C", "categorical", None), ("coast", "D", "flag", None)]
 
@@ -91,16 +91,14 @@ def b0d(t: Tables) -> DataFrame:
     return catalog.select("variable", blocks.dispatch(F.col("kind"), F.col("cluster")).alias("method"))
 
 
-@query("R3_resolve_polity", f"""WITH {BOX}, q AS (SELECT s_suppkey AS query_id, 'p' || s_suppkey % 5 AS name, s_suppkey % 40 AS year FROM supplier), sl AS (SELECT polygon AS slice, 'p' || polygon % 5 AS name, polygon AS low, 20 + 2 * polygon AS high FROM b WHERE polygon < 10),
-a AS (SELECT query_id, arg_min(slice, [high - low, slice]) AS slice FROM q JOIN sl USING (name) WHERE year BETWEEN low AND high GROUP BY 1),
-x AS (SELECT a.query_id, a.slice, u.polygon AS unit, greatest(0, least(p.w, u.w) + 40 - greatest(p.w, u.w)) AS dx, greatest(p.s, u.s) AS lo, least(p.s + 35 + p.h, u.s + 35 + u.h) AS hi, p.s AS s, p.s + 35 + p.h AS n, u.s AS us, u.s + 35 + u.h AS un FROM a JOIN b p ON p.polygon = a.slice JOIN b u ON true)
-SELECT query_id, slice, unit, round(dx * (sin(radians(hi)) - sin(radians(lo))) / (40 * (sin(radians(n)) - sin(radians(s)))), 6) AS weight, round(dx * (sin(radians(hi)) - sin(radians(lo))) / (40 * (sin(radians(un)) - sin(radians(us)))), 6) AS inside FROM x WHERE dx > 0 AND hi > lo""")
+@query("R3_resolve_polity", f"""WITH {AREA}, q AS (SELECT s_suppkey AS query_id, 'p' || s_suppkey % 5 AS name, s_suppkey % 40 AS year FROM supplier), sl AS (SELECT polygon AS slice, 'p' || polygon % 5 AS name, polygon AS low, 20 + 2 * polygon AS high FROM b),
+a AS (SELECT query_id, arg_min(slice, [high - low, slice]) AS slice FROM q JOIN sl USING (name) WHERE year BETWEEN low AND high GROUP BY 1)
+SELECT query_id, slice, unit, round(o / sz.z, 6) AS weight, round(o / ub.z, 6) AS inside FROM a JOIN ov ON ov.area = slice JOIN sz USING (area) JOIN ub USING (unit)""")
 def r3(t: Tables) -> DataFrame:
-    k, p = F.col("s_suppkey"), F.col("polygon")
+    k, p = F.col("s_suppkey"), F.col("area")
     asked = t.supplier.select(k.alias("query_id"), F.concat(F.lit("p"), k % 5).alias("name"), (k % 40).alias("year"))
-    boxes = _boxes(t)
-    slices = boxes.where("polygon < 10").select(p.alias("slice"), F.concat(F.lit("p"), p % 5).alias("name"), p.alias("low"), (20 + 2 * p).alias("high"), "ring")
-    return rounded(entry.resolve_polity(asked, slices, boxes.select(p.alias("unit"), "ring"), "unit"))
+    slices = _areas(t).select(p.alias("slice"), F.concat(F.lit("p"), p % 5).alias("name"), p.alias("low"), (20 + 2 * p).alias("high"), "shape")
+    return rounded(entry.resolve_polity(asked, slices, _boxes(t).withColumnRenamed("polygon", "unit"), "unit"))
 
 
 @query("R4_resolve_crosswalk", """WITH x AS (SELECT l_suppkey AS polity, l_partkey AS unit_id, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1, 2), c AS (SELECT polity, unit_id, q / sum(q) OVER (PARTITION BY polity) AS weight FROM x),
@@ -113,20 +111,37 @@ def r4(t: Tables) -> DataFrame:
     return rounded(entry.resolve_crosswalk(asked, crosswalk, least=0.001).select("query_id", "polity", "unit_id", "weight", "place"))
 
 
-@query("R6_resolve_ring", """WITH g AS (SELECT n_nationkey AS u, (n_nationkey % 5) * 10.0 AS x, (n_nationkey // 5) * 10.0 AS y, n_nationkey % 7 AS area FROM nation), q AS (SELECT n_nationkey AS query_id, n_nationkey AS centre FROM nation),
-e AS (SELECT a.u AS i, b.u AS j, a.x + 5 AS lo, a.y + 5 AS la, b.x + 5 AS mo, b.y + 5 AS lb, (a.x + b.x) / 2 + 5 AS ex, (a.y + b.y) / 2 + 5 AS ey, b.area FROM g a JOIN g b ON abs(a.x - b.x) + abs(a.y - b.y) = 10)
-SELECT query_id, centre, j AS neighbour, 1.0::DOUBLE AS shared_km, round((degrees(atan2(sin(radians(ex - lo)) * cos(radians(ey)), cos(radians(la)) * sin(radians(ey)) - sin(radians(la)) * cos(radians(ey)) * cos(radians(ex - lo)))) + 360) % 360, 4) AS border_bearing,
-round((degrees(atan2(sin(radians(mo - lo)) * cos(radians(lb)), cos(radians(la)) * sin(radians(lb)) - sin(radians(la)) * cos(radians(lb)) * cos(radians(mo - lo)))) + 360) % 360, 4) AS centroid_bearing, (row_number() OVER (PARTITION BY query_id ORDER BY area DESC, j))::INTEGER AS place FROM q JOIN e ON e.i = centre""")
-def r6(t: Tables) -> DataFrame:
+#: Units in rows of five; the second and third row are moved by half a unit, so some share parts of edges and some meet in a point.
+BRICKS = """g AS (SELECT n_nationkey AS u, (n_nationkey % 5) * 10.0 + CASE WHEN n_nationkey // 5 IN (1, 2) THEN 5 ELSE 0 END AS x, (n_nationkey // 5) * 10.0 AS y, n_nationkey % 7 AS area FROM nation),
+t AS (SELECT a.u AS i, b.u AS j, greatest(a.x, b.x) AS x0, least(a.x, b.x) + 10 AS x1, greatest(a.y, b.y) AS y0, least(a.y, b.y) + 10 AS y1 FROM g a JOIN g b ON a.u <> b.u),
+e AS (SELECT i, j, (x0 + x1) / 2 AS ex, (y0 + y1) / 2 AS ey, 6371.0088 * CASE WHEN x1 > x0 THEN 2 * asin(sin(radians(x1 - x0) / 2) * cos(radians(y0))) ELSE radians(y1 - y0) END AS shared_km FROM t WHERE (x1 = x0 AND y1 >= y0) OR (y1 = y0 AND x1 >= x0))"""
+
+
+def bricks(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
-    x, y = (k % 5) * 10.0, F.floor(k / 5) * 10.0
-    c = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    units = t.nation.select(k.alias("u"), F.array(c(0, 0), c(10, 0), c(10, 10), c(0, 10)).alias("ring"), (k % 7).alias("area"), (y + 5).alias("lat"), (x + 5).alias("lon"))
+    row = F.floor(k / 5)
+    x, y = (k % 5) * 10.0 + F.when(row.isin(1, 2), 5.0).otherwise(0.0), row * 10.0
+    return t.nation.select(k.alias("u"), box_of(x, y, x + 10, y + 10).alias("ring"), (k % 7).alias("area"), (y + 5).cast("double").alias("lat"), (x + 5).alias("lon"))
+
+
+@query("R6_shared_borders", f"WITH {BRICKS} SELECT i, j, round(shared_km, 4) AS shared_km, ey::DOUBLE AS mid_lat, ex::DOUBLE AS mid_lon FROM e")
+def r6b(t: Tables) -> DataFrame:
+    return rounded(outlines.touching(bricks(t), "u"), 4)
+
+
+def _bearing_sql(la: str, lo: str, lb: str, mo: str) -> str:
+    la, lo, lb, mo = (f"({x})" for x in (la, lo, lb, mo))
+    d = f"radians({mo} - {lo})"
+    return f"round((degrees(atan2(sin({d}) * cos(radians({lb})), cos(radians({la})) * sin(radians({lb})) - sin(radians({la})) * cos(radians({lb})) * cos({d}))) + 360) % 360, 4)"
+
+
+@query("R6_resolve_ring", f"""WITH {BRICKS}, q AS (SELECT n_nationkey AS query_id, n_nationkey AS centre FROM nation)
+SELECT query_id, centre, j AS neighbour, round(shared_km, 4) AS shared_km, {_bearing_sql('a.y + 5', 'a.x + 5', 'ey', 'ex')} AS border_bearing, {_bearing_sql('a.y + 5', 'a.x + 5', 'b.y + 5', 'b.x + 5')} AS centroid_bearing,
+(row_number() OVER (PARTITION BY query_id ORDER BY b.area DESC, j))::INTEGER AS place FROM q JOIN e ON e.i = centre JOIN g a ON a.u = e.i JOIN g b ON b.u = e.j""")
+def r6(t: Tables) -> DataFrame:
+    units = bricks(t)
     asked = units.select(F.col("u").alias("query_id"), (F.col("lon") + 1).alias("lon"), (F.col("lat") - 1).alias("lat"))
-    at = lambda n: units.select(F.col("u").alias(n), F.col("lat").alias(f"_a{n}"), F.col("lon").alias(f"_o{n}"))
-    edges = geometry.shared_edges(units.select("u", "ring"), "u").join(at("i"), "i").join(at("j"), "j")
-    edges = edges.select("i", "j", F.lit(1.0).alias("shared_km"), ((F.col("_ai") + F.col("_aj")) / 2).alias("mid_lat"), ((F.col("_oi") + F.col("_oj")) / 2).alias("mid_lon"))
-    return rounded(entry.resolve_ring(asked, units, edges, "u"), 4)
+    return rounded(entry.resolve_ring(asked, units, outlines.touching(units, "u"), "u"), 4)
 
 
 ASKED = "q AS (SELECT s_suppkey AS query_id, (s_suppkey * 37 % 179 - 89.5)::DOUBLE AS lat, (s_suppkey * 53 % 361 - 180.5)::DOUBLE AS lon FROM supplier)"

@@ -99,13 +99,13 @@ def m20(t: Tables) -> DataFrame:
 EPOCHS = "e AS (SELECT unit, k AS epoch, v * (k + 1) AS x FROM p, (SELECT unnest(range(0, 4)) AS k))"
 
 
-@query("T5_epochs_by_centroid", f"WITH {PLACED}, {BOX}, {EPOCHS} SELECT polygon, epoch::INTEGER AS epoch, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 2) AS mean FROM p JOIN e USING (unit) JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1, 2")
+@query("T5_epochs_by_centroid", f"WITH {PLACED}, {BOX}, {EPOCHS} SELECT polygon, epoch::INTEGER AS epoch, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 6) AS mean FROM p JOIN e USING (unit) JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1, 2")
 def t5(t: Tables) -> DataFrame:
     values = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.col("v") * k)
     cells = placed(t).select("unit", (F.col("lon") + 0.5).alias("x"), (F.col("lat") + 0.5).alias("y"), values.alias("values"))
     inside = geometry.points_in_polygons(cells, _boxes(t), "x", "y", "polygon")
     steps = series.exploded(inside, ["polygon"], "values").withColumnRenamed("step", "epoch")
-    return rounded(steps.groupBy("polygon", "epoch").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")), 2)
+    return rounded(steps.groupBy("polygon", "epoch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.avg("value").alias("mean")))
 
 
 @query("T6_step_map", f"WITH {PLACED}, {BOX}, c AS (SELECT polygon, least(1.0, sum(abs(v) * 3) / 500000) AS fraction FROM p JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1) SELECT polygon, round(fraction, 6) AS fraction FROM b LEFT JOIN c USING (polygon)")

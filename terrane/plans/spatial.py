@@ -3,10 +3,10 @@ neighbours; boxes around derived coordinates are polygons."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import geometry, graph, spatialstats
+from terrane.operators import geometry, graph, shapes, spatialstats
 from terrane.plans.curves import PLACED, placed
 from terrane.plans.registry import Tables, money, query, rounded
 
@@ -25,10 +25,17 @@ def g2(t: Tables) -> DataFrame:
 
 @query("G2_recursive_cte", f"WITH {TREE} SELECT ancestor, count(*) AS n, max(depth) AS depth FROM c GROUP BY 1")
 def g2r(t: Tables) -> DataFrame:
-    tree(t).createOrReplaceTempView("terrane_tree")
-    return t.spark.sql("""WITH RECURSIVE a(node, ancestor, depth) AS (SELECT node, parent, 1 FROM terrane_tree WHERE parent > 0
-        UNION ALL SELECT a.node, k.parent, a.depth + 1 FROM a JOIN terrane_tree k ON k.node = a.ancestor WHERE k.parent > 0)
-        SELECT ancestor, count(*) AS n, max(depth) AS depth FROM a GROUP BY ancestor""")
+    """Sizes of the closure, by doubling as well: a recursive query has limits of rows and levels."""
+    return graph.ancestors(tree(t), "node", "parent").groupBy("ancestor").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+
+
+@query("G2_upstream_distance", """WITH k AS (SELECT p_partkey AS node, p_partkey // 2 AS parent, p_size::DOUBLE AS km, p_partkey % 17 = 0 AS stop FROM part), o AS (SELECT * FROM k WHERE NOT stop),
+u AS (WITH RECURSIVE a(target, node, depth, distance) AS (SELECT node, node, 0, 0.0::DOUBLE FROM o UNION ALL SELECT a.target, o.node, a.depth + 1, a.distance + o.km FROM a JOIN o ON o.parent = a.node) SELECT * FROM a)
+SELECT target, node, depth, distance FROM u""")
+def g2d(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    links = t.part.select(k.alias("node"), F.floor(k / 2).cast("long").alias("parent"), F.col("p_size").cast("double").alias("km"), (k % 17 == 0).alias("stop"))
+    return graph.catchments(links, links.select(F.col("node").alias("target")), "node", "parent", "km", "stop")
 
 
 @query("G4_terminal_branch_counts", f"WITH {TREE} SELECT root, count(*) AS n, count(*) FILTER (WHERE node NOT IN (SELECT parent FROM k)) AS leaves FROM k GROUP BY 1")
@@ -177,15 +184,45 @@ def m19(t: Tables) -> DataFrame:
     return rounded(spatialstats.cramers_v(t.orders, "o_orderstatus", "o_orderpriority"))
 
 
+def corner(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def box_of(w: Column, s: Column, e: Column, n: Column) -> Column:
+    return F.array(corner(w, s), corner(e, s), corner(e, n), corner(w, n))
+
+
+def _sides(t: Tables) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """Nations with the west, south, east and north of their boxes, which overlap each other."""
+    k = F.col("n_nationkey")
+    w, s = k * 25 % 320 - 175.0, (k % 4) * 30 - 70.0
+    return t.nation, w, s, w + 40, s + 35 + k
+
+
 def _boxes(t: Tables) -> DataFrame:
-    """Twelve boxes that overlap each other, as polygons."""
+    """A box for each nation, as polygons."""
+    nation, *sides = _sides(t)
+    return nation.select(F.col("n_nationkey").alias("polygon"), box_of(*sides).alias("ring"))
+
+
+def _areas(t: Tables) -> DataFrame:
+    """The boxes cut into areas of three forms: an L, a box with a hole, two parts."""
+    nation, w, s, e, n = _sides(t)
+    mid, half = w + 20, (s + n) / 2
+    bent = F.array(F.array(F.array(corner(w, s), corner(e, s), corner(e, half), corner(mid, half), corner(mid, n), corner(w, n))))
+    holed = F.array(F.array(box_of(w, s, e, n), box_of(w + 10, s + 10, w + 30, s + 20)))
+    parts = F.array(F.array(box_of(w, s, w + 15, n)), F.array(box_of(w + 25, s, e, n)))
     k = F.col("n_nationkey")
-    w, s = k * 25 - 170.0, (k % 4) * 30 - 70.0
-    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    return t.nation.where("n_nationkey < 12").select(k.alias("polygon"), F.array(corner(w, s), corner(w + 40, s), corner(w + 40, s + 35 + k), corner(w, s + 35 + k)).alias("ring"))
+    return nation.select(k.alias("area"), F.when(k % 3 == 0, bent).when(k % 3 == 1, holed).otherwise(parts).alias("shape"))
 
 
-BOX = "b AS (SELECT n_nationkey AS polygon, n_nationkey * 25 - 170.0 AS w, (n_nationkey % 4) * 30 - 70.0 AS s, n_nationkey AS h FROM nation WHERE n_nationkey < 12)"
+BOX = "b AS (SELECT n_nationkey AS polygon, n_nationkey * 25 % 320 - 175.0 AS w, (n_nationkey % 4) * 30 - 70.0 AS s, n_nationkey AS h FROM nation)"
+#: The areas as boxes that are added (sign 1) or taken away, their sizes, and their overlaps with the boxes; in units of the sphere's square radius.
+AREA = BOX + """, pc AS (SELECT polygon AS area, w AS x0, w + CASE WHEN polygon % 3 = 2 THEN 15 ELSE 40 END AS x1, s AS y0, s + 35 + h AS y1, 1 AS sg FROM b
+UNION ALL SELECT polygon, w + 20, w + 40, s + (35 + h) / 2.0, s + 35 + h, -1 FROM b WHERE polygon % 3 = 0 UNION ALL SELECT polygon, w + 10, w + 30, s + 10, s + 20, -1 FROM b WHERE polygon % 3 = 1
+UNION ALL SELECT polygon, w + 25, w + 40, s, s + 35 + h, 1 FROM b WHERE polygon % 3 = 2),
+sz AS (SELECT area, sum(sg * radians(x1 - x0) * (sin(radians(y1)) - sin(radians(y0)))) AS z FROM pc GROUP BY 1), ub AS (SELECT polygon AS unit, radians(40) * (sin(radians(s + 35 + h)) - sin(radians(s))) AS z FROM b),
+ov AS (SELECT area, polygon AS unit, sum(sg * radians(greatest(0, least(x1, w + 40) - greatest(x0, w))) * greatest(0, sin(radians(least(y1, s + 35 + h))) - sin(radians(greatest(y0, s))))) AS o FROM pc, b GROUP BY 1, 2 HAVING o > 1e-9)"""
 
 
 @query("J11_point_in_polygon", f"WITH {PLACED}, {BOX} SELECT unit, polygon FROM p JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h")
@@ -200,20 +237,17 @@ def o7(t: Tables) -> DataFrame:
     return geometry.smallest_cover(pts, _boxes(t), "x", "y", "unit", "polygon")
 
 
-@query("R2_polygon_overlap", f"""WITH {BOX}, x AS (SELECT a.polygon AS area, u.polygon AS unit, greatest(0, least(a.w, u.w) + 40 - greatest(a.w, u.w)) AS dx, greatest(a.s, u.s) AS lo, least(a.s + 35 + a.h, u.s + 35 + u.h) AS hi, a.s AS s, a.s + 35 + a.h AS n FROM b a JOIN b u ON true WHERE a.polygon < 3)
-SELECT area, unit, round(dx * (sin(radians(hi)) - sin(radians(lo))) / (40 * (sin(radians(n)) - sin(radians(s)))), 6) AS weight FROM x WHERE dx > 0 AND hi > lo""")
+@query("R2_polygon_overlap", f"WITH {AREA} SELECT area, unit, round(o / sz.z, 6) AS weight, round(o / ub.z, 6) AS unit_fraction, round(o * 6371.0088 ** 2, 2) AS overlap_km2 FROM ov JOIN sz USING (area) JOIN ub USING (unit)")
 def r2(t: Tables) -> DataFrame:
-    boxes = _boxes(t)
-    units, areas = boxes.select(F.col("polygon").alias("unit"), "ring"), boxes.where("polygon < 3").select(F.col("polygon").alias("area"), "ring")
-    return rounded(geometry.overlap_weights(units, areas, "unit", "area").select("area", "unit", "weight"))
+    out = shapes.overlap_weights(_boxes(t).withColumnRenamed("polygon", "unit"), _areas(t), "unit", "area")
+    return rounded(out.withColumn("overlap_km2", F.round("overlap_km2", 2)).select("area", "unit", "weight", "unit_fraction", "overlap_km2"))
 
 
 @query("R1_buffer_overlap")
 def r1(t: Tables) -> DataFrame:
-    boxes = _boxes(t).select(F.col("polygon").alias("unit"), "ring")
     rings = geometry.circle((F.col("n_nationkey") % 4) * 15 - 20.0, F.col("n_nationkey") * 13 - 150.0, F.lit(800.0))
     buffers = t.nation.select(F.col("n_nationkey").alias("area"), rings.alias("ring"))
-    return geometry.overlap_weights(boxes, buffers, "unit", "area", least=0.001)
+    return shapes.overlap_weights(_boxes(t).withColumnRenamed("polygon", "unit"), buffers, "unit", "area", least=0.001)
 
 
 @query("J14_shared_edges", "SELECT a.k AS i, b.k AS j, 1::BIGINT AS n_edges FROM (SELECT n_nationkey AS k FROM nation) a JOIN (SELECT n_nationkey AS k FROM nation) b ON (abs(a.k - b.k) = 1 AND a.k // 5 = b.k // 5) OR abs(a.k - b.k) = 5")

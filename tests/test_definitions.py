@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import NotAllowed, one_of
-from terrane.operators import blocks, cluster, dispersion, entry, geometry, graph, lookup, position, series, spatialstats, statements, weighted
+from terrane.operators import blocks, cluster, dispersion, entry, geometry, graph, lookup, position, series, shapes, spatialstats, statements, weighted
 
 
 def cum(spark, scores, weights):
@@ -187,6 +187,6 @@ def test_buffer_overlap_is_a_spherical_cap(spark):
     corner = lambda x, y: (float(x), float(y))
     unit = spark.createDataFrame([(1, [corner(-40, -40), corner(40, -40), corner(40, 40), corner(-40, 40)])], "unit long, ring array<struct<x:double,y:double>>")
     area = spark.range(1).select(F.lit(5).alias("area"), geometry.circle(F.lit(10.0), F.lit(5.0), F.lit(500.0), 256).alias("ring"))
-    r = geometry.overlap_weights(unit, area, "unit", "area").first()
+    r = shapes.overlap_weights(unit, area, "unit", "area").first()
     cap = 2 * math.pi * 6371.0088**2 * (1 - math.cos(500 / 6371.0088))
     assert r.weight == pytest.approx(1, abs=1e-6) and r.overlap_km2 == pytest.approx(cap, rel=2e-3)

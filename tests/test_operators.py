@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import curves, scalars
-from terrane.operators import blocks, dispersion, geometry, lookup, position, scan, spatialstats, weighted
+from terrane.operators import blocks, dispersion, geometry, lookup, position, scan, shapes, spatialstats, weighted
 from terrane.sources import files
 from terrane.streaming import log
 
@@ -55,9 +55,10 @@ def test_ranks_dont_depend_on_ranges(spark):
 
 
 def test_core_share_and_split(spark):
-    r = dispersion.dispersion(cum(spark, [10, 20, 60], [0.5, 0.2, 0.3]), ["query_id"], "score", fewest=1).first()
+    rows = weighted.pooled(frame(spark, [10, 20, 60], [0.5, 0.2, 0.3]), ["query_id"], "unit_id", "score", "weight")
+    r = dispersion.dispersion(rows, ["query_id"], "score", fewest=1).first()
     assert (round(r.core_share, 9), r.window_lo, r.window_hi, round(r.tie, 9), r.coherence) == (0.7, 0, 30, 0.5, "split")
-    assert dispersion.dispersion(cum(spark, [10, 20, 60], [0.5, 0.2, 0.3]), ["query_id"], "score").first().coherence is None
+    assert dispersion.dispersion(rows, ["query_id"], "score").first().coherence is None
 
 
 def test_two_regimes(spark):
@@ -107,7 +108,7 @@ def test_geometry_areas(spark):
     sq = lambda x, y, d: F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((x, y), (x + d, y), (x + d, y + d), (x, y + d))))
     units = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("unit"), sq(0, 0, 10).alias("ring")), F.struct(F.lit(2).alias("unit"), sq(10, 0, 10).alias("ring")))).alias("s")).select("s.*")
     area = spark.range(1).select(F.lit(7).alias("area"), sq(5, 0, 10).alias("ring"))
-    w = {r.unit: r for r in geometry.overlap_weights(units, area, "unit", "area").collect()}
+    w = {r.unit: r for r in shapes.overlap_weights(units, area, "unit", "area").collect()}
     assert w[1].weight == pytest.approx(0.5) and w[2].weight == pytest.approx(0.5) and w[1].unit_fraction == pytest.approx(0.5)
 
 
@@ -115,7 +116,7 @@ def test_buffer_area(spark):
     big = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((-10, -10), (10, -10), (10, 10), (-10, 10))))
     unit = spark.range(1).select(F.lit(1).alias("unit"), big.alias("ring"))
     disc = spark.range(1).select(F.lit(1).alias("area"), geometry.circle(F.lit(0.0), F.lit(0.0), F.lit(300.0), 256).alias("ring"))
-    assert geometry.overlap_weights(unit, disc, "unit", "area").first().overlap_km2 == pytest.approx(3.14159 * 300**2, rel=2e-3)
+    assert shapes.overlap_weights(unit, disc, "unit", "area").first().overlap_km2 == pytest.approx(3.14159 * 300**2, rel=2e-3)
 
 
 def test_permanova_equals_pairwise_distances(spark):
