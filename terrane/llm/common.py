@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,8 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, min(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))) if rows <= 2 * spark.sparkContext.defaultParallelism * ROWS_PER_FILE else df
     df.write.parquet(path)
     _made[path] = spark
+    for paths in _scopes.get():
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,13 +93,23 @@ def drop_table(*tables: DataFrame) -> None:
                 del _made[known]
 
 
-def tables_made() -> list[str]:
-    """Folders of the tables that stand now."""
-    return list(_made)
+#: For each open ``scope`` the folders of the tables made in it; a thread has scopes of its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Folders of the tables that are made inside, for ``drop_made`` once nothing reads them any more."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield paths
+    finally:
+        _scopes.reset(token)
 
 
 def drop_made(paths: list[str]) -> None:
-    """Remove the tables in these folders, as given by ``tables_made``."""
+    """Remove the tables in these folders that are still there."""
     for path in paths:
         if path in _made:
             _remove(_made.pop(path), path)

@@ -6,8 +6,8 @@ cut out, with its offsets in the original text retained.
 
 A passage that repeats inside longer units, with other text beside it, is no unit and stays; ``passages`` finds those.
 
-Defined cases: a null or empty text has no units; units of fewer than ``min_words`` words, headings and the like, are
-left alone; equal ranks are ordered by doc_id, then by a hash of the text, then by place; rows of a null id are left alone;
+Defined cases: a null or empty text has no units; lines without words are no units, and with
+``min_words`` neither are those of fewer words; equal ranks are ordered by doc_id, then by a hash of the text, then by place; rows of a null id are left alone;
 rows that repeat an id and a text keep or lose the same units, rows that repeat an id with another text are told apart;
 other columns are passed on by ``clean``; an empty table gives no rows.
 """
@@ -27,7 +27,7 @@ from pyspark.sql.types import StructField, StructType
 from terrane.llm.common import materialize, small_batches
 
 SEPARATOR = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\x09-\x0D]*\n")}
-MIN_WORDS = 5
+MIN_WORDS = 1
 
 
 def units(text: str, kind: str = "line", min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
@@ -117,9 +117,9 @@ WITH k AS (SELECT doc_id, text, row_number() OVER () AS rk, string_split(text, c
 l AS (SELECT rk, doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM k WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT rk, doc_id, i, s, (sum(length(s) + 1) OVER (PARTITION BY rk ORDER BY i) - length(s) - 1)::BIGINT AS start FROM l),
 u AS (SELECT *, (start + length(s))::BIGINT AS stop,
-             trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS n FROM p),
-f AS (SELECT *, n <> '' AND length(n) - length(replace(n, ' ', '')) >= 4 AS long FROM u),
-g AS (SELECT *, long AND row_number() OVER (PARTITION BY n, long ORDER BY doc_id, start) > 1 AS gone FROM f),
+             trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g'), ' ') AS n FROM p),
+g AS (SELECT *, n <> '' AND row_number() OVER (PARTITION BY n ORDER BY doc_id, start) > 1 AS gone FROM u),
 -- a removed unit takes the line break after it along
 c AS (SELECT rk, coalesce(string_agg(CASE WHEN gone THEN '' WHEN i = m THEN s ELSE s || chr(10) END, '' ORDER BY i), '') AS text,
              count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(start || '-' || stop, ',' ORDER BY start) FILTER (WHERE gone), '') AS removed

@@ -436,7 +436,8 @@ def test_substrings_keep_earliest_rank(spark):
     assert {i: r.text for i, r in left.items()} == {3: rows[0][1], 1: "short\n", 2: "", 4: None}
     assert [tuple(x) for x in left[1].removed] == [(6, 6 + len(unit), 3, 0)] and left[3].removed == [] and left[1].sig == "x"
     assert substrings.remove(df).columns == df.columns
-    assert substrings.repeats(documents(spark, ODD)).count() == 1  # of 9; the rows of 7 stand in one place
+    assert substrings.repeats(documents(spark, ODD)).count() == 2  # of 5 and 9; the rows of 7 stand in one place
+    assert substrings.repeats(documents(spark, ODD), min_words=5).count() == 1
     assert substrings.repeats(documents(spark, [])).count() == 0 and substrings.clean(documents(spark, [])).count() == 0
 
 
@@ -510,3 +511,29 @@ def test_pipeline_stages(spark):
             assert now <= before and len(now) > 0.8 * len(before)
             before = now
     assert {r.doc_id for r in docs.collect()} == before
+
+
+def test_a_second_run_leaves_the_first_ones_result(spark):
+    import corpus_pipeline as cp
+
+    first = cp.run(spark, FOLDER)
+    second = cp.run(spark, FOLDER)
+    rows = lambda df: sorted(tuple(r)[:5] for r in df.collect())
+    want = rows(second)
+    assert want and rows(first) == want
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    rows = [*ODD, (None, None), (None, ""), (20, LONG), (21, "x\n" * 300)]
+    schema = table(spark, FOLDER, "documents").schema
+    full = lambda some: spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in some], schema)
+    for name, stage in cp.STAGES:
+        assert stage(spark, full([]), FOLDER).count() == 0
+        got = Counter((r.doc_id) for r in stage(spark, full(rows), FOLDER).collect())
+        gone = Counter(i for i, _ in rows) - got
+        if name == "near_dedup":  # of 4 and 5, and of 7, 8 and 20, one stays
+            assert set(gone) == {5, 8, 20}
+        else:
+            assert not gone
