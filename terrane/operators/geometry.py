@@ -6,6 +6,8 @@ touches, an equi-join; the exact test runs on the pairs that are left. Small box
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +101,21 @@ def within_km(queries: DataFrame, points: DataFrame, query: str, point: str, km:
     return met.select(F.col(f"q.{query}").alias(query), F.col(f"p.{point}").alias(point), far.alias("km")).where(F.col("km") <= km)
 
 
+def widening(left: DataFrame, query: str, measure: Callable[[DataFrame, float], DataFrame], start: float, limit: float, by: str = "km") -> DataFrame:
+    """Rows of ``measure(left, reach)``, which are at most one for each query and hold what is nearest to it among all that lies
+    within reach: a query whose nearest is ``by`` at most the reach is done, the others try twice the reach, up to ``limit``."""
+    left, reach, done = stored(left), min(start, limit), None
+    while True:
+        found = stored(measure(left, reach).where(F.col(by) <= reach))
+        done = found if done is None else done.unionByName(found)
+        if reach >= limit:
+            return done
+        left = stored(left.join(found.select(query).distinct(), query, "left_anti"))
+        if left.isEmpty():
+            return done
+        reach = min(2 * reach, limit)
+
+
 def nearest_points(queries: DataFrame, points: DataFrame, query: str, point: str, k: int = 1, start_km: float = 200.0, most_km: float | None = None) -> DataFrame:
     """(query, point, km, place): each query's ``k`` nearest points, ties to the smaller id; with ``most_km``, none farther.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.functions import curves, scalars
-from terrane.operators.lookup import small
+from terrane.operators.lookup import stated
 from terrane.operators.position import placed
 
 #: Total below which a curve has no shape, coefficient of variation below which it is flat, correlation that
@@ -21,8 +21,8 @@ ARID, FLAT, ALIKE, THERMAL, FIT, MARGIN = 100.0, 0.20, 0.50, 5.0, 0.25, 0.02
 RADII = {"precip": {"strict": 0.25, "moderate": 0.60, "loose": 1.20}, "temp": {"strict": 0.25, "moderate": 0.75, "loose": 1.50}}
 #: Tolerances of elevation, relief (m) and landform position.
 TERRAIN = {"elevation": 300.0, "relief": 200.0, "position": 0.10}
-#: Largest set whose diameter is computed pair by pair.
-DIAMETER_ROWS = 2000
+#: Largest set whose diameter is computed pair by pair, and whose pairs are listed.
+DIAMETER_ROWS, PAIR_ROWS = 2000, 20_000
 
 
 def zscore_stats(df: DataFrame, features: list[str]) -> DataFrame:
@@ -31,12 +31,18 @@ def zscore_stats(df: DataFrame, features: list[str]) -> DataFrame:
     return whole.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features))
 
 
+def _asked(df: DataFrame, queries: DataFrame, unit: str) -> DataFrame:
+    """The rows of the queries' units, with query_id; an error if there are more queries than may be broadcast."""
+    one = df.groupBy(unit).agg(*(F.first(c).alias(c) for c in df.columns if c != unit))
+    return one.join(stated(queries.select("query_id", F.col("query_id").alias(unit)).distinct(), "queries of a lens"), unit)
+
+
 def euclidean(df: DataFrame, queries: DataFrame, features: list[str], unit: str) -> DataFrame:
-    """query_id, unit, distance in z-scores, to each query row (query_id, features); incomplete rows are left out and a unit
-    isn't compared with itself. Queries are a stated, small set."""
+    """query_id, unit, distance in z-scores, to each query row (query_id, features); incomplete rows are left out, a unit
+    isn't compared with itself, and a feature without spread counts 0. Queries are a stated, small set."""
     z = df.na.drop(subset=features).join(F.broadcast(zscore_stats(df, features)))
-    scaled = z.select(unit, *(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")).alias(f"z_{f}") for f in features))
-    q = scaled.join(small(queries.select("query_id", F.col("query_id").alias(unit))), unit).select("query_id", *(F.col(f"z_{f}").alias(f"q_{f}") for f in features))
+    scaled = z.select(unit, *(F.coalesce(F.try_divide(F.col(f) - F.col(f"m_{f}"), F.col(f"s_{f}")), F.lit(0.0)).alias(f"z_{f}") for f in features))
+    q = _asked(scaled, queries, unit).select("query_id", *(F.col(f"z_{f}").alias(f"q_{f}") for f in features))
     both = scaled.join(F.broadcast(q), F.col(unit) != F.col("query_id"))  # no more rows than the checked queries
     d2 = sum((F.pow(F.col(f"z_{f}") - F.col(f"q_{f}"), F.lit(2)) for f in features), F.lit(0.0))
     return both.select("query_id", unit, F.sqrt(d2).alias("distance"))
@@ -53,10 +59,12 @@ def covariance(df: DataFrame, features: list[str]) -> np.ndarray:
 
 
 def mahalanobis(df: DataFrame, queries: DataFrame, features: list[str], unit: str) -> DataFrame:
-    """As euclidean, by the quadratic form of the inverse covariance."""
-    inverse = np.linalg.inv(covariance(df, features))
+    """As euclidean, by the quadratic form of the inverse covariance; of the generalised inverse where features are constant or
+    depend on each other, so that directions without spread have no part."""
+    spread = covariance(df, features)
+    inverse = np.linalg.inv(spread) if np.linalg.matrix_rank(spread, hermitian=True) == len(features) else np.linalg.pinv(spread, hermitian=True)
     whole = df.na.drop(subset=features).select(unit, *features)
-    q = whole.join(small(queries.select("query_id", F.col("query_id").alias(unit))), unit).select("query_id", *(F.col(f).cast("double").alias(f"q_{f}") for f in features))
+    q = _asked(whole, queries, unit).select("query_id", *(F.col(f).cast("double").alias(f"q_{f}") for f in features))
     both = whole.join(F.broadcast(q), F.col(unit) != F.col("query_id"))  # no more rows than the checked queries
     d = [F.col(f) - F.col(f"q_{f}") for f in features]
     form = sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
@@ -189,4 +197,4 @@ def distance_pairs(df: DataFrame, unit: str, features: list[str]) -> DataFrame:
     Euclidean distance and 1 / (1 + distance)."""
     a, b = (df.select(F.col(unit).alias(c), *(F.col(f).alias(f"{c}_{f}") for f in features)) for c in "ab")
     d = F.sqrt(sum((F.pow(F.col(f"a_{f}") - F.col(f"b_{f}"), F.lit(2)) for f in features), F.lit(0.0)))
-    return a.join(small(b), F.col("a") < F.col("b")).select("a", "b", d.alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))
+    return a.join(stated(b, "distance pairs", PAIR_ROWS), F.col("a") < F.col("b")).select("a", "b", d.alias("distance")).withColumn("similarity", 1 / (1 + F.col("distance")))

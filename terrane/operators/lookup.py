@@ -14,6 +14,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def stated(df: DataFrame, what: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` for broadcast; an error if it has more than ``rows`` rows. For sides that an operator compares with everything."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"{what}: more than {rows} rows; ask for them in blocks")
+    return F.broadcast(df)
+
+
 def both_ways(edges: DataFrame, a: str, b: str, other: list[str]) -> DataFrame:
     """An upper-triangle pair table seen from either end: (node, neighbour, other ...)."""
     ahead = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour"), *other)

@@ -104,19 +104,8 @@ def _arcs_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
     return _let(sides, lambda v: (v["s1"] * v["s2"] < 0) & (v["t1"] * v["t2"] < 0) & (v["s1"] * v["t1"] < 0))
 
 
-def _widening(left: DataFrame, query: str, measure: Callable[[DataFrame, float], DataFrame], start_km: float, most_km: float | None) -> DataFrame:
-    """Rows of ``measure(left, reach)``, one for each query with something within reach, by reaches that double."""
-    limit = min(most_km or geometry.HALF_GIRTH_KM, geometry.HALF_GIRTH_KM)
-    left, reach, done = stored(left), min(start_km, limit), None
-    while True:
-        found = stored(measure(left, reach).where(F.col("km") <= reach))
-        done = found if done is None else done.unionByName(found)
-        if reach >= limit:
-            return done
-        left = stored(left.join(found.select(query).distinct(), query, "left_anti"))
-        if left.isEmpty():
-            return done
-        reach = min(2 * reach, limit)
+def _limit(most_km: float | None) -> float:
+    return min(most_km or geometry.HALF_GIRTH_KM, geometry.HALF_GIRTH_KM)
 
 
 def _least(rows: DataFrame, query: str, key: str) -> DataFrame:
@@ -138,7 +127,7 @@ def nearest_outline(queries: DataFrame, polygons: DataFrame, query: str, key: st
         rows = met.select(F.col(f"q.{query}").alias(query), F.col(f"p.{key}").alias(key), _apart(F.col("_v"), F.col("_n")).alias("km"), _let(F.col("_n"), _place).alias("_at"))
         return _least(rows.select(query, key, "km", "_at.lat", "_at.lon"), query, key)
 
-    return _widening(asked, query, measure, start_km, most_km)
+    return geometry.widening(asked, query, measure, start_km, _limit(most_km))
 
 
 def nearest_polygon(queries: DataFrame, polygons: DataFrame, query: str, key: str, own: str | None = None, **how: float | None) -> DataFrame:
@@ -164,7 +153,7 @@ def outline_gaps(polygons: DataFrame, coast: DataFrame, polygon: str, key: str,
         none = F.lit(None).cast("double")
         return _least(met.select(polygon, key, km.alias("km"), none.alias("lat"), none.alias("lon")), polygon, key).drop("lat", "lon")
 
-    return _widening(mine.select(polygon).distinct(), polygon, measure, start_km, most_km)
+    return geometry.widening(mine.select(polygon).distinct(), polygon, measure, start_km, _limit(most_km))
 
 
 def coast_distances(places: DataFrame, units: DataFrame, coast: DataFrame, place: str, unit: str, key: str, near_km: float) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import haversine_km, pole, qualifier
-from terrane.operators.position import value_ranks
+from terrane.operators import geometry
+from terrane.operators.lookup import small
+from terrane.operators.position import placed, value_ranks
+from terrane.session import stored
 
 
 def backdrop(df: DataFrame, features: list[str]) -> DataFrame:
@@ -29,11 +32,16 @@ def cohesion(z: DataFrame, group: str, features: list[str]) -> DataFrame:
 def random_draws(z: DataFrame, unit: str, features: list[str], size: int, rounds: int = 200, seed: int = 0, within: DataFrame | None = None, family: str | None = None) -> DataFrame:
     """(round, cohesion, displacement) of seeded random sets of ``size`` rows; with ``within`` (family, k), each round takes k
     rows of every family instead. Draws are the first rows by a hash of unit and round."""
-    many = z.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    keys = ["round"] if within is None else ["round", family]
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(unit, "round", F.lit(seed)), unit)
-    ranked = many.withColumn("_r", F.row_number().over(w))
-    drawn = ranked.where(F.col("_r") <= size) if within is None else ranked.join(F.broadcast(within), family).where("_r <= k")
+    some = z if within is None else z.where(F.col(family).isNotNull())
+    rows = some.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_h", F.xxhash64(unit, "round", F.lit(seed)))
+    # one distributed sort places the rows of all rounds; every round has the same rows, so a place tells the place in its round
+    ranked = placed(rows, [F.col("round"), *([F.col(family)] if family and within is not None else []), F.col("_h"), F.col(unit)], "_at").withColumn("_at", F.pmod(F.col("_at") - 1, F.lit(max(1, some.count()))))
+    if within is None:
+        drawn = ranked.where(F.col("_at") < size)
+    else:
+        sizes = some.groupBy(family).agg(F.count("*").alias("_n"))  # a row for each family
+        first = sizes.select(family, (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(family)) - F.col("_n")).alias("_first"))
+        drawn = ranked.join(small(first.join(within, family)), family).where(F.col("_at") - F.col("_first") < F.col("k"))
     return cohesion(drawn, "round", features).select("round", "cohesion", "displacement")
 
 
@@ -60,20 +68,38 @@ def variable_percentiles(df: DataFrame, focus: Column, features: dict[str, tuple
 def isolates(df: DataFrame, unit: str, family: str, lat: str, lon: str, holder: Column, percentiles: list[str]) -> DataFrame:
     """Holders of a trait by how alone they are: unit, rarity (share of the own family that holds it), km (to the nearest
     holder of another family), environment (distance in percentiles to the nearest holder), their ranks, and the worst
-    rank, by which rows are ordered. Unrelated rows are those of other families; rows without a family are unrelated to all.
+    rank, by which rows are ordered. Unrelated rows are those of other families; rows without a family are unrelated to all. Units
+    are unique. Nearest holders are looked for in cells, with reaches that double, so no list of all pairs is formed.
     """
     rate = df.where(F.col(family).isNotNull()).groupBy(family).agg(F.avg(holder.cast("double")).alias("rarity"))
-    held = df.where(holder).select(unit, family, lat, lon, *percentiles)
-    other = held.select(F.col(unit).alias("_u"), F.col(family).alias("_f"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"), *(F.col(p).alias(f"_{p}") for p in percentiles))
-    km = haversine_km(F.col(lat), F.col(lon), F.col("_la"), F.col("_lo"))
-    env = F.sqrt(sum((F.pow(F.col(p) - F.col(f"_{p}"), F.lit(2)) for p in percentiles), F.lit(0.0)))
-    apart = ~F.col(family).eqNullSafe(F.col("_f")) | F.col(family).isNull()
-    # holders of one trait value are a small set, compared with each other in blocks that join by broadcast or shuffle
-    near = held.join(other, F.col(unit) != F.col("_u")).groupBy(unit).agg(F.min(F.when(apart, km)).alias("km"), F.min(env).alias("environment"))
-    out = held.select(unit, family).join(rate, family, "left").join(near, unit, "left")
+    held = stored(df.where(holder).select(F.col(unit).alias("u"), F.col(family).alias("f"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), *(F.col(p).cast("double").alias(f"e{k}") for k, p in enumerate(percentiles))))
+    n, axes = max(1, held.count()), [f"e{k}" for k in range(len(percentiles))]
+
+    def elsewhere(left: DataFrame, reach: float) -> DataFrame:
+        met = geometry.meet(left, held.select("u", "f", "lat", "lon"), reach).where("q.u <> p.u AND (q.f IS NULL OR p.f IS NULL OR q.f <> p.f)")
+        return met.select("q.u", haversine_km(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon")).alias("km")).groupBy("u").agg(F.min("km").alias("km"))
+
+    def alike(left: DataFrame, reach: float) -> DataFrame:
+        """Rows within reach of each other are in neighbouring cells of the first two percentiles."""
+        cell = lambda c: F.floor(F.col(c) / reach)
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+        q, p = left.select(F.struct("u", *axes).alias("q"), *axes[:2]), held.select(F.struct("u", *axes).alias("p"), *axes[:2])
+        for k, c in enumerate(axes[:2]):
+            q, p = q.withColumn(f"_c{k}", around(c)), p.withColumn(f"_c{k}", cell(c))
+        met = q.drop(*axes).join(p.drop(*axes), [f"_c{k}" for k in range(len(axes[:2]))]).where("q.u <> p.u")
+        far = F.sqrt(sum((F.pow(F.col(f"q.{c}") - F.col(f"p.{c}"), F.lit(2)) for c in axes), F.lit(0.0)))
+        return met.select("q.u", far.alias("environment")).groupBy("u").agg(F.min("environment").alias("environment"))
+
+    # reaches that hold a few holders if they were spread evenly
+    placed_ = held.where("lat IS NOT NULL AND lon IS NOT NULL").select("u", "f", "lat", "lon")
+    km = geometry.widening(placed_, "u", elsewhere, max(1.0, 25_000 / n**0.5), geometry.HALF_GIRTH_KM)
+    whole = held.select("u", *axes).na.drop()
+    env = geometry.widening(whole, "u", alike, max(0.01, 250 / n**0.5), 100.0 * len(axes) ** 0.5 + 1, "environment")
+    out = held.select(F.col("u").alias(unit), F.col("f").alias(family)).join(rate, family, "left").join(km.withColumnRenamed("u", unit), unit, "left").join(env.withColumnRenamed("u", unit), unit, "left")
+    out = stored(out)
     # ranks by value, so that no task sorts all rows; rows without a value come last
     for name, value, sign in (("rank_family", "rarity", 1.0), ("rank_km", "km", -1.0), ("rank_environment", "environment", -1.0)):
-        keyed = out.withColumn("_k", F.coalesce(sign * F.col(value), F.lit(float("inf"))))
+        keyed = out.withColumn("_k", F.coalesce(sign * F.round(value, 9), F.lit(float("inf"))))
         ranks = value_ranks(keyed, "_k").select("_k", (F.col("n_below") + 1).alias(name))
         out = keyed.join(ranks, "_k").drop("_k")
     return out.withColumn("worst_rank", F.greatest("rank_family", "rank_km", "rank_environment")).select(unit, "rarity", "km", "environment", "rank_family", "rank_km", "rank_environment", "worst_rank")

@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators.position import placed
+from terrane.session import stored
 
 
 def row_standardised(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
@@ -38,19 +39,22 @@ def morans_i(values: DataFrame, weights: DataFrame, other: DataFrame | None = No
     return cross.join(squares).join(second).select("n", "s0", F.try_divide(F.col("n") * F.col("_c"), F.col("s0") * F.sqrt(F.col("_a") * F.col("_b"))).alias("i"))
 
 
-def local_moran(values: DataFrame, weights: DataFrame) -> DataFrame:
-    """unit, z, lag, local_i (scaled by the mean square), quadrant HH, LL, HL or LH."""
-    lag = weights.join(values.select(F.col("unit").alias("j"), F.col("z").alias("_zj")), "j").groupBy(F.col("i").alias("unit")).agg(F.sum(F.col("w") * F.col("_zj")).alias("lag"))
-    m2 = F.broadcast(values.agg(F.avg(F.col("z") * F.col("z")).alias("_m2")))
+def local_moran(values: DataFrame, weights: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """unit, z, lag, local_i, quadrant HH, LL, HL or LH. The lag is of the unit's own variable, or of ``other`` (bivariate);
+    local_i is scaled by the mean square, or by both variables' roots of it."""
+    lagged = other or values
+    lag = weights.join(lagged.select(F.col("unit").alias("j"), F.col("z").alias("_zj")), "j").groupBy(F.col("i").alias("unit")).agg(F.sum(F.col("w") * F.col("_zj")).alias("lag"))
+    root = lambda v, name: F.broadcast(v.agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias(name)))
     z, l = F.col("z"), F.col("lag")  # noqa: E741
     quadrant = F.when((z > 0) & (l > 0), "HH").when((z <= 0) & (l <= 0), "LL").when(z > 0, "HL").otherwise("LH")
-    return values.join(lag, "unit").join(m2).select("unit", "z", "lag", F.try_divide(z * l, F.col("_m2")).alias("local_i"), quadrant.alias("quadrant"))
+    scale = F.col("_r1") * F.col("_r2")
+    return values.join(lag, "unit").join(root(values, "_r1")).join(root(lagged, "_r2")).select("unit", "z", "lag", F.try_divide(z * l, scale).alias("local_i"), quadrant.alias("quadrant"))
 
 
-def _dealt(rows: DataFrame, per_round: Column, order: Column, what: list[str]) -> DataFrame:
-    """(round, _p, what): each round's rows by their place in ``order``. All rounds are placed in one distributed sort by round
-    and order, so a round needs no task of its own."""
-    rank = placed(rows.withColumn("_o", order), [F.col("round"), F.col("_o"), F.col("unit")], "_rank")
+def _dealt(rows: DataFrame, per_round: Column, order: Column, what: list[str], first: list[Column] | None = None) -> DataFrame:
+    """(round, _p, what): each round's rows by their place in ``order``, after ``first``. All rounds are placed in one distributed
+    sort by round and order, so a round needs no task of its own."""
+    rank = placed(rows.withColumn("_o", order), [F.col("round"), *(first or []), F.col("_o"), F.col("unit")], "_rank")
     return rank.select("round", F.pmod(F.col("_rank") - 1, per_round).alias("_p"), *what)
 
 
@@ -81,13 +85,36 @@ def moran_p(values: DataFrame, weights: DataFrame, rounds: int = 99, seed: int =
     )
 
 
-def lisa(values: DataFrame, weights: DataFrame, rounds: int = 99, seed: int = 0, level: float = 0.05) -> DataFrame:
-    """unit, local_i, p, cluster: the quadrant where p is below ``level``, else NS."""
-    local = local_moran(values, weights)
-    shuffled = permuted(values, rounds, seed)
-    lag = weights.join(shuffled.select("round", F.col("unit").alias("j"), F.col("z").alias("_zj")), "j").groupBy("round", F.col("i").alias("unit")).agg(F.sum(F.col("w") * F.col("_zj")).alias("_l"))
-    tails = lag.join(local.select("unit", "lag"), "unit").groupBy("unit").agg(((F.least(F.count_if(F.col("_l") >= F.col("lag")), F.count_if(F.col("_l") <= F.col("lag"))) + 1) / (F.count("*") + 1)).alias("p"))
-    return local.join(tails, "unit").select("unit", "local_i", "p", F.when(F.col("p") < level, F.col("quadrant")).otherwise("NS").alias("cluster"))
+def lisa(values: DataFrame, weights: DataFrame, rounds: int = 99, seed: int = 0, level: float = 0.05, other: DataFrame | None = None) -> DataFrame:
+    """unit, local_i, p, cluster: the quadrant where p is below ``level``, else NS; bivariate with ``other``.
+
+    Conditional permutation: a unit keeps its value, and its k neighbours (weighing 1/k each) are drawn from all other units. Each
+    round puts the units in one random order, and a unit draws the first k of it that are not itself. So a round needs no more
+    of its order than the largest number of neighbours and one, and the sums of its first k values, for each k that occurs; a
+    unit's draws are read off by an equi-join on k, corrected in the few rounds in which the unit is among its own draws.
+    """
+    lagged = other or values
+    local = local_moran(values, weights, other)
+    many = weights.groupBy(F.col("i").alias("unit")).agg(F.count("*").alias("_k"))
+    n, most = F.lit(lagged.count()), (many.agg(F.max("_k")).first()[0] or 0) + 1
+    rows = lagged.select("unit", "z").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    order = stored(_dealt(rows, n, F.xxhash64("unit", "round", F.lit(seed)), ["unit", "z"]).where(F.col("_p") < most))
+    # a round's first places, no more of them than the largest neighbourhood has members
+    sums = order.select("round", (F.col("_p") + 1).alias("_k"), F.sum("z").over(Window.partitionBy("round").orderBy("_p")).alias("_s"))
+    drawn = sums.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("round", "_s"))).alias("_s"))
+    used = many.select("_k").distinct()
+    next_ = drawn.select((F.col("_k") - 1).alias("_k"), F.col("_s").alias("_t"))
+    by_k = used.join(drawn, "_k").join(next_, "_k", "left")
+    own = order.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("round", F.col("_p").alias("_at")))).alias("_own"))
+    mine = lagged.select("unit", F.col("z").alias("_mine"))
+    told = local.join(many, "unit").join(mine, "unit", "left").join(own, "unit", "left").join(by_k, "_k")
+    among = lambda r: F.coalesce(F.element_at("_own", r) < F.col("_k"), F.lit(False))
+    lag = lambda r: F.when(among(r), F.element_at("_t", r) - F.col("_mine")).otherwise(F.element_at("_s", r)) / F.col("_k")
+    told = told.withColumn("_draws", F.transform(F.sequence(F.lit(1), F.lit(rounds)), lag))
+    beyond = lambda test: F.size(F.filter("_draws", test))
+    fewer = F.least(beyond(lambda d: d >= F.col("lag")), beyond(lambda d: d <= F.col("lag")))
+    out = told.select("unit", "local_i", "quadrant", ((fewer + 1) / (rounds + 1)).alias("p"))
+    return out.select("unit", "local_i", "p", F.when(F.col("p") < level, F.col("quadrant")).otherwise("NS").alias("cluster"))
 
 
 def join_counts(classes: DataFrame, edges: DataFrame, unit: str, label: str) -> DataFrame:
@@ -125,21 +152,47 @@ def pseudo_f(points: DataFrame, group: str, features: list[str]) -> DataFrame:
     return total.join(within).select("n", "k", F.try_divide((sst - ssw) / (F.col("k") - 1), ssw / (F.col("n") - F.col("k"))).alias("f"), F.try_divide(sst - ssw, sst).alias("r2"))
 
 
-def permanova_p(points: DataFrame, group: str, features: list[str], unit: str, rounds: int = 99, seed: int = 0) -> DataFrame:
-    """One row: f, p = (draws at least as large + 1) / (rounds + 1). Group labels are dealt anew in each round."""
+def _labels_dealt(points: DataFrame, group: str, features: list[str], unit: str, rounds: int, seed: int, blocks: str | None) -> DataFrame:
+    """(round, features, group): in round 0 as they are, in the others with the groups dealt anew; with ``blocks``, within rows of
+    one block only (a null block is one too). Rows and labels are placed by block first, so a place is in the same block on both
+    sides."""
     n = F.lit(points.count())
-    many = points.select(F.col(unit).alias("unit"), group, *features).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    # round 0 keeps the labels as they are
+    kept = points.select(F.col(unit).alias("unit"), group, *features, *([F.col(blocks).alias("_block")] if blocks else []))
+    many = kept.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
     order = F.when(F.col("round") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("unit", "round", F.lit(seed)))
-    dealt = _dealt(many, n, F.lit(0).cast("long"), features).join(_dealt(many, n, order, [group]), ["round", "_p"])
+    first = [F.col("_block")] if blocks else []
+    return _dealt(many, n, F.lit(0).cast("long"), features, first).join(_dealt(many, n, order, [group], first), ["round", "_p"])
+
+
+def _p_value(draws: DataFrame, *more: str) -> DataFrame:
+    """One row: f of round 0 and p = (draws at least as large + 1) / (rounds + 1)."""
+    one = F.broadcast(draws.where("round = 0").select(F.col("f").alias("_f"), *(F.col(c).alias(f"_{c}") for c in more)))
+    as_large = (F.count_if(F.col("f") >= F.col("_f") - 1e-12) + 1) / (F.count("*") + 1)
+    return draws.where("round > 0").join(one).agg(*(F.first(f"_{c}").alias(c) for c in more), F.first("_f").alias("f"), as_large.alias("p"))
+
+
+def permanova_p(points: DataFrame, group: str, features: list[str], unit: str, rounds: int = 99, seed: int = 0, blocks: str | None = None) -> DataFrame:
+    """One row: f, p. Group labels are dealt anew in each round, within ``blocks`` if given."""
+    dealt = _labels_dealt(points, group, features, unit, rounds, seed, blocks)
     squares = sum((F.pow(F.col(f"_s_{f}"), F.lit(2)) / F.col("_n") for f in features), F.lit(0.0))
     between = dealt.groupBy("round", group).agg(F.count("*").alias("_n"), *(F.sum(f).alias(f"_s_{f}") for f in features)).groupBy("round").agg(F.sum(squares).alias("_b"), F.count("*").alias("_k"))
     whole = F.broadcast(points.agg(F.count("*").alias("_N"), sum((F.count("*") * F.pow(F.avg(f), F.lit(2)) for f in features), F.lit(0.0)).alias("_c"), sum((F.count("*") * F.var_pop(f) for f in features), F.lit(0.0)).alias("_t")))
     ssa = F.col("_b") - F.col("_c")
     f = F.try_divide(ssa / (F.col("_k") - 1), (F.col("_t") - ssa) / (F.col("_N") - F.col("_k")))
-    draws = between.join(whole).select("round", f.alias("f"))
-    one = F.broadcast(draws.where("round = 0").select(F.col("f").alias("_f")))
-    return draws.where("round > 0").join(one).agg(F.first("_f").alias("f"), ((F.count_if(F.col("f") >= F.col("_f") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
+    return _p_value(between.join(whole).select("round", f.alias("f")))
+
+
+def dispersion_p(points: DataFrame, group: str, features: list[str], unit: str, rounds: int = 99, seed: int = 0, blocks: str | None = None) -> DataFrame:
+    """One row: n, k, f, p of ``dispersion_test``. In each round labels are dealt anew, within ``blocks`` if given, and distances are
+    taken to the centroids of the groups so made."""
+    dealt = stored(_labels_dealt(points, group, features, unit, rounds, seed, blocks))
+    means = dealt.groupBy("round", group).agg(*(F.avg(f).alias(f"_m_{f}") for f in features))
+    d = F.sqrt(sum((F.pow(F.col(f) - F.col(f"_m_{f}"), F.lit(2)) for f in features), F.lit(0.0)))
+    of_group = dealt.join(means, ["round", group]).select("round", group, d.alias("_d")).groupBy("round", group).agg(F.count("*").alias("_n"), F.avg("_d").alias("_a"), F.var_pop("_d").alias("_v"))
+    grand = F.sum(F.col("_n") * F.col("_a")) / F.sum("_n")
+    parts = of_group.groupBy("round").agg(F.sum("_n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("_n") * F.col("_a") * F.col("_a")) - F.sum("_n") * grand * grand).alias("_b"), F.sum(F.col("_n") * F.col("_v")).alias("_w"))
+    f = F.try_divide(F.col("_b") / (F.col("k") - 1), F.col("_w") / (F.col("n") - F.col("k")))
+    return _p_value(parts.select("round", "n", "k", f.alias("f")), "n", "k")
 
 
 def principal_coordinates(points: DataFrame, key: str, unit: str, features: list[str], axes: int = 2) -> DataFrame:

@@ -133,6 +133,21 @@ def _classes(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_suppkey").alias("unit"), F.when(b < 3000, "low").when(b < 6000, "mid").otherwise("high").alias("label"))
 
 
+BIVARIATE = f"""{EDGES}, y AS (SELECT s_suppkey AS unit, s_nationkey - (SELECT avg(s_nationkey) FROM supplier) AS y FROM supplier), l AS (SELECT i AS unit, sum(w * y) AS lag FROM w JOIN y ON y.unit = w.j GROUP BY 1)"""
+
+
+@query("M4_bivariate_local", f"""WITH {BIVARIATE} SELECT unit, round(z, 4) AS z, round(lag, 4) AS lag, round(z * lag / sqrt((SELECT avg(z * z) FROM z) * (SELECT avg(y * y) FROM y)), 6) AS local_i,
+CASE WHEN z > 0 AND lag > 0 THEN 'HH' WHEN z <= 0 AND lag <= 0 THEN 'LL' WHEN z > 0 THEN 'HL' ELSE 'LH' END AS quadrant FROM z JOIN l USING (unit)""")
+def m4b(t: Tables) -> DataFrame:
+    out = spatialstats.local_moran(_values(t), spatialstats.row_standardised(_edges(t)), spatialstats.mean_imputed(t.supplier, "s_suppkey", "s_nationkey"))
+    return out.select("unit", F.round("z", 4).alias("z"), F.round("lag", 4).alias("lag"), F.round("local_i", 6).alias("local_i"), "quadrant")
+
+
+@query("M4_bivariate_lisa")
+def m4l(t: Tables) -> DataFrame:
+    return spatialstats.lisa(_values(t), spatialstats.row_standardised(_edges(t)), rounds=99, other=spatialstats.mean_imputed(t.supplier, "s_suppkey", "s_nationkey"))
+
+
 @query("M5_join_counts", f"WITH {CLASS}, p AS (SELECT a.label AS x, b.label AS y FROM e JOIN k a ON a.unit = i JOIN k b ON b.unit = j WHERE i < j) SELECT label, (SELECT count(*) FROM p WHERE x = y AND x = label) AS n_same, (SELECT count(*) FROM p WHERE x <> y AND (x = label OR y = label)) AS n_other FROM (SELECT DISTINCT label FROM k) WHERE EXISTS (SELECT 1 FROM p WHERE x = label OR y = label)")
 def m5(t: Tables) -> DataFrame:
     return spatialstats.join_counts(_classes(t), _edges(t), "unit", "label")
@@ -167,6 +182,18 @@ def m9p(t: Tables) -> DataFrame:
     return spatialstats.permanova_p(_points(t), "g", ["x", "y"], "unit", rounds=99)
 
 
+@query("M9_permanova_blocks")
+def m9b(t: Tables) -> DataFrame:
+    """Labels are dealt within nations."""
+    blocked = _points(t).join(t.customer.select(F.col("c_custkey").alias("unit"), "c_nationkey"), "unit")
+    return spatialstats.permanova_p(blocked, "g", ["x", "y"], "unit", rounds=99, blocks="c_nationkey")
+
+
+@query("M11_dispersion_p")
+def m11p(t: Tables) -> DataFrame:
+    return spatialstats.dispersion_p(_points(t), "g", ["x", "y"], "unit", rounds=99)
+
+
 @query("M11_dispersion_test", f"""WITH {POINTS}, c AS (SELECT g, avg(x) AS cx, avg(y) AS cy FROM p GROUP BY 1), q AS (SELECT g, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM p JOIN c USING (g)), t AS (SELECT count(*) AS n, count(DISTINCT g) AS k, count(*) * var_pop(d) AS sst FROM q), w AS (SELECT sum(s) AS ssw FROM (SELECT count(*) * var_pop(d) AS s FROM q GROUP BY g))
 SELECT n, k, round((sst - ssw) / (k - 1) / (ssw / (n - k)), 6) AS f FROM t, w""")
 def m11(t: Tables) -> DataFrame:
