@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terrane.functions.scalars import haversine_km, pole, qualifier
 from terrane.operators import geometry
 from terrane.operators.lookup import small
-from terrane.operators.position import placed, value_ranks
+from terrane.operators.position import neutral_long, placed, rank_share, value_ranks
 from terrane.session import stored
 
 
@@ -65,6 +65,28 @@ def variable_percentiles(df: DataFrame, focus: Column, features: dict[str, tuple
     return one.select(F.inline(rows))
 
 
+def ticks(df: DataFrame, unit: str, family: str, focus: Column, features: list[str]) -> DataFrame:
+    """unit, family, variable, percentile of each focus row and variable that it has: hundredths by average rank among all rows
+    with a value, so gaps in one variable leave the others alone. All variables are ranked in one plan."""
+    scored = rank_share(neutral_long(df, unit, features), "raw", ["variable"], "percentile").where("percentile IS NOT NULL")
+    return scored.join(df.where(focus).select(unit, family), unit).select(unit, family, "variable", "percentile")
+
+
+def records(df: DataFrame, unit: str, family: str, trait: str, focus: Column, features: list[str], more: list[str]) -> DataFrame:
+    """A row for each focus row: unit, ``more``, family, family_coded (rows of its family that the trait is coded for, in focus or
+    not; null without a family), and p_<feature>, its percentiles as in ``ticks``."""
+    coded = df.where(F.col(trait).isNotNull() & F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("family_coded"))
+    wide = ticks(df, unit, family, focus, features).groupBy(unit).agg(*(F.max(F.when(F.col("variable") == f, F.col("percentile"))).alias(f"p_{f}") for f in features))
+    own = df.where(focus).select(unit, *more, family).join(coded, family, "left").join(wide, unit, "left")
+    return own.select(unit, *more, family, F.when(F.col(family).isNotNull(), F.coalesce("family_coded", F.lit(0))).alias("family_coded"), *(f"p_{f}" for f in features))
+
+
+def scatter(df: DataFrame, unit: str, focus: Column, x: str, y: str) -> DataFrame:
+    """unit, x, y, side (focus or backdrop) of all rows with both values."""
+    side = F.when(F.coalesce(focus, F.lit(False)), "focus").otherwise("backdrop")
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(unit, F.col(x).alias("x"), F.col(y).alias("y"), side.alias("side"))
+
+
 def isolates(df: DataFrame, unit: str, family: str, lat: str, lon: str, holder: Column, percentiles: list[str]) -> DataFrame:
     """Holders of a trait by how alone they are: unit, rarity (share of the own family that holds it), km (to the nearest
     holder of another family), environment (distance in percentiles to the nearest holder), their ranks, and the worst

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
-from terrane.operators import cluster, scan
+from terrane.operators import cluster, pairs, position, scan, weighted
 from terrane.plans.curves import HAV, PLACED, SPACE, placed, space
 from terrane.plans.registry import Tables, query, rounded
 
@@ -89,3 +89,75 @@ def l20(t: Tables) -> DataFrame:
 SELECT round((i - x * y / (t * (t - 1) / 2)) / ((x + y) / 2 - x * y / (t * (t - 1) / 2)), 8) AS ari FROM s""")
 def l21(t: Tables) -> DataFrame:
     return cluster.agreement(t.embeddings.select((F.col("vec_id") % 4).alias("a"), F.col("label").alias("b")), "a", "b").select(F.round("ari", 8).alias("ari"))
+
+
+#: A value for most nations and each segment, priority and status: averages over customers and orders.
+SIGNED = """v AS (SELECT c_nationkey AS unit, 'segment ' || c_mktsegment AS variable, avg(c_acctbal) AS value FROM customer GROUP BY 1, 2
+UNION ALL SELECT c_nationkey, 'priority ' || o_orderpriority, avg(o_totalprice) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+UNION ALL SELECT c_nationkey, 'status ' || o_orderstatus, avg(o_totalprice) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 4 <> 1 GROUP BY 1, 2),
+st AS (SELECT variable, avg(value) AS m, stddev_pop(value) AS s FROM v GROUP BY 1), z AS (SELECT unit, variable, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z FROM v JOIN st USING (variable)),
+un AS (SELECT DISTINCT unit FROM v), fl AS (SELECT unit, variable, coalesce(z, 0) AS z FROM un CROSS JOIN st LEFT JOIN z USING (unit, variable))"""
+_PAIR = "SELECT a.unit AS a, b.unit AS b, count(*) AS n_common, sqrt(sum((a.z - b.z) ** 2)) AS euclidean, 1 - sum(a.z * b.z) / (sqrt(sum(a.z ** 2)) * sqrt(sum(b.z ** 2))) AS cosine FROM {z} a JOIN {z} b ON a.variable = b.variable AND a.unit < b.unit GROUP BY 1, 2"
+
+
+def _signed(t: Tables) -> DataFrame:
+    priced = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    mean = lambda df, name, by, value: df.groupBy(F.col("c_nationkey").alias("unit"), F.concat(F.lit(name), by).alias("variable")).agg(F.avg(value).alias("value"))
+    return mean(t.customer, "segment ", F.col("c_mktsegment"), "c_acctbal").unionByName(mean(priced, "priority ", F.col("o_orderpriority"), "o_totalprice")).unionByName(mean(priced.where("c_nationkey % 4 <> 1"), "status ", F.col("o_orderstatus"), "o_totalprice"))
+
+
+@query("L26_signature_distances", f"WITH {SIGNED} SELECT a, b, n_common, round(euclidean, 6) AS euclidean, round(cosine, 6) AS cosine FROM ({_PAIR.format(z='fl')})")
+def l26(t: Tables) -> DataFrame:
+    return rounded(pairs.distance_matrix(_signed(t), "unit", "variable", "value"))
+
+
+@query("L26_common_distances", f"WITH {SIGNED} SELECT a, b, n_common, round(euclidean, 6) AS euclidean, round(cosine, 6) AS cosine FROM ({_PAIR.format(z='z')})")
+def l26c(t: Tables) -> DataFrame:
+    return rounded(pairs.distance_matrix(_signed(t), "unit", "variable", "value", imputed=False))
+
+
+@query("L26_ranked_pairs", f"""WITH {SIGNED}, m AS ({_PAIR.format(z='fl')}), r AS (SELECT a, b, round(cosine, 12) AS d FROM m), o AS (SELECT *, row_number() OVER (ORDER BY d, a, b) AS s, row_number() OVER (ORDER BY d DESC, a, b) AS f FROM r)
+SELECT 'similar' AS kind, s::INTEGER AS place, a, b, round(d, 6) AS distance FROM o WHERE s <= 5 UNION ALL SELECT 'different', f::INTEGER, a, b, round(d, 6) FROM o WHERE f <= 5""")
+def l26r(t: Tables) -> DataFrame:
+    return rounded(pairs.ranked_pairs(pairs.distance_matrix(_signed(t), "unit", "variable", "value"), "cosine", 5))
+
+
+@query("M18_uniform_baseline")
+def m18(t: Tables) -> DataFrame:
+    """How much narrower the balances of a nation's customers lie, in percentiles, than as many even draws."""
+    scored = position.percent_rank(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), "c_acctbal").withColumn("_w", F.lit(1.0))
+    c = weighted.cumulated(scored, ["c_nationkey"], "c_custkey", "score", "_w")
+    q = weighted.midpoint_quantiles(c, ["c_nationkey"], "score", {"p10": 0.1, "p90": 0.9})
+    k = scored.groupBy("c_nationkey").agg(F.count("score").alias("k"))
+    return pairs.against_uniform(q.join(k, "c_nationkey").select("c_nationkey", "k", (F.col("p90") - F.col("p10")).alias("width")), "width")
+
+
+#: Customers with a trait that most are coded for, a family that most belong to, and three variables of which one has gaps.
+CODED = f"""{PLACED}, d AS (SELECT p.unit, lat, lon, CASE WHEN p.unit % 6 <> 0 THEN c_mktsegment END AS trait, CASE WHEN p.unit % 11 <> 0 THEN c_nationkey END AS family, c_acctbal AS x, (p.unit * 37 % 101)::DOUBLE AS y, CASE WHEN p.unit % 5 <> 0 THEN (p.unit * 13 % 57)::DOUBLE END AS z FROM p JOIN customer ON c_custkey = p.unit),
+l AS (SELECT unit, unnest(['x', 'y', 'z']) AS variable, unnest([x, y, z]) AS v FROM d), k AS (SELECT *, rank() OVER (PARTITION BY variable ORDER BY v) AS lo, count(*) OVER (PARTITION BY variable, v) AS eq, count(*) OVER (PARTITION BY variable) AS n FROM l WHERE v IS NOT NULL),
+pc AS (SELECT unit, variable, round(100.0 * (lo + (eq - 1) / 2.0) / n, 6) AS percentile FROM k)"""
+
+
+def _coded(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    own = t.customer.select(k.alias("unit"), F.when(k % 6 != 0, F.col("c_mktsegment")).alias("trait"), F.when(k % 11 != 0, F.col("c_nationkey")).alias("family"), F.col("c_acctbal").alias("x"), (k * 37 % 101).cast("double").alias("y"), F.when(k % 5 != 0, (k * 13 % 57).cast("double")).alias("z"))
+    return placed(t).select("unit", "lat", "lon").join(own, "unit")
+
+
+FOCUS = F.col("trait") == "BUILDING"
+
+
+@query("M17_ticks", f"WITH {CODED} SELECT unit, family, variable, percentile FROM pc JOIN d USING (unit) WHERE trait = 'BUILDING'")
+def m17t(t: Tables) -> DataFrame:
+    return rounded(scan.ticks(_coded(t), "unit", "family", FOCUS, FEATURES))
+
+
+@query("M17_records", f"""WITH {CODED}, f AS (SELECT family, count(*) AS n FROM d WHERE trait IS NOT NULL AND family IS NOT NULL GROUP BY 1), w AS (SELECT unit, max(percentile) FILTER (WHERE variable = 'x') AS p_x, max(percentile) FILTER (WHERE variable = 'y') AS p_y, max(percentile) FILTER (WHERE variable = 'z') AS p_z FROM pc GROUP BY 1)
+SELECT unit, round(lat, 6) AS lat, round(lon, 6) AS lon, family, CASE WHEN family IS NOT NULL THEN coalesce(f.n, 0) END AS family_coded, p_x, p_y, p_z FROM d LEFT JOIN f USING (family) LEFT JOIN w USING (unit) WHERE trait = 'BUILDING'""")
+def m17r(t: Tables) -> DataFrame:
+    return rounded(scan.records(_coded(t), "unit", "family", "trait", FOCUS, FEATURES, ["lat", "lon"]))
+
+
+@query("M17_scatter", f"WITH {CODED} SELECT unit, x, z AS y, CASE WHEN coalesce(trait = 'BUILDING', false) THEN 'focus' ELSE 'backdrop' END AS side FROM d WHERE x IS NOT NULL AND z IS NOT NULL")
+def m17s(t: Tables) -> DataFrame:
+    return scan.scatter(_coded(t), "unit", FOCUS, "x", "z")
