@@ -43,15 +43,16 @@ def area_weighted(rows: DataFrame, query: str = "query_id", unit: str = "unit_id
     keys = [query, "variable"]
     # windows, sums, quantiles and dispersion come from one shuffle and sort by query and variable
     q = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90}
-    one = weighted.quantiles(weighted.pooled(rows, keys, unit, "score", "weight"), keys, "score", q, [
-        weighted.coverage("score", "weight").alias("coverage"),
-        weighted.wmean("score", "weight").alias("mean"),
-        F.sum(F.when(F.col("score") == 0, F.col("weight")).otherwise(0.0)).alias("weight_at_zero"),
-        (F.max(zero_fraction) if zero_fraction else F.lit(None).cast("double")).alias("zero_fraction"),
-        F.count("w").alias("n_units"), F.max("tie").alias("tie"), dispersion.windows("score").alias("_best"),
-        F.min(F.when(F.col("w").isNotNull(), F.col("score"))).alias("least"), F.max(F.when(F.col("w").isNotNull(), F.col("score"))).alias("most"),
+    known = F.col("score").isNotNull()
+    one = dispersion.folded(weighted.pooled(rows, keys, unit, "score", "weight"), keys, "score", [
+        *weighted.quantile_parts("score", q),
+        ("coverage", weighted.coverage("score", "weight"), "sum"),
+        ("_sum", F.sum(F.when(known, F.col("weight") * F.col("score"))), "sum"), ("_weight", F.sum(F.when(known, F.col("weight"))), "sum"),
+        ("weight_at_zero", F.sum(F.when(F.col("score") == 0, F.col("weight")).otherwise(0.0)), "sum"),
+        ("zero_fraction", F.max(zero_fraction) if zero_fraction else F.max(F.lit(None).cast("double")), "max"),
+        ("n_units", F.count("w"), "sum"), ("tie", F.max("tie"), "max"),
     ])
-    out = dispersion.tagged(one)
+    out = dispersion.tagged(one.select("*", *weighted.from_parts(q), F.try_divide("_sum", "_weight").alias("mean")))
     outside = F.coalesce((F.col("zero_fraction") >= ZERO_AWARE) & (F.col("weight_at_zero") >= OUTSIDE), F.lit(False))
     status = F.when(F.coalesce(F.col("coverage"), F.lit(0.0)) < 1e-9, "no_data").when(outside, "outside_active_domain").otherwise("ok")
     ok = status == "ok"

@@ -13,21 +13,26 @@ DELTA, CONCENTRATED, TIE, RESIDUAL, FEWEST = 15, 0.65, 0.50, 0.10, 5
 GAP, SIDE = 0.50, 0.20
 
 
-def windows(score: str, delta: int = DELTA) -> Column:
-    """Aggregate over ``weighted.cumulated`` or ``pooled`` rows: (core_share, window_lo) of the window of width 2 * delta, at
-    whole lower ends, that holds most weight.
+def folded(rows: DataFrame, keys: list[str], score: str, parts: list[tuple[str, Column, str]]) -> DataFrame:
+    """One row for each group of ``weighted.pooled`` rows: keys, the ``parts`` (name, aggregate, and how parts of a group add up: sum,
+    min or max) and _best, the (core_share, window_lo) of the window of width 2 * DELTA, at whole lower ends, that holds most
+    weight.
 
-    Windows are closed; of equal windows the lowest counts. The sums are rounded to 12 places before they are compared, so that
-    equal windows are equal whatever the order of summation.
+    Rows are first added up by whole and half places of the score scale, at most 201 for a group, and windows are sums over
+    those. Windows are closed; of equal windows the lowest counts. The sums are rounded to 12 places before they are compared,
+    so that equal windows are equal whatever the order of summation.
     """
-    lows = range(0, 101 - 2 * delta)
-    sums = [F.round(F.sum(F.when(F.col(score).between(lo, lo + 2 * delta), F.col("w")).otherwise(0.0)), 12) for lo in lows]
-    best = F.array_min(F.array(*(F.struct((-s).alias("k"), F.lit(lo).alias("lo")) for lo, s in zip(lows, sums, strict=True))))
-    return best
+    at = F.when(F.col("w").isNotNull(), (2 * F.floor(score) + (F.col(score) > F.floor(score)).cast("int")).cast("int"))
+    binned = rows.groupBy(*keys, at.alias("_bin")).agg(*(c.alias(n) for n, c, _ in parts), F.sum("w").alias("_bw"))
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    one = binned.groupBy(*keys).agg(*(merge[how](n).alias(n) for n, _, how in parts), F.expr("collect_list(CASE WHEN _bin IS NOT NULL THEN struct(_bin, _bw) END)").alias("_hist"))
+    wide, lows = 2 * DELTA, 100 - 2 * DELTA
+    held = f"aggregate(filter(_hist, h -> h._bin BETWEEN 2 * lo AND 2 * lo + {2 * wide}), 0D, (s, h) -> s + h._bw)"
+    return one.withColumn("_best", F.expr(f"array_min(transform(sequence(0, {lows}), lo -> struct(-round({held}, 12) AS k, lo AS lo)))")).drop("_hist")
 
 
 def tagged(rows: DataFrame, fewest: int = FEWEST) -> DataFrame:
-    """Turns the columns _best (from ``windows``), tie and n_units of one row per group into core_share, window_lo, window_hi and
+    """Turns the columns _best (from ``folded``), tie and n_units of one row per group into core_share, window_lo, window_hi and
     coherence: split, concentrated or spread; none for few units."""
     share = -F.col("_best.k")
     tag = F.when((F.col("tie") >= TIE) & (1 - share >= RESIDUAL), "split").when(share >= CONCENTRATED, "concentrated").otherwise("spread")
@@ -38,7 +43,7 @@ def tagged(rows: DataFrame, fewest: int = FEWEST) -> DataFrame:
 
 def dispersion(rows: DataFrame, keys: list[str], score: str, fewest: int = FEWEST) -> DataFrame:
     """keys, n_units, core_share, window_lo, window_hi, tie, coherence, of rows from ``weighted.pooled``."""
-    one = rows.groupBy(*keys).agg(F.count("w").alias("n_units"), F.max("tie").alias("tie"), windows(score).alias("_best"))
+    one = folded(rows, keys, score, [("n_units", F.count("w"), "sum"), ("tie", F.max("tie"), "max")])
     return tagged(one, fewest).where("n_units > 0").select(*keys, "n_units", "core_share", "window_lo", "window_hi", "tie", "coherence")
 
 

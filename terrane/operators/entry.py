@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.scalars import bearing
 from terrane.operators import blocks, dispersion, geometry, lookup, shapes, weighted
+from terrane.session import stored
 
 #: Least weight of a stored crosswalk row, the level that has a crosswalk, sides of a unit's inside share that
 #: count as marginal, fewest units for a coherence tag.
@@ -71,9 +72,11 @@ def signatures(sets: DataFrame, scopes: DataFrame, scores: DataFrame, labels: Da
     ``scopes`` (query_id, scope), ``catalog`` (variable, band, kind, cluster, zero_fraction), a small dimension. The variable
     ``lead`` chooses the dominant unit. Which block a variable goes to is the catalog's matter.
     """
+    # written once: every block reads the same sets, and their scores
+    sets, scopes = stored(sets), stored(scopes)
     named = F.broadcast(catalog.withColumn("method", blocks.dispatch(F.col("kind"), F.col("cluster"))))
     size = sets.groupBy("query_id").agg(F.count("*").alias("_units")).join(scopes, "query_id")
-    rows = sets.join(scores, "unit_id").join(named.select("variable", "band", "method", "zero_fraction"), "variable")
+    rows = stored(sets.join(scores, "unit_id").join(named.select("variable", "band", "method", "zero_fraction"), "variable"))
 
     # area-weighted and distribution-only variables: all of their statistics from one shuffle
     keys = ["query_id", "variable"]

@@ -25,7 +25,10 @@ def value_ranks(df: DataFrame, value: str, keys: list[str] | None = None, ranges
     cuts = seen.groupBy(*keys).agg(F.percentile_approx(value, F.lit([i / ranges for i in range(1, ranges)]), 10 * ranges).alias("_cuts"))
     on = keys or None
     cut = seen.join(F.broadcast(cuts), on) if on else seen.crossJoin(F.broadcast(cuts))
-    dealt = cut.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    # how many cuts lie below the value, by halving
+    steps = [1 << k for k in range(ranges.bit_length(), -1, -1)]
+    further = lambda n, step: F.when((n + step <= F.size("_cuts")) & (F.get("_cuts", n + step - 1) < F.col(value)), n + step).otherwise(n)
+    dealt = cut.withColumn("_range", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)).drop("_cuts")
     sizes = dealt.groupBy(*keys, "_range").agg(F.sum("n_equal").alias("_size"))
     # at most ``ranges`` rows for each key
     over = Window.partitionBy(*[F.col(k) for k in keys], F.lit(0))

@@ -69,6 +69,7 @@ def permuted(values: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
 
 def moran_p(values: DataFrame, weights: DataFrame, rounds: int = 99, seed: int = 0) -> DataFrame:
     """One row: i, mean and deviation of the permuted i, z score and two-sided pseudo p."""
+    values, weights = stored(values), stored(weights)
     shuffled = permuted(values, rounds, seed)
     zi, zj = (shuffled.select("round", F.col("unit").alias(c), F.col("z").alias(f"_z{c}")) for c in "ij")
     cross = weights.join(zi, "i").join(zj, ["round", "j"]).groupBy("round").agg(F.sum(F.col("w") * F.col("_zi") * F.col("_zj")).alias("_c"))

@@ -58,6 +58,20 @@ def _interpolate(value: str, at: str, next_at: str, q: float) -> Column:
     return F.coalesce(low, between, F.max(value))
 
 
+def quantile_parts(value: str, qs: dict[str, float]) -> list[tuple[str, Column, str]]:
+    """Aggregates of parts of a group, from ``pooled`` rows, and how they add up; ``from_parts`` makes the quantiles of them."""
+    some = lambda c: F.when(F.col("w").isNotNull(), F.col(c))
+    parts = [("_at", F.min("cum"), "min"), ("least", F.min(some(value)), "min"), ("most", F.max(some(value)), "max")]
+    for name, q in qs.items():
+        step = f"{value} + (next_value - {value}) * try_divide({q} - cum, next_cum - cum)"
+        parts.append((f"_{name}", F.expr(f"max(CASE WHEN cum <= {q} AND next_cum > {q} THEN {step} END)"), "max"))
+    return parts
+
+
+def from_parts(qs: dict[str, float]) -> list[Column]:
+    return [F.expr(f"coalesce(CASE WHEN _at >= {q} THEN least END, _{name}, most)").alias(name) for name, q in qs.items()]
+
+
 def pooled(df: DataFrame, keys: list[str], unit: str, value: str, weight: str) -> DataFrame:
     """All rows, with the columns of ``cumulated`` where there is a value and weight (null elsewhere) and ``tie``, the weight of
     the rows of equal value. One shuffle by the keys and one sort serve these windows and whatever is grouped by the keys

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
@@ -144,20 +144,21 @@ def _coded(t: Tables) -> DataFrame:
     return placed(t).select("unit", "lat", "lon").join(own, "unit")
 
 
-FOCUS = F.col("trait") == "BUILDING"
+def _focus() -> Column:
+    return F.col("trait") == "BUILDING"
 
 
 @query("M17_ticks", f"WITH {CODED} SELECT unit, family, variable, percentile FROM pc JOIN d USING (unit) WHERE trait = 'BUILDING'")
 def m17t(t: Tables) -> DataFrame:
-    return rounded(scan.ticks(_coded(t), "unit", "family", FOCUS, FEATURES))
+    return rounded(scan.ticks(_coded(t), "unit", "family", _focus(), FEATURES))
 
 
 @query("M17_records", f"""WITH {CODED}, f AS (SELECT family, count(*) AS n FROM d WHERE trait IS NOT NULL AND family IS NOT NULL GROUP BY 1), w AS (SELECT unit, max(percentile) FILTER (WHERE variable = 'x') AS p_x, max(percentile) FILTER (WHERE variable = 'y') AS p_y, max(percentile) FILTER (WHERE variable = 'z') AS p_z FROM pc GROUP BY 1)
 SELECT unit, round(lat, 6) AS lat, round(lon, 6) AS lon, family, CASE WHEN family IS NOT NULL THEN coalesce(f.n, 0) END AS family_coded, p_x, p_y, p_z FROM d LEFT JOIN f USING (family) LEFT JOIN w USING (unit) WHERE trait = 'BUILDING'""")
 def m17r(t: Tables) -> DataFrame:
-    return rounded(scan.records(_coded(t), "unit", "family", "trait", FOCUS, FEATURES, ["lat", "lon"]))
+    return rounded(scan.records(_coded(t), "unit", "family", "trait", _focus(), FEATURES, ["lat", "lon"]))
 
 
 @query("M17_scatter", f"WITH {CODED} SELECT unit, x, z AS y, CASE WHEN coalesce(trait = 'BUILDING', false) THEN 'focus' ELSE 'backdrop' END AS side FROM d WHERE x IS NOT NULL AND z IS NOT NULL")
 def m17s(t: Tables) -> DataFrame:
-    return scan.scatter(_coded(t), "unit", FOCUS, "x", "z")
+    return scan.scatter(_coded(t), "unit", _focus(), "x", "z")
