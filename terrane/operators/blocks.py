@@ -162,6 +162,18 @@ def payload(rows: DataFrame, scope: str, caveats: dict[str, str], query: str = "
     return packed.select(query, F.to_json(doc).alias("payload"))
 
 
+def projected(rows: DataFrame, detail: list[str], with_detail: bool = False) -> DataFrame:
+    """Signature rows in their lean form, without the columns ``detail``, or in full, with those as one struct of that name."""
+    lean = rows.drop(*detail)
+    return rows.select(*lean.columns, F.struct(*detail).alias("detail")) if with_detail else lean
+
+
+def companions(rows: DataFrame, query: str = "query_id", unit: str = "unit_id") -> DataFrame:
+    """query, variable, unit, weight, score: the units behind each figure that have a value, weights to six and scores to four
+    places."""
+    return rows.where(F.col("score").isNotNull()).select(query, "variable", unit, F.round("weight", 6).alias("weight"), F.round("score", 4).alias("score"))
+
+
 def band_filter(rows: DataFrame, bands: str) -> DataFrame:
     """Rows of the bands named by letter, after all blocks have run."""
     wanted = sorted({b for b in bands.upper() if b.isalpha()})

@@ -57,6 +57,33 @@ def resolve_ring(queries: DataFrame, units: DataFrame, edges: DataFrame, unit: s
     )
 
 
+def resolve(units: DataFrame, unit: str, points: DataFrame | None = None, buffers: DataFrame | None = None, polygons: DataFrame | None = None, rings: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(query_id, member, scope, unit_id, weight, inside) of queries of any kind, for one signature plan.
+
+    ``points`` (query_id, lat, lon) are single units; ``buffers`` (query_id, lat, lon, km) are cut from circles; ``polygons``
+    (query_id, ring or shape) are cut as they are; ``rings`` (query_id, lat, lon) give the covering unit and each of its neighbours
+    by itself, with the unit as ``member``, so a whole ring is a few rows and not a call for each. ``units`` has unit, ring or
+    shape, and for rings area, lat and lon; ``edges`` are theirs. Queries that no unit covers have no row.
+    """
+    parts = []
+    one = lambda df, scope, member: df.select("query_id", member.cast("long").alias("member"), F.lit(scope).alias("scope"), F.col(unit).alias("unit_id"), F.lit(1.0).alias("weight"), F.lit(1.0).alias("inside"))
+    cover = lambda df: geometry.smallest_cover(df, units, "lon", "lat", "query_id", unit)
+    if points is not None:
+        parts.append(one(cover(points), "single_unit", F.lit(None)))
+    if rings is not None:
+        ring = resolve_ring(rings, units, edges, unit)
+        members = ring.select("query_id", F.col("neighbour").alias(unit)).unionByName(ring.select("query_id", F.col("centre").alias(unit)).distinct())
+        parts.append(one(members, "ring", F.col(unit)))
+    for areas, scope in ((polygons, "polygon"), (None if buffers is None else buffers.select("query_id", geometry.circle(F.col("lat"), F.col("lon"), F.col("km")).alias("ring")), "buffer")):
+        if areas is not None:
+            cut = shapes.overlap_weights(units, areas, unit, "query_id")
+            parts.append(cut.select("query_id", F.lit(None).cast("long").alias("member"), F.lit(scope).alias("scope"), F.col(unit).alias("unit_id"), "weight", F.col("unit_fraction").alias("inside")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def scope_of(sets: DataFrame) -> DataFrame:
     """query_id, n_units, shortfall (what the units leave of the query), lt_half and lt_fifth (weight of units less than half and
     less than a fifth inside)."""

@@ -120,10 +120,11 @@ def isolates(df: DataFrame, unit: str, family: str, lat: str, lon: str, holder:
     out = held.select(F.col("u").alias(unit), F.col("f").alias(family)).join(rate, family, "left").join(km.withColumnRenamed("u", unit), unit, "left").join(env.withColumnRenamed("u", unit), unit, "left")
     out = stored(out)
     # ranks by value, so that no task sorts all rows; rows without a value come last
-    for name, value, sign in (("rank_family", "rarity", 1.0), ("rank_km", "km", -1.0), ("rank_environment", "environment", -1.0)):
-        keyed = out.withColumn("_k", F.coalesce(sign * F.round(value, 9), F.lit(float("inf"))))
-        ranks = value_ranks(keyed, "_k").select("_k", (F.col("n_below") + 1).alias(name))
-        out = keyed.join(ranks, "_k").drop("_k")
+    measures = (("rank_family", "rarity", 1.0), ("rank_km", "km", -1.0), ("rank_environment", "environment", -1.0))
+    base = out.select("*", *(F.coalesce(sign * F.round(value, 9), F.lit(float("inf"))).alias(f"_{name}") for name, value, sign in measures))
+    out = base
+    for name, _, _ in measures:
+        out = out.join(value_ranks(base, f"_{name}").select(f"_{name}", (F.col("n_below") + 1).alias(name)), f"_{name}")
     return out.withColumn("worst_rank", F.greatest("rank_family", "rank_km", "rank_environment")).select(unit, "rarity", "km", "environment", "rank_family", "rank_km", "rank_environment", "worst_rank")
 
 

@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.scalars import ordinal
-
+from terrane.functions.scalars import binned, ordinal
 
 #: Zero share that makes a variable zero-aware, least share that is stated, units that a spread label takes,
 #: classes that are listed, distance from either end that counts as a tail, eligible variables that a band and a query take.
@@ -195,7 +194,8 @@ def within_band(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, l
 
     ``groups``: item -> (rule, variables, kind). ``sum`` and ``span`` (last less first) and ``ratio`` (last by first) are of the
     variables' raw values; ``filled`` is a sum in which a variable outside its domain counts as zero; ``ranks`` is the span of
-    usable percentiles. All but ``ranks`` and ``ratio`` need a query of one unit.
+    usable percentiles; ``gap`` is the first less the second, which is part of it; ``class`` tells that the first, a class, is
+    present while all others lie outside their domain. All but ``ranks`` and ``ratio`` need a query of one unit.
     """
     status_ok = F.col("status") == "ok"
     raw = F.when(status_ok, F.col("representative_raw"))
@@ -203,10 +203,16 @@ def within_band(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, l
     rank = F.when(status_ok & ~F.coalesce("suppressed", F.lit(False)), F.col("representative_score"))
     names = sorted({v for _, vs, _ in groups.values() for v in vs})
     at = lambda v, x: F.max(F.when(F.col("variable") == v, x))
-    wide = rows.groupBy(*keys).agg(F.max("area_units").alias("_n"), F.max("scope").alias("_scope"), *(at(v, x).alias(f"{p}{v}") for v in names for p, x in (("r_", raw), ("f_", filled), ("s_", rank))))
+    wide = rows.groupBy(*keys).agg(F.max("area_units").alias("_n"), F.max("scope").alias("_scope"), *(at(v, x).alias(f"{p}{v}") for v in names for p, x in (("r_", raw), ("f_", filled), ("s_", rank), ("t_", F.col("status")))))
 
     def one(item: str) -> Column:
         rule, vs, kind = groups[item]
+        if kind == "class":
+            outside = F.lit(True)
+            for v in vs[1:]:
+                outside = outside & F.col(f"t_{v}").eqNullSafe("outside_active_domain")
+            reason = F.when(~F.col("_n").eqNullSafe(1), "multi_unit").when(~F.col(f"t_{vs[0]}").eqNullSafe("ok"), "class_absent").when(~outside, "extent_positive_or_empty")
+            return F.struct(F.lit(rule).alias("rule"), F.lit(item).alias("item"), reason.isNull().alias("applies"), reason.alias("reason"), F.lit(None).cast("double").alias("stat"))
         cols = [F.col(f"{ {'filled': 'f_', 'ranks': 's_'}.get(kind, 'r_') }{v}") for v in vs]
         missing = F.lit(False)
         for c in cols:
@@ -214,8 +220,8 @@ def within_band(rows: DataFrame, keys: list[str], groups: dict[str, tuple[str, l
         total = cols[0]
         for c in cols[1:]:
             total = total + c
-        stat = {"sum": total, "filled": total, "span": cols[-1] - cols[0], "ratio": F.try_divide(cols[-1], F.when(cols[0] > 0, cols[0])), "ranks": (F.greatest(*cols) - F.least(*cols)) if len(cols) > 1 else F.lit(0.0)}[kind]
-        why = {"sum": "side_not_usable", "ranks": "side_not_usable", "filled": "extent_empty", "span": "row_empty", "ratio": "row_empty"}[kind]
+        stat = {"sum": total, "filled": total, "span": cols[-1] - cols[0], "gap": cols[0] - cols[-1], "ratio": F.try_divide(cols[-1], F.when(cols[0] > 0, cols[0])), "ranks": (F.greatest(*cols) - F.least(*cols)) if len(cols) > 1 else F.lit(0.0)}[kind]
+        why = {"sum": "side_not_usable", "ranks": "side_not_usable", "filled": "extent_empty", "span": "row_empty", "gap": "extent_zero_or_empty", "ratio": "row_empty"}[kind]
         reason = F.when(missing, why)
         if kind == "ratio":
             reason = F.when(F.col("_scope") == "polity", "not_areal").otherwise(reason)
@@ -260,37 +266,98 @@ def cross_band(rows: DataFrame, keys: list[str], bands: str = "ABCDE") -> DataFr
 YEARLY, EVENTS = (0, 1998), (-491, 1890)
 
 
+#: Epochs whose figures carry a caveat of their source.
+CAVEAT_EPOCHS = (1950,)
+
+
 def over_time(spans: DataFrame, yearly: DataFrame, epochs: DataFrame, events: DataFrame, fields: list[str], uses: list[str]) -> DataFrame:
     """Statements about a span (query_id, low, high): query_id, rule, item, applies, reason, stat.
 
-    ``yearly`` and ``epochs`` are (query_id, variable, year, value) of the variables ``fields`` and ``uses``; ``events`` is
-    (query_id, year, size). Mean of the yearly values, the part of the span that they cover, change from the first to the last
-    epoch, and the largest event.
+    ``yearly`` is (query_id, variable, year, value, n_cells, least, most) of the variables ``fields``, with the number of grid
+    cells of a value and the range of theirs; ``epochs`` is (query_id, variable, year, value) of ``uses``: those inside the
+    span, or the nearest one; ``events`` is (query_id, year, size).
+
+    BT-01 mean of the yearly values; BT-02 range of the cells in the middle year; BT-03 number of cells; BT-04 the part of the span
+    that is covered; BT-05 total of a single epoch; BT-06 change from the first to the last epoch; BT-07 years from the span to
+    the nearest epoch; BT-08 an epoch with a caveat; BT-09 the largest event; BT-10 no events.
     """
     none = F.lit(None).cast("double")
     row = lambda rule, item, reason, stat: F.struct(F.lit(rule).alias("rule"), item.alias("item"), reason.isNull().alias("applies"), reason.alias("reason"), F.when(reason.isNull(), stat).cast("double").alias("stat"))
     asked = lambda names: spans.select("query_id", F.explode(F.array(*map(F.lit, names))).alias("variable"))
     whole = F.lit("(query)")
 
-    means = asked(fields).join(yearly.groupBy("query_id", "variable").agg(F.avg("value").alias("m")), ["query_id", "variable"], "left")
-    first = means.select("query_id", F.inline(F.array(row("BT-01", F.col("variable"), F.when(F.col("m").isNull(), "no_yearly_rows"), F.col("m")))))
-
-    covered = spans.join(yearly.groupBy("query_id").agg(F.count_distinct("year").alias("n"), F.min("year").alias("a"), F.max("year").alias("b")), "query_id", "left")
+    numbered = yearly.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "variable").orderBy("year")))
+    of_field = numbered.groupBy("query_id", "variable").agg(F.avg("value").alias("m"), F.sort_array(F.collect_list(F.struct("_k", "n_cells", "least", "most"))).alias("_all"))
+    # a span has no more years than the record
+    of_field = of_field.withColumn("_mid", F.element_at("_all", (F.floor(F.size("_all") / 2) + 1).cast("int")))
+    means = asked(fields).join(of_field, ["query_id", "variable"], "left")
+    absent = F.when(F.col("m").isNull(), "no_yearly_rows")
+    first = means.select("query_id", F.inline(F.array(
+        row("BT-01", F.col("variable"), absent, F.col("m")),
+        row("BT-02", F.col("variable"), absent.when(F.coalesce("_mid.n_cells", F.lit(0)) < 2, "one_cell"), F.col("_mid.most") - F.col("_mid.least")),
+    )))
+
+    place = F.struct(*(F.when(F.col("variable") == v, k).alias(f"_{k}") for k, v in enumerate(fields)))
+    at = F.coalesce(*(place[f"_{k}"] for k in range(len(fields))), F.lit(len(fields)))
+    of_query = yearly.groupBy("query_id").agg(F.count_distinct("year").alias("n"), F.min("year").alias("a"), F.max("year").alias("b"), F.min_by("n_cells", F.struct(at, F.col("year"))).alias("cells"))
+    covered = spans.join(of_query, "query_id", "left")
     outside = (F.col("high") < YEARLY[0]) | (F.col("low") > YEARLY[1])
     partly = (F.col("a") > F.col("low")) | (F.col("b") < F.col("high"))
     why = F.when(F.col("n").isNull(), F.when(~outside, "no_rows_inside_record")).otherwise(F.when(~partly, "fully_covered"))
-    second = covered.select("query_id", F.inline(F.array(row("BT-04", whole, why, F.coalesce(F.col("n") / (F.col("high") - F.col("low") + 1), F.lit(0.0))))))
+    second = covered.select("query_id", F.inline(F.array(
+        row("BT-03", whole, F.when(F.col("n").isNull(), "no_yearly_rows"), F.col("cells")),
+        row("BT-04", whole, why, F.coalesce(F.col("n") / (F.col("high") - F.col("low") + 1), F.lit(0.0))),
+    )))
 
     ends = epochs.groupBy("query_id", "variable").agg(F.count("*").alias("n"), F.min_by("value", "year").alias("a"), F.max_by("value", "year").alias("b"))
-    any_ = epochs.select("query_id").distinct().withColumn("some", F.lit(True))
+    any_ = epochs.groupBy("query_id").agg(F.count_distinct("year").alias("_n"), F.min("year").alias("_a"), F.sum("value").alias("_sum"), F.max(F.col("year").isin(*CAVEAT_EPOCHS)).alias("_caveat"))
     change = asked(uses).join(ends, ["query_id", "variable"], "left").join(any_, "query_id", "left")
-    why = F.when(F.col("some").isNull(), "no_epoch_rows").when(F.coalesce("n", F.lit(0)) < 2, "single_epoch")
+    why = F.when(F.col("_n").isNull(), "no_epoch_rows").when(F.coalesce("n", F.lit(0)) < 2, "single_epoch")
     third = change.select("query_id", F.inline(F.array(row("BT-06", F.col("variable"), why, F.when(F.col("a") > 0, (F.col("b") - F.col("a")) / F.col("a")).otherwise(none)))))
+    shown = spans.join(any_, "query_id", "left")
+    absent = F.when(F.col("_n").isNull(), "no_epoch_rows")
+    away = F.when(F.col("_a") < F.col("low"), F.col("low") - F.col("_a")).when(F.col("_a") > F.col("high"), F.col("_a") - F.col("high"))
+    single = shown.select("query_id", F.inline(F.array(
+        row("BT-05", whole, absent.when(F.col("_n") > 1, "several_epochs"), F.col("_sum")),
+        row("BT-07", whole, absent.when(away.isNull(), "epoch_inside_span"), away),
+        row("BT-08", whole, absent.when(~F.col("_caveat"), "no_caveat"), none),
+    )))
 
     largest = spans.select("query_id").join(events.groupBy("query_id").agg(F.max("size").alias("top")), "query_id", "left")
     top = F.col("top")
     fourth = largest.select("query_id", F.inline(F.array(row("BT-09", whole, F.when(top.isNull(), "no_events"), top), row("BT-10", whole, F.when(top.isNotNull(), "events_present"), F.lit(0.0)))))
-    return first.unionByName(second).unionByName(third).unionByName(fourth)
+    return first.unionByName(second).unionByName(third).unionByName(single).unionByName(fourth)
+
+
+#: Upper ends of the classes of seasonal concentration; kilometres within which an outline counts as the coast.
+SEASON_CUTS, SEASONS, COAST_KM = [0.15, 0.35, 0.60], ["even", "moderate", "clear", "strong"], 2.0
+
+
+def season_class(concentration: Column) -> Column:
+    return binned(concentration, SEASON_CUTS, SEASONS)
+
+
+def wettest_month(curve: Column) -> Column:
+    """From 1, the first of equal months; null unless the curve has twelve values."""
+    whole = (F.size(curve) == 12) & ~F.exists(curve, lambda v: v.isNull())
+    return F.when(whole, F.array_position(curve, F.array_max(curve)).cast("int"))
+
+
+def profile_units(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Short profile statements: keys, rule, applies, reason, named.
+
+    ``rows`` has concentration, curve (twelve months), lake and wetland (hundredths of the area), others (names of further regions,
+    largest first, null where the unit has no region) and edge_km (from the nearest edge to the coast).
+    """
+    row = lambda rule, reason, named: F.struct(F.lit(rule).alias("rule"), reason.isNull().alias("applies"), reason.alias("reason"), F.when(reason.isNull(), named).alias("named"))
+    month = wettest_month(F.col("curve"))
+    season = row("S2.1b", F.when(F.col("concentration").isNull() | month.isNull(), "no_monthly_values"), F.concat(season_class(F.col("concentration")), F.when(season_class(F.col("concentration")) == "even", F.lit("")).otherwise(F.concat(F.lit(", month "), month.cast("string")))))
+    wet = {"lakes": F.coalesce(F.col("lake") > 0, F.lit(False)), "wetlands": F.coalesce(F.col("wetland") > 0, F.lit(False))}
+    both_null = F.col("lake").isNull() & F.col("wetland").isNull()
+    water = row("S3.4", F.when(both_null, "no_value").when(~wet["lakes"] & ~wet["wetlands"], "none_recorded"), F.concat_ws(", ", *(F.when(c, n) for n, c in wet.items())))
+    regions = row("S1.4", F.when(F.col("others").isNull(), "no_region").when(F.size("others") == 0, "no_other_region"), F.array_join("others", ", "))
+    coast = row("S7.3", F.when(~F.coalesce(F.col("edge_km") <= COAST_KM, F.lit(False)), "not_the_coast"), F.lit("nearest edge is the coast"))
+    return rows.select(*keys, F.inline(F.array(season, water, regions, coast)))
 
 
 def leaders(rows: DataFrame, keys: list[str], score: str = "representative_score", n: int = 3, floor: float = 25.0) -> DataFrame:

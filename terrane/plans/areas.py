@@ -1,12 +1,14 @@
-"""Regions around places: shares, nearest other region, distances of outlines."""
+"""Regions and points: shares, nearest other region, distances of outlines, entry points, point signatures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import outlines, shapes
-from terrane.plans.entry import ASKED, _asked
+from terrane.operators import blocks, entry, geometry, outlines, point, position, shapes, statements
+from terrane.plans import signature as sig
+from terrane.plans.curves import PLACED, placed
+from terrane.plans.entry import ASKED, BRICKS, _asked, bricks
 from terrane.plans.registry import Tables, query, rounded
 from terrane.plans.spatial import AREA, BOX, _areas, _boxes, _sides, box_of
 
@@ -92,3 +94,136 @@ def r14(t: Tables) -> DataFrame:
 @query("R14_outline_length", f"WITH {BOX}, {ARCS} SELECT area, round(sum(2 * 6371.0088 * asin(sqrt(sin(radians(q[2] - p[2]) / 2) ** 2 + cos(radians(p[2])) * cos(radians(q[2])) * sin(radians(q[1] - p[1]) / 2) ** 2))), 4) AS km FROM sg GROUP BY 1")
 def r14l(t: Tables) -> DataFrame:
     return rounded(outlines.lengths(_areas(t), "area"), 4)
+
+
+# --- entry points -------------------------------------------------------------------------------------------------------------
+
+#: Queries of three kinds over the bricks: a point in each, a ring around each, and a box that is moved by a third of a brick.
+@query("P4_entry_points", f"""WITH {BRICKS}, po AS (SELECT u, x + 10 / 3.0 AS w, y + 2.5 AS s FROM g),
+sets AS (SELECT u AS query_id, NULL::BIGINT AS member, 'single_unit' AS scope, u AS unit_id, 1.0::DOUBLE AS weight, 1.0::DOUBLE AS inside FROM g
+UNION ALL SELECT 100 + i, j, 'ring', j, 1.0, 1.0 FROM e UNION ALL SELECT 100 + u, u, 'ring', u, 1.0, 1.0 FROM g WHERE u IN (SELECT i FROM e)
+UNION ALL SELECT 200 + po.u, NULL, 'polygon', g.u, o / (radians(10) * (sin(radians(s + 10)) - sin(radians(s)))), o / (radians(10) * (sin(radians(y + 10)) - sin(radians(y)))) FROM po, g,
+ LATERAL (SELECT radians(greatest(0, least(w, x) + 10 - greatest(w, x))) * greatest(0, sin(radians(least(s, y) + 10)) - sin(radians(greatest(s, y)))) AS o) WHERE o > 1e-9)
+SELECT query_id, member, scope, unit_id, round(weight, 6) AS weight, round(inside, 6) AS inside FROM sets""")
+def p4(t: Tables) -> DataFrame:
+    units, u = bricks(t), F.col("u")
+    at = units.select(u.alias("query_id"), (F.col("lat") + 1).alias("lat"), (F.col("lon") - 1).alias("lon"))
+    w, s = F.col("lon") - 5 + 10 / 3, F.col("lat") - 5 + 2.5
+    polygons = units.select((u + 200).alias("query_id"), box_of(w, s, w + 10, s + 10).alias("ring"))
+    return rounded(entry.resolve(units, "u", points=at, polygons=polygons, rings=at.withColumn("query_id", F.col("query_id") + 100), edges=outlines.touching(units, "u")))
+
+
+@query("P4_signatures")
+def p4s(t: Tables) -> DataFrame:
+    """Buffers, rings, points and polygons through one plan: mean balance of the bricks' nations by percentile, in full form."""
+    units, u = bricks(t), F.col("u")
+    at = units.select(u.alias("query_id"), (F.col("lat") + 1).alias("lat"), (F.col("lon") - 1).alias("lon"))
+    buffers = at.select((F.col("query_id") + 300).alias("query_id"), "lat", "lon", F.lit(700.0).alias("km"))
+    polygons = units.select((u + 200).alias("query_id"), "ring")
+    sets = entry.resolve(units, "u", at, buffers, polygons, at.withColumn("query_id", F.col("query_id") + 100), outlines.touching(units, "u"))
+    # a ring's members are signatures of their own
+    sets = sets.withColumn("query_id", F.concat_ws(":", "query_id", "member"))
+    means = t.customer.groupBy(F.col("c_nationkey").alias("unit_id")).agg(F.avg("c_acctbal").alias("acctbal"), F.count("*").cast("double").alias("customers"))
+    scores = position.scores_long(means, "unit_id", ["acctbal", "customers"])
+    rows = blocks.area_weighted(sets.join(scores, "unit_id"))
+    detail = ["p10", "p25", "p75", "p90", "spread", "iqr", "weight_at_zero", "core_share", "window_lo", "window_hi"]
+    full = blocks.projected(rounded(rows), detail, with_detail=True)
+    return full.join(sets.select("query_id", "scope").distinct(), "query_id").select("query_id", "scope", "variable", "method", "status", "n_units", "coverage", "representative_score", F.to_json("detail").alias("detail"))
+
+
+@query("B5c_companions", "WITH " + sig.W + " SELECT query_id, variable, unit_id, round(weight, 6) AS weight, round(score, 4) AS score FROM r WHERE score IS NOT NULL")
+def b5c(t: Tables) -> DataFrame:
+    return blocks.companions(sig.rows(t))
+
+
+# --- points -------------------------------------------------------------------------------------------------------------------
+
+BANDS: point.Bands = {
+    "A": ("Ground", [("elev_min", "lowest"), ("elev_max", "highest"), ("elev_point", "at the point"), ("relief_position", "place in the relief")]),
+    "B": ("Water", [("runoff", "runoff"), ("discharge", "discharge")]),
+    "C": ("Life", [("ecoregion", "ecoregion"), ("biome", "biome")]),
+    "D": ("People", [("absent", "absent")]),
+}
+QUICK = [("ecoregion", "Ecoregion"), ("elev_point", "Elevation"), ("absent", "Absent"), ("runoff", "Runoff")]
+
+POINT = f"""{BOX}, {ASKED}, cu AS (SELECT c_nationkey AS k, min(c_acctbal) AS elev_min, max(c_acctbal) AS elev_max, count(*)::DOUBLE AS runoff, CASE WHEN c_nationkey % 4 <> 0 THEN count(*) / 10.0 END AS discharge FROM customer GROUP BY 1),
+cv AS (SELECT query_id, arg_min(polygon, [h, polygon]) AS unit FROM q JOIN b ON lon >= w AND lon < w + 40 AND lat >= s AND lat < s + 35 + h GROUP BY 1),
+ps AS (SELECT query_id, q.lat, q.lon, q.lat * 100 AS elev_point, unit, elev_min, elev_max, runoff, discharge, n_name AS ecoregion, r_name AS biome, elev_max - elev_min AS relief_range,
+  CASE WHEN elev_max > elev_min THEN greatest(0, least(1, (q.lat * 100 - elev_min) / (elev_max - elev_min))) END AS relief_position FROM cv JOIN q USING (query_id) JOIN nation ON n_nationkey = unit JOIN region ON r_regionkey = n_regionkey LEFT JOIN cu ON k = unit)"""
+
+
+def _signature(t: Tables) -> DataFrame:
+    of = t.customer.groupBy(F.col("c_nationkey").alias("unit")).agg(F.min("c_acctbal").alias("elev_min"), F.max("c_acctbal").alias("elev_max"), F.count("*").cast("double").alias("runoff"))
+    of = of.withColumn("discharge", F.when(F.col("unit") % 4 != 0, F.col("runoff") / 10))
+    named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("unit"), F.col("n_name").alias("ecoregion"), F.col("r_name").alias("biome"))
+    units = _boxes(t).withColumnRenamed("polygon", "unit").join(named, "unit").join(of, "unit", "left")
+    return point.point_signature(_asked(t).withColumn("elev_point", F.col("lat") * 100), units, "query_id", "unit", "elev_min", "elev_max")
+
+
+@query("N1_point_signature", f"WITH {POINT} SELECT query_id, unit, lat, lon, elev_point, elev_min, elev_max, runoff, discharge, ecoregion, biome, round(relief_range, 6) AS relief_range, round(relief_position, 6) AS relief_position FROM ps")
+def n1(t: Tables) -> DataFrame:
+    return rounded(_signature(t))
+
+
+def _items_sql() -> str:
+    out = []
+    for letter, (label, fields) in BANDS.items():
+        for i, (k, name) in enumerate([f for f in fields if f[0] != "absent"], 1):
+            text = k in ("ecoregion", "biome")
+            out.append(f"SELECT query_id, '{letter}' AS band, '{label}' AS label, {i} AS place, '{k}' AS field, '{name}' AS field_label, {k if text else 'NULL'} AS text, {'NULL' if text else f'round({k}, 6)'} AS number FROM ps")
+    return " UNION ALL ".join(out)
+
+
+@query("N5_bands", f"WITH {POINT} {_items_sql()}")
+def n5(t: Tables) -> DataFrame:
+    rows = point.banded(_signature(t), "query_id", BANDS).select("query_id", "band", "label", F.posexplode("items").alias("place", "i"))
+    return rounded(rows.select("query_id", "band", "label", (F.col("place") + 1).alias("place"), F.col("i.key").alias("field"), F.col("i.label").alias("field_label"), F.col("i.text").alias("text"), F.col("i.number").alias("number")))
+
+
+@query("N5_summary", f"""WITH {POINT} SELECT query_id, 1 AS place, 'ecoregion' AS key, 'Ecoregion' AS label, ecoregion AS text, NULL::DOUBLE AS number FROM ps
+UNION ALL SELECT query_id, 2, 'elev_point', 'Elevation', NULL, elev_point FROM ps UNION ALL SELECT query_id, 3, 'runoff', 'Runoff', NULL, runoff FROM ps""")
+def n5s(t: Tables) -> DataFrame:
+    return rounded(point.summary(_signature(t), "query_id", QUICK))
+
+
+_N = "coalesce(round({0}, {1})::DECIMAL(38,{1})::VARCHAR, 'n/a')"
+
+
+@query("N8_digest", f"""WITH {POINT} SELECT query_id, array_to_string(['Signature of point ' || query_id, 'A: Ground', '  lowest: ' || {_N.format('elev_min', 0)}, '  highest: ' || {_N.format('elev_max', 0)}, '  at the point: ' || {_N.format('elev_point', 0)},
+'  place in the relief: ' || {_N.format('relief_position', 2)}, 'B: Water', '  runoff: ' || {_N.format('runoff', 0)}, '  discharge: ' || {_N.format('discharge', 1)}, 'C: Life', '  ecoregion: ' || ecoregion, '  biome: ' || biome], chr(10)) AS digest FROM ps""")
+def n8(t: Tables) -> DataFrame:
+    return point.digest(_signature(t), "query_id", F.concat(F.lit("Signature of point "), F.col("query_id").cast("string")), BANDS, {"relief_position": 2, "discharge": 1})
+
+
+@query("Z7_points_of_a_continent", f"WITH {PLACED}, {BOX} SELECT unit, polygon AS country FROM p JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h JOIN nation ON n_nationkey = polygon JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'AFRICA'")
+def z7(t: Tables) -> DataFrame:
+    of = t.nation.join(F.broadcast(t.region.where("r_name = 'AFRICA'")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("polygon"))
+    points = placed(t).select("unit", (F.col("lon") + 0.5).alias("x"), (F.col("lat") + 0.5).alias("y"))
+    return geometry.points_in_polygons(points, _boxes(t).join(of, "polygon"), "x", "y", "polygon").select("unit", F.col("polygon").alias("country"))
+
+
+@query("Z11_grid_series", f"""WITH {ASKED}, g AS (SELECT l_suppkey % 45 * 4 - 90.0 AS lat, l_partkey % 90 * 4.0 AS lon, year(l_shipdate)::BIGINT AS year, l_quantity AS v FROM lineitem), la AS (SELECT DISTINCT lat AS a FROM g), lo AS (SELECT DISTINCT lon AS a FROM g),
+c AS (SELECT query_id, (SELECT arg_min(a, [round(abs(a - q.lat), 9), a]) FROM la) AS cell_lat, (SELECT arg_min(a, [round(abs(a - (q.lon + 360) % 360), 9), a]) FROM lo) AS cell_lon FROM q)
+SELECT query_id, cell_lat, cell_lon, year, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS spread FROM c JOIN g ON lat = cell_lat AND lon = cell_lon WHERE year BETWEEN 1993 AND 1997 GROUP BY 1, 2, 3, 4""")
+def z11(t: Tables) -> DataFrame:
+    runs = t.lineitem.select((F.col("l_suppkey") % 45 * 4 - 90.0).alias("lat"), (F.col("l_partkey") % 90 * 4.0).alias("lon"), F.year("l_shipdate").cast("long").alias("year"), F.col("l_linenumber").alias("member"), F.col("l_quantity").cast("double").alias("value"))
+    return rounded(point.grid_series(_asked(t), runs, "query_id", 1993, 1997))
+
+
+@query("Y12_profile_units", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 100 / 100.0 END AS conc, list_transform(range(12), lambda i: ((c_custkey * (i + 3)) % 29)::DOUBLE) AS curve,
+  CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 3)::DOUBLE END AS lake, CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 2 = 0 THEN (c_custkey % 4)::DOUBLE END AS wet, c_custkey % 6 AS n, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 8 / 2.0 END AS edge FROM customer),
+m AS (SELECT *, list_position(curve, list_max(curve)) AS mo, CASE WHEN conc < 0.15 THEN 'even' WHEN conc < 0.35 THEN 'moderate' WHEN conc < 0.6 THEN 'clear' ELSE 'strong' END AS cl FROM c),
+r AS (SELECT k, 'S2.1b' AS rule, CASE WHEN conc IS NULL OR k % 13 = 0 THEN 'no_monthly_values' END AS reason, cl || CASE WHEN cl = 'even' THEN '' ELSE ', month ' || mo END AS named FROM m
+UNION ALL SELECT k, 'S3.4', CASE WHEN lake IS NULL AND wet IS NULL THEN 'no_value' WHEN NOT (coalesce(lake > 0, false) OR coalesce(wet > 0, false)) THEN 'none_recorded' END, concat_ws(', ', CASE WHEN lake > 0 THEN 'lakes' END, CASE WHEN wet > 0 THEN 'wetlands' END) FROM m
+UNION ALL SELECT k, 'S1.4', CASE WHEN n = 0 THEN 'no_region' WHEN n = 1 THEN 'no_other_region' END, array_to_string(list_transform(range(1, n), lambda i: 'region ' || i), ', ') FROM m
+UNION ALL SELECT k, 'S7.3', CASE WHEN NOT coalesce(edge <= 2, false) THEN 'not_the_coast' END, 'nearest edge is the coast' FROM m)
+SELECT k, rule, reason IS NULL AS applies, reason, CASE WHEN reason IS NULL THEN named END AS named FROM r""")
+def y12(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    curve = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: ((k * (i + 3)) % 29).cast("double"))
+    others = F.when(k % 6 == 0, None).when(k % 6 == 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (k % 6 - 1).cast("int"))), lambda i: F.concat(F.lit("region "), i.cast("string"))))
+    rows = t.customer.select(
+        k.alias("k"), F.when(k % 7 != 0, k % 100 / 100).alias("concentration"), F.when(k % 13 != 0, curve).alias("curve"), F.when(k % 5 != 0, (k % 3).cast("double")).alias("lake"),
+        F.when((k % 5 != 0) | (k % 2 == 0), (k % 4).cast("double")).alias("wetland"), others.alias("others"), F.when(k % 11 != 0, k % 8 / 2).alias("edge_km"),
+    )
+    return statements.profile_units(rows, ["k"])

@@ -149,12 +149,12 @@ def placed(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("unit"), (F.col("c_custkey") % 180 - 90).cast("double").alias("lat"), (F.col("c_nationkey") * 14 - 175).cast("double").alias("lon"), F.col("c_acctbal").alias("v"))
 
 
-@query("R9_haversine_bearing", f"WITH {PLACED} SELECT a.unit, round({HAV.format(a='a', b='o')}, 4) AS km, round((degrees(atan2(sin(radians(o.lon - a.lon)) * cos(radians(o.lat)), cos(radians(a.lat)) * sin(radians(o.lat)) - sin(radians(a.lat)) * cos(radians(o.lat)) * cos(radians(o.lon - a.lon)))) + 360) % 360, 4) AS bearing FROM p a, (SELECT lat, lon FROM p WHERE unit = 7) o WHERE a.unit <> 7 AND abs(a.lat - o.lat) > 0.5")
+@query("R9_haversine_bearing", f"WITH {PLACED} SELECT a.unit, round({HAV.format(a='a', b='o')}, 4) AS km, round((degrees(atan2(sin(radians(o.lon - a.lon)) * cos(radians(o.lat)), cos(radians(a.lat)) * sin(radians(o.lat)) - sin(radians(a.lat)) * cos(radians(o.lat)) * cos(radians(o.lon - a.lon)))) + 360) % 360, 4) AS bearing FROM p a, (SELECT lat, lon FROM p WHERE unit = 7) o WHERE a.unit <> 7")
 def r9(t: Tables) -> DataFrame:
     p = placed(t)
     o = F.broadcast(p.where("unit = 7").select(F.col("lat").alias("la"), F.col("lon").alias("lo")))
     args = [F.col(c) for c in ("lat", "lon", "la", "lo")]
-    return rounded(p.where("unit <> 7").join(o).where("abs(lat - la) > 0.5").select("unit", scalars.haversine_km(*args).alias("km"), scalars.bearing(*args).alias("bearing")), 4)
+    return rounded(p.where("unit <> 7").join(o).select("unit", scalars.haversine_km(*args).alias("km"), scalars.bearing(*args).alias("bearing")), 4)
 
 
 @query("L11_context_percentiles", f"""WITH {PLACED}, g AS (SELECT unit, 100 * (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 - 1) / (count(*) OVER () - 1) AS pct FROM p),

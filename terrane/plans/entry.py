@@ -102,12 +102,12 @@ def r3(t: Tables) -> DataFrame:
 
 
 @query("R4_resolve_crosswalk", """WITH x AS (SELECT l_suppkey AS polity, l_partkey AS unit_id, sum(l_quantity)::DOUBLE AS q FROM lineitem GROUP BY 1, 2), c AS (SELECT polity, unit_id, q / sum(q) OVER (PARTITION BY polity) AS weight FROM x),
-q AS (SELECT s_suppkey * 10 AS query_id, s_suppkey AS polity FROM supplier WHERE s_suppkey % 2 = 0) SELECT query_id, polity, unit_id, round(weight, 6) AS weight, (row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, unit_id))::INTEGER AS place FROM q JOIN c USING (polity) WHERE weight >= 0.001""")
+q AS (SELECT s_suppkey * 10 AS query_id, s_suppkey AS polity FROM supplier) SELECT query_id, polity, unit_id, round(weight, 6) AS weight, (row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, unit_id))::INTEGER AS place FROM q JOIN c USING (polity) WHERE weight >= 0.001""")
 def r4(t: Tables) -> DataFrame:
     sums = t.lineitem.groupBy(F.col("l_suppkey").alias("polity"), F.col("l_partkey").alias("unit_id")).agg(F.sum("l_quantity").cast("double").alias("q"))
     whole = sums.groupBy("polity").agg(F.sum("q").alias("_all"))
     crosswalk = sums.join(whole, "polity").select("polity", "unit_id", (F.col("q") / F.col("_all")).alias("weight"))
-    asked = t.supplier.where("s_suppkey % 2 = 0").select((F.col("s_suppkey") * 10).alias("query_id"), F.col("s_suppkey").alias("polity"))
+    asked = t.supplier.select((F.col("s_suppkey") * 10).alias("query_id"), F.col("s_suppkey").alias("polity"))
     return rounded(entry.resolve_crosswalk(asked, crosswalk, least=0.001).select("query_id", "polity", "unit_id", "weight", "place"))
 
 

@@ -153,11 +153,11 @@ def f13(t: Tables) -> DataFrame:
     return lookup.tiered_match(asked, names, "k", [("exact", a & b), ("first", a), ("second", b)], "id")
 
 
-@query("N2_relief_position", """SELECT p_partkey, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (e - lo) / (hi - lo))) END, 6) AS position FROM (SELECT p_partkey, p_size::DOUBLE AS e, (p_partkey % 20)::DOUBLE AS lo, (p_partkey % 45)::DOUBLE AS hi FROM part) WHERE hi >= lo""")
+@query("N2_relief_position", """SELECT p_partkey, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (e - lo) / (hi - lo))) END, 6) AS position FROM (SELECT p_partkey, p_size::DOUBLE AS e, (p_partkey % 20)::DOUBLE AS lo, (p_partkey % 45)::DOUBLE AS hi FROM part)""")
 def n2(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     lo, hi = (k % 20).cast("double"), (k % 45).cast("double")
-    return rounded(t.part.where(hi >= lo).select("p_partkey", scalars.relief_position(F.col("p_size").cast("double"), lo, hi).alias("position")))
+    return rounded(t.part.select("p_partkey", scalars.relief_position(F.col("p_size").cast("double"), lo, hi).alias("position")))
 
 
 @query("L5_diameter", f"WITH {PLACED} SELECT round(max({HAV.format(a='a', b='b')}), 4) AS diameter_km FROM p a JOIN p b ON a.unit < b.unit WHERE a.unit % 150 < 40 AND a.v > 8000 AND b.unit % 150 < 40 AND b.v > 8000")
@@ -207,22 +207,38 @@ def z14(t: Tables) -> DataFrame:
     return rounded(lookup.per_stratum(t.customer.select("c_mktsegment", "c_custkey"), "c_mktsegment", [k * 7919 % 1009, k], 20))
 
 
-SPANS = """sp AS (SELECT n_nationkey AS query_id, n_nationkey * 120 - 800 AS low, n_nationkey * 120 - 800 + n_nationkey % 5 * 150 AS high FROM nation), y0 AS (SELECT unnest(range(0, 1999, 50)) AS y), e0 AS (SELECT unnest(range(-700, 2000, 100)) AS y), v0 AS (SELECT unnest(range(-700, 2000, 70)) AS y),
-ya AS (SELECT query_id, 'pdsi' AS variable, y, (y % 37 - 10)::DOUBLE AS v FROM sp JOIN y0 ON y BETWEEN low AND high WHERE query_id % 7 <> 0), ep AS (SELECT query_id, 'crop' AS variable, y, (abs(y) % 53)::DOUBLE AS v FROM sp JOIN e0 ON y BETWEEN low AND high), ev AS (SELECT query_id, y, (abs(y) % 41)::DOUBLE AS s FROM sp JOIN v0 ON y BETWEEN low AND high WHERE y BETWEEN -491 AND 1890)"""
+SPANS = """sp AS (SELECT n_nationkey AS query_id, n_nationkey * 120 - 800 AS low, n_nationkey * 120 - 800 + n_nationkey % 5 * 150 AS high FROM nation), y0 AS (SELECT unnest(range(0, 1999, 50)) AS y), e0 AS (SELECT unnest(range(-750, 2000, 100)) AS y), v0 AS (SELECT unnest(range(-700, 2000, 70)) AS y),
+ya AS (SELECT query_id, 'pdsi' AS variable, y, (y % 37 - 10)::DOUBLE AS v, query_id % 4 AS cells, (y % 11)::DOUBLE AS lo, (y % 11 + query_id)::DOUBLE AS hi FROM sp JOIN y0 ON y BETWEEN low AND high WHERE query_id % 7 <> 0),
+ei AS (SELECT query_id, y, 1 AS own FROM sp JOIN e0 ON y BETWEEN low AND high), en AS (SELECT query_id, arg_min(y, [greatest(low - y, y - high), y]) AS y FROM sp, e0 WHERE query_id NOT IN (SELECT query_id FROM ei) AND query_id % 6 <> 5 GROUP BY 1),
+ep AS (SELECT query_id, variable, y, (abs(y) % m)::DOUBLE AS v FROM (SELECT query_id, y FROM ei UNION ALL SELECT query_id, y FROM en) JOIN (VALUES ('crop', 53), ('grazing', 41)) u(variable, m) ON true),
+ev AS (SELECT query_id, y, (abs(y) % 41)::DOUBLE AS s FROM sp JOIN v0 ON y BETWEEN low AND high WHERE y BETWEEN -491 AND 1890)"""
 
 
-@query("Y9_statements_over_time", f"""WITH {SPANS}, m AS (SELECT query_id, avg(v) AS m, count(DISTINCT y) AS n, min(y) AS a, max(y) AS b FROM ya GROUP BY 1), c AS (SELECT query_id, count(*) AS n, arg_min(v, y) AS a, arg_max(v, y) AS b FROM ep GROUP BY 1), t AS (SELECT query_id, max(s) AS top FROM ev GROUP BY 1),
+@query("Y9_statements_over_time", f"""WITH {SPANS}, yn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY y) AS k, count(*) OVER (PARTITION BY query_id) AS nn FROM ya),
+m AS (SELECT query_id, avg(v) AS m, count(DISTINCT y) AS n, min(y) AS a, max(y) AS b, max(cells) AS cells, max(hi - lo) FILTER (WHERE k = nn // 2 + 1) AS width FROM yn GROUP BY 1),
+c AS (SELECT query_id, variable, count(*) AS n, arg_min(v, y) AS a, arg_max(v, y) AS b FROM ep GROUP BY 1, 2), s AS (SELECT query_id, count(DISTINCT y) AS n, min(y) AS y, sum(v) AS total, bool_or(y = 1950) AS caveat FROM ep GROUP BY 1), t AS (SELECT query_id, max(s) AS top FROM ev GROUP BY 1),
 r AS (SELECT query_id, 'BT-01' AS rule, 'pdsi' AS item, CASE WHEN m IS NULL THEN 'no_yearly_rows' END AS reason, m AS stat FROM sp LEFT JOIN m USING (query_id)
+UNION ALL SELECT query_id, 'BT-02', 'pdsi', CASE WHEN m IS NULL THEN 'no_yearly_rows' WHEN cells < 2 THEN 'one_cell' END, width FROM sp LEFT JOIN m USING (query_id)
+UNION ALL SELECT query_id, 'BT-03', '(query)', CASE WHEN m IS NULL THEN 'no_yearly_rows' END, cells FROM sp LEFT JOIN m USING (query_id)
 UNION ALL SELECT query_id, 'BT-04', '(query)', CASE WHEN n IS NULL THEN CASE WHEN NOT (high < 0 OR low > 1998) THEN 'no_rows_inside_record' END WHEN NOT (a > low OR b < high) THEN 'fully_covered' END, coalesce(n / (high - low + 1)::DOUBLE, 0) FROM sp LEFT JOIN m USING (query_id)
-UNION ALL SELECT query_id, 'BT-06', 'crop', CASE WHEN n IS NULL THEN 'no_epoch_rows' WHEN n < 2 THEN 'single_epoch' END, CASE WHEN a > 0 THEN (b - a) / a END FROM sp LEFT JOIN c USING (query_id)
+UNION ALL SELECT query_id, 'BT-05', '(query)', CASE WHEN n IS NULL THEN 'no_epoch_rows' WHEN n > 1 THEN 'several_epochs' END, total FROM sp LEFT JOIN s USING (query_id)
+UNION ALL SELECT sp.query_id, 'BT-06', u.variable, CASE WHEN s.n IS NULL THEN 'no_epoch_rows' WHEN coalesce(c.n, 0) < 2 THEN 'single_epoch' END, CASE WHEN c.a > 0 THEN (c.b - c.a) / c.a END FROM sp JOIN (VALUES ('crop'), ('grazing')) u(variable) ON true LEFT JOIN s ON s.query_id = sp.query_id LEFT JOIN c ON c.query_id = sp.query_id AND c.variable = u.variable
+UNION ALL SELECT query_id, 'BT-07', '(query)', CASE WHEN n IS NULL THEN 'no_epoch_rows' WHEN y BETWEEN low AND high THEN 'epoch_inside_span' END, greatest(low - y, y - high) FROM sp LEFT JOIN s USING (query_id)
+UNION ALL SELECT query_id, 'BT-08', '(query)', CASE WHEN n IS NULL THEN 'no_epoch_rows' WHEN NOT caveat THEN 'no_caveat' END, NULL FROM sp LEFT JOIN s USING (query_id)
 UNION ALL SELECT query_id, 'BT-09', '(query)', CASE WHEN top IS NULL THEN 'no_events' END, top FROM sp LEFT JOIN t USING (query_id) UNION ALL SELECT query_id, 'BT-10', '(query)', CASE WHEN top IS NOT NULL THEN 'events_present' END, 0 FROM sp LEFT JOIN t USING (query_id))
 SELECT query_id, rule, item, reason IS NULL AS applies, reason, CASE WHEN reason IS NULL THEN round(stat, 6) END AS stat FROM r""")
 def y9(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
     spans = t.nation.select(k.alias("query_id"), (k * 120 - 800).alias("low"), (k * 120 - 800 + k % 5 * 150).alias("high"))
     inside = lambda first, last, step: spans.withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(step)))).where(F.col("year").between(F.col("low"), F.col("high")))
-    y = F.col("year")
-    yearly = inside(0, 1998, 50).where("query_id % 7 <> 0").select("query_id", F.lit("pdsi").alias("variable"), "year", (y % 37 - 10).cast("double").alias("value"))
-    epochs = inside(-700, 1999, 100).select("query_id", F.lit("crop").alias("variable"), "year", (F.abs(y) % 53).cast("double").alias("value"))
+    y, q = F.col("year"), F.col("query_id")
+    cells = ((q % 4).alias("n_cells"), (y % 11).cast("double").alias("least"), (y % 11 + q).cast("double").alias("most"))
+    yearly = inside(0, 1998, 50).where("query_id % 7 <> 0").select("query_id", F.lit("pdsi").alias("variable"), "year", (y % 37 - 10).cast("double").alias("value"), *cells)
+    own = inside(-750, 1999, 100)
+    steps = F.sequence(F.lit(-750), F.lit(1999), F.lit(100))
+    nearest = F.array_min(F.transform(steps, lambda e: F.struct(F.greatest(F.col("low") - e, e - F.col("high")).alias("d"), e.alias("year"))))["year"]
+    other = spans.join(own.select("query_id").distinct(), "query_id", "left_anti").where("query_id % 6 <> 5").withColumn("year", nearest)
+    uses = F.inline(F.array(*(F.struct(F.lit(n).alias("variable"), (F.abs(y) % m).cast("double").alias("value")) for n, m in (("crop", 53), ("grazing", 41)))))
+    epochs = own.unionByName(other).select("query_id", "year", uses)
     events = inside(-700, 1999, 70).where(y.between(*statements.EVENTS)).select("query_id", "year", (F.abs(y) % 41).cast("double").alias("size"))
-    return rounded(statements.over_time(spans, yearly, epochs, events, ["pdsi"], ["crop"]))
+    return rounded(statements.over_time(spans, yearly, epochs, events, ["pdsi"], ["crop", "grazing"]))

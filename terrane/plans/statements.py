@@ -178,15 +178,20 @@ def _band(item: str, rule: str, stat: str, why: str, guard: str = "WHEN n IS DIS
 w AS (SELECT query_id, max(area_units) AS n, max(scope) AS scope,
   max(CASE WHEN status = 'ok' THEN raw END) FILTER (WHERE variable = 'a') AS ra, max(CASE WHEN status = 'ok' THEN raw END) FILTER (WHERE variable = 'b') AS rb, max(CASE WHEN status = 'ok' THEN raw END) FILTER (WHERE variable = 'c') AS rc,
   max(CASE status WHEN 'ok' THEN raw WHEN 'outside_active_domain' THEN 0 END) FILTER (WHERE variable = 'a') AS fa, max(CASE status WHEN 'ok' THEN raw WHEN 'outside_active_domain' THEN 0 END) FILTER (WHERE variable = 'b') AS fb,
-  max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'a') AS sa, max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'b') AS sb, max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'c') AS sc FROM g GROUP BY 1)
+  max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'a') AS sa, max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'b') AS sb, max(CASE WHEN status = 'ok' THEN score END) FILTER (WHERE variable = 'c') AS sc,
+  max(status) FILTER (WHERE variable = 'a') AS ta, max(status) FILTER (WHERE variable = 'b') AS tb, max(status) FILTER (WHERE variable = 'c') AS tc FROM g GROUP BY 1)
 """ + "\nUNION ALL ".join((
     _band("soil", "WB-01", "ra + rb + rc", "WHEN ra + rb + rc IS NULL THEN 'side_not_usable'"),
     _band("soil_ranks", "WB-02", "greatest(sa, sb, sc) - least(sa, sb, sc)", "WHEN sa + sb + sc IS NULL THEN 'side_not_usable'", ""),
     _band("discharge", "WB-03", "rb / ra", "WHEN ra + rb IS NULL THEN 'row_empty'", "WHEN scope = 'polity' THEN 'not_areal'"),
     _band("temperature", "WB-06", "rc - ra", "WHEN ra + rc IS NULL THEN 'row_empty'"),
-    _band("landuse", "WB-08", "fa + fb", "WHEN fa + fb IS NULL THEN 'extent_empty'"))))
+    _band("landuse", "WB-08", "fa + fb", "WHEN fa + fb IS NULL THEN 'extent_empty'"),
+    _band("wetland_extent", "WB-04", "ra - rb", "WHEN ra - rb IS NULL THEN 'extent_zero_or_empty'"),
+    _band("wetland_class", "WB-05", "NULL", "WHEN ta IS DISTINCT FROM 'ok' THEN 'class_absent' WHEN tb IS DISTINCT FROM 'outside_active_domain' OR tc IS DISTINCT FROM 'outside_active_domain' THEN 'extent_positive_or_empty'"),
+    _band("elevation", "WB-07", "rc - rb", "WHEN rb + rc IS NULL THEN 'row_empty'"))))
 def y7(t: Tables) -> DataFrame:
-    groups = {"soil": ("WB-01", ["a", "b", "c"], "sum"), "soil_ranks": ("WB-02", ["a", "b", "c"], "ranks"), "discharge": ("WB-03", ["a", "b"], "ratio"), "temperature": ("WB-06", ["a", "c"], "span"), "landuse": ("WB-08", ["a", "b"], "filled")}
+    groups = {"soil": ("WB-01", ["a", "b", "c"], "sum"), "soil_ranks": ("WB-02", ["a", "b", "c"], "ranks"), "discharge": ("WB-03", ["a", "b"], "ratio"), "temperature": ("WB-06", ["a", "c"], "span"), "landuse": ("WB-08", ["a", "b"], "filled"),
+              "wetland_extent": ("WB-04", ["a", "b"], "gap"), "wetland_class": ("WB-05", ["a", "b", "c"], "class"), "elevation": ("WB-07", ["b", "c"], "span")}
     return rounded(statements.within_band(_fours(t), ["query_id"], groups))
 
 
