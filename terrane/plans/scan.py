@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import scalars
-from terrane.operators import cluster, pairs, position, scan, weighted
+from terrane.operators import cluster, names, pairs, position, scan, weighted
 from terrane.plans.curves import HAV, PLACED, SPACE, placed, space
 from terrane.plans.registry import Tables, query, rounded
 
@@ -65,6 +65,15 @@ def l24(t: Tables) -> DataFrame:
     return rounded(scan.fuzzy_matches(some.select(k.alias("id"), scalars.folded(lower).alias("n")), some.select(k.alias("tid"), scalars.folded(title).alias("t")), "n", "t", "id", "tid"))
 
 
+@query("L24_title_matches")
+def l24t(t: Tables) -> DataFrame:
+    """Names of parts, a letter short in two thirds, matched with the types' words and the names of all parts."""
+    name, k = scalars.folded(F.col("p_name")), F.col("p_partkey")
+    asked = t.part.select(k.alias("id"), F.when(k % 3 == 0, name).when(k % 3 == 1, F.expr("substring(p_name, 2)")).otherwise(F.concat_ws(" ", name, scalars.folded(F.col("p_type")))).alias("n"))
+    titles = t.part.select(k.alias("tid"), name.alias("t")).unionByName(t.part.select((k + 1_000_000_000).alias("tid"), scalars.folded(F.col("p_type")).alias("t")))
+    return names.title_matches(asked, titles, "n", "t", "id", "tid")
+
+
 @query("L25_name_agreement", "SELECT p_partkey, list_has_any(string_split(lower(p_name), ' '), string_split(lower(p_type), ' ')) AS agrees FROM part")
 def l25(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", scan.name_agreement(F.lower("p_name"), F.lower("p_type")).alias("agrees"))
