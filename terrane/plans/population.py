@@ -83,12 +83,6 @@ def l21(t: Tables) -> DataFrame:
     return cluster.mutual_information(t.embeddings.select((F.col("vec_id") % 4).alias("a"), F.col("label").alias("b")), "a", "b").select(F.round("nmi", 8).alias("nmi"))
 
 
-@query("M8_stored_lisa_lookup", f"""WITH {EDGES}, l AS (SELECT i AS unit, sum(w * z.z) AS lag FROM w JOIN z ON z.unit = w.j GROUP BY 1) SELECT unit, round(z * lag / (SELECT avg(z * z) FROM z), 6) AS local_i FROM z JOIN l USING (unit) WHERE z > 0 AND lag > 0""")
-def m8(t: Tables) -> DataFrame:
-    out = spatialstats.local_moran(_values(t), spatialstats.row_standardised(_edges(t)))
-    return rounded(out.where("quadrant = 'HH'").select("unit", "local_i"))
-
-
 @query("M20_degenerate_rates", """WITH g AS (SELECT l_suppkey % 3 AS scale, l_partkey, count(*) AS n, stddev_pop(l_linenumber) AS s FROM lineitem GROUP BY 1, 2) SELECT scale, count(*) AS n, count(*) FILTER (WHERE n = 1 OR s = 0) AS flat, round(count(*) FILTER (WHERE n = 1 OR s = 0) / count(*)::DOUBLE, 6) AS rate FROM g GROUP BY 1""")
 def m20(t: Tables) -> DataFrame:
     groups = t.lineitem.groupBy((F.col("l_suppkey") % 3).alias("scale"), "l_partkey").agg(F.count("*").alias("n"), F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))

@@ -23,10 +23,9 @@ def build(master: str | None = None, name: str = "terrane", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names and read back: its lineage ends there, and a lost executor
-    costs a reread. Only a local session may leave the setting unset; it gets a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share. Only a local session may leave the setting
+    unset; it gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -35,4 +34,10 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="terrane-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and a lost executor costs a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -74,5 +74,10 @@ def merge_last(staged: DataFrame, target: DataFrame | None, keys: list[str], bat
 
 
 def write_steps(df: DataFrame, path: str, step: str) -> None:
-    """One folder for each step, so that a query of one step reads that folder alone."""
-    df.repartition(step).write.mode("overwrite").partitionBy(step).parquet(path)
+    """One folder for each step, so that a query of one step reads that folder alone. A large step is split over tasks and files."""
+    df.hint("rebalance", step).write.mode("overwrite").partitionBy(step).parquet(path)
+
+
+def read_steps(spark: SparkSession, path: str, step: str, steps: list[int]) -> DataFrame:
+    """The rows of some steps of ``write_steps``, from their folders alone."""
+    return spark.read.parquet(path).where(F.col(step).isin(*steps))
