@@ -82,11 +82,12 @@ def distribution_only(rows: DataFrame, query: str = "query_id", unit: str = "uni
     return area_weighted(rows, query, unit).withColumn("method", F.lit("distribution_only"))
 
 
-def dominant_unit(rows: DataFrame, by: str, values: list[str], query: str = "query_id", unit: str = "unit_id") -> DataFrame:
-    """The unit with the largest ``by`` (ties to the smaller id) gives all ``values``; n_units counts the whole set."""
+def dominant_unit(rows: DataFrame, by: str, values: list[str], query: str = "query_id", unit: str = "unit_id", least: str | None = None) -> DataFrame:
+    """The unit with the largest ``by`` (ties to the smaller id) gives all ``values``; n_units counts the whole set. With ``least``,
+    the one of them that is the lowest of a year, ``perennial`` tells whether it is above 0."""
     top = F.max_by(F.struct(F.col(unit).alias("unit"), *values), F.struct(F.coalesce(F.col(by), F.lit(float("-inf"))), -F.col(unit)))
     picked = rows.groupBy(query).agg(top.alias("top"), F.count("*").alias("n_units"))
-    return picked.select(query, F.lit("dominant_unit").alias("method"), "n_units", F.col("top.unit").alias("dominant_id"), *(F.col(f"top.{v}").alias(v) for v in values))
+    return picked.select(query, F.lit("dominant_unit").alias("method"), "n_units", F.col("top.unit").alias("dominant_id"), *(F.col(f"top.{v}").alias(v) for v in values), *([(F.col(f"top.{least}") > 0).alias("perennial")] if least else []))
 
 
 def class_mixture(rows: DataFrame, label: str = "label", query: str = "query_id", keys: list[str] | None = None) -> DataFrame:

@@ -108,9 +108,11 @@ def upsert_new(target: DataFrame | None, rows: DataFrame, keys: list[str]) -> Da
 
 
 def keep_last(batches: DataFrame, keys: list[str], batch: str) -> DataFrame:
-    """Each key's row of the last batch."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(batch))
-    return batches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Each key's row of the last batch; a null batch is the earliest, and of rows of one batch the largest stays. A grouped
+    maximum, so a key with many batches sends a row for each task."""
+    rest = [c for c in batches.columns if c not in (*keys, batch)]
+    last = batches.groupBy(*keys).agg(F.max(F.struct(batch, *rest)).alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in batches.columns))
 
 
 def first_box(df: DataFrame, lat: str, lon: str, boxes: list[tuple[str, float, float, float, float]]) -> Column:

@@ -16,8 +16,11 @@ counts areas as often as it winds around them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions.scalars import EARTH_KM
 
@@ -162,3 +165,62 @@ def inside(x: Column, y: Column, shape: Column) -> Column:
     crosses = lambda a, b: F.coalesce(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"]), F.lit(False)).cast("int")
     of_ring = lambda r: F.aggregate(F.zip_with(r, following(r), crosses), F.lit(0), lambda s, v: s + v)
     return F.aggregate(F.transform(F.flatten(shape), of_ring), F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+def centroids(df: DataFrame, key: str) -> DataFrame:
+    """(key, x, y, square_degrees): planar centroid of shapes with an area, holes taken out."""
+    turned = rings(df, key).select(key, "ring", (_turn(F.col("ring")) * F.when(F.col("hole"), -1.0).otherwise(1.0)).alias("_turn"))
+    e = turned.select(key, "_turn", F.explode(F.arrays_zip(F.col("ring").alias("p"), following(F.col("ring")).alias("q"))).alias("_e"))
+    px, py, qx, qy = (F.col(f"_e.{c}") for c in ("p.x", "p.y", "q.x", "q.y"))
+    twice = F.col("_turn") * (px * qy - qx * py)
+    sums = e.select(key, twice.alias("_a"), (twice * (px + qx) / 3).alias("_x"), (twice * (py + qy) / 3).alias("_y")).groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+    return sums.where("_a > 0").select(key, (F.col("_x") / F.col("_a")).alias("x"), (F.col("_y") / F.col("_a")).alias("y"), (F.col("_a") / 2).alias("square_degrees"))
+
+
+def point_on_surface(shape: Column) -> Column:
+    """A point inside: the middle of the widest stretch within the shape along a line half-way between two neighbouring latitudes
+    of its corners, those nearest to the middle of its box; null for a shape without one."""
+    ys = F.array_sort(F.array_distinct(F.transform(F.flatten(F.flatten(shape)), lambda p: p["y"])))
+    middle = lambda a: (F.array_min(a) + F.array_max(a)) / 2
+    halves = lambda a: F.zip_with(F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1)), F.slice(a, F.lit(2), F.greatest(F.lit(0), F.size(a) - 1)), lambda u, v: (u + v) / 2)
+    line = lambda a: F.array_min(F.transform(halves(a), lambda y: F.struct(F.abs(y - middle(a)).alias("d"), y.alias("y"))))["y"]
+
+    def crossings(y: Column) -> Column:
+        at = lambda a, b: F.when((a["y"] > y) != (b["y"] > y), a["x"] + (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]))
+        xs = F.flatten(F.transform(F.flatten(shape), lambda r: F.zip_with(r, following(r), at)))
+        return F.array_sort(F.filter(xs, lambda x: x.isNotNull()))
+
+    def widest(y: Column, xs: Column) -> Column:
+        spans = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(xs) - 1)), lambda i: (i % 2 == 1) & (i < F.size(xs))), lambda i: F.struct((F.element_at(xs, i + 1) - F.element_at(xs, i)).alias("w"), ((F.element_at(xs, i + 1) + F.element_at(xs, i)) / 2).alias("x")))
+        return F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y"))
+
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    return once(ys, lambda a: once(line(a), lambda y: once(crossings(y), lambda xs: widest(y, xs))))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())))
+def simplified(ring: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """The line or closed ring with the points that lie farther than ``tolerance`` (degrees) from the line between those kept on
+    either side, the first and last among them; a ring keeps its starting point."""
+
+    def kept(points: list | None, limit: float) -> list | None:
+        if points is None or len(points) < 3:
+            return points
+        v = np.array([(p["x"], p["y"]) for p in points], float)
+        keep, todo = np.zeros(len(v), bool), [(0, len(v) - 1)]
+        keep[[0, -1]] = True
+        while todo:
+            i, j = todo.pop()
+            if j - i < 2:
+                continue
+            d, w = v[j] - v[i], v[i + 1 : j] - v[i]
+            size = np.hypot(*d)
+            t = np.clip((w @ d) / size**2, 0, 1)[:, None] if size else np.zeros((len(w), 1))
+            far = np.hypot(*(w - t * d).T)
+            k = int(far.argmax())
+            if far[k] > limit:
+                keep[i + 1 + k] = True
+                todo += [(i, i + 1 + k), (i + 1 + k, j)]
+        return [{"x": float(x), "y": float(y)} for x, y in v[keep]]
+
+    return pd.Series([kept(p, t) for p, t in zip(ring, tolerance, strict=True)])

@@ -227,3 +227,12 @@ def y12(t: Tables) -> DataFrame:
         F.when((k % 5 != 0) | (k % 2 == 0), (k % 4).cast("double")).alias("wetland"), others.alias("others"), F.when(k % 11 != 0, k % 8 / 2).alias("edge_km"),
     )
     return statements.profile_units(rows, ["k"])
+
+
+@query("R2_centroids", f"""WITH {AREA}, c AS (SELECT area, sum(sg * (x1 - x0) * (y1 - y0)) AS a, sum(sg * (x1 - x0) * (y1 - y0) * (x0 + x1) / 2) AS mx, sum(sg * (x1 - x0) * (y1 - y0) * (y0 + y1) / 2) AS my FROM pc GROUP BY 1)
+SELECT area, round(mx / a, 6) AS x, round(my / a, 6) AS y, round(a, 6)::DOUBLE AS square_degrees, true AS surface_inside FROM c""")
+def r2c(t: Tables) -> DataFrame:
+    """Centroids, and whether the point on the surface, which a centroid need not be, lies inside."""
+    areas = _areas(t)
+    on = areas.select("area", shapes.point_on_surface(F.col("shape")).alias("s"), "shape").select("area", shapes.inside(F.col("s.x"), F.col("s.y"), F.col("shape")).alias("surface_inside"))
+    return rounded(shapes.centroids(areas, "area").join(on, "area"))

@@ -186,6 +186,22 @@ def l14(t: Tables) -> DataFrame:
     return rounded(near.orderBy("distance", "vec_id").limit(25))
 
 
+@query("L14_distance_ranks", f"WITH {V}, d AS (SELECT v.vec_id, round(list_distance(v.e, q.e), 9) AS d FROM v, (SELECT e FROM v WHERE vec_id = 3) q WHERE v.vec_id <> 3) SELECT vec_id, round(d, 6) AS distance, round(100 * percent_rank() OVER (ORDER BY d), 6) AS score FROM d")
+def l14r(t: Tables) -> DataFrame:
+    return rounded(position.percent_rank(_from_three(t), "distance"))
+
+
+@query("L14_distance_quartiles", f"WITH {V}, d AS (SELECT round(list_distance(v.e, q.e), 9) AS d FROM v, (SELECT e FROM v WHERE vec_id = 3) q WHERE v.vec_id <> 3) SELECT count(*) AS n, round(min(d), 6) AS least, round(quantile_cont(d, 0.25), 6) AS q1, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.75), 6) AS q3, round(max(d), 6) AS most FROM d")
+def l14q(t: Tables) -> DataFrame:
+    d = F.col("distance")
+    return rounded(_from_three(t).agg(F.count("*").alias("n"), F.min(d).alias("least"), *(F.percentile(d, q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))), F.max(d).alias("most")))
+
+
+def _from_three(t: Tables) -> DataFrame:
+    q = F.broadcast(t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q")))
+    return t.embeddings.where("vec_id <> 3").join(q).select("vec_id", F.round(lenses.vector_distance(F.col("embedding"), F.col("q")), 9).alias("distance"))
+
+
 @query("L19_cosine_rank", f"WITH {V}, d AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS s FROM v, v q WHERE v.vec_id <> q.vec_id AND q.vec_id IN (3, 44, 101)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM d) SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10")
 def l19(t: Tables) -> DataFrame:
     q = F.broadcast(t.embeddings.where("vec_id IN (3, 44, 101)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))

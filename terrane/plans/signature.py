@@ -187,9 +187,9 @@ def a17(t: Tables) -> DataFrame:
 
 @query("B2_dominant_unit", "WITH " + W + """
 SELECT query_id, 'dominant_unit' AS method, count(*) AS n_units, arg_max(unit_id, [coalesce(n_orders, '-Infinity'::DOUBLE), -unit_id]) AS dominant_id,
-       arg_max(surplus, [coalesce(n_orders, '-Infinity'::DOUBLE), -unit_id]) AS surplus, max(n_orders) AS n_orders FROM ws JOIN va USING (unit_id) GROUP BY 1""")
+       arg_max(surplus, [coalesce(n_orders, '-Infinity'::DOUBLE), -unit_id]) AS surplus, max(n_orders) AS n_orders, arg_max(surplus, [coalesce(n_orders, '-Infinity'::DOUBLE), -unit_id]) > 0 AS perennial FROM ws JOIN va USING (unit_id) GROUP BY 1""")
 def b2(t: Tables) -> DataFrame:
-    return blocks.dominant_unit(weights(t).join(variables(t), "unit_id"), "n_orders", ["surplus", "n_orders"])
+    return blocks.dominant_unit(weights(t).join(variables(t), "unit_id"), "n_orders", ["surplus", "n_orders"], least="surplus")
 
 
 def _flags(t: Tables) -> DataFrame:

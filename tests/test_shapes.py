@@ -154,3 +154,32 @@ def test_catchments_sum_their_steps_and_stop(spark):
     chain = spark.range(1, 300).selectExpr("id AS n", "id - 1 AS p", "CAST(id AS DOUBLE) AS km")
     far = {(r.node, r.ancestor): (r.depth, r.distance) for r in graph.ancestors(chain, "n", "p", "km").collect()}
     assert len(far) == 299 * 298 // 2 and far[299, 1] == (298, sum(range(2, 300))) and far[20, 17] == (3, 18 + 19 + 20)
+
+
+def test_centroids_points_on_the_surface_and_simpler_lines(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    bent = [(0.0, 0.0), (30.0, 0.0), (30.0, 2.0), (2.0, 2.0), (2.0, 30.0), (0.0, 30.0)]
+    some = [(1, [[box(0, 0, 10, 10)]]), (2, [[bent]]), (3, [[box(0, 0, 40, 40), box(10, 10, 30, 30)]]), (4, [[star(rng, 5, 5, 9, 17, True)], [box(40, 0, 41, 1)]]), (5, None)]
+    got = {r.k: r for r in shapes.centroids(frame(spark, some, "k"), "k").collect()}
+    assert (got[1].x, got[1].y, got[1].square_degrees) == (5, 5, 100) and (got[3].x, got[3].square_degrees) == (pytest.approx(20), pytest.approx(1200))
+    assert got[2].x == got[2].y == pytest.approx((60 * 15 + 56 * 1) / 116) and len(got) == 4
+    on = {r.k: r.p for r in frame(spark, some, "k").select("k", shapes.point_on_surface(F.col("shape")).alias("p")).collect()}
+    for k, shape in some[:4]:
+        assert covers(np.array(on[k].x), np.array(on[k].y), shape)
+    line = [(float(x), math.sin(x / 9)) for x in range(60)]
+    ring = spark.createDataFrame([(1, line), (2, [(0.0, 0.0), (1.0, 0.001), (2.0, 0.0)]), (3, line[:2]), (4, None)], "k int, r array<struct<x:double,y:double>>")
+    left = {r.k: r.s for r in ring.select("k", shapes.simplified("r", F.lit(0.01)).alias("s")).collect()}
+    assert [tuple(p) for p in left[2]] == [(0, 0), (2, 0)] and len(left[3]) == 2 and left[4] is None
+    points = [tuple(p) for p in left[1]]
+    assert len(points) < 30 and points[0] == line[0] and points[-1] == line[-1] and set(points) <= set(line)
+    assert all(abs(y - np.interp(x, *zip(*points, strict=True))) <= 0.0101 for x, y in line)
+
+
+def test_last_batch_stays(spark):
+    from terrane.operators import lookup
+
+    rows = spark.createDataFrame([(1, 2, "b", 5), (1, 1, "a", 9), (2, None, "x", 1), (2, 0, None, 2), (3, 4, "u", 1), (3, 4, "v", 0)], "k int, batch int, v string, w int")
+    got = lookup.keep_last(rows, ["k"], "batch")
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == [(1, 2, "b", 5), (2, 0, None, 2), (3, 4, "v", 0)]
