@@ -351,6 +351,38 @@ def test_language_model(spark, monkeypatch):
     assert hmm.language_model(documents(spark, [])).count() == 0
 
 
+def plain_model(rows, rounds):
+    """Counts, symbols, training and scores of a small corpus by plain recursions over whole texts."""
+    texts = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
+    train = [ws for i, ws in texts if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for ws in train for w in ws)
+    own = [w for _, w in sorted((-n, w) for w, n in c.items() if w)][: hmm.SYMBOLS]
+    symbols = {b"": 0} | {w: k for k, w in enumerate(own, 1)}
+    room, kinds = np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES)
+    for w, n in c.items():
+        if w not in symbols:
+            room[zlib.crc32(w) % hmm.CLASSES] += n
+            kinds[zlib.crc32(w) % hmm.CLASSES] += 1
+    symbol = lambda w: symbols.get(w, len(symbols) + zlib.crc32(w) % hmm.CLASSES)
+    own_counts = np.array([c[b""], *(c[w] for w in own)], float)
+    lex = hmm.Lexicon(own, own_counts, sum(c.values()), len(c), room, kinds)  # for the first model only
+    model, coded = hmm.first_model(lex), [np.array([symbol(w) for w in ws]) for ws in train]
+    for _ in range(rounds):
+        starts, steps, emits = (sum(x) for x in zip(*(plain_counts(model, s) for s in coded), strict=True))
+        model = hmm.Model((starts + 1) / (starts + 1).sum(), (steps + 1) / (steps + 1).sum(1)[:, None], (emits.T + hmm.SMOOTH) / (emits.T + hmm.SMOOTH).sum(0))
+    inside = lambda w: 0.0 if w in symbols else math.log10((c[w] + hmm.SMOOTH) / (room[zlib.crc32(w) % hmm.CLASSES] + hmm.SMOOTH * (kinds[zlib.crc32(w) % hmm.CLASSES] + 1)))
+    return Counter((i, round(plain_forward(model, [symbol(w) for w in ws]) / math.log(10) + sum(map(inside, ws)), 4)) for i, ws in texts)
+
+
+def test_language_model_scores_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "LEXICON", 60)
+    monkeypatch.setattr(hmm, "SYMBOLS", 20)
+    rng = random.Random(3)
+    rows = [(100 + k, " ".join(rng.choices(WORDS[: 100 if k % 2 else 200], k=rng.randrange(90)))) for k in range(40)] + [(1, None), (None, "w1 x"), (7, "w1 w2"), (7, "w1 w2")]
+    got = Counter((r.doc_id, round(r.score, 4)) for r in hmm.language_model(documents(spark, rows), rounds=2).collect())
+    assert got == plain_model(rows, 2)
+
+
 def test_language_model_beats_unigrams(spark):
     rows = [r for r in hmm.language_model(table(spark, FOLDER, "documents")).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
@@ -537,3 +569,16 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert set(gone) == {5, 8, 20}
         else:
             assert not gone
+
+
+def test_toxicity_query_on_held_out_documents(spark):
+    """Documents whose labels were not learned from are told apart; clean ones are left alone."""
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in q.QUERIES["op8_toxicity"](spark, folder).collect()}
+    labels = {r.doc_id: r.toxic for r in table(spark, folder, "labels").collect()}
+    assert got.keys() == {r.doc_id for r in table(spark, folder, "documents").select("doc_id").collect()}
+    held = [i for i in labels if i in got and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
+    right = sum(got[i].predicted == labels[i] for i in held)
+    clean = [i for i in held if labels[i] == 0]
+    assert len(held) > 50 and right >= 0.9 * len(held) and sum(got[i].predicted for i in clean) <= 0.05 * len(clean)
