@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.scalars import NotAllowed, one_of
-from terrane.operators import blocks, cluster, dispersion, entry, geometry, graph, lookup, position, series, shapes, spatialstats, statements, weighted
+from terrane.operators import blocks, cluster, dispersion, entry, geometry, graph, lenses, lookup, position, series, shapes, spatialstats, statements, weighted
 
 
 def cum(spark, scores, weights):
@@ -190,3 +190,25 @@ def test_buffer_overlap_is_a_spherical_cap(spark):
     r = shapes.overlap_weights(unit, area, "unit", "area").first()
     cap = 2 * math.pi * 6371.0088**2 * (1 - math.cos(500 / 6371.0088))
     assert r.weight == pytest.approx(1, abs=1e-6) and r.overlap_km2 == pytest.approx(cap, rel=2e-3)
+
+
+def test_two_wave_fit_equals_a_plain_search(spark):
+    """Least mean error, over the mean, of one-wave and two-wave curves over the whole grid, one curve at a time."""
+    import math
+
+    curves_ = [[10 + 8 * math.sin(2 * math.pi * (t - 3) / 12) for t in range(12)], [5 + 4 * math.sin(2 * math.pi * (t - 1) / 6) for t in range(12)], [3.0] * 12, [0, 0, 0, 90, 200, 40, 0, 0, 5, 0, 0, 0]]
+    df = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(curves_)] + [(9, [1.0] * 11), (10, None), (11, [0.0] * 12)], "k int, c array<double>")
+    got = {r.k: r.e for r in df.select("k", lenses.two_period_fit("c").alias("e")).collect()}
+    for k, c in enumerate(curves_):
+        mean = sum(c) / 12
+        for period, found in ((12, got[k].e12), (6, got[k].e6)):
+            best = math.inf
+            for i in range(81):
+                a = i * 0.05
+                lift = -0.001 * a**4 + 0.026 * a**3 - 0.245 * a**2 + 0.2432 * a - 0.038 if a > 1 else 0
+                for j in range(4 * period):
+                    wave = [max(0.0, 1 + lift + a * math.sin(2 * math.pi * (t - j / 4) / period)) for t in range(12)]
+                    best = min(best, sum(abs(w * mean - x) for w, x in zip(wave, c, strict=True)) / 12 / mean)
+            assert found == pytest.approx(best)
+    assert got[0].e12 < 0.02 < got[0].e6 and got[1].e6 < 0.02 < got[1].e12
+    assert all(got[k].e12 is None or math.isnan(got[k].e12) for k in (9, 10, 11))
