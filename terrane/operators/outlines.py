@@ -53,7 +53,11 @@ def _place(v: Column) -> Column:
 
 
 def _edges(df: DataFrame, key: str) -> DataFrame:
-    """(key, a, b): ends of each edge of each ring, in degrees."""
+    """(key, a, b): ends of each edge of each ring, in degrees; of an open line if ``df`` has a column ``path``, an array of points."""
+    if "path" in df.columns:
+        n = F.greatest(F.lit(0), F.size("path") - 1)
+        some = df.where("path IS NOT NULL").select(key, F.explode(F.arrays_zip(F.slice("path", F.lit(1), n).alias("a"), F.slice("path", F.lit(2), n).alias("b"))).alias("_e"))
+        return some.select(key, F.col("_e.a").alias("a"), F.col("_e.b").alias("b")).where("a.x <> b.x OR a.y <> b.y")
     pairs = shapes.rings(df, key).select(key, F.explode(F.arrays_zip(F.col("ring").alias("a"), shapes.following(F.col("ring")).alias("b"))).alias("_e"))
     return pairs.select(key, F.col("_e.a").alias("a"), F.col("_e.b").alias("b")).where("a.x <> b.x OR a.y <> b.y")
 
@@ -220,3 +224,64 @@ def touching(polygons: DataFrame, key: str, cell: float = 1.0, tolerance: float
     dots = dots.groupBy("i", "j").agg(F.avg("y").alias("_y"), F.avg("x").alias("_x"))
     both = lines.join(dots, ["i", "j"], "full")
     return both.select("i", "j", F.coalesce("shared_km", F.lit(0.0)).alias("shared_km"), F.coalesce("mid_lat", "_y").alias("mid_lat"), F.coalesce("mid_lon", "_x").alias("mid_lon"))
+
+
+def length_inside(lines: DataFrame, polygons: DataFrame, line: str, polygon: str, cell: float = 5.0) -> DataFrame:
+    """(line, polygon, km) of lines (path) that run inside polygons, edges taken straight in degrees.
+
+    An edge and a polygon meet once, on the cells that their boxes touch; the edge is cut where it crosses the outline, and the
+    parts whose middle lies inside count.
+    """
+    e = _edges(lines, line).withColumn("_no", F.monotonically_increasing_id())
+    e = stored(e)  # numbered once
+    low, high = (lambda c: F.floor(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell).cast("int")), (lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell).cast("int"))
+    at = e.select("_no", F.explode(F.sequence(low("x"), high("x"))).alias("_cx"), F.sequence(low("y"), high("y")).alias("_c")).select("_no", "_cx", F.explode("_c").alias("_cy"))
+    known = shapes.with_shape(polygons).select(polygon, F.col("shape").alias("_shape"))
+    b = geometry.box(F.col("_shape"))
+    lo = lambda c: F.floor(c / cell).cast("int")
+    cells = known.select(polygon, F.explode(F.sequence(lo(b["west"]), lo(b["east"]))).alias("_cx"), F.sequence(lo(b["south"]), lo(b["north"])).alias("_c")).select(polygon, "_cx", F.explode("_c").alias("_cy"))
+    met = at.join(cells, ["_cx", "_cy"]).select("_no", polygon).distinct().join(e, "_no").join(known, polygon)
+    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+
+    def crossing(p: Column, q: Column) -> Column:
+        """Where along the edge (0 to 1) it meets the outline's edge from p to q; null if it doesn't."""
+        ex, ey = q["x"] - p["x"], q["y"] - p["y"]
+        whole = dx * ey - dy * ex
+        t = F.try_divide((p["x"] - F.col("a.x")) * ey - (p["y"] - F.col("a.y")) * ex, whole)
+        s = F.try_divide((p["x"] - F.col("a.x")) * dy - (p["y"] - F.col("a.y")) * dx, whole)
+        return F.when(s.between(0, 1) & (t > 0) & (t < 1), t)
+
+    cuts = F.filter(F.flatten(F.transform(F.flatten("_shape"), lambda r: F.zip_with(r, shapes.following(r), crossing))), lambda t: t.isNotNull())
+    met = met.withColumn("_t", F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
+    parts = met.select(line, polygon, "a", "b", "_shape", F.explode(F.arrays_zip(F.slice("_t", F.lit(1), F.size("_t") - 1).alias("s"), F.slice("_t", F.lit(2), F.size("_t") - 1).alias("t"))).alias("_p")).where("_p.t > _p.s")
+    x, y = (lambda t: F.col("a.x") + (F.col("b.x") - F.col("a.x")) * t), (lambda t: F.col("a.y") + (F.col("b.y") - F.col("a.y")) * t)
+    middle = (F.col("_p.s") + F.col("_p.t")) / 2
+    inside = parts.where(shapes.inside(x(middle), y(middle), F.col("_shape")))
+    s, t = F.col("_p.s"), F.col("_p.t")
+    return inside.groupBy(line, polygon).agg(F.sum(haversine_km(y(s), x(s), y(t), x(t))).alias("km"))
+
+
+#: Least kilometres of a river inside a unit, classes by which a much larger river is ahead, and how far it may be.
+OWN_KM, STEP, LARGER_KM = 1.0, 2, 25.0
+
+
+def rivers_near(places: DataFrame, units: DataFrame, rivers: DataFrame, place: str, unit: str, river: str, least_class: int, step: int = STEP, larger_km: float = LARGER_KM) -> DataFrame:
+    """place, own_class (least class of a river with more than OWN_KM inside the place's unit), river, class, km (the nearest of class
+    ``least_class`` or below), larger, larger_class, larger_km (the nearest that is ``step`` classes below own_class, within
+    ``larger_km``). Classes count down with size. ``places`` is (place, unit, lat, lon), ``rivers`` (river, class, path); each
+    class that is asked for is one search, and classes are few.
+    """
+    inside = length_inside(rivers, units, river, unit).where(F.col("km") > OWN_KM).join(rivers.select(river, "class"), river)
+    own = inside.groupBy(unit).agg(F.min("class").alias("own_class"))
+    asked = stored(places.join(own, unit, "left").select(place, "lat", "lon", "own_class"))
+    named = rivers.select(river, "class")
+    near = nearest_outline(asked, rivers.where(F.col("class") <= least_class), place, river).join(named, river).select(place, river, "class", "km")
+    larger = None
+    for own_class in sorted(r[0] for r in asked.where("own_class IS NOT NULL").select("own_class").distinct().collect()):
+        of = nearest_outline(asked.where(F.col("own_class") == own_class), rivers.where(F.col("class") <= own_class - step), place, river, most_km=larger_km)
+        larger = of if larger is None else larger.unionByName(of)
+    out = asked.select(place, "own_class").join(near, place, "left")
+    if larger is None:
+        return out.select("*", F.lit(None).cast(dict(rivers.dtypes)[river]).alias("larger"), F.lit(None).cast("int").alias("larger_class"), F.lit(None).cast("double").alias("larger_km"))
+    larger = larger.join(named, river).select(place, F.col(river).alias("larger"), F.col("class").alias("larger_class"), F.col("km").alias("larger_km"))
+    return out.join(larger, place, "left")

@@ -10,7 +10,7 @@ from terrane.plans import signature as sig
 from terrane.plans.curves import PLACED, placed
 from terrane.plans.entry import ASKED, BRICKS, _asked, bricks
 from terrane.plans.registry import Tables, query, rounded
-from terrane.plans.spatial import AREA, BOX, _areas, _boxes, _sides, box_of
+from terrane.plans.spatial import AREA, BOX, _areas, _boxes, _sides, box_of, corner
 
 
 @query("R13_region_shares", f"""WITH {AREA}, p AS (SELECT unit, area AS region, o / ub.z AS share FROM ov JOIN ub USING (unit)),
@@ -236,3 +236,29 @@ def r2c(t: Tables) -> DataFrame:
     areas = _areas(t)
     on = areas.select("area", shapes.point_on_surface(F.col("shape")).alias("s"), "shape").select("area", shapes.inside(F.col("s.x"), F.col("s.y"), F.col("shape")).alias("surface_inside"))
     return rounded(shapes.centroids(areas, "area").join(on, "area"))
+
+
+#: A line of three points for each nation, of a class from 1 to 7, and places in small boxes.
+RIVERS = """rv AS (SELECT n_nationkey AS river, 1 + n_nationkey * 5 % 7 AS class, [[n_nationkey * 25 % 320 - 172.0, n_nationkey % 4 * 30 - 60.0], [n_nationkey * 25 % 320 - 165.5, n_nationkey % 4 * 30 - 47.0], [n_nationkey * 25 % 320 - 150.0, n_nationkey % 4 * 30 - 40.0]] AS path FROM nation),
+re AS (SELECT river, class, path[i] AS p, path[i + 1] AS q FROM rv, (SELECT unnest([1, 2]) AS i)), rs AS (SELECT river, class, p, q, {a}, {e} FROM re)""".format(a=_vector("p[2]", "p[1]", "a"), e=_vector("q[2]", "q[1]", "e"))
+
+
+@query("R12_rivers", f"""WITH {BOX}, {RIVERS}, ub AS (SELECT polygon AS unit, w + 2 AS w, s + 12 AS s, w + 9 AS e, s + 30 AS n FROM b),
+cl AS (SELECT river, class, unit, p, q, greatest(0, (w - p[1]) / (q[1] - p[1]), (s - p[2]) / (q[2] - p[2])) AS t0, least(1, (e - p[1]) / (q[1] - p[1]), (n - p[2]) / (q[2] - p[2])) AS t1 FROM re, ub),
+le AS (SELECT river, class, unit, sum(2 * 6371.0088 * asin(sqrt(sin(radians((q[2] - p[2]) * (t1 - t0)) / 2) ** 2 + cos(radians(p[2] + (q[2] - p[2]) * t0)) * cos(radians(p[2] + (q[2] - p[2]) * t1)) * sin(radians((q[1] - p[1]) * (t1 - t0)) / 2) ** 2))) AS km FROM cl WHERE t1 > t0 GROUP BY 1, 2, 3),
+own AS (SELECT unit, min(class) AS own_class FROM le WHERE km > 1 GROUP BY 1),
+pl AS (SELECT s_suppkey AS place, s_suppkey % 25 AS unit, w + 1 + s_suppkey % 10 AS lon, s + 1 + s_suppkey % 7 AS lat FROM supplier JOIN ub ON unit = s_suppkey % 25), pv AS (SELECT place, own_class, {_vector('lat', 'lon', 'p')} FROM pl LEFT JOIN own USING (unit)),
+d AS (SELECT place, own_class, river, class, min(km) AS km FROM ({_arc_sql('SELECT pv.*, river, class, ax, ay, az, ex, ey, ez FROM pv, rs')}) GROUP BY 1, 2, 3, 4),
+n AS (SELECT place, arg_min(river, [round(km, 6), river]) AS river, arg_min(class, [round(km, 6), river]) AS class, min(km) AS km FROM d WHERE class <= 5 GROUP BY 1),
+l AS (SELECT place, arg_min(river, [round(km, 6), river]) AS larger, arg_min(class, [round(km, 6), river]) AS larger_class, min(km) AS larger_km FROM d WHERE class <= own_class - 2 AND km <= 600 GROUP BY 1)
+SELECT place, own_class, river, class, round(km, 4) AS km, larger, larger_class, round(larger_km, 4) AS larger_km FROM pv LEFT JOIN n USING (place) LEFT JOIN l USING (place)""")
+def r12r(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    x, y = (k * 25 % 320).cast("double"), (k % 4 * 30).cast("double")
+    path = F.array(corner(x - 172, y - 60), corner(x - 165.5, y - 47), corner(x - 150, y - 40))
+    rivers = t.nation.select(k.alias("river"), (1 + k * 5 % 7).cast("int").alias("class"), path.alias("path"))
+    nation, w, s, _, _ = _sides(t)
+    at = nation.select(k.alias("unit"), (w + 2).alias("_w"), (s + 12).alias("_s"))
+    n = F.col("s_suppkey")
+    places = t.supplier.select(n.alias("place"), (n % 25).alias("unit")).join(F.broadcast(at), "unit").select("place", "unit", (F.col("_s") + 1 + F.col("place") % 7).alias("lat"), (F.col("_w") + 1 + F.col("place") % 10).alias("lon"))
+    return rounded(outlines.rivers_near(places, _units(t), rivers, "place", "unit", "river", 5, larger_km=600.0), 4)

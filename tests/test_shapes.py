@@ -184,3 +184,21 @@ def test_last_batch_stays(spark):
     rows = spark.createDataFrame([(1, 2, "b", 5), (1, 1, "a", 9), (2, None, "x", 1), (2, 0, None, 2), (3, 4, "u", 1), (3, 4, "v", 0)], "k int, batch int, v string, w int")
     got = lookup.keep_last(rows, ["k"], "batch")
     assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == [(1, 2, "b", 5), (2, 0, None, 2), (3, 4, "v", 0)]
+
+
+def test_length_of_lines_inside_polygons(spark):
+    rng = random.Random(31)
+    polygons = [(1, [[star(rng, 10, 20, 15, 14), star(rng, 10, 20, 5, 7)], [box(40, 0, 44, 9)]]), (2, [[box(-60, -60, -50, -50)]]), (3, [[box(0, 0, 60, 60)]])]
+    lines = [(k, [(rng.uniform(-10, 50), rng.uniform(-5, 45)) for _ in range(2 + k % 4)]) for k in range(12)] + [(20, None), (21, [(1.0, 1.0)]), (22, [(2.0, 2.0), (2.0, 2.0)])]
+    df = spark.createDataFrame(lines, "line int, path array<struct<x:double,y:double>>")
+    got = {(r.line, r.u): r.km for r in outlines.length_inside(df, frame(spark, polygons, "u"), "line", "u").collect()}
+    for k, path in lines[:12]:
+        for u, shape in polygons:
+            want = 0.0
+            for (ax, ay), (bx, by) in zip(path, path[1:], strict=False):
+                t = np.linspace(0, 1, 20001)
+                x, y = ax + (bx - ax) * t, ay + (by - ay) * t
+                step = KM * np.hypot(np.radians(np.diff(y)), np.radians(np.diff(x)) * np.cos(np.radians((y[1:] + y[:-1]) / 2)))
+                want += step[covers((x[1:] + x[:-1]) / 2, (y[1:] + y[:-1]) / 2, shape)].sum()
+            assert got.get((k, u), 0) == pytest.approx(want, rel=0.02, abs=1)  # the walk follows the bent line, the sum its chords
+    assert {k for k, _ in got} <= set(range(12))
