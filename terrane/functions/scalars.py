@@ -101,6 +101,15 @@ def ordinal(n: Column) -> Column:
     return F.concat(n.cast("string"), end)
 
 
+#: Numbers that are written as words.
+NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+
+
+def number_word(n: Column) -> Column:
+    """A whole number as a word up to ten, else digits in groups of three."""
+    return F.when(n.between(0, 10), F.element_at(F.array(*map(F.lit, NUMBERS)), F.greatest(F.lit(1), F.least(F.lit(11), n.cast("int") + 1)))).otherwise(F.format_number(n, 0))
+
+
 def year_label(year: Column) -> Column:
     """Years before 1 in BCE of the astronomical count."""
     return F.when(year < 1, F.concat((1 - year).cast("string"), F.lit(" BCE"))).otherwise(F.concat(year.cast("string"), F.lit(" CE")))

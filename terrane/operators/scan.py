@@ -65,6 +65,51 @@ def variable_percentiles(df: DataFrame, focus: Column, features: dict[str, tuple
     return one.select(F.inline(rows))
 
 
+def lens_observed(df: DataFrame, unit: str, focus: Column, lenses: dict[str, list[str]]) -> DataFrame:
+    """lens, n_backdrop, n_focus, cohesion, displacement of the focus rows in each lens, a set of features: z-scores over the rows
+    that have all of them; a lens without focus rows has nulls."""
+    out = None
+    for name, features in lenses.items():
+        z = backdrop(df, features)
+        n = z.agg(F.count("*").alias("n_backdrop"), F.count_if(F.coalesce(focus, F.lit(False))).alias("n_focus"))
+        own = cohesion(z.where(focus).withColumn("_lens", F.lit(name)), "_lens", features)
+        one = n.withColumn("_lens", F.lit(name)).join(own, "_lens", "left").select(F.col("_lens").alias("lens"), "n_backdrop", "n_focus", "cohesion", "displacement")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def lens_distances(df: DataFrame, unit: str, focus: Column, lenses: dict[str, list[str]]) -> DataFrame:
+    """lens, unit, distance of each focus row to the focus rows' centroid."""
+    out = None
+    for name, features in lenses.items():
+        z = backdrop(df, features).where(focus)
+        centre = F.broadcast(z.agg(*(F.avg(f"z_{f}").alias(f"_c_{f}") for f in features)))
+        far = F.sqrt(sum((F.pow(F.col(f"z_{f}") - F.col(f"_c_{f}"), F.lit(2)) for f in features), F.lit(0.0)))
+        one = z.join(centre).select(F.lit(name).alias("lens"), unit, far.alias("distance"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def lens_scan(df: DataFrame, unit: str, focus: Column, lenses: dict[str, list[str]], rounds: int = 200, seed: int = 0) -> DataFrame:
+    """``lens_observed`` with pct_tighter (hundredths of random sets of as many rows whose distances are as large or larger),
+    random_cohesion and random_displacement (means over the sets) and displacement_rank (hundredths of sets at most as far out)."""
+    observed, out = stored(lens_observed(df, unit, focus, lenses)), None
+    for r in observed.select("lens", "n_focus").collect():  # a row for each lens
+        drawn = random_draws(stored(backdrop(df, lenses[r.lens]).select(unit, *(f"z_{f}" for f in lenses[r.lens]))), unit, lenses[r.lens], r.n_focus, rounds, seed) if r.n_focus else None
+        one = observed.where(F.col("lens") == r.lens)
+        if drawn is None:
+            none = F.lit(None).cast("double")
+            one = one.select("*", *(none.alias(c) for c in ("pct_tighter", "random_cohesion", "random_displacement", "displacement_rank")))
+        else:
+            named = drawn.select(F.col("cohesion").alias("_c"), F.col("displacement").alias("_d")).join(F.broadcast(one))
+            one = named.groupBy(*one.columns).agg(
+                (100 * F.avg((F.col("_c") >= F.col("cohesion")).cast("double"))).alias("pct_tighter"), F.avg("_c").alias("random_cohesion"), F.avg("_d").alias("random_displacement"),
+                (100 * F.avg((F.col("_d") <= F.col("displacement")).cast("double"))).alias("displacement_rank"),
+            )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def ticks(df: DataFrame, unit: str, family: str, focus: Column, features: list[str]) -> DataFrame:
     """unit, family, variable, percentile of each focus row and variable that it has: hundredths by average rank among all rows
     with a value, so gaps in one variable leave the others alone. All variables are ranked in one plan."""

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.scalars import binned, ordinal
+from terrane.functions.scalars import UNEP_EDGES, UNEP_LABELS, binned, ordinal
 
 #: Zero share that makes a variable zero-aware, least share that is stated, units that a spread label takes,
 #: classes that are listed, distance from either end that counts as a tail, eligible variables that a band and a query take.
@@ -385,19 +385,64 @@ def water_provenance(endo: Column, coast: Column, dist: Column, rain_ratio: Colu
     )
 
 
-def texture_class(sand: Column, silt: Column, clay: Column) -> Column:
-    """Soil texture class of hundredths of sand, silt and clay, by the published triangle."""
-    return (
-        F.when(silt + 1.5 * clay < 15, "sand")
-        .when((silt + 1.5 * clay >= 15) & (silt + 2 * clay < 30), "loamy sand")
-        .when(((clay >= 7) & (clay < 20) & (sand > 52) & (silt + 2 * clay >= 30)) | ((clay < 7) & (silt < 50) & (silt + 2 * clay >= 30)), "sandy loam")
-        .when((clay >= 7) & (clay < 27) & (silt >= 28) & (silt < 50) & (sand <= 52), "loam")
-        .when(((silt >= 50) & (clay >= 12) & (clay < 27)) | ((silt >= 50) & (silt < 80) & (clay < 12)), "silt loam")
-        .when((silt >= 80) & (clay < 12), "silt")
-        .when((clay >= 20) & (clay < 35) & (silt < 28) & (sand > 45), "sandy clay loam")
-        .when((clay >= 27) & (clay < 40) & (sand > 20) & (sand <= 45), "clay loam")
-        .when((clay >= 27) & (clay < 40) & (sand <= 20), "silty clay loam")
-        .when((clay >= 35) & (sand > 45), "sandy clay")
-        .when((clay >= 40) & (silt >= 40), "silty clay")
-        .when((clay >= 40) & (sand <= 45) & (silt < 40), "clay")
+def texture_classes(sand: Column, silt: Column, clay: Column) -> Column:
+    """All soil texture classes of the published triangle whose definition hundredths of sand, silt and clay meet; one of whole
+    shares."""
+    light, heavy = silt + 1.5 * clay, silt + 2 * clay
+    rules = (
+        ("sand", (sand > 85) & (light < 15)),
+        ("loamy sand", sand.between(70, 90) & (light >= 15) & (heavy < 30)),
+        ("sandy loam", ((clay >= 7) & (clay < 20) & (sand > 52) & (heavy >= 30)) | ((clay < 7) & (silt < 50) & (heavy >= 30))),
+        ("loam", (clay >= 7) & (clay < 27) & (silt >= 28) & (silt < 50) & (sand <= 52)),
+        ("silt loam", ((silt >= 50) & (clay >= 12) & (clay < 27)) | ((silt >= 50) & (silt < 80) & (clay < 12))),
+        ("silt", (silt >= 80) & (clay < 12)),
+        ("sandy clay loam", (clay >= 20) & (clay < 35) & (silt < 28) & (sand > 45)),
+        ("clay loam", (clay >= 27) & (clay < 40) & (sand > 20) & (sand <= 45)),
+        ("silty clay loam", (clay >= 27) & (clay < 40) & (sand <= 20)),
+        ("sandy clay", (clay >= 35) & (sand > 45)),
+        ("silty clay", (clay >= 40) & (silt >= 40)),
+        ("clay", (clay >= 40) & (sand <= 45) & (silt < 40)),
     )
+    return F.filter(F.array(*(F.when(c, name) for name, c in rules)), lambda x: x.isNotNull())
+
+
+def texture(sand: Column, silt: Column, clay: Column) -> Column:
+    """struct(name, unsure): the texture class, null unless just one fits, and whether half a point more or less of any share,
+    which is what rounding leaves open, gives another."""
+    own = texture_classes(sand, silt, clay)
+    half = (-0.5, 0.0, 0.5)
+    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in half for b in half for c in half))
+    near = F.array_distinct(F.transform(around, lambda o: texture_classes(sand + o["a"], silt + o["b"], clay + o["c"])))
+    one = F.size(own) == 1
+    known = sand.isNotNull() & silt.isNotNull() & clay.isNotNull()
+    return F.struct(F.when(one, own[0]).alias("name"), F.when(known, ~one | (F.size(near) > 1)).alias("unsure"))
+
+
+def whole_shares(sand: Column, silt: Column, clay: Column) -> Column:
+    """struct(sand, silt, clay): whole hundredths that add up to 100; what rounding leaves goes to the largest share, the first of
+    equal ones."""
+    total = sand + silt + clay
+    raw = [100 * c / total for c in (sand, silt, clay)]
+    out = [F.bround(c) for c in raw]
+    rest = 100 - (out[0] + out[1] + out[2])
+    largest = F.when((raw[0] >= raw[1]) & (raw[0] >= raw[2]), 0).when(raw[1] >= raw[2], 1).otherwise(2)
+    return F.struct(*((c + F.when(largest == k, rest).otherwise(0.0)).alias(n) for k, (n, c) in enumerate(zip(("sand", "silt", "clay"), out, strict=True))))
+
+
+#: Upper ends of slope classes in hundredths, their names, and half a step of the stored degrees.
+SLOPE_EDGES = [1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0]
+SLOPES = ["level", "very gently sloping", "gently sloping", "sloping", "strongly sloping", "moderately steep", "steep", "very steep"]
+DEGREE_STEP = 0.05
+
+
+def slope(degrees: Column) -> Column:
+    """struct(name, percent, unsure): the slope class, and whether the stored step could put it in a neighbouring one."""
+    percent = lambda d: F.tan(F.radians(d)) * 100
+    name = lambda d: binned(percent(d), SLOPE_EDGES, SLOPES)
+    return F.struct(name(degrees).alias("name"), percent(degrees).alias("percent"), (name(F.greatest(degrees - DEGREE_STEP, F.lit(0.0))) != name(degrees + DEGREE_STEP)).alias("unsure"))
+
+
+def aridity(hundredths: Column) -> Column:
+    """struct(name, index, unsure) of a stored whole index times 100."""
+    name = lambda x: binned(x / 100, UNEP_EDGES, UNEP_LABELS)
+    return F.struct(name(hundredths).alias("name"), (hundredths / 100).alias("index"), (name(hundredths - 0.5) != name(hundredths + 0.5)).alias("unsure"))

@@ -171,3 +171,35 @@ def m17r(t: Tables) -> DataFrame:
 @query("M17_scatter", f"WITH {CODED} SELECT unit, x, z AS y, CASE WHEN coalesce(trait = 'BUILDING', false) THEN 'focus' ELSE 'backdrop' END AS side FROM d WHERE x IS NOT NULL AND z IS NOT NULL")
 def m17s(t: Tables) -> DataFrame:
     return scan.scatter(_coded(t), "unit", _focus(), "x", "z")
+
+
+LENSES = {"wide": ["x", "y", "z"], "narrow": ["x", "y"]}
+
+
+def _lens_sql(name: str, features: list[str]) -> tuple[str, str]:
+    """Observed row and distances of one lens, over the rows with all its features."""
+    whole = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    stats = ", ".join(f"avg({f}) AS m{f}, stddev_pop({f}) AS s{f}" for f in features)
+    z = f"SELECT unit, trait, {', '.join(f'({f} - m{f}) / s{f} AS {f}' for f in features)} FROM d, (SELECT {stats} FROM d WHERE {whole}) WHERE {whole}"
+    centre = ", ".join(f"avg({f}) AS c{f}" for f in features)
+    far = " + ".join(f"({f} - c{f}) ** 2" for f in features)
+    out = " + ".join(f"c{f} ** 2" for f in features)
+    focus = f"SELECT * FROM ({z}) WHERE trait = 'BUILDING'"
+    rows = f"SELECT '{name}' AS lens, unit, sqrt({far}) AS distance, sqrt({out}) AS shift FROM ({focus}), (SELECT {centre} FROM ({focus}))"
+    observed = f"SELECT '{name}' AS lens, (SELECT count(*) FROM ({z})) AS n_backdrop, count(*) AS n_focus, round(avg(distance), 6) AS cohesion, round(max(shift), 6) AS displacement FROM ({rows})"
+    return observed, f"SELECT lens, unit, round(distance, 6) AS distance FROM ({rows})"
+
+
+@query("M14_lens_observed", f"WITH {CODED} " + " UNION ALL ".join(_lens_sql(n, fs)[0] for n, fs in LENSES.items()))
+def m14o(t: Tables) -> DataFrame:
+    return rounded(scan.lens_observed(_coded(t), "unit", _focus(), LENSES))
+
+
+@query("M14_lens_distances", f"WITH {CODED} " + " UNION ALL ".join(_lens_sql(n, fs)[1] for n, fs in LENSES.items()))
+def m14d(t: Tables) -> DataFrame:
+    return rounded(scan.lens_distances(_coded(t), "unit", _focus(), LENSES))
+
+
+@query("M14_lens_scan")
+def m14(t: Tables) -> DataFrame:
+    return scan.lens_scan(_coded(t), "unit", _focus(), LENSES, rounds=50)

@@ -89,15 +89,43 @@ def d4(t: Tables) -> DataFrame:
     return blocks.backfill_single(signature, rows.select("query_id", "variable", "raw")).select("query_id", "variable", "n_units", "status", "representative_raw", "coherence")
 
 
-@query("Y11_texture_class", """WITH p AS (SELECT p_partkey, (p_partkey * 7 % 101)::DOUBLE AS sand, (p_partkey * 13 % 101)::DOUBLE AS u FROM part), s AS (SELECT p_partkey, sand, floor((100 - sand) * u / 100) AS silt, 100 - sand - floor((100 - sand) * u / 100) AS clay FROM p)
-SELECT p_partkey, CASE WHEN silt + 1.5 * clay < 15 THEN 'sand' WHEN silt + 2 * clay < 30 THEN 'loamy sand' WHEN (clay >= 7 AND clay < 20 AND sand > 52) OR (clay < 7 AND silt < 50) THEN 'sandy loam' WHEN clay >= 7 AND clay < 27 AND silt >= 28 AND silt < 50 AND sand <= 52 THEN 'loam'
-WHEN (silt >= 50 AND clay >= 12 AND clay < 27) OR (silt >= 50 AND silt < 80 AND clay < 12) THEN 'silt loam' WHEN silt >= 80 AND clay < 12 THEN 'silt' WHEN clay >= 20 AND clay < 35 AND silt < 28 AND sand > 45 THEN 'sandy clay loam' WHEN clay >= 27 AND clay < 40 AND sand > 20 AND sand <= 45 THEN 'clay loam'
-WHEN clay >= 27 AND clay < 40 AND sand <= 20 THEN 'silty clay loam' WHEN clay >= 35 AND sand > 45 THEN 'sandy clay' WHEN clay >= 40 AND silt >= 40 THEN 'silty clay' WHEN clay >= 40 AND sand <= 45 AND silt < 40 THEN 'clay' END AS texture FROM s""")
+#: All texture classes that hundredths sand, silt and clay meet, as a list.
+TEXTURE = """list_filter([CASE WHEN {a} > 85 AND {b} + 1.5 * {c} < 15 THEN 'sand' END, CASE WHEN {a} BETWEEN 70 AND 90 AND {b} + 1.5 * {c} >= 15 AND {b} + 2 * {c} < 30 THEN 'loamy sand' END,
+CASE WHEN {b} + 2 * {c} >= 30 AND (({c} >= 7 AND {c} < 20 AND {a} > 52) OR ({c} < 7 AND {b} < 50)) THEN 'sandy loam' END, CASE WHEN {c} >= 7 AND {c} < 27 AND {b} >= 28 AND {b} < 50 AND {a} <= 52 THEN 'loam' END,
+CASE WHEN {b} >= 50 AND (({c} >= 12 AND {c} < 27) OR ({b} < 80 AND {c} < 12)) THEN 'silt loam' END, CASE WHEN {b} >= 80 AND {c} < 12 THEN 'silt' END, CASE WHEN {c} >= 20 AND {c} < 35 AND {b} < 28 AND {a} > 45 THEN 'sandy clay loam' END,
+CASE WHEN {c} >= 27 AND {c} < 40 AND {a} > 20 AND {a} <= 45 THEN 'clay loam' END, CASE WHEN {c} >= 27 AND {c} < 40 AND {a} <= 20 THEN 'silty clay loam' END, CASE WHEN {c} >= 35 AND {a} > 45 THEN 'sandy clay' END,
+CASE WHEN {c} >= 40 AND {b} >= 40 THEN 'silty clay' END, CASE WHEN {c} >= 40 AND {a} <= 45 AND {b} < 40 THEN 'clay' END], lambda x: x IS NOT NULL)"""
+
+
+@query("Y11_texture_class", f"""WITH p AS (SELECT p_partkey, (p_partkey * 7 % 101)::DOUBLE AS sand, (p_partkey * 13 % 101)::DOUBLE AS u FROM part), s AS (SELECT p_partkey, sand, floor((100 - sand) * u / 100) AS silt, 100 - sand - floor((100 - sand) * u / 100) AS clay FROM p),
+o AS (SELECT a, b, c FROM (SELECT unnest([-0.5, 0.0, 0.5]) AS a), (SELECT unnest([-0.5, 0.0, 0.5]) AS b), (SELECT unnest([-0.5, 0.0, 0.5]) AS c)),
+n AS (SELECT p_partkey, count(DISTINCT {TEXTURE.format(a='(sand + a)', b='(silt + b)', c='(clay + c)')}) AS n FROM s, o GROUP BY 1), w AS (SELECT p_partkey, {TEXTURE.format(a='sand', b='silt', c='clay')} AS t FROM s)
+SELECT p_partkey, CASE WHEN len(t) = 1 THEN t[1] END AS texture, len(t) <> 1 OR n > 1 AS unsure FROM w JOIN n USING (p_partkey)""")
 def y11t(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     sand, u = (k * 7 % 101).cast("double"), (k * 13 % 101).cast("double")
     silt = F.floor((100 - sand) * u / 100).cast("double")
-    return t.part.select("p_partkey", statements.texture_class(sand, silt, 100 - sand - silt).alias("texture"))
+    shares = t.part.select(k, sand.alias("sand"), silt.alias("silt"), (100 - sand - silt).alias("clay"))
+    return shares.select(k, statements.texture(*map(F.col, ("sand", "silt", "clay"))).alias("t")).select(k, F.col("t.name").alias("texture"), F.col("t.unsure").alias("unsure"))
+
+
+_SLOPE = "CASE WHEN {0} < 1 THEN 'level' WHEN {0} < 2 THEN 'very gently sloping' WHEN {0} < 5 THEN 'gently sloping' WHEN {0} < 10 THEN 'sloping' WHEN {0} < 15 THEN 'strongly sloping' WHEN {0} < 30 THEN 'moderately steep' WHEN {0} < 60 THEN 'steep' ELSE 'very steep' END"
+_UNEP = "CASE WHEN {0} < 0.05 THEN 'hyper-arid' WHEN {0} < 0.2 THEN 'arid' WHEN {0} < 0.5 THEN 'semi-arid' WHEN {0} < 0.65 THEN 'dry sub-humid' ELSE 'humid' END"
+
+
+@query("Y11_slope_and_aridity", f"""WITH p AS (SELECT p_partkey, p_partkey % 401 / 10.0::DOUBLE AS d, (p_partkey % 97)::DOUBLE AS ai FROM part)
+SELECT p_partkey, {_SLOPE.format('tan(radians(d)) * 100')} AS slope, round(tan(radians(d)) * 100, 6) AS percent, {_SLOPE.format('tan(radians(greatest(d - 0.05, 0))) * 100')} <> {_SLOPE.format('tan(radians(d + 0.05)) * 100')} AS slope_unsure,
+{_UNEP.format('ai / 100')} AS aridity, {_UNEP.format('(ai - 0.5) / 100')} <> {_UNEP.format('(ai + 0.5) / 100')} AS aridity_unsure FROM p""")
+def y11s(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    both = t.part.select(k, statements.slope((k % 401 / 10).cast("double")).alias("s"), statements.aridity((k % 97).cast("double")).alias("a"))
+    return rounded(both.select(k, F.col("s.name").alias("slope"), F.col("s.percent").alias("percent"), F.col("s.unsure").alias("slope_unsure"), F.col("a.name").alias("aridity"), F.col("a.unsure").alias("aridity_unsure")))
+
+
+@query("Q_number_words", "SELECT o_orderkey, CASE WHEN n BETWEEN 0 AND 10 THEN ['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten'][n + 1] ELSE format('{:,}', n) END AS words FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey % 12 END AS n FROM orders)")
+def q_words(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t.orders.select(k, scalars.number_word(F.when(k % 3 == 0, k).otherwise(k % 12)).alias("words"))
 
 
 @query("Q_slugs", "SELECT p_partkey, replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS slug FROM part")

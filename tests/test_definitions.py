@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrane.functions import scalars
 from terrane.functions.scalars import NotAllowed, one_of
 from terrane.operators import blocks, cluster, dispersion, entry, geometry, graph, lenses, lookup, position, series, shapes, spatialstats, statements, weighted
 
@@ -212,3 +213,18 @@ def test_two_wave_fit_equals_a_plain_search(spark):
             assert found == pytest.approx(best)
     assert got[0].e12 < 0.02 < got[0].e6 and got[1].e6 < 0.02 < got[1].e12
     assert all(got[k].e12 is None or math.isnan(got[k].e12) for k in (9, 10, 11))
+
+
+def test_classes_near_their_edges(spark):
+    shares = spark.createDataFrame([(10.5, 20.25, 69.25), (1.0, 1.0, 1.0), (50.0, 50.0, 0.0), (33.4, 33.3, 33.3), (0.5, 0.5, 99.0), (None, 1.0, 2.0)], "a double, b double, c double")
+    whole = [tuple(r.s) for r in shares.select(statements.whole_shares(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect()]
+    assert whole[:5] == [(10, 20, 70), (34, 33, 33), (50, 50, 0), (34, 33, 33), (0, 0, 100)] and whole[5] == (None, None, None)
+    slopes = spark.createDataFrame([(0.0,), (0.55,), (0.6,), (0.3,), (31.0,), (None,)], "d double")
+    got = [r.s for r in slopes.select(statements.slope(F.col("d")).alias("s")).collect()]
+    assert [r.name for r in got] == ["level", "level", "very gently sloping", "level", "very steep", None]
+    assert [r.unsure for r in got][1:4] == [True, True, False] and got[5].unsure is None
+    soils = spark.createDataFrame([(90.0, 5.0, 5.0), (40.0, 40.0, 20.0), (10.0, 10.0, 10.0), (None, 1.0, 1.0)], "a double, b double, c double")
+    names = [tuple(r.t) for r in soils.select(statements.texture(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()]
+    assert names == [("sand", False), ("loam", False), (None, True), (None, None)]
+    words = spark.createDataFrame([(0,), (10,), (11,), (1234567,), (-3,), (None,)], "n int")
+    assert [r.w for r in words.select(scalars.number_word(F.col("n")).alias("w")).collect()] == ["zero", "ten", "11", "1,234,567", "-3", None]
