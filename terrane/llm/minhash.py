@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,36 +188,75 @@ def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return common / known >= s - DEVIATIONS * np.sqrt(s * (1 - s) / known)
 
 
-def _compare_tiles(least: int, percent: int):
-    """For applyInPandas over (key, inner, i, j): pairs across components worth verifying. An ``inner`` tile pairs the blocks i
-    and j of a bucket's outsiders with each other, another tile the outsiders' block i with block j of the pivot's component.
-    Each pair is taken in the first band that it shares; a tile has at most 2 * TILE members, give or take the chance of the
-    hash that deals them."""
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        inner, i, j = bool(tile["inner"].iloc[0]), int(tile["i"].iloc[0]), int(tile["j"].iloc[0])
-        sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(len(tile), SLOTS)
-        bands = np.stack(tile["bands"].to_numpy())
-        doc, comp, n, part, out, band = (tile[c].to_numpy() for c in ("doc", "comp", "n_shingles", "part", "out", "band"))
-        least_of = [np.frombuffer(x, "<u4") for x in tile["least"]]
-        xs, ys = (np.flatnonzero(part == i), np.flatnonzero(part == j)) if inner else (np.flatnonzero(out), np.flatnonzero(~out))
-        found = []
-        for start in range(0, len(xs), 128):
-            x = xs[start : start + 128]
-            near = _agreement(sig[x], sig[ys]) >= least
-            near &= comp[x][:, None] != comp[ys][None, :]
-            near &= 100 * np.minimum(n[x][:, None], n[ys][None, :]) >= percent * np.maximum(n[x][:, None], n[ys][None, :])
-            if inner and i == j:
-                near &= doc[x][:, None] < doc[ys][None, :]
-            a, b = np.nonzero(near)
-            a, b = x[a], ys[b]
-            first = (bands[a] == bands[b]).argmax(1) == band[0]
-            a, b = a[first], b[first]
-            maybe = np.array([_may_link(least_of[i], least_of[j], percent) for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-            found.append(pd.DataFrame({"a": np.minimum(doc[a], doc[b])[maybe], "b": np.maximum(doc[a], doc[b])[maybe]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+TILE_KEYS = ["key", "inner", "i", "j"]
+
+
+def _tile_pairs(rows: dict[str, np.ndarray], least_of: list[bytes], at: slice, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs across components of one tile, the rows ``at``, that are worth verifying. An ``inner`` tile pairs the blocks i and j of
+    a bucket's outsiders with each other, another tile the outsiders' block i with block j of the pivot's component. Each pair is
+    taken in the first band that it shares."""
+    tile = {c: v[at] for c, v in rows.items()}
+    inner, i, j = bool(tile["inner"][0]), int(tile["i"][0]), int(tile["j"][0])
+    doc, comp, n, sig, bands = (tile[c] for c in ("doc", "comp", "n_shingles", "sig", "bands"))
+    xs, ys = (np.flatnonzero(tile["part"] == i), np.flatnonzero(tile["part"] == j)) if inner else (np.flatnonzero(tile["out"]), np.flatnonzero(~tile["out"]))
+    found: list[tuple[int, int]] = []
+    for start in range(0, len(xs), 128):
+        x = xs[start : start + 128]
+        near = comp[x][:, None] != comp[ys][None, :]
+        near &= 100 * np.minimum(n[x][:, None], n[ys][None, :]) >= percent * np.maximum(n[x][:, None], n[ys][None, :])
+        if inner and i == j:
+            near &= doc[x][:, None] < doc[ys][None, :]
+        if not near.any():
+            continue
+        near &= _agreement(sig[x], sig[ys]) >= least
+        a, b = np.nonzero(near)
+        a, b = x[a], ys[b]
+        first = (bands[a] == bands[b]).argmax(1) == tile["band"][0]
+        for u, v in zip(a[first].tolist(), b[first].tolist(), strict=True):
+            if _may_link(*(np.frombuffer(least_of[at.start + k], "<u4") for k in (u, v)), percent):
+                found.append((min(doc[u], doc[v]), max(doc[u], doc[v])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _compare_tiles(dealt: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b) of all tiles. Rows are dealt and sorted by tile, and tiles are cut out of the stream of batches, as most hold a few
+    rows only; a tile has at most 2 * TILE members, give or take the chance of the hash that deals them."""
 
-    return run
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in it:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            edges = edges_of(now)
+            if len(edges) > 1:  # the last tile may go on in the next batch
+                yield compared(now.slice(0, edges[-1]), edges)
+                now = now.slice(edges[-1])
+            rest = now
+        if rest is not None and rest.num_rows:
+            yield compared(rest, [0, rest.num_rows])
+
+    def edges_of(rows: pa.Table) -> list[int]:
+        if not rows.num_rows:
+            return [0]
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for c in TILE_KEYS:
+            v = rows.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new).tolist()
+
+    def compared(table: pa.Table, edges: list[int]) -> pa.RecordBatch:
+        rows = {c: table.column(c).to_numpy() for c in ("doc", "comp", "n_shingles", "part", "out", "band", "inner", "i", "j")}
+        rows["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        rows["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        least_of = table.column("least").to_pylist()
+        stops = [*edges[1:], table.num_rows] if edges[-1] != table.num_rows else edges[1:]
+        pairs = [_tile_pairs(rows, least_of, slice(lo, hi), least, percent) for lo, hi in zip(edges, stops, strict=False) if hi - lo > 1]
+        a, b = (np.concatenate(x) if pairs else np.empty(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).mapInArrow(run, "a long, b long")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -284,7 +322,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     samples = materialize(_samples(texts.join(materialize(ids, "minhash-open-ids"), "doc_id", "left_semi"), size), "minhash-samples")
     dealt = _tiles(open_).join(reps, "doc").join(samples, "doc")
     dealt = dealt.select("key", "band", "doc", "comp", "n_shingles", "bands", "sig", "least", "part", "out", "inner", "i", "j")
-    more = materialize(dealt.groupBy("key", "inner", "i", "j").applyInPandas(_compare_tiles(least, percent), "a long, b long"), "minhash-more")
+    more = materialize(_compare_tiles(dealt, least, percent), "minhash-more")
     late = _verified(more, texts, size, percent, "minhash-late", more.count())
     final = connected_components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))), name="minhash-final", rows=2 * n)
 
