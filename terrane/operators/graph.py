@@ -24,13 +24,15 @@ def ancestors(links: DataFrame, node: str, parent: str, length: str | None = Non
     if stop:
         first = first.join(links.where(F.col(stop)).select(F.col(node).alias("ancestor")), "ancestor", "left_anti").select(*first.columns)
     known, longest, reach = stored(first), None, 1
+    if not known.where("node = ancestor").isEmpty():
+        raise ValueError("the links have a cycle")
     further = [(F.col("distance") + F.col("_far")).alias("distance")] if length else []
     while True:
         longest = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_via"), *([F.col("distance").alias("_far")] if length else []))
         more = longest.join(known.withColumnRenamed("node", "_via"), "_via").select("node", "ancestor", (F.col("depth") + reach).alias("depth"), *further)
         more = stored(more)
         rows, loops = more.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor"))).first()
-        if loops or first.where("node = ancestor").limit(1).count():
+        if loops:
             raise ValueError("the links have a cycle")
         if not rows:
             return known

@@ -17,6 +17,8 @@ def build(master: str | None = None, name: str = "terrane", **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # tables between steps go once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
