@@ -265,7 +265,7 @@ def length_inside(lines: DataFrame, polygons: DataFrame, line: str, polygon: str
 OWN_KM, STEP, LARGER_KM = 1.0, 2, 25.0
 
 
-def rivers_near(places: DataFrame, units: DataFrame, rivers: DataFrame, place: str, unit: str, river: str, least_class: int, step: int = STEP, larger_km: float = LARGER_KM) -> DataFrame:
+def rivers_near(places: DataFrame, units: DataFrame, rivers: DataFrame, place: str, unit: str, river: str, least_class: int, step: int = STEP, larger_km: float = LARGER_KM, start_km: float = 100.0) -> DataFrame:
     """place, own_class (least class of a river with more than OWN_KM inside the place's unit), river, class, km (the nearest of class
     ``least_class`` or below), larger, larger_class, larger_km (the nearest that is ``step`` classes below own_class, within
     ``larger_km``). Classes count down with size. ``places`` is (place, unit, lat, lon), ``rivers`` (river, class, path); each
@@ -275,10 +275,10 @@ def rivers_near(places: DataFrame, units: DataFrame, rivers: DataFrame, place: s
     own = inside.groupBy(unit).agg(F.min("class").alias("own_class"))
     asked = stored(places.join(own, unit, "left").select(place, "lat", "lon", "own_class"))
     named = rivers.select(river, "class")
-    near = nearest_outline(asked, rivers.where(F.col("class") <= least_class), place, river).join(named, river).select(place, river, "class", "km")
+    near = nearest_outline(asked, rivers.where(F.col("class") <= least_class), place, river, start_km=start_km).join(named, river).select(place, river, "class", "km")
     larger = None
     for own_class in sorted(r[0] for r in asked.where("own_class IS NOT NULL").select("own_class").distinct().collect()):
-        of = nearest_outline(asked.where(F.col("own_class") == own_class), rivers.where(F.col("class") <= own_class - step), place, river, most_km=larger_km)
+        of = nearest_outline(asked.where(F.col("own_class") == own_class), rivers.where(F.col("class") <= own_class - step), place, river, start_km=larger_km, most_km=larger_km)  # one search, as the reach is short
         larger = of if larger is None else larger.unionByName(of)
     out = asked.select(place, "own_class").join(near, place, "left")
     if larger is None:

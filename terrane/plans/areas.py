@@ -261,4 +261,4 @@ def r12r(t: Tables) -> DataFrame:
     at = nation.select(k.alias("unit"), (w + 2).alias("_w"), (s + 12).alias("_s"))
     n = F.col("s_suppkey")
     places = t.supplier.select(n.alias("place"), (n % 25).alias("unit")).join(F.broadcast(at), "unit").select("place", "unit", (F.col("_s") + 1 + F.col("place") % 7).alias("lat"), (F.col("_w") + 1 + F.col("place") % 10).alias("lon"))
-    return rounded(outlines.rivers_near(places, _units(t), rivers, "place", "unit", "river", 5, larger_km=600.0), 4)
+    return rounded(outlines.rivers_near(places, _units(t), rivers, "place", "unit", "river", 5, larger_km=600.0, start_km=800.0), 4)
