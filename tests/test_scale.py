@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import spatialstats
+from terrane.operators import lenses, spatialstats
 
 ROUNDS = 19
 
@@ -59,3 +59,36 @@ def test_rounds_are_never_broadcast_and_runs_give_the_same_places(spark, tmp_pat
     assert table(spatialstats._labels_dealt(points, "g", ["x"], "unit", 9, 0, None).groupBy("round", "g").agg(F.sum("x"))) == one
     counts = spatialstats._drawn(points.select("unit", F.lit(0).alias("_block")), 3, 0).groupBy("round").agg(F.count_distinct("_p"), F.min("_p"), F.max("_p"))
     assert table(counts) == [(r, 3000, 0, 2999) for r in (1, 2, 3)]
+
+
+def test_diameter_of_any_number_of_points(spark, monkeypatch):
+    """Beyond 2,000 points, in one place, in a crowd, over the date line and among opposite ones; few pairs compared."""
+    rng = np.random.default_rng(6)
+
+    def plain(v):
+        la, lo = np.radians(np.array(v)).T
+        x = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la[:, None]) * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+        return 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, x))).max()
+
+    crowd = [tuple(map(float, v)) for v in rng.normal(scale=0.01, size=(2100, 2)) + [10, 20]]
+    globe = [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 2100), rng.uniform(-180, 180, 2100), strict=True)]
+    monkeypatch.setattr(lenses, "DIAMETER_PAIRS", 2000)
+    for v in (crowd, globe, [(1.0, 2.0)] * 2, [(0.0, 179.9), (0.0, -179.9), (1.0, 180.0)]):
+        got = lenses.diameter_km(spark.createDataFrame(v, "a double, b double"), "a", "b").first()[0]
+        assert got == pytest.approx(plain(v), abs=1e-6)
+    assert lenses.diameter_km(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), "a", "b").first()[0] is None
+
+
+def test_nearest_by_mahalanobis_without_all_pairs(spark):
+    """Equals the ranks over all pairs, with ties, copies, outliers, a constant feature and fewer rows than asked for; the queries
+    may be more than a broadcast takes."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(120, 3)) * [1, 30, 5], 1)
+    v[:20], v[20] = v[0], [50, -900, 80]
+    rows = [(i, *map(float, r), 4.0) for i, r in enumerate(v)] + [(500, None, 1.0, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "unit long, a double, b double, c double, d double")
+    asked = spark.createDataFrame([(i,) for i in (0, 5, 19, 20, 33, 77, 119, 500, 999)], "query_id long")
+    for features, some, k in ((["a", "b", "c"], df, 6), (["a", "b", "d"], df, 3), (["a", "c"], df.where("unit < 23 AND unit > 17"), 9)):
+        want = lenses.nearest(lenses.mahalanobis(some, asked, features, "unit"), k, "unit")
+        got = lenses.mahalanobis_nearest(some, asked, features, "unit", k)
+        assert table(got.select("query_id", "rank", "unit", "distance")) == table(want.select("query_id", "rank", "unit", "distance"))
