@@ -94,9 +94,9 @@ def events_in(queries: DataFrame, events: DataFrame, low: str, high: str, year:
 
 def event_summary(queries: DataFrame, events: DataFrame, query: str, low: str, high: str, year: str, size: str, least: float = 5.0, major: float = 10.0, years: tuple[int, int] = EVENT_YEARS) -> DataFrame:
     """query, n_events, total of the events of at least ``least`` in the span (0 if none), and years from the last major one of
-    them to the span's end."""
+    them to the span's end. Sizes may be decimals, whose total doesn't depend on the order of rows."""
     hit = events_in(queries, events, low, high, year, size, least, years)
-    out = hit.groupBy(query).agg(F.count("*").alias("n_events"), F.sum(size).alias("total"), F.min(F.when(F.col(size) >= major, F.col(high) - F.col(year))).alias("years_since_major"))
+    out = hit.groupBy(query).agg(F.count("*").alias("n_events"), F.sum(size).cast("double").alias("total"), F.min(F.when(F.col(size) >= major, F.col(high) - F.col(year))).alias("years_since_major"))
     return queries.select(query).join(out, query, "left").select(query, F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("total", F.lit(0.0)).alias("total"), "years_since_major")
 
 
