@@ -94,8 +94,24 @@ def meet(queries: DataFrame, points: DataFrame, reach_km: float) -> DataFrame:
     return q.join(p, ["_cx", "_cy"]).select("q", "p")
 
 
+def _spots(df: DataFrame, name: str) -> DataFrame:
+    """(name, lat, lon): the distinct places, each named by itself."""
+    return df.select("lat", "lon").distinct().withColumn(name, F.struct("lat", "lon"))
+
+
 def within_km(queries: DataFrame, points: DataFrame, query: str, point: str, km: float) -> DataFrame:
-    """(query, point, km): all pairs of rows with columns lat and lon that are at most ``km`` apart."""
+    """(query, point, km): all pairs of rows with columns lat and lon that are at most ``km`` apart. Distances are found between
+    distinct places, whose rows are put in afterwards, dealt by the points' places to all tasks, as few rows of input make many."""
+    near = stored(_near(_spots(queries, "_q"), _spots(points, "_p"), "_q", "_p", km))
+    parts = max(4, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.select(query, F.struct("lat", "lon").alias("_q"))
+    at = points.select(point, F.struct("lat", "lon").alias("_p")).repartition(parts, "_p")
+    reached = asked.join(near.hint("merge"), "_q").select(query, "_p", "km").repartition(parts, "_p")
+    return reached.join(at.hint("merge"), "_p").select(query, point, "km")
+
+
+def _near(queries: DataFrame, points: DataFrame, query: str, point: str, km: float) -> DataFrame:
+    """``within_km`` row by row."""
     far = haversine_km(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon"))
     met = meet(queries.select(query, "lat", "lon"), points.select(point, "lat", "lon"), km)
     return met.select(F.col(f"q.{query}").alias(query), F.col(f"p.{point}").alias(point), far.alias("km")).where(F.col("km") <= km)
@@ -120,13 +136,23 @@ def nearest_points(queries: DataFrame, points: DataFrame, query: str, point: str
     """(query, point, km, place): each query's ``k`` nearest points, ties to the smaller id; with ``most_km``, none farther.
 
     Rings are widened: a query that has ``k`` points within a reach is done, since all nearer ones are among them; the others
-    try twice the reach, up to half the earth's girth.
+    try twice the reach, up to half the earth's girth. Queries at one place are asked once, and of points at one place only the
+    ``k`` smallest ids can be among the nearest, so crowds of either cost no pairs.
     """
+    asked = queries.select(query, F.struct("lat", "lon").alias("_q"))
+    crowd = Window.partitionBy("lat", "lon").orderBy(point)
+    few = points.select(point, "lat", "lon").withColumn("_n", F.row_number().over(crowd)).where(F.col("_n") <= k).drop("_n")
+    found = _nearest(_spots(queries, "_q"), stored(few), point, k, start_km, most_km)
+    return asked.join(found.hint("shuffle_hash"), "_q").select(query, point, "km", "place")
+
+
+def _nearest(queries: DataFrame, points: DataFrame, point: str, k: int, start_km: float, most_km: float | None) -> DataFrame:
+    query = "_q"
     limit = min(most_km or HALF_GIRTH_KM, HALF_GIRTH_KM)
     left, reach, done = stored(queries.select(query, "lat", "lon")), min(start_km, limit), None
     order = Window.partitionBy(query).orderBy(F.round("km", 9), point)
     while True:
-        found = within_km(left, points, query, point, reach).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+        found = _near(left, points, query, point, reach).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
         last = reach >= limit
         found = stored(found)
         full = found.where(F.col("place") == k).select(query)
