@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import lenses, spatialstats
+from terrane.operators import lenses, lookup, position, spatialstats
 
 ROUNDS = 19
 
@@ -92,3 +92,61 @@ def test_nearest_by_mahalanobis_without_all_pairs(spark):
         want = lenses.nearest(lenses.mahalanobis(some, asked, features, "unit"), k, "unit")
         got = lenses.mahalanobis_nearest(some, asked, features, "unit", k)
         assert table(got.select("query_id", "rank", "unit", "distance")) == table(want.select("query_id", "rank", "unit", "distance"))
+
+
+def test_tiers_meet_one_name_each(spark):
+    asked = spark.createDataFrame([(1, 1, 1), (2, 1, 9), (3, 8, 2), (4, 8, 9), (5, None, 2)], "k long, a long, b long")
+    names = spark.createDataFrame([(i, i % 3, i % 4) for i in range(200)] + [(900, None, 2)], "id long, na long, nb long")
+    a, b = {"a": "na"}, {"b": "nb"}
+    got = lookup.tiered_match(asked, names, "k", [("exact", a | b), ("first", a), ("second", b)], "id")
+    assert table(got) == [(1, "exact", 1), (2, "first", 1), (3, "second", 2), (5, "second", 2)]
+
+
+def test_nearest_value_has_no_frame_to_the_end(spark):
+    q = spark.createDataFrame([(i, 0, i * 0.5) for i in range(50)], "i long, k long, v double")
+    p = spark.createDataFrame([(i, 0, i * 3.0) for i in range(8)], "p long, k long, w double")
+    out = lookup.nearest_value(q, p, "k", "v", "w", "p", ["i"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.i: r.p for r in out.collect()} == {i: min((abs(i * 0.5 - 3 * j), j) for j in range(8))[1] for i in range(50)}
+
+
+def test_event_totals_are_exact(spark, tmp_path):
+    from terrane import plans
+
+    spark.sql("SELECT 9L AS n_nationkey").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(i, v) for i, v in enumerate([2.0**53, *[51.0] * 4])], "event_id long, value double").selectExpr("event_id", "value", "'error' AS event_type", "timestamp'2024-01-13 00:00:00' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert [(r.n_events, r.total) for r in plans.QUERIES["T4_event_summary"](plans.Tables(spark, str(tmp_path))).collect()] == [(5, float(2**53 + 204))]
+
+
+def test_crowds_in_one_place_make_no_pairs(spark, monkeypatch):
+    from terrane.operators import geometry
+
+    met, plain = [], geometry.meet
+
+    def counted(q, p, km):
+        met.append((q.count(), p.count()))
+        return plain(q, p, km)
+
+    monkeypatch.setattr(geometry, "meet", counted)
+    q = spark.createDataFrame([(i, 10.0, 20.0 + i % 2) for i in range(60)], "q long, lat double, lon double")
+    p = spark.createDataFrame([(i, 10.0, 20.0 + i % 3) for i in range(90)], "p long, lat double, lon double")
+    got = geometry.nearest_points(q, p, "q", "p", 2)
+    assert {(r.q, r.place): r.p for r in got.collect()} == {(i, k + 1): i % 2 + 3 * k for i in range(60) for k in (0, 1)}
+    assert geometry.within_km(q, p, "q", "p", 1.0).count() == 60 * 30
+    assert met == [(2, 6), (2, 3)]
+
+
+def test_both_ways_reads_pairs_once(spark):
+    out = lookup.both_ways(spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.7)], "a long, b long, d double"), "a", "b", ["d"])
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert table(out.select("node", "neighbour", "d")) == [(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.7), (3, 2, 0.7)]
+
+
+def test_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(1)
+    v = [("a", float(x)) for x in np.round(rng.normal(size=500), 1)] + [("b", 3.0), ("c", None)] + [("d", x) for x in (1.0, 2.0)]
+    got = {r.k: r for r in position.quantiles(spark.createDataFrame(v, "k string, x double"), ["k"], "x", {"p": 0.1, "m": 0.5}).collect()}
+    for k in "abd":
+        x = [b for a, b in v if a == k]
+        assert got[k].p == pytest.approx(np.quantile(x, 0.1)) and got[k].m == pytest.approx(np.quantile(x, 0.5))
+    assert got["c"].p is None and len(got) == 4
