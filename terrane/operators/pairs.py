@@ -73,7 +73,9 @@ def uniform_widths(sizes: DataFrame, draws: int = 300, seed: int = 0) -> DataFra
     the middle 80 % (quantiles between the middles of equal weights, ends beyond them) and the range. A set is one row."""
     u = lambda i: F.shiftrightunsigned(F.xxhash64("k", "draw", i, F.lit(seed)), 11).cast("double") * (100 * 2.0**-53)
     rows = sizes.where("k > 0").select(F.col("k").cast("long").alias("k")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rows = rows.repartition("k", "draw").withColumn("s", F.array_sort(F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), u)))
+    # a number of its own, as small rows that make long sets would be put together in one task
+    parts = max(4, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "k", "draw").withColumn("s", F.sort_array(F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), u)))
 
     def quantile(q: float) -> Column:
         place = F.lit(q) * F.col("k") + 0.5  # middles stand at (i - 0.5) / k
