@@ -122,9 +122,11 @@ def nearest_outline(queries: DataFrame, polygons: DataFrame, query: str, key: st
     of the queries, the polygon of that key is left out. Queries with none within ``most_km`` have no row."""
     parts = stored(pieces(polygons, key, piece_km))
     asked = queries.select(query, "lat", "lon", *([F.col(own).alias("_own")] if own else []))
+    tasks = max(4, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def measure(left: DataFrame, reach: float) -> DataFrame:
-        met = geometry.meet(left, parts, reach + piece_km / 2)
+        # a query is a short row that meets many arcs, so the rows' size must not decide on the number of tasks
+        met = geometry.meet(left.repartition(tasks, query), parts, reach + piece_km / 2)
         met = met.where(~F.col("q._own").eqNullSafe(F.col(f"p.{key}"))) if own else met
         met = met.withColumn("_v", vector(F.col("q.lat"), F.col("q.lon")))
         met = met.withColumn("_n", nearest_on_arc(F.col("_v"), F.col("p.a"), F.col("p.b")))
@@ -162,16 +164,17 @@ def outline_gaps(polygons: DataFrame, coast: DataFrame, polygon: str, key: str,
 
 def coast_distances(places: DataFrame, units: DataFrame, coast: DataFrame, place: str, unit: str, key: str, near_km: float) -> DataFrame:
     """place, outline_km (from its unit's outline to the nearest coast) and edge_km (from the spot of that outline nearest to the
-    place to the coast), null beyond ``near_km``; ``places`` is (place, unit, lat, lon)."""
+    place to the coast), null beyond ``near_km``; ``places`` is (place, unit, lat, lon). Places of a unit at one point are asked once."""
     gaps = outline_gaps(units, coast, unit, key, most_km=near_km).select(unit, F.col("km").alias("outline_km"))
-    own = places.select(place, F.col(unit).alias("_unit"), "lat", "lon")
+    point = F.struct(unit, "lat", "lon").alias("_point")
+    own = places.select(point, F.col(unit).alias("_unit"), "lat", "lon").distinct()
     parts = pieces(units, unit)
     met = own.join(parts.select(F.col(unit).alias("_unit"), "a", "b"), "_unit").withColumn("_v", vector(F.col("lat"), F.col("lon")))
     met = met.withColumn("_n", nearest_on_arc(F.col("_v"), F.col("a"), F.col("b")))
-    spot = met.groupBy(place).agg(F.min_by("_n", F.struct(F.round(_apart(F.col("_v"), F.col("_n")), 9), F.col("_n.x"), F.col("_n.y"), F.col("_n.z"))).alias("_n"))
-    spot = spot.select(place, _let(F.col("_n"), _place).alias("_at")).select(place, "_at.lat", "_at.lon")
-    edge = nearest_outline(spot, coast, place, key, most_km=near_km).select(place, F.col("km").alias("edge_km"))
-    return places.select(place, unit).join(gaps, unit, "left").join(edge, place, "left").select(place, unit, "outline_km", "edge_km")
+    spot = met.groupBy("_point").agg(F.min_by("_n", F.struct(F.round(_apart(F.col("_v"), F.col("_n")), 9), F.col("_n.x"), F.col("_n.y"), F.col("_n.z"))).alias("_n"))
+    spot = spot.select("_point", _let(F.col("_n"), _place).alias("_at")).select("_point", "_at.lat", "_at.lon")
+    edge = nearest_outline(spot, coast, "_point", key, most_km=near_km).select("_point", F.col("km").alias("edge_km"))
+    return places.select(place, unit, point).join(gaps, unit, "left").join(edge, "_point", "left").select(place, unit, "outline_km", "edge_km")
 
 
 def touching(polygons: DataFrame, key: str, cell: float = 1.0, tolerance: float = 1e-9) -> DataFrame:

@@ -150,3 +150,24 @@ def test_quantiles_by_ranks(spark):
         x = [b for a, b in v if a == k]
         assert got[k].p == pytest.approx(np.quantile(x, 0.1)) and got[k].m == pytest.approx(np.quantile(x, 0.5))
     assert got["c"].p is None and len(got) == 4
+
+
+def test_places_at_one_point_are_asked_once(spark, monkeypatch):
+    from terrane.operators import outlines
+
+    asked, plain = [], outlines.nearest_outline
+    monkeypatch.setattr(outlines, "nearest_outline", lambda q, *a, **k: (asked.append(q.count()), plain(q, *a, **k))[1])
+    ring = lambda x: f"array(named_struct('x', {x}D, 'y', 0D), named_struct('x', {x + 1}D, 'y', 0D), named_struct('x', {x + 1}D, 'y', 1D), named_struct('x', {x}D, 'y', 1D))"
+    units, coast = (spark.sql(f"SELECT 1 AS {k}, {ring(x)} AS ring") for k, x in (("unit", 0.0), ("area", 2.0)))
+    places = spark.createDataFrame([(i, 1, 0.5, 0.8 if i % 2 else 0.2) for i in range(30)], "place int, unit int, lat double, lon double")
+    got = outlines.coast_distances(places, units, coast, "place", "unit", "area", 500.0).collect()
+    assert asked == [2] and len({r.place for r in got}) == 30
+    assert {r.place % 2: r.edge_km for r in got} == {0: pytest.approx(222.38, abs=0.1), 1: pytest.approx(111.19, abs=0.1)}
+
+
+def test_even_draws_are_spread_over_tasks(spark):
+    from terrane.operators import pairs
+
+    drawn = pairs.uniform_widths(spark.createDataFrame([(7,), (900,)], "k long"), 200)
+    assert "array_sort" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert drawn.select(F.spark_partition_id().alias("p")).distinct().count() == 4
