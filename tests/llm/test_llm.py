@@ -205,6 +205,19 @@ def test_simhash_of_very_long_lines(spark):
     assert got == {i: plain_simhash(t.split(" ")) for i, t in rows}
 
 
+def test_simhash_sums_several_words_a_row(spark, monkeypatch):
+    """The grouped sum gets a row for every STEP words and a line's signs go in one pass; blanks count for equality only."""
+    made = []
+    monkeypatch.setattr(fuzzy_lines, "materialize", lambda df, name: made.append(df) or df)
+    line = "one, two  three: four (five) six"
+    found = fuzzy_lines.lines_of(documents(spark, [(1, line), (2, "one two  three four five six"), (3, "one two three four five six"), (4, "x " * 1000)]))[0]
+    got = {r.doc_id: (r.d1, r.d2, r.sim, r.len) for r in found.collect()}
+    assert got[1] == got[2] and got[2][:2] != got[3][:2] and got[2][2] == got[3][2]
+    assert got[4][2] & (2**64 - 1) == plain_simhash(["x"])
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(0" in plan and " replace(" not in plan
+
+
 @pytest.mark.parametrize("lines", [10, 10**7, 10**10])
 def test_pigeonhole_finds_all_pairs(spark, lines):
     rng = random.Random(lines)
