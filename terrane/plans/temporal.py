@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import lookup, series
-from terrane.plans.registry import Tables, money, query, rounded
+from terrane.plans.registry import Tables, day_number, money, query, rounded
 
 YEARS = list(range(1995, 2002))
 
@@ -44,7 +44,7 @@ def t3(t: Tables) -> DataFrame:
 q AS (SELECT n_nationkey AS k, n_nationkey % 10 AS lo, n_nationkey % 10 + n_nationkey AS hi FROM nation)
 SELECT k, count(d) AS n_events, round(coalesce(sum(value), 0), 4) AS total, min(CASE WHEN value >= 90 THEN hi - d END) AS years_since_major FROM q LEFT JOIN e ON d BETWEEN lo AND hi AND d BETWEEN 2 AND 25 AND value >= 50 GROUP BY 1""")
 def t4(t: Tables) -> DataFrame:
-    e = t.events.where("event_type = 'error'").select((F.floor(F.unix_timestamp("ts") / 86400) - 19723).cast("int").alias("d"), F.col("value").cast("decimal(28,12)").alias("value"))
+    e = t.events.where("event_type = 'error'").select(day_number("ts", 19723).alias("d"), F.col("value").cast("decimal(28,12)").alias("value"))
     n = F.col("n_nationkey")
     q = t.nation.select(n.alias("k"), (n % 10).alias("lo"), (n % 10 + n).alias("hi"))
     return rounded(series.event_summary(q, e, "k", "lo", "hi", "d", "value", 50.0, 90.0, (2, 25)), 4)

@@ -118,6 +118,21 @@ def test_event_totals_are_exact(spark, tmp_path):
     assert [(r.n_events, r.total) for r in plans.QUERIES["T4_event_summary"](plans.Tables(spark, str(tmp_path))).collect()] == [(5, float(2**53 + 204))]
 
 
+def test_the_last_half_second_of_a_day_is_the_next_day(spark, tmp_path):
+    from terrane import plans
+    from tests.oracle import both, connect
+
+    spark.range(25).withColumnRenamed("id", "n_nationkey").write.parquet(str(tmp_path / "nation.parquet"))
+    times = [f"2024-01-{day:02d} {at}" for day in (3, 9, 14, 26) for at in ("00:00:00", "12:00:00.5", "23:59:58.5", "23:59:59.499999", "23:59:59.5", "23:59:59.9")]
+    spark.createDataFrame([(i, at, 50.0 + i) for i, at in enumerate(times)], "event_id long, at string, value double").selectExpr("event_id", "value * 2 AS value", "'error' AS event_type", "CAST(at AS timestamp_ntz) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    duck = connect("/root/testdata/sf0.001")
+    for t in ("nation", "events"):
+        duck.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("T4_event_summary", "B7c_event_rows"):
+        ours, theirs = both(plans.QUERIES[name](plans.Tables(spark, str(tmp_path))), duck, plans.SQL[name])
+        assert ours == theirs
+
+
 def test_crowds_in_one_place_make_no_pairs(spark, monkeypatch):
     from terrane.operators import geometry
 
