@@ -250,6 +250,23 @@ def test_edit_similarity_of_pairs(spark):
     assert 5 < len(want) < 35 and sorted(map(tuple, got.collect())) == want
 
 
+def test_bounds_of_the_edit_distance(spark):
+    """Copies are shown by pieces and strangers by thinned texts, without their whole distance; neither says too much."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        a = " ".join(rng.choices(WORDS, k=rng.randrange(90)))
+        b = "".join(rng.choice(("", c, c + c, " ", "e", "z")) if rng.random() < 0.08 else c for c in a) if k % 2 else " ".join(rng.choices(WORDS, k=rng.randrange(90)))
+        rows.append((k, a, b, "\u00e9" * 600 + a, b))
+    df = spark.createDataFrame(rows, "k int, ta string, tb string, u string, v string")
+    pieced = fuzzy_lines._pieced
+    got = df.select("k", "ta", "tb", F.levenshtein(fuzzy_lines._thinned("ta"), fuzzy_lines._thinned("tb")).alias("low"), pieced("ta", "tb").alias("high"), pieced("u", "v").alias("wide")).collect()
+    assert all(r.low <= levenshtein(r.ta, r.tb) <= r.high for r in got) and all(r.wide >= 600 for r in got)
+    copies = [r for r in got if r.k % 2 and len(r.ta) > 100]
+    assert sum(r.high <= 0.2 * len(r.ta) for r in copies) > len(copies) / 2
+    assert fuzzy_lines.scheme(10**6) == (5, 2)  # a line meets few others by chance
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
