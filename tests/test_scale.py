@@ -133,6 +133,18 @@ def test_the_last_half_second_of_a_day_is_the_next_day(spark, tmp_path):
         assert ours == theirs
 
 
+def test_like_queries_of_a_lens_follow_each_other(spark):
+    from itertools import groupby
+
+    from terrane.operators import lenses
+
+    units = spark.createDataFrame([(i, float(i % 5), float(i % 5) ** 2) for i in range(200)], "unit long, x double, y double")
+    got = lenses.euclidean(units, units.where("unit < 100").selectExpr("unit AS query_id"), ["x", "y"], "unit").collect()
+    assert len(got) == 100 * 199
+    for _, rows in groupby(got, key=lambda r: r.unit):
+        assert len(list(groupby(rows, key=lambda r: r.distance))) <= 5
+
+
 def test_crowds_in_one_place_make_no_pairs(spark, monkeypatch):
     from terrane.operators import geometry
 
